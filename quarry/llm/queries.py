@@ -1,9 +1,13 @@
 """The queries of the operators in this subpackage, by name, and SQL for those that SQL can express."""
 
-from quarry.llm import op1_quality, op2_bpe
+from quarry.llm import op1_quality, op2_bpe, op3_warc, op6_pii, op7_shards, op8_chat
 
 QUERIES = {
     "op1_quality": op1_quality.query,
     "op2_bpe": op2_bpe.query,
+    "op3_warc": op3_warc.query,
+    "op6_pii": op6_pii.query,
+    "op7_shards": op7_shards.query,
+    "op8_chat": op8_chat.query,
 }
 ORACLE_SQL: dict[str, str] = {}
