@@ -59,3 +59,17 @@ def build(df: DataFrame, key: str, n: int) -> np.ndarray:
     for r in df.select(key).mapInArrow(part, "at long, piece binary").groupBy("at").applyInArrow(together, "at long, piece binary").collect():
         filled[r["at"] : r["at"] + len(r.piece)] = np.frombuffer(r.piece, np.uint8)
     return filled
+
+
+def parted(df: DataFrame, key: str, filled: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """The rows whose long ``key`` surely isn't in the filter's table, and those where it may be."""
+    shared = df.sparkSession.sparkContext.broadcast(filled)  # at most 4 MiB
+
+    def rows(inside: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(holds(shared.value, batch.column(key).to_numpy()) == inside))
+
+        return df.mapInArrow(run, df.schema)
+
+    return rows(False), rows(True)
