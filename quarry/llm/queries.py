@@ -1,12 +1,13 @@
 """The queries of the operators in this subpackage, by name, and SQL for those that SQL can express."""
 
-from quarry.llm import op1_quality, op2_bpe, op3_warc, op4_minhash, op6_pii, op7_shards, op8_chat, op9_suffix_tree, op10_substring
+from quarry.llm import op1_quality, op2_bpe, op3_warc, op4_minhash, op5_decontaminate, op6_pii, op7_shards, op8_chat, op9_suffix_tree, op10_substring
 
 QUERIES = {
     "op1_quality": op1_quality.query,
     "op2_bpe": op2_bpe.query,
     "op3_warc": op3_warc.query,
     "op4_minhash": op4_minhash.query,
+    "op5_decontaminate": op5_decontaminate.query,
     "op6_pii": op6_pii.query,
     "op7_shards": op7_shards.query,
     "op8_chat": op8_chat.query,
