@@ -6,18 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quarry.plans import catalog
+
 Query = Callable[[SparkSession, str], DataFrame]
-_queries: dict[str, Query] = {}
-_oracles: dict[str, str] = {}
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["symbol_definitions"](spark, sf_dir)
+    return catalog.QUERIES["symbol_definitions"](spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
-    return dict(_queries)
+    return dict(catalog.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_oracles)
+    return dict(catalog.ORACLES)
