@@ -9,7 +9,7 @@ from quarry.operators import chat, delta, edges, extract, graph, jobs, latest, l
 from quarry.plans import search
 from quarry.sources.fixtures import Frames, oracle
 
-ORG, NAME, TERMS = 1, "lace", ["part:1", "s7"]
+ORG, NAME, TERMS = 1, "cold ring", ["part:1", "s7"]
 QUERIES, ORACLES = {}, {}
 
 
@@ -74,10 +74,10 @@ def _(f):
     return scope.in_revisions(f.f_index, [(3, []), (5, ["1-URGENT", "2-HIGH"])]).select("id", "repo_id", "revision")
 
 
-@query("ilike_any_terms", "SELECT index_id, symbol, file_path FROM f_symbol WHERE LOWER(display_name) LIKE '%lace%' OR LOWER(symbol) LIKE '%brand#1%' OR LOWER(file_path) LIKE '%file4%'")
+@query("ilike_any_terms", "SELECT index_id, symbol, file_path FROM f_symbol WHERE LOWER(display_name) LIKE '%late%' OR LOWER(symbol) LIKE '%brand#1%' OR LOWER(file_path) LIKE '%file4%'")
 def _(f):
     s = f.f_symbol
-    return s.filter(text.like_any([F.col("display_name")], ["lace"]) | text.like_any([F.col("symbol")], ["brand#1"]) | text.like_any([F.col("file_path")], ["file4"])).select("index_id", "symbol", "file_path")
+    return s.filter(text.like_any([F.col("display_name")], ["late"]) | text.like_any([F.col("symbol")], ["brand#1"]) | text.like_any([F.col("file_path")], ["file4"])).select("index_id", "symbol", "file_path")
 
 
 def _occurrences(roles: str) -> str:
@@ -245,9 +245,9 @@ def _(f):
     return status.issues(f.f_index)
 
 
-@query("repo_page", "SELECT id, name FROM f_repo WHERE org_id = 1 ORDER BY name, id LIMIT 5 OFFSET 5")
+@query("repo_page", "SELECT id, name FROM f_repo WHERE org_id = 1 ORDER BY name, id LIMIT 2 OFFSET 2")
 def _(f):
-    return scope.page(scope.in_org(f.f_repo, ORG), ["name", "id"], 2, 5).select("id", "name")
+    return scope.page(scope.in_org(f.f_repo, ORG), ["name", "id"], 2, 2).select("id", "name")
 
 
 CHANGE = "SELECT COALESCE(p.repo_name, c.repo_name) AS repo_name, COALESCE(p.branch, c.branch) AS branch, COALESCE(p.path, c.path) AS path, CASE WHEN p.path IS NULL THEN 'added' WHEN c.path IS NULL THEN 'deleted' WHEN p.content_hash <> c.content_hash THEN 'changed' ELSE 'unchanged' END AS change FROM f_manifest_prev p FULL JOIN f_manifest_cur c ON p.path = c.path AND p.repo_name = c.repo_name AND p.branch = c.branch"
@@ -303,9 +303,9 @@ def _(f):
     return jobs.expired(f.f_subjob, "2024-01-15 00:00:00", 3600)
 
 
-@query("job_completion", "SELECT job_id, COUNT(*) AS subjobs FROM f_subjob GROUP BY job_id HAVING SUM(CASE WHEN status IN ('SUCCEEDED', 'SKIPPED', 'FAILED', 'CANCELED') THEN 0 ELSE 1 END) = 0")
+@query("job_completion", "SELECT job_id, COUNT(*) AS subjobs FROM f_subjob GROUP BY job_id HAVING SUM(CASE WHEN status IN ('SUCCEEDED', 'SKIPPED', 'FAILED', 'CANCELED') THEN 0 ELSE 1 END) = 0".replace("FROM f_subjob", "FROM (SELECT CAST(FLOOR(id / 3) AS BIGINT) AS job_id, status FROM f_subjob) s"))
 def _(f):
-    return jobs.completed(f.f_subjob)
+    return jobs.completed(f.f_subjob.withColumn("job_id", F.floor(F.col("id") / 3)))
 
 
 @query("parent_failure", "SELECT id, job_id, layer FROM f_subjob s WHERE status IN ('QUEUED', 'CLAIMED', 'RUNNING', 'VALIDATING', 'RETRYING') AND EXISTS (SELECT 1 FROM f_subjob x WHERE x.job_id = s.job_id AND x.status = 'FAILED' AND x.layer NOT IN ('SCIP', 'AST_TREE_SITTER'))")
@@ -321,9 +321,9 @@ def _(f):
 LINES = "SELECT repo_name, branch, path, CAST(i AS INT) AS line, string_split(content, chr(10))[i] AS content FROM (SELECT *, UNNEST(range(1, len(string_split(content, chr(10))) + 1)) AS i FROM f_file) x"
 
 
-@query("grep", f"SELECT * FROM ({LINES}) l WHERE regexp_matches(content, 'tion[0-9a-z]+ber') AND path LIKE 'src/%'")
+@query("grep", f"SELECT * FROM ({LINES}) l WHERE regexp_matches(content, 'mail[0-9]+[.]example') AND path LIKE 'src/%'")
 def _(f):
-    return lexical.grep(f.f_file, "tion[0-9a-z]+ber", include="src/**")
+    return lexical.grep(f.f_file, "mail[0-9]+[.]example", include="src/**")
 
 
 @query("grep_by_repo", f"SELECT repo_name, COUNT(*) AS lines, COUNT(DISTINCT path) AS files FROM ({LINES}) l WHERE regexp_matches(content, '@[a-z0-9]+[.]') GROUP BY repo_name")
@@ -406,9 +406,9 @@ def _(f):
     return f.table("documents").rollup("source", "lang").agg(F.count(F.lit(1)).alias("files"))
 
 
-@query("symbol_set_difference", "SELECT DISTINCT symbol FROM f_symbol WHERE org_id = 1 EXCEPT SELECT symbol FROM f_symbol WHERE org_id = 2")
+@query("symbol_set_difference", "SELECT symbol, file_path FROM f_occurrence WHERE role = 'DEFINITION' EXCEPT SELECT symbol, file_path FROM f_occurrence WHERE role = 'REFERENCE'")
 def _(f):
-    s = f.f_symbol
-    return s.filter("org_id = 1").select("symbol").distinct().join(s.filter("org_id = 2").select("symbol"), "symbol", "left_anti")
+    o = f.f_occurrence.select("symbol", "file_path", "role")
+    return o.filter("role = 'DEFINITION'").drop("role").distinct().join(o.filter("role = 'REFERENCE'"), ["symbol", "file_path"], "left_anti")
 
 
