@@ -67,12 +67,24 @@ def _print(links: DataFrame) -> tuple:
     return tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
+#: Links, after contraction, that one task may hold (some 40 MB of it).
+ONE_TASK = 100_000
+
+
 def components(links: DataFrame) -> tuple[DataFrame, str]:
-    """(node, root) of every node with a link, the root being the least of its component; and the table's path."""
+    """(node, root) of every node with a link, the root being the least of its component; and the table's path.
+
+    Few links, by count, are one forest in one task; more go by stars until nothing changes.
+    """
     spark = links.sparkSession
     now, path = scratch.keep(contracted(links), "links")
     seen = _print(now)
-    while True:
+    few = seen[0] <= ONE_TASK
+    if few:
+        new, new_path = scratch.keep(contracted(now.coalesce(1)), "links")
+        scratch.drop(spark, path)
+        now, path = new, new_path
+    while not few:
         new, new_path = scratch.keep(_small(_large(now)), "links")
         found = _print(new)
         scratch.drop(spark, path)

@@ -7,13 +7,18 @@ places. The values of a place are as for MinHash, but the steps of a shingle are
 of one permutation, so places are negatively correlated and the estimate varies less.
 
 Documents with equal sets form a class first, so copies cost one row. Bands of the
-signature put classes into buckets. In a bucket a pivot of the smallest component is
-held against every member of another component; links are verified on the words of
-both texts; then components are taken anew, the pivot leaves, and buckets in which all
-that is left is one component are done. This goes on until none is left, so every pair
-of a bucket is either compared or already in one component: the same components as all
-pairs would give, without all pairs. At the threshold itself 40 bands of 5 places lose
-one link in 8 million.
+signature put classes into buckets. A bucket of few members has all pairs of different
+components compared, on the words of both texts. In a larger one each member is compared
+with the pivot P, the member that shares most buckets with others, the likely centre of
+a family of copies. What that leaves open shrinks by a lemma. Let x and z be in two
+components, x without a link to P. If they share no shingle outside P, then x & z is
+within x & P, so a link needs |x & P| >= share (|x| + |z| - |x & P|); as P fails that,
+z must be smaller than P. Pairs that pass this and its like for z are compared; all
+other links share a shingle outside P, so members go to new buckets by these shingles,
+where independent changes fall apart and only what was copied together stays together.
+This goes on until no bucket holds two components: the same components as all pairs
+would give, without all pairs of a group. At the threshold itself 40 bands of 5 places
+lose one link in 8 million.
 
 Defined results: null, empty and white texts have an empty set and no links, each being
 a component of its own; texts with fewer words than a shingle are one shingle; null ids
@@ -28,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +44,9 @@ from quarry.llm.op10_substring import FIRST_STEP, runs_hash
 
 BANDS, ROWS, PERCENT = 40, 5, 80
 BLOCK = 1 << 20
+#: Members of a bucket that are all compared with one another in the first round; four times as many in each later one,
+#: as what is left falls apart.
+FEW = 8
 FRACTION = np.uint64(48)
 SIGNED = "doc_id long, th long, n_shingles long, cls binary, bands array<long>"
 
@@ -122,34 +131,91 @@ def sign(docs: DataFrame, k: int, bands: int = BANDS, rows: int = ROWS) -> DataF
     return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, SIGNED)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of pairs (a, b) of classes those whose full sets overlap enough."""
-    spark = docs.sparkSession
+def _set_of(text: str, k: int) -> set:
+    w = W.LOWER[np.frombuffer(text.encode(), np.uint8)].tobytes().split()
+    return set(zip(*(w[i:] for i in range(k)), strict=False)) if len(w) >= k else {tuple(w)}
+
+
+def with_texts(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> tuple[DataFrame, str]:
+    """Pairs (a, b, star) of classes with a text of each (text, pivot); and the table of texts to drop later."""
     wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct().join(classes.select("cls", "rep"), "cls")
     wanted = wanted.select("cls", F.col("rep.doc_id").alias("r_doc"), F.col("rep.th").alias("r_th"))
     rows = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
     texts, path = scratch.keep(rows.join(wanted, rows.doc_id.eqNullSafe(wanted.r_doc) & (rows.th == wanted.r_th)).select("cls", "text").dropDuplicates(["cls"]), "texts")
+    met = pairs.join(texts.select(F.col("cls").alias("a"), "text"), "a").join(texts.select(F.col("cls").alias("b"), F.col("text").alias("pivot")), "b")
+    return met.select("a", "b", "star", "text", "pivot"), path
+
 
-    def set_of(text: str) -> set:
-        w = W.LOWER[np.frombuffer(text.encode(), np.uint8)].tobytes().split()
-        return set(zip(*(w[i:] for i in range(k)), strict=False)) if len(w) >= k else {tuple(w)}
+def compared(met: DataFrame, k: int, percent: int) -> DataFrame:
+    """Of pairs with texts: overlap and sizes of the full sets, whether that is a link, and for pairs with a
+    pivot (star) hashes of the shingles that a has outside it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, pivot = None, set()
         for batch in W.slices(batches, "text", BLOCK):
-            ok = []
-            for b, one, other in zip(batch.column("b").to_pylist(), batch.column("text").to_pylist(), batch.column("pivot").to_pylist(), strict=True):
+            rows = []
+            for b, star, one, other in zip(*(batch.column(c).to_pylist() for c in ("b", "star", "text", "pivot")), strict=True):
                 if b != last:
-                    last, pivot = b, set_of(other)
-                mine = set_of(one)
+                    last, pivot = b, _set_of(other, k)
+                mine = _set_of(one, k)
                 both = len(mine & pivot)
-                ok.append(100 * both >= percent * (len(mine) + len(pivot) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+                rest = [xxhash.xxh3_64_intdigest(b" ".join(x)) - (1 << 63) for x in mine - pivot] if star else None
+                rows.append((both, len(mine), len(pivot), 100 * both >= percent * (len(mine) + len(pivot) - both), rest))
+            both, n, b_n, link, rest = zip(*rows, strict=True) if rows else ([],) * 5
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b", "star")), *(pa.array(x, pa.int64()) for x in (both, n, b_n)), pa.array(link, pa.bool_()), pa.array(rest, pa.list_(pa.int64()))], ["a", "b", "star", "both", "n", "b_n", "link", "rest"])
 
-    met = pairs.join(texts.select(F.col("cls").alias("a"), "text"), "a").join(texts.select(F.col("cls").alias("b"), F.col("text").alias("pivot")), "b")
-    links, links_path = scratch.keep(met.select("a", "b", "text", "pivot").mapInArrow(run, "a binary, b binary"), "verified")
-    scratch.drop(spark, path)
-    return links, links_path
+    return met.mapInArrow(run, "a binary, b binary, star boolean, both long, n long, b_n long, link boolean, rest array<long>")
+
+
+def linked(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> tuple[DataFrame | None, list[str]]:
+    """(node, root) of all classes with a link; and the tables to drop later. See the module's text."""
+    spark = docs.sparkSession
+    placed = classes.select("cls", "n", F.explode("bands").alias("bucket"))
+    shared = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    left, left_path = scratch.keep(placed.join(shared, "bucket").withColumn("comp", F.col("cls")), "members")
+    roots, stars_path, odd, odd_path, most = None, [], None, [], FEW
+    tried, tried_paths = None, []
+    while True:
+        central = left.groupBy("cls").agg(F.sum("c").alias("score"))
+        sides = left.join(central, "cls").groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(F.struct(-F.col("score"), "cls")).alias("p")).filter("low <> high")
+        open_, open_path = scratch.keep(left.join(sides.select("bucket", F.col("p.cls").alias("pivot")), "bucket"), "open")
+        scratch.drop(spark, left_path)
+        few = open_.filter(F.col("c") <= most).select("bucket", F.col("cls").alias("a"), F.col("n").alias("a_n"), F.col("comp").alias("a_comp"))
+        other = few.toDF("bucket", "b", "b_n", "b_comp")
+        close = few.join(other, "bucket").filter(f"a < b AND a_comp <> b_comp AND 100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n)").select("a", "b", F.lit(False).alias("star"))
+        star = open_.filter(F.col("c") > most).filter("cls <> pivot").select(F.col("cls").alias("a"), F.col("pivot").alias("b"), F.lit(True).alias("star"))
+        close = close if odd is None else close.unionByName(odd)
+        close = close if tried is None else close.join(tried, ["a", "b"], "left_anti")
+        pairs, pairs_path = scratch.keep(close.unionByName(star).distinct(), "pairs")
+        scratch.drop(spark, open_path, *odd_path)
+        tried_paths.append(pairs_path)
+        if pairs.isEmpty():
+            scratch.drop(spark, *tried_paths)
+            return roots, stars_path
+        done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        tried = done if tried is None else tried.unionByName(done)
+        met, texts_path = with_texts(pairs, docs, classes)
+        seen, seen_path = scratch.keep(compared(met, k, percent), "compared")
+        scratch.drop(spark, texts_path)
+        links = seen.filter("link").select("a", "b")
+        known = links if roots is None else links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).filter("a <> b"))
+        roots, new_path = components(known)
+        scratch.drop(spark, *stars_path)
+        stars_path = [new_path]
+        named = seen.filter("star").join(roots.select(F.col("node").alias("a"), "root"), "a", "left").withColumn("comp", F.coalesce("root", "a"))
+        two = named.groupBy("b").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("b")
+        around, around_path = scratch.keep(named.join(two, "b").select("a", "b", "both", "n", "b_n", "link", "comp", "rest"), "around")
+        scratch.drop(spark, seen_path)
+        x = around.filter("NOT link").select("b", F.col("a").alias("x"), F.col("both").alias("x_both"), F.col("n").alias("x_n"), F.col("comp").alias("x_comp"))
+        z = around.filter("n < b_n").select("b", F.col("a").alias("z"), F.col("both").alias("z_both"), F.col("n").alias("z_n"), F.col("comp").alias("z_comp"))
+        bound = f"100 * least(x_both, z_both) >= {percent} * (x_n + z_n - least(x_both, z_both))"
+        odd, path = scratch.keep(x.join(z, "b").filter(f"x_comp <> z_comp AND {bound}").select(F.least("x", "z").alias("a"), F.greatest("x", "z").alias("b"), F.lit(False).alias("star")).distinct(), "odd")
+        odd_path = [path]
+        outside = around.select(F.col("a").alias("cls"), "n", "comp", "b", F.explode("rest").alias("one")).select("cls", "n", "comp", F.xxhash64("b", "one").alias("bucket"))
+        again = outside.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("bucket", "c")
+        left, left_path = scratch.keep(outside.join(again, "bucket"), "members")
+        scratch.drop(spark, around_path)
+        most *= 4
 
 
 def components_of(docs: DataFrame, k: int, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -158,28 +224,7 @@ def components_of(docs: DataFrame, k: int, percent: int = PERCENT, bands: int =
     signed, _ = scratch.keep(sign(docs, k, bands, rows), "signed")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
     classes, classes_path = scratch.keep(signed.filter("cls IS NOT NULL").groupBy("cls").agg(F.min(order).alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
-    placed = classes.select("cls", "n", F.explode("bands").alias("bucket"))
-    shared = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    left, left_path = scratch.keep(placed.join(shared.select("bucket"), "bucket").withColumn("comp", F.col("cls")), "members")
-    links, old, roots = None, [], None
-    while True:
-        sides = left.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("cls", "n")).alias("member"))
-        pivots = sides.groupBy("bucket").agg(F.min(F.struct("c", "member", "comp")).alias("p"), F.count(F.lit(1)).alias("sides")).filter("sides > 1").select("bucket", F.col("p.member.cls").alias("b"), F.col("p.member.n").alias("b_n"), F.col("p.comp").alias("b_comp"))
-        met, met_path = scratch.keep(left.join(pivots, "bucket"), "met")
-        pairs = met.filter(f"comp <> b_comp AND 100 * least(n, b_n) >= {percent} * greatest(n, b_n)").select(F.col("cls").alias("a"), "b").distinct()
-        pairs, pairs_path = scratch.keep(pairs, "pairs")
-        scratch.drop(spark, left_path)
-        if met.isEmpty():
-            scratch.drop(spark, met_path, pairs_path)
-            break
-        new, new_path = verified(pairs, docs, classes, k, percent)
-        links = new if links is None else links.unionByName(new)
-        old.append(new_path)
-        before, (roots, roots_path) = roots, components(links)
-        rest = met.filter("cls <> b").select("bucket", "cls", "n").join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").select("bucket", "cls", "n", F.coalesce("root", "cls").alias("comp"))
-        left, left_path = scratch.keep(rest, "members")
-        scratch.drop(spark, met_path, pairs_path, *(before and [last_path] or []))
-        last_path = roots_path
+    roots, paths = linked(docs, classes, k, percent)
     reps = classes.select("cls", F.col("rep.doc_id").alias("first"))
     if roots is None:
         named = reps.select("cls", F.col("first").alias("component_id"))
@@ -188,7 +233,7 @@ def components_of(docs: DataFrame, k: int, percent: int = PERCENT, bands: int =
         least = joined.filter("root IS NOT NULL").groupBy("root").agg(F.min("first").alias("least"))
         named = joined.join(least, "root", "left").select("cls", F.when(F.col("root").isNull(), F.col("first")).otherwise(F.col("least")).alias("component_id"))
     named, _ = scratch.keep(named, "named")
-    scratch.drop(spark, classes_path, *old, *([last_path] if roots is not None else []))
+    scratch.drop(spark, classes_path, *paths)
     out = signed.select("doc_id", "th", "n_shingles", "cls").join(named, "cls", "left")
     component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "th", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))

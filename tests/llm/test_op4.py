@@ -34,6 +34,25 @@ def test_random(spark):
     check(spark, list(enumerate(texts)))
 
 
+def test_large_families(spark):
+    """Families whose members differ by more and less than the threshold, with copies of copies."""
+    r = random.Random(9)
+    texts = []
+    for _ in range(3):
+        base = [f"w{r.randint(0, 300)}" for _ in range(80)]
+        family = [base]
+        for _ in range(70):
+            w = r.choice(family)[:] if r.random() < 0.4 else base[:]
+            for _ in range(r.randint(0, 9)):
+                w[r.randrange(len(w))] = f"x{r.randint(0, 10**6)}"
+            family.append(w[: len(w) - r.randint(0, 8)])
+        texts += [" ".join(w) for w in family]
+    r.shuffle(texts)
+    rows = list(enumerate(texts))
+    assert len({c for _, c in brute.near(rows, 2).values()}) > 20
+    check(spark, rows)
+
+
 def test_chain_of_links(spark):
     w = [f"w{i}" for i in range(400)]
     check(spark, [(100 - i, " ".join(w[10 * i : 10 * i + 100])) for i in range(30)])
