@@ -14,8 +14,10 @@ a family of copies. What that leaves open shrinks by a lemma. Let x and z be in
 components, x without a link to P. If they share no shingle outside P, then x & z is
 within x & P, so a link needs |x & P| >= share (|x| + |z| - |x & P|); as P fails that,
 z must be smaller than P. Pairs that pass this and its like for z are compared; all
-other links share a shingle outside P, so members go to new buckets by these shingles,
-where independent changes fall apart and only what was copied together stays together.
+other links share shingles outside P, and at least as many as the overlap that a link needs
+exceeds x & P. So members go to new buckets by these shingles, the rarest ones that must
+hold a shared one (a prefix filter), where independent changes fall apart and only what
+was copied together stays together.
 This goes on until no bucket holds two components: the same components as all pairs
 would give, without all pairs of a group. At the threshold itself 40 bands of 5 places
 lose one link in 8 million.
@@ -34,7 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm import bloom, scratch
@@ -44,7 +46,7 @@ from quarry.llm.op10_substring import FIRST_STEP, runs_hash
 
 BANDS, ROWS, PERCENT = 40, 5, 80
 BLOCK = 1 << 20
-#: Members of a bucket that are all compared with one another in the first round; four times as many in each later one,
+#: Members of a bucket that are all compared with one another in the first round; twice as many in each later one,
 #: as what is left falls apart.
 FEW = 8
 FRACTION = np.uint64(48)
@@ -172,22 +174,23 @@ def linked(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> tuple[D
     spark = docs.sparkSession
     placed = classes.select("cls", "n", F.explode("bands").alias("bucket"))
     shared = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    left, left_path = scratch.keep(placed.join(shared, "bucket").withColumn("comp", F.col("cls")), "members")
-    roots, stars_path, odd, odd_path, most = None, [], None, [], FEW
+    live = placed.join(shared, "bucket").withColumn("comp", F.col("cls"))
+    roots, stars_path, odd, drop_paths, most = None, [], None, [], FEW
     tried, tried_paths = None, []
     while True:
-        central = left.groupBy("cls").agg(F.sum("c").alias("score"))
-        sides = left.join(central, "cls").groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(F.struct(-F.col("score"), "cls")).alias("p")).filter("low <> high")
-        open_, open_path = scratch.keep(left.join(sides.select("bucket", F.col("p.cls").alias("pivot")), "bucket"), "open")
-        scratch.drop(spark, left_path)
-        few = open_.filter(F.col("c") <= most).select("bucket", F.col("cls").alias("a"), F.col("n").alias("a_n"), F.col("comp").alias("a_comp"))
+        live, live_path = scratch.keep(live.select("bucket", "cls", "n", "comp", "c"), "live")
+        scratch.drop(spark, *drop_paths)
+        few = live.filter(F.col("c") <= most).select("bucket", F.col("cls").alias("a"), F.col("n").alias("a_n"), F.col("comp").alias("a_comp"))
         other = few.toDF("bucket", "b", "b_n", "b_comp")
-        close = few.join(other, "bucket").filter(f"a < b AND a_comp <> b_comp AND 100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n)").select("a", "b", F.lit(False).alias("star"))
-        star = open_.filter(F.col("c") > most).filter("cls <> pivot").select(F.col("cls").alias("a"), F.col("pivot").alias("b"), F.lit(True).alias("star"))
-        close = close if odd is None else close.unionByName(odd)
+        close = few.join(other, "bucket").filter(f"a < b AND a_comp <> b_comp AND 100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n)").select("a", "b", F.lit(False).alias("star")).distinct()
+        many = live.filter(F.col("c") > most)
+        central = many.groupBy("cls").agg(F.sum("c").alias("score"))
+        pivots = many.join(central, "cls").groupBy("bucket").agg(F.min(F.struct(-F.col("score"), "cls")).alias("p")).select("bucket", F.col("p.cls").alias("b"))
+        star = many.join(pivots, "bucket").filter("cls <> b").select(F.col("cls").alias("a"), "b", F.lit(True).alias("star")).distinct()
+        close = close if odd is None else close.unionByName(odd).distinct()
         close = close if tried is None else close.join(tried, ["a", "b"], "left_anti")
-        pairs, pairs_path = scratch.keep(close.unionByName(star).distinct(), "pairs")
-        scratch.drop(spark, open_path, *odd_path)
+        pairs, pairs_path = scratch.keep(close.unionByName(star), "pairs")
+        scratch.drop(spark, live_path, *odd_path) if odd is not None else scratch.drop(spark, live_path)
         tried_paths.append(pairs_path)
         if pairs.isEmpty():
             scratch.drop(spark, *tried_paths)
@@ -211,11 +214,16 @@ def linked(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> tuple[D
         bound = f"100 * least(x_both, z_both) >= {percent} * (x_n + z_n - least(x_both, z_both))"
         odd, path = scratch.keep(x.join(z, "b").filter(f"x_comp <> z_comp AND {bound}").select(F.least("x", "z").alias("a"), F.greatest("x", "z").alias("b"), F.lit(False).alias("star")).distinct(), "odd")
         odd_path = [path]
-        outside = around.select(F.col("a").alias("cls"), "n", "comp", "b", F.explode("rest").alias("one")).select("cls", "n", "comp", F.xxhash64("b", "one").alias("bucket"))
-        again = outside.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("bucket", "c")
-        left, left_path = scratch.keep(outside.join(again, "bucket"), "members")
+        need = F.greatest(F.lit(1), F.ceil(F.col("n") * percent / 100).cast("long") - F.col("both"))  # shingles outside P that a link shares at least
+        outside = around.select(F.col("a").alias("cls"), "n", "comp", "b", (F.size("rest") - need + 1).alias("prefix"), F.explode("rest").alias("one"))
+        outside = outside.withColumn("bucket", F.xxhash64("b", "one")).drop("one")
+        rarest = Window.partitionBy("cls", "b").orderBy("often", "bucket")
+        first = outside.join(outside.groupBy("bucket").agg(F.count(F.lit(1)).alias("often")), "bucket").withColumn("place", F.row_number().over(rarest)).filter("place <= prefix AND often > 1")
+        left, left_path = scratch.keep(first.select("bucket", "cls", "n", "comp"), "left")
         scratch.drop(spark, around_path)
-        most *= 4
+        two = left.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("bucket", "c")
+        live, drop_paths = left.join(two, "bucket"), [left_path]
+        most *= 2
 
 
 def components_of(docs: DataFrame, k: int, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
