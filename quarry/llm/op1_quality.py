@@ -223,9 +223,14 @@ def estimate(texts: list[str | None], rules: tuple[Rule, ...] = RULES) -> list[E
 
 
 def plan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, rows: int = SAMPLE_ROWS) -> tuple[Rule, ...]:
-    """The rules by rejections per second on a sample of at most ``rows`` documents of the smallest id hashes."""
-    slim = docs.select("doc_id", F.substring("text", 1, SAMPLE_BYTES).alias("text"))
-    sample = [r.text for r in slim.orderBy(F.xxhash64("doc_id")).limit(rows).collect()]
+    """The rules by rejections per second on a sample of at most ``rows`` documents of the smallest id hashes.
+
+    Ids are chosen first, so no task sends texts that another task's smaller hashes displace.
+    """
+    place = F.xxhash64("doc_id")
+    chosen = [r.place for r in docs.select(place.alias("place")).orderBy("place").limit(rows).collect()]
+    text = F.substring("text", 1, SAMPLE_BYTES).alias("text")
+    sample = [r.text for r in docs.filter(place <= max(chosen, default=0)).select(text).limit(rows).collect()]
     by = {e.rule: e for e in estimate(sample, rules)}
     return tuple(sorted(rules, key=lambda r: (-by[r.name].rank, r.name)))
 
