@@ -8,7 +8,7 @@ of one permutation, so places are negatively correlated and the estimate varies
 
 Documents with equal sets form a class first, so copies cost one row. Bands of the
 signature put classes into buckets. A bucket of few members has all pairs of different
-components compared, on the words of both texts. In a larger one each member is compared
+components compared, on their full sets. In a larger one each member is compared
 with the pivot P, the member that shares most buckets with others, the likely centre of
 a family of copies. What that leaves open shrinks by a lemma. Let x and z be in two
 components, x without a link to P. If they share no shingle outside P, then x & z is
@@ -35,7 +35,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -49,6 +48,8 @@ BLOCK = 1 << 20
 #: Members of a bucket that are all compared with one another in the first round; twice as many in each later one,
 #: as what is left falls apart.
 FEW = 8
+#: Pairs of one pivot that a task compares in a run.
+RUN = 2000
 FRACTION = np.uint64(48)
 SIGNED = "doc_id long, th long, n_shingles long, cls binary, bands array<long>"
 
@@ -133,38 +134,56 @@ def sign(docs: DataFrame, k: int, bands: int = BANDS, rows: int = ROWS) -> DataF
     return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, SIGNED)
 
 
-def _set_of(text: str, k: int) -> set:
-    w = W.LOWER[np.frombuffer(text.encode(), np.uint8)].tobytes().split()
-    return set(zip(*(w[i:] for i in range(k)), strict=False)) if len(w) >= k else {tuple(w)}
-
-
-def with_texts(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> tuple[DataFrame, str]:
-    """Pairs (a, b, star) of classes with a text of each (text, pivot); and the table of texts to drop later."""
+def texts_of(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> tuple[DataFrame, str]:
+    """(cls, text) of the classes in pairs, and the table's path. Later rounds compare some of the same classes."""
     wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct().join(classes.select("cls", "rep"), "cls")
     wanted = wanted.select("cls", F.col("rep.doc_id").alias("r_doc"), F.col("rep.th").alias("r_th"))
     rows = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
-    texts, path = scratch.keep(rows.join(wanted, rows.doc_id.eqNullSafe(wanted.r_doc) & (rows.th == wanted.r_th)).select("cls", "text").dropDuplicates(["cls"]), "texts")
-    met = pairs.join(texts.select(F.col("cls").alias("a"), "text"), "a").join(texts.select(F.col("cls").alias("b"), F.col("text").alias("pivot")), "b")
-    return met.select("a", "b", "star", "text", "pivot"), path
+    return scratch.keep(rows.join(wanted, rows.doc_id.eqNullSafe(wanted.r_doc) & (rows.th == wanted.r_th)).select("cls", "text").dropDuplicates(["cls"]), "texts")
+
+
+def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b, star) with the text of a, each run of one b after a row of b's own text (a null there).
+
+    A pivot's pairs spread over runs of about RUN rows, so no task holds a hot pivot and its text is sent once a run.
+    """
+    size = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / RUN).alias("runs"))
+    parted = pairs.join(size, "b").withColumn("run", F.pmod(F.xxhash64("a"), "runs"))
+    heads = parted.select("b", "run").distinct().join(texts.withColumnRenamed("cls", "b"), "b")
+    rows = parted.join(texts.withColumnRenamed("cls", "a"), "a").select("a", "b", "run", "star", "text")
+    heads = heads.select(F.lit(None).cast("binary").alias("a"), "b", "run", F.lit(False).alias("star"), "text")
+    return rows.unionByName(heads).repartition("b", "run").sortWithinPartitions("b", "run", F.asc_nulls_first("a")).select("a", "b", "star", "text")
 
 
 def compared(met: DataFrame, k: int, percent: int) -> DataFrame:
     """Of pairs with texts: overlap and sizes of the full sets, whether that is a link, and for pairs with a
-    pivot (star) hashes of the shingles that a has outside it."""
+    pivot (star) hashes of the shingles that a has outside it. Sets are of the 64-bit hashes that n_shingles counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, pivot = None, set()
+        pivot = np.empty(0, np.uint64)
         for batch in W.slices(batches, "text", BLOCK):
-            rows = []
-            for b, star, one, other in zip(*(batch.column(c).to_pylist() for c in ("b", "star", "text", "pivot")), strict=True):
-                if b != last:
-                    last, pivot = b, _set_of(other, k)
-                mine = _set_of(one, k)
-                both = len(mine & pivot)
-                rest = [xxhash.xxh3_64_intdigest(b" ".join(x)) - (1 << 63) for x in mine - pivot] if star else None
-                rows.append((both, len(mine), len(pivot), 100 * both >= percent * (len(mine) + len(pivot) - both), rest))
-            both, n, b_n, link, rest = zip(*rows, strict=True) if rows else ([],) * 5
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b", "star")), *(pa.array(x, pa.int64()) for x in (both, n, b_n)), pa.array(link, pa.bool_()), pa.array(rest, pa.list_(pa.int64()))], ["a", "b", "star", "both", "n", "b_n", "link", "rest"])
+            rows = batch.num_rows
+            e, doc = shingles(W.of_column(batch.column("text"), lower=True), k)
+            cut = np.searchsorted(doc, np.arange(rows + 1))
+            head = batch.column("a").is_null().to_numpy(zero_copy_only=False)
+            bounds = np.unique(np.concatenate([[0], np.flatnonzero(head), [rows]]))
+            hit, b_n = np.zeros(len(e), bool), np.zeros(rows, np.int64)
+            for low, high in zip(bounds[:-1], bounds[1:], strict=True):
+                if head[low]:
+                    pivot = e[cut[low] : cut[low + 1]].copy()
+                mine = slice(cut[low], cut[high])
+                if len(pivot):
+                    at = np.minimum(np.searchsorted(pivot, e[mine]), len(pivot) - 1)
+                    hit[mine] = pivot[at] == e[mine]
+                b_n[low:high] = len(pivot)
+            n, both = np.diff(cut), np.bincount(doc[hit], minlength=rows)
+            link = 100 * both >= percent * (n + b_n - both)
+            star = batch.column("star").to_numpy(zero_copy_only=False)
+            out = ~hit & star[doc]
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(doc[out], minlength=rows))])
+            rest = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(W.signed(e[out])), mask=pa.array(~star))
+            full = pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b", "star")), pa.array(both, pa.int64()), pa.array(n, pa.int64()), pa.array(b_n), pa.array(link), rest], ["a", "b", "star", "both", "n", "b_n", "link", "rest"])
+            yield full.filter(pa.array(~head))
 
     return met.mapInArrow(run, "a binary, b binary, star boolean, both long, n long, b_n long, link boolean, rest array<long>")
 
@@ -176,7 +195,7 @@ def linked(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> tuple[D
     shared = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     live = placed.join(shared, "bucket").withColumn("comp", F.col("cls"))
     roots, stars_path, odd, drop_paths, most = None, [], None, [], FEW
-    tried, tried_paths = None, []
+    tried, tried_paths, texts, texts_path = None, [], None, []
     while True:
         live, live_path = scratch.keep(live.select("bucket", "cls", "n", "comp", "c"), "live")
         scratch.drop(spark, *drop_paths)
@@ -193,13 +212,14 @@ def linked(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> tuple[D
         scratch.drop(spark, live_path, *odd_path) if odd is not None else scratch.drop(spark, live_path)
         tried_paths.append(pairs_path)
         if pairs.isEmpty():
-            scratch.drop(spark, *tried_paths)
+            scratch.drop(spark, *tried_paths, *texts_path)
             return roots, stars_path
         done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         tried = done if tried is None else tried.unionByName(done)
-        met, texts_path = with_texts(pairs, docs, classes)
-        seen, seen_path = scratch.keep(compared(met, k, percent), "compared")
-        scratch.drop(spark, texts_path)
+        if texts is None:
+            texts, path = texts_of(pairs, docs, classes)
+            texts_path = [path]
+        seen, seen_path = scratch.keep(compared(with_texts(pairs, texts), k, percent), "compared")
         links = seen.filter("link").select("a", "b")
         known = links if roots is None else links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).filter("a <> b"))
         roots, new_path = components(known)
