@@ -137,9 +137,15 @@ def sign(docs: DataFrame, k: int, bands: int = BANDS, rows: int = ROWS) -> DataF
 def texts_of(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> tuple[DataFrame, str]:
     """(cls, text) of the classes in pairs, and the table's path. Later rounds compare some of the same classes."""
     wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct().join(classes.select("cls", "rep"), "cls")
-    wanted = wanted.select("cls", F.col("rep.doc_id").alias("r_doc"), F.col("rep.th").alias("r_th"))
-    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
-    return scratch.keep(rows.join(wanted, rows.doc_id.eqNullSafe(wanted.r_doc) & (rows.th == wanted.r_th)).select("cls", "text").dropDuplicates(["cls"]), "texts")
+    spark, identity = docs.sparkSession, lambda doc: F.xxhash64(F.coalesce(doc, F.lit(0)), "th")
+    wanted, path = scratch.keep(wanted.select("cls", F.col("rep.doc_id").alias("r_doc"), F.col("rep.th").alias("th")), "wanted")
+    filled = bloom.build(wanted.select(identity("r_doc").alias("row")), "row", wanted.count())
+    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), "text").withColumn("row", identity("doc_id"))
+    _, rows = bloom.parted(rows, "row", filled)  # a text that surely isn't wanted doesn't move
+    wanted = wanted.withColumnRenamed("th", "r_th")
+    out = scratch.keep(rows.join(wanted, rows.doc_id.eqNullSafe(wanted.r_doc) & (rows.th == wanted.r_th)).select("cls", "text").dropDuplicates(["cls"]), "texts")
+    scratch.drop(spark, path)
+    return out
 
 
 def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
