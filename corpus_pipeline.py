@@ -15,7 +15,8 @@ from quarry.llm import op1_quality, op2_bpe, op4_minhash, op5_decontaminate, op6
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return op1_quality.keep(docs)
+    rules = op1_quality.learned(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return op1_quality.keep(docs, op1_quality.plan(docs, rules))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,6 +6,12 @@ rejects, and orders the rules by rejections per second; ``apply`` then gives eac
 rule only what the rules before it left. The verdict is the conjunction of all
 rules, so it does not depend on the measured order.
 
+The flagged rule counts fixed English words and, for other abuse, beginnings of words
+that ``learned`` takes per language from a bounded sample of the labels table: those that
+mark toxic documents which the words so far miss, and hardly any clean document of any
+language. A language with fewer than ``LEAST_TOXIC`` labelled toxic documents in the
+sample gives none.
+
 Defined results: a null or empty text has no words and fails the base rule; equal
 rows get equal verdicts; an empty table gives an empty result; further columns of
 the input pass through, and one whose name an output column takes is replaced.
@@ -14,6 +20,7 @@ the input pass through, and one whose name an output column takes is replaced.
 from __future__ import annotations
 
 import time
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -26,6 +33,7 @@ from quarry.llm import words as W
 
 #: Words that mark abuse.
 FLAGGED = ("trash", "scum", "idiot", "clown", "worthless", "moron", "pathetic", "loser", "stupid", "disgusting")
+FLAGGED_BYTES = frozenset(w.encode() for w in FLAGGED)
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 ALPHA_UPPER = np.zeros(256, bool)
@@ -136,11 +144,18 @@ class Texts:
         return 100 * out // np.maximum(self["n_words"], 1)
 
     def _n_flagged(self) -> np.ndarray:
-        lowered = W.LOWER[self.data].tobytes()
-        if not any(w.encode() in lowered for w in FLAGGED):
-            return np.zeros(len(self), np.int64)
-        flagged = {w.encode() for w in FLAGGED}
-        return np.array([sum(w.strip(EDGE) in flagged for w in lowered[a:b].split()) for a, b in zip(self.offsets[:-1].tolist(), self.offsets[1:].tolist(), strict=True)], np.int64)
+        return self.n_marked(())
+
+    def n_marked(self, starts: tuple[bytes, ...]) -> np.ndarray:
+        """Words that are flagged or begin with one of ``starts``."""
+        lowered, marks = W.LOWER[self.data].tobytes(), (*FLAGGED_BYTES, *starts)
+        out = np.zeros(len(self), np.int64)
+        if any(m in lowered for m in marks):
+            for d, (a, b) in enumerate(zip(self.offsets[:-1].tolist(), self.offsets[1:].tolist(), strict=True)):
+                text = lowered[a:b]
+                if any(m in text for m in marks):
+                    out[d] = sum(w in FLAGGED_BYTES or w.startswith(starts) for w in (w.strip(EDGE) for w in text.split()))
+        return out
 
 
 @dataclass(frozen=True)
@@ -178,8 +193,12 @@ def one_word(t: Texts) -> np.ndarray:
     return t["top_share"] > 30
 
 
+def marks(t: Texts, n: np.ndarray) -> np.ndarray:
+    return (n >= 2) & (200 * n >= t["n_words"])
+
+
 def flagged(t: Texts) -> np.ndarray:
-    return (t["n_flagged"] >= 2) & (200 * t["n_flagged"] >= t["n_words"])
+    return marks(t, t["n_flagged"])
 
 
 RULES = (
@@ -192,6 +211,63 @@ RULES = (
     Rule("one_word", one_word),
     Rule("flagged", flagged),
 )
+#: Labelled documents, toxic and clean each, that flagged beginnings are taken from at most; toxic ones a language needs.
+LABELLED, LEAST_TOXIC = 3000, 10
+#: Characters of a beginning; the share of clean documents it may mark; the share of missed toxic ones it must.
+BEGIN, FALSE_SHARE, TRUE_SHARE = range(4, 9), 0.005, 0.1
+
+
+def beginnings(sample: list[tuple[str | None, bool, str]]) -> tuple[bytes, ...]:
+    """Beginnings of words that mark toxic documents, from (language, toxic, text); greedily, the most documents first."""
+    lowered = [(lang, toxic, [w.strip(EDGE) for w in W.LOWER[np.frombuffer(text.encode(), np.uint8)].tobytes().split()]) for lang, toxic, text in sample]
+    marked = lambda n, words: n >= 2 and 200 * n >= len(words)  # noqa: E731  (as in ``flagged``)
+    missed, clean = defaultdict(list), []
+    for lang, toxic, words in lowered:
+        if not toxic:
+            clean.append(words)
+        elif words:
+            missed[lang].append(words)
+    out: list[bytes] = []
+    for _, docs in sorted(missed.items(), key=lambda x: str(x[0])):
+        if len(docs) < LEAST_TOXIC:
+            continue
+        docs = [w for w in docs if not marked(sum(x in FLAGGED_BYTES for x in w), w)]
+        least = max(3, TRUE_SHARE * len(docs))
+
+        def hits(words: list[bytes], among: set[str] | None = None) -> set[str]:
+            n: Counter = Counter()
+            for w in words:
+                text = w.decode("utf-8", "ignore")
+                n.update(text[:k] for k in BEGIN if len(text) >= k and (among is None or text[:k] in among))
+            return {b for b, c in n.items() if marked(c, words)}
+
+        by_doc = [hits(w) for w in docs]
+        some = {b for b, c in Counter(x for h in by_doc for x in h).items() if c >= least}
+        false = Counter(x for w in clean for x in hits(w, some))
+        some = {b for b in some if false[b] <= FALSE_SHARE * len(clean)}
+        while some:
+            gain = Counter(x for h in by_doc for x in h & some)
+            best = max(some, key=lambda b: (gain[b] - false[b], len(b), b))
+            if gain[best] < least or gain[best] <= false[best]:
+                break
+            out.append(best.encode())
+            by_doc = [h for h in by_doc if best not in h]
+    return tuple(out)
+
+
+def learned(docs: DataFrame, labels: DataFrame, rows: int = LABELLED) -> tuple[Rule, ...]:
+    """The rules with the flagged beginnings of a sample: at most ``rows`` toxic and clean labels each of the smallest
+    id hashes, and at most ``SAMPLE_BYTES`` of each text. Ids go to the documents, so no text is shuffled."""
+    place = F.xxhash64("doc_id")
+    ids = [labels.filter(F.col("toxic") == t).select("doc_id", F.lit(bool(t)).alias("is_toxic")).distinct().orderBy(place, "doc_id").limit(rows) for t in (1, 0)]
+    lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
+    texts = docs.select("doc_id", lang.alias("lang"), F.substring("text", 1, SAMPLE_BYTES).alias("text")).filter("text IS NOT NULL")
+    chosen = texts.join(F.broadcast(ids[0].unionByName(ids[1])), "doc_id").limit(4 * rows).select("lang", "is_toxic", "text").collect()  # 2 * rows ids
+    starts = beginnings(sorted(map(tuple, chosen), key=str))
+    more = Rule("flagged", lambda t: marks(t, t.n_marked(starts)))
+    return tuple(more if r.name == "flagged" and starts else r for r in RULES)
+
+
 #: Documents, and bytes of text of each, that cost and selectivity are estimated on at most.
 SAMPLE_ROWS, SAMPLE_BYTES = 400, 20_000
 
@@ -283,4 +359,5 @@ def keep(docs: DataFrame, rules: tuple[Rule, ...] | None = None) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return report(docs, plan(docs, learned(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))))

@@ -56,3 +56,22 @@ def test_keep(spark):
     assert op.keep(df.limit(0)).count() == 0 and op.report(df.limit(0)).count() == 0
     assert {r.doc_id for r in op.keep(df).collect()} <= {1}
     assert op.report(df.union(df)).count() == 6
+
+
+def test_toxic_documents_in_other_languages(spark):
+    """Beginnings learned on one half of the labels, held against the other."""
+    at = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{at}/documents.parquet"), spark.read.parquet(f"{at}/labels.parquet")
+    rules = op.learned(docs, labels.filter("doc_id % 2 = 0"))
+    got = op.report(docs, rules).join(labels.filter("doc_id % 2 = 1"), "doc_id").join(docs.select("doc_id", "lang"), "doc_id").toPandas()
+    t = op.Texts.of(pa.array(docs.join(labels, "doc_id").filter("doc_id % 2 = 1").orderBy("doc_id").toPandas().text))
+    got = got.sort_values("doc_id").assign(flagged=next(r for r in rules if r.name == "flagged").rejects(t))
+    for lang, part in got.groupby("lang"):
+        toxic, clean = part[part.toxic == 1], part[part.toxic == 0]
+        print(lang, len(toxic), toxic.flagged.sum(), toxic.kept.sum(), len(clean), clean.flagged.sum())
+        assert toxic.flagged.mean() > 0.8 and clean.flagged.mean() < 0.02
+
+
+def test_few_labels_teach_nothing():
+    assert op.beginnings([("fr", True, "réeuxpa réeuxle")] * 9 + [("fr", False, "les eau")]) == ()
+    assert op.beginnings([("fr", True, "réeuxpa réeuxle")] * 10 + [("fr", False, "les eau")]) != ()
