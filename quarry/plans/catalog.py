@@ -389,8 +389,10 @@ def _(f):
 
 @query("extract_facts")
 def _(f):
+    # the driver's documents are prose, which states no facts; two short sources go through the same rules
     sample = [("a.go", "go", 'package a\nimport "fmt"\nfunc Run() {\n\tfmt.Println(x)\n\thelp(1)\n}'), ("b.py", "python", "import os\nclass A(B):\n    def go(self):\n        os.path.join(1)\n")]
-    return extract.facts(f.spark.createDataFrame(sample, "path string, language string, content string"))
+    files = f.f_file.select("path", text.language(F.col("path")).alias("language"), "content")
+    return extract.facts(files.unionByName(f.spark.createDataFrame(sample, "path string, language string, content string")))
 
 
 @query("running_totals", "SELECT event_id, user_id, CAST(SUM(CAST(FLOOR(value) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total, LAG(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events")

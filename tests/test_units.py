@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import text
+from quarry import registry
 from quarry.operators import chat, delta, edges, extract, graph, jobs, lexical, scope
 from quarry.plans import question, search, terms
 from quarry.streaming import leases
@@ -125,3 +126,14 @@ def test_stream_counts(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("SELECT SUM(n) FROM counted").first()[0] == src.count()
+
+
+def test_extract_facts_reads_every_file(spark, tmp_path):
+    texts = ['import "fmt"\nfunc Run() {\n\tfmt.Println(1)\n}', "from a.b import c\nclass D(E):\n    def f(self):\n        return g(1)", "import x from 'y'\nfunction f() {\n  g(1)\n}", "def not_code():\n    g(1)"]
+    rows = [(i, texts[i % 4] if i != 9 else None, "en", "src1", 5) for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in registry.queries()["extract_facts"](spark, str(tmp_path)).collect() if r.path not in ("a.go", "b.py"))
+    folder = lambda i: "vendor/" if i % 11 == 0 else "tests/" if i % 7 == 0 else "src/"
+    kinds = (("go", ".go"), ("python", ".py"), ("typescript", ".ts"))
+    want = [x for i, t, *_ in rows if t and i % 4 < 3 for x in extract.facts_of(f"{folder(i)}en/d{i}{kinds[i % 4][1]}", kinds[i % 4][0], t)]
+    assert got == sorted(want) and len(want) > 80
