@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text
@@ -35,12 +35,15 @@ def read(files: DataFrame, repo: str, path: str, offset: int = 1, limit: int = M
     return lines(files.filter((F.col("repo_name") == repo) & (F.col("path") == path))).filter(F.col("line").between(offset, offset + limit - 1))
 
 
-def tree(files: DataFrame, depth: int, most: int = 1000) -> DataFrame:
-    """Folders and files down to a depth, in case-folded order."""
+def tree(files: DataFrame, depth: int, most: int | None = 1000) -> DataFrame:
+    """Folders and files down to a depth, in case-folded order; of each repository the first ``most``, all if None."""
     parts = F.split("path", "/")
     entries = files.select("repo_name", parts.alias("parts")).withColumn("n", F.explode(F.sequence(F.lit(1), F.least(F.size("parts"), F.lit(depth)))))
     entries = entries.select("repo_name", F.array_join(F.slice("parts", 1, F.col("n")), "/").alias("entry"), (F.col("n") == F.size("parts")).alias("is_file"), "n").distinct()
-    return entries.orderBy("repo_name", F.lower("entry"), "entry").limit(most)
+    if most is not None:
+        place = F.row_number().over(Window.partitionBy("repo_name").orderBy(F.lower("entry"), "entry", "is_file"))
+        entries = entries.withColumn("place", place).filter(F.col("place") <= most).drop("place")
+    return entries.orderBy("repo_name", F.lower("entry"), "entry")
 
 
 def in_branches(files: DataFrame, pairs: DataFrame) -> DataFrame:

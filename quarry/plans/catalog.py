@@ -338,7 +338,7 @@ def _(f):
 
 @query("list_tree", "SELECT DISTINCT repo_name, array_to_string(string_split(path, '/')[1:n], '/') AS entry, n = len(string_split(path, '/')) AS is_file, CAST(n AS INT) AS n FROM (SELECT repo_name, path, UNNEST(range(1, LEAST(len(string_split(path, '/')), 2) + 1)) AS n FROM f_file) x")
 def _(f):
-    return lexical.tree(f.f_file, 2, 10_000)
+    return lexical.tree(f.f_file, 2, None)
 
 
 @query("search_query", "SELECT repo_name, branch, path FROM f_file WHERE branch = 'main' AND ((lang = 'de' AND regexp_matches(path, '[.]go$') AND NOT regexp_matches(content, 'keit')) OR (repo_name IN ('src1', 'src2') AND regexp_matches(content, 'http')))")

@@ -137,3 +137,10 @@ def test_extract_facts_reads_every_file(spark, tmp_path):
     kinds = (("go", ".go"), ("python", ".py"), ("typescript", ".ts"))
     want = [x for i, t, *_ in rows if t and i % 4 < 3 for x in extract.facts_of(f"{folder(i)}en/d{i}{kinds[i % 4][1]}", kinds[i % 4][0], t)]
     assert got == sorted(want) and len(want) > 80
+
+
+def test_tree_limits_each_repository(spark):
+    files = spark.createDataFrame([(f"r{r}", f"{c}/x.py") for r in range(3) for c in "Bac"], "repo_name string, path string")
+    got = [(x.repo_name, x.entry) for x in lexical.tree(files, 2, 3).collect()]
+    assert got == [(f"r{r}", e) for r in range(3) for e in ("a", "a/x.py", "B")]
+    assert lexical.tree(files, 2, None).count() == 18
