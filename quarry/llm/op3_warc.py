@@ -1,17 +1,21 @@
 """Legacy ARC archives, converted to WARC.
 
 An ARC file starts with a version block, whose first line ends in the length of the
-rest and whose second names the version. Version 1 record lines have five fields,
-version 2 lines ten; the last field is the declared length of the block that follows,
-the first the URL, and blank lines may stand between records. The converter reads
-blocks by their declared length alone, and synthesises what WARC needs: identifiers,
-ISO dates, record types, payload digests, and for payloads that came before a revisit
-record that refers to the first of them.
+rest, whose second names the version and whose third names the fields of a record line:
+five in version 1, ten in version 2. The last field is the declared length of the block
+that follows, the first the URL, and blank lines may stand between records. A line is
+split from its end, as old crawlers left spaces in URLs. The converter reads blocks by
+their declared length alone, and synthesises what WARC needs: a warcinfo record for each
+file, identifiers, ISO dates, record types and content types (HTTP messages are
+responses, other blocks, such as those of dns: URLs, are resources of the type that ARC
+gives), addresses, payload and block digests, and for payloads that came before a
+revisit record that refers to the first of them.
 
 Archives are written by Spark's text writer, one record a row with the record's end as
 line separator, and read as whole binary files, so both work in any store that Spark
 knows. Gzip members are inflated as a stream: memory holds the compressed file and one
-record. An archive file is as large as the partition it came from.
+record. An archive file is as large as the partition it came from; one of more than 2 GB
+can't be read, as it is one binary value (ARC files have some 100 MB by custom).
 
 Identifiers carry the record's key (the ``X-Archive-Key`` header of the block) as a
 custom (version 8) UUID, or a hash of file and offset where there is none. So what a
@@ -20,7 +24,9 @@ revisit refers to is known without a join.
 Defined results: a null html is an empty payload; empty payloads equal one another; a
 null url is ``-``; rows with a null page_id come last among equals, in the order of
 their place, and keep a null page_id; of repeated rows one is the response; an empty
-table gives an empty result; other columns are not read.
+table gives an empty result; other columns are not read. In an archive, lines that are
+no record line are passed over up to the next that is one, and a record that the end of
+the file cuts off is left out.
 """
 
 from __future__ import annotations
@@ -39,8 +45,9 @@ from quarry.llm import scratch
 #: The two forms of an ARC record line, and a WARC profile.
 ARC1 = "URL IP-address Archive-date Content-type Archive-length"
 ARC2 = "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"
+NO_ADDRESS = (None, "", "-", "0.0.0.0")
 REVISIT = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
-FIELDS = {1: 5, 2: 10}
+FIELDS, HTTP = {1: 5, 2: 10}, "application/http; msgtype=response"
 KEY = b"x-archive-key:"
 EPOCH = 820_454_400  # 1996-01-01
 BATCH_BYTES = 4 << 20
@@ -114,25 +121,29 @@ def header_value(head: bytes, name: bytes) -> str | None:
     return None
 
 
+def record_line(line: bytes, fields: int) -> list[str] | None:
+    """The fields of a record line, split from its end; None if it is none."""
+    parts = line.decode("utf-8", "replace").rsplit(" ", fields - 1)
+    if len(parts) != fields or ":" not in parts[0] and parts[0] != "-" and fields != len(line.split(b" ")):
+        return None
+    return parts if parts[-1].isdigit() else None
+
+
 def arc_records(content: bytes) -> Iterator[tuple[int, list[str], bytes]]:
     """Offset, fields and block of each record of an ARC file, version block excepted."""
-    stream, fields = Stream(content), 0
-    while True:
-        offset = stream.offset
-        if (line := stream.line()) is None:
-            return
-        if not line.strip():
-            continue
-        parts = line.decode("utf-8", "replace").split(" ")
-        if line.startswith(b"filedesc:"):
-            version = int(stream.take(int(parts[-1])).split(b" ", 1)[0])
-            if version not in FIELDS:
-                raise ValueError(f"ARC version {version} is not known")
-            fields = FIELDS[version]
-            continue
-        if len(parts) != fields:
-            raise ValueError(f"an ARC record line has {len(parts)} fields, not {fields}, at {offset}")
-        yield offset, parts, stream.take(int(parts[-1]))
+    stream, fields = Stream(content), FIELDS[1]
+    try:
+        while (line := stream.line()) is not None:
+            offset = stream.offset
+            if line.startswith(b"filedesc:") and (size := line.rsplit(b" ", 1)[-1]).isdigit():
+                lines = stream.take(int(size)).split(b"\n")
+                version = lines[0].split(b" ", 1)[0]
+                named = len(lines[1].split()) if len(lines) > 1 else 0
+                fields = named if named >= 3 else FIELDS.get(int(version) if version.isdigit() else 1, FIELDS[1])
+            elif line.strip() and (parts := record_line(line, fields)):
+                yield offset, parts, stream.take(int(parts[-1]))
+    except EOFError:
+        return
 
 
 def record_id(key: int | None, file: str, offset: int) -> str:
@@ -156,12 +167,26 @@ def iso(date: str) -> str:
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
 
 
-def warc_record(kind: str, url: str, date: str, identifier: str, payload_digest: str, block: bytes, refers_to: str | None = None) -> bytes:
+def sha1(block: bytes) -> str:
+    return f"sha1:{digest(block)}"
+
+
+def warc_record(kind: str, url: str, date: str, identifier: str, payload_digest: str, block: bytes, refers_to: str | None = None, content_type: str = HTTP, ip: str | None = None) -> bytes:
     """A record without the two line ends that close it."""
-    head = ["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Target-URI: {url}", f"WARC-Date: {iso(date)}", f"WARC-Record-ID: {identifier}", f"WARC-Payload-Digest: sha1:{payload_digest}"]
+    head = ["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Target-URI: {url}", f"WARC-Date: {iso(date)}", f"WARC-Record-ID: {identifier}", f"WARC-Payload-Digest: sha1:{payload_digest}", f"WARC-Block-Digest: {sha1(block)}"]
+    if ip not in NO_ADDRESS:
+        head.append(f"WARC-IP-Address: {ip}")
     if refers_to:
         head += [f"WARC-Refers-To: {refers_to}", f"WARC-Profile: {REVISIT}"]
-    head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}", "", ""]
+    head += [f"Content-Type: {content_type}", f"Content-Length: {len(block)}", "", ""]
+    return "\r\n".join(head).encode() + block
+
+
+def warcinfo(date: str, first: str) -> bytes:
+    """The record that opens a file whose first record's identifier is ``first``."""
+    block = b"software: quarry\r\nformat: WARC File Format 1.0\r\n"
+    name = hashlib.sha256(first.encode()).hexdigest()
+    head = ["WARC/1.0", "WARC-Type: warcinfo", f"WARC-Date: {iso(date)}", f"WARC-Record-ID: <urn:uuid:{name[:8]}-{name[8:12]}-5{name[12:15]}-9{name[15:18]}-{name[18:30]}>", f"WARC-Block-Digest: {sha1(block)}", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}", "", ""]
     return "\r\n".join(head).encode() + block
 
 
@@ -249,31 +274,41 @@ def convert(spark: SparkSession, arc: str, warc: str) -> None:
     again, path = scratch.keep(seen.filter("n > 1").select("payload_digest", F.col("first.key").alias("first_key"), F.col("first.file").alias("first_file"), F.col("first.offset").alias("first_offset")), "arc-again")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened = False
         for batch in batches:
             out = []
             for r in batch.to_pylist():
                 identifier, block = record_id(r["key"], r["file"], r["offset"]), r["block"]
+                if not opened:
+                    out.append(warcinfo(r["date"], identifier))
+                    opened = True
                 revisit = r["first_file"] is not None and (r["first_file"], r["first_offset"]) != (r["file"], r["offset"])
                 refers_to = record_id(r["first_key"], r["first_file"], r["first_offset"]) if revisit else None
-                out.append(warc_record("revisit" if revisit else "response", r["url"], r["date"], identifier, r["payload_digest"], block[: r["body"]] if revisit else block, refers_to))
+                http = block.startswith(b"HTTP/")
+                kind = "revisit" if revisit else "response" if http else "resource"
+                if revisit:
+                    block = block[: r["body"]]
+                out.append(warc_record(kind, r["url"], r["date"], identifier, r["payload_digest"], block, refers_to, HTTP if http else r["mime"], r["ip"]))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
-    records = read_arc(spark, arc).select("file", "offset", "url", "date", "key", "block", "body", "payload_digest").join(again, "payload_digest", "left")
+    records = read_arc(spark, arc).select("file", "offset", "url", "ip", "date", "mime", "key", "block", "body", "payload_digest").join(again, "payload_digest", "left")
     _write(records.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value")), warc, "\r\n\r\n")
     scratch.drop(spark, path)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The records of a folder of WARC files; payloads of responses are held against their digests."""
+    """The records of a folder of WARC files; payloads of responses and resources are held against their digests."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 rows = []
                 for head, block in warc_records(batch.column("content")[i].as_py()):
+                    if head["warc-type"] == "warcinfo":
+                        continue
                     body, said = body_of(block), head["warc-payload-digest"].removeprefix("sha1:")
                     size = len(block) - body
-                    if head["warc-type"] == "response":
+                    if head["warc-type"] != "revisit":
                         if digest(block[body:]) != said:
                             raise ValueError(f"the payload of {head['warc-record-id']} is not what its digest says")
                     else:

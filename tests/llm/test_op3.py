@@ -65,11 +65,34 @@ def test_versions_and_members(version):
     assert op3_warc.iso("19990203040506") == "1999-02-03T04:05:06Z" and op3_warc.iso("1999") == "1999-01-01T00:00:00Z"
 
 
-def test_wrong_archives():
-    with pytest.raises(ValueError):
-        list(op3_warc.arc_records(b"filedesc://f 0 0 t 4\n9 0\n"))
-    with pytest.raises(EOFError):
-        list(op3_warc.arc_records(b"filedesc://f 0 0 t 4\n1 0\n\nu i d t 99\nshort"))
+OPENING = b"filedesc://f 0.0.0.0 19990101000000 text/plain 4\n1 0\n\n"
+
+
+def test_malformed_archives():
+    good = b"http://x 1.2.3.4 19990203040506 text/html 2\nab\n"
+    records = lambda content: [(f[0], b) for _, f, b in op3_warc.arc_records(content)]
+    assert records(OPENING + b"http://x/a b 1.2.3.4 19990203040506 text/html 2\nab\n" + good) == [("http://x/a b", b"ab"), ("http://x", b"ab")]
+    assert records(OPENING + b"not a record line\nhttp://y 1.2.3.4 19990203040506 text/html two\n" + good) == [("http://x", b"ab")]
+    assert records(OPENING + good + b"http://z 1.2.3.4 19990203040506 text/html 99\nshort") == [("http://x", b"ab")]
+    assert records(b"filedesc://f 0 0 t 36\n9 0\nURL IP Date Type Length Unknown\n\nu: i d t l 2\nab") == [("u:", b"ab")]
+    assert records(b"") == [] and records(b"\n\n") == []
+
+
+def test_types_addresses_and_digests(spark, tmp_path):
+    dns, page = b"20060301 example 127.0.0.1\n", b"HTTP/1.0 200 OK\r\n\r\nhi"
+    rows = [(b"dns:example.org", b"text/dns", dns), (b"http://e.org/", b"text/html", page), (b"http://e.org/b", b"text/html", page)]
+    content = OPENING + b"".join(u + b" 5.6.7.8 20060301000000 " + m + b" " + str(len(b)).encode() + b"\n" + b + b"\n" for u, m, b in rows)
+    arc, warc = tmp_path / "arc", tmp_path / "warc"
+    arc.mkdir()
+    (arc / "part-0.arc").write_bytes(content)
+    op3_warc.convert(spark, str(arc), str(warc))
+    found = [x for f in warc.glob("part-*") for x in op3_warc.warc_records(f.read_bytes())]
+    assert [h["warc-type"] for h, _ in found].count("warcinfo") == len([f for f in warc.glob("part-*") if op3_warc.Stream(f.read_bytes()).line()])
+    by = {h.get("warc-target-uri"): (h, b) for h, b in found}
+    assert by["dns:example.org"][0]["warc-type"] == "resource" and by["dns:example.org"][0]["content-type"] == "text/dns" and by["dns:example.org"][1] == dns
+    assert {by[u][0]["warc-type"] for u in ("http://e.org/", "http://e.org/b")} == {"response", "revisit"}
+    assert by["http://e.org/"][0]["warc-ip-address"] == "5.6.7.8" and by["http://e.org/"][0]["content-type"] == op3_warc.HTTP
+    assert all(h["warc-block-digest"] == op3_warc.sha1(b) for h, b in found)
 
 
 @pytest.mark.parametrize("key", [0, 1, -1, 2**63 - 1, -(2**63), 123456789012])
