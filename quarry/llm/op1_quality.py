@@ -1,10 +1,13 @@
 """Quality rules as a short-circuit cascade.
 
-Each rule is a cheap or dear test that can reject a document. ``plan`` runs every
-rule over a bounded sample, takes its seconds a document and the share that it
-rejects, and orders the rules by rejections per second; ``apply`` then gives each
-rule only what the rules before it left. The verdict is the conjunction of all
-rules, so it does not depend on the measured order.
+Each rule is a cheap or dear test that can reject a document. ``plan`` runs every rule
+over a bounded sample of documents, whole and where they lie. Rules share features
+(words, their hashes, lines); the plan takes the seconds of each feature and of each rule
+beyond its features, and which documents each rule rejects. It then chooses the rules
+one after another: next is the one that rejects most of what is left per second that it
+adds, as features that an earlier rule needs are there already. ``cascade`` gives each
+rule only what the rules before it left. The verdict is the conjunction of all rules, so
+it does not depend on the measured order.
 
 The flagged rule counts fixed English words and, for other abuse, beginnings of words
 that ``learned`` takes per language from a bounded sample of the labels table: those that
@@ -12,17 +15,20 @@ mark toxic documents which the words so far miss, and hardly any clean document
 language. A language with fewer than ``LEAST_TOXIC`` labelled toxic documents in the
 sample gives none.
 
-Defined results: a null or empty text has no words and fails the base rule; equal
-rows get equal verdicts; an empty table gives an empty result; further columns of
-the input pass through, and one whose name an output column takes is replaced.
+Defined results: a null or empty text has no words and fails the base rule; null ids
+stay null; equal rows get equal verdicts; a very long text is read whole, as a batch of
+its own; an empty table gives an empty result, and rules in their given order; in
+``keep`` all columns of the input pass through, else other columns are not read.
 """
 
 from __future__ import annotations
 
+import json
 import time
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -44,33 +50,72 @@ EDGE = b".,;:!?\"'()[]"
 
 
 class Texts:
-    """Some documents, with each feature computed once when a rule asks for it."""
+    """Some documents, with each feature computed once when a rule asks for it.
+
+    ``spent`` takes the seconds of each feature less those of the features that it asks
+    for, ``needs`` these features, with theirs.
+    """
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        self.data, self.offsets, self.words = data, offsets, W.split(data, offsets)
+        self.data, self.offsets = data, offsets
         self._have: dict[str, np.ndarray] = {}
+        self._words: dict[str, W.Words | np.ndarray] = {}
+        self.spent: Counter = Counter()
+        self.needs: dict[str, set[str]] = defaultdict(set)
+        self._open: list[str] = []
 
     @classmethod
     def of(cls, column: pa.Array) -> Texts:
         return cls(*W.buffers(column))
 
     def take(self, rows: np.ndarray) -> Texts:
-        """The documents at these places, with the features that are there already."""
+        """The documents at these places, with the features, words and hashes that are there already."""
         lengths = np.diff(self.offsets)
         if len(rows) == len(lengths):
             return self
         parts = [self.data[self.offsets[r] : self.offsets[r + 1]] for r in rows]
         out = Texts(np.concatenate(parts) if parts else self.data[:0], np.concatenate([[0], np.cumsum(lengths[rows])]))
         out._have = {k: v[rows] for k, v in self._have.items()}
+        if "words" in self._words:
+            w = self._words["words"]
+            n = w.counts[rows]
+            bounds = np.concatenate([[0], np.cumsum(n)])
+            which = np.arange(bounds[-1]) - np.repeat(bounds[:-1] - w.bounds[rows], n)
+            shift = np.repeat(out.offsets[:-1] - self.offsets[rows], n)
+            out._words["words"] = W.Words(out.data, out.offsets, w.starts[which] + shift, w.ends[which] + shift, bounds)
+            if "hashes" in self._words:
+                out._words["hashes"] = self._words["hashes"][which]
         return out
 
     def __len__(self) -> int:
         return len(self.offsets) - 1
 
+    def timed(self, name: str, make: Callable[[], np.ndarray]) -> np.ndarray:
+        """What ``make`` gives, its seconds added to ``name``."""
+        self._open.append(name)
+        before, began = self.spent.total(), time.perf_counter()
+        out = make()
+        self.spent[name] += time.perf_counter() - began - (self.spent.total() - before)
+        self._open.pop()
+        return out
+
+    def _feature(self, table: dict, name: str, make: Callable):
+        if name not in table:
+            table[name] = self.timed(name, make)
+        if self._open:
+            self.needs[self._open[-1]] |= {name, *self.needs[name]}
+        return table[name]
+
     def __getitem__(self, name: str) -> np.ndarray:
-        if name not in self._have:
-            self._have[name] = getattr(self, f"_{name}")()
-        return self._have[name]
+        return self._feature(self._have, name, getattr(self, f"_{name}"))
+
+    @property
+    def words(self) -> W.Words:
+        return self._feature(self._words, "words", lambda: W.split(self.data, self.offsets))
+
+    @property
+    def hashes(self) -> np.ndarray:
+        return self._feature(self._words, "hashes", lambda: self.words.hashes())
 
     def _per_doc(self, flags: np.ndarray) -> np.ndarray:
         return np.diff(np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])[self.offsets])
@@ -98,21 +143,17 @@ class Texts:
             repeated.append(len(lines) - len(set(lines)))
         return np.array(n, np.int64), np.array(repeated, np.int64)
 
+    def _line_counts(self) -> np.ndarray:
+        return np.stack(self._lines(), axis=1)
+
     def _n_lines(self) -> np.ndarray:
-        self._have["n_lines"], self._have["n_dup_lines"] = self._lines()
-        return self._have["n_lines"]
+        return self["line_counts"][:, 0]
 
     def _n_dup_lines(self) -> np.ndarray:
-        self._n_lines()
-        return self._have["n_dup_lines"]
-
-    def _word_hash(self) -> np.ndarray:
-        if not hasattr(self, "hashes"):
-            self.hashes = self.words.hashes()
-        return self.hashes
+        return self["line_counts"][:, 1]
 
     def _n_repeat_words(self, k: int = 8) -> np.ndarray:
-        h = self._word_hash()
+        h = self.hashes
         first, doc = self.words.window_doc(k)
         out = np.zeros(len(self), np.int64)
         if not len(first):
@@ -134,7 +175,7 @@ class Texts:
 
     def _top_share(self) -> np.ndarray:
         """Words that are the document's commonest word, in hundredths."""
-        h, doc = self._word_hash(), self.words.doc
+        h, doc = self.hashes, self.words.doc
         out = np.zeros(len(self), np.int64)
         if len(h):
             order = np.lexsort((h, doc))
@@ -162,7 +203,6 @@ class Texts:
 class Rule:
     name: str
     rejects: Callable[[Texts], np.ndarray] = field(compare=False)
-    base: bool = False
 
 
 def base_words(t: Texts) -> np.ndarray:
@@ -202,8 +242,8 @@ def flagged(t: Texts) -> np.ndarray:
 
 
 RULES = (
-    Rule("base_words", base_words, True),
-    Rule("base_repeats", base_repeats, True),
+    Rule("base_words", base_words),
+    Rule("base_repeats", base_repeats),
     Rule("symbols", symbols),
     Rule("word_length", word_length),
     Rule("shouting", shouting),
@@ -217,33 +257,38 @@ LABELLED, LEAST_TOXIC = 3000, 10
 BEGIN, FALSE_SHARE, TRUE_SHARE = range(4, 9), 0.005, 0.1
 
 
-def beginnings(sample: list[tuple[str | None, bool, str]]) -> tuple[bytes, ...]:
-    """Beginnings of words that mark toxic documents, from (language, toxic, text); greedily, the most documents first."""
-    lowered = [(lang, toxic, [w.strip(EDGE) for w in W.LOWER[np.frombuffer(text.encode(), np.uint8)].tobytes().split()]) for lang, toxic, text in sample]
-    marked = lambda n, words: n >= 2 and 200 * n >= len(words)  # noqa: E731  (as in ``flagged``)
-    missed, clean = defaultdict(list), []
-    for lang, toxic, words in lowered:
+def is_marked(n: int, words: int) -> bool:
+    """As ``marks``, for one document."""
+    return n >= 2 and 200 * n >= words
+
+
+def marking(text: str) -> tuple[bool, list[str]]:
+    """Whether the fixed words flag a text, and the beginnings that would; as many as a text can have."""
+    words = [w.strip(EDGE) for w in W.LOWER[np.frombuffer(text.encode(), np.uint8)].tobytes().split()]
+    n: Counter = Counter()
+    for w in words:
+        one = w.decode("utf-8", "ignore")
+        n.update(one[:k] for k in BEGIN if len(one) >= k)
+    return is_marked(sum(x in FLAGGED_BYTES for x in words), len(words)), sorted(b for b, c in n.items() if is_marked(c, len(words)))
+
+
+def beginnings(sample: list[tuple[str | None, bool, bool, list[str]]]) -> tuple[bytes, ...]:
+    """Beginnings of words that mark toxic documents, from (language, toxic, *``marking``); greedily, the most documents first."""
+    missed, clean, toxic_of = defaultdict(list), [], Counter()
+    for lang, toxic, flagged_, hits in sample:
         if not toxic:
-            clean.append(words)
-        elif words:
-            missed[lang].append(words)
+            clean.append(set(hits))
+        else:
+            toxic_of[lang] += 1
+            if not flagged_:
+                missed[lang].append(set(hits))
     out: list[bytes] = []
-    for _, docs in sorted(missed.items(), key=lambda x: str(x[0])):
-        if len(docs) < LEAST_TOXIC:
+    for lang, by_doc in sorted(missed.items(), key=lambda x: str(x[0])):
+        if toxic_of[lang] < LEAST_TOXIC:
             continue
-        docs = [w for w in docs if not marked(sum(x in FLAGGED_BYTES for x in w), w)]
-        least = max(3, TRUE_SHARE * len(docs))
-
-        def hits(words: list[bytes], among: set[str] | None = None) -> set[str]:
-            n: Counter = Counter()
-            for w in words:
-                text = w.decode("utf-8", "ignore")
-                n.update(text[:k] for k in BEGIN if len(text) >= k and (among is None or text[:k] in among))
-            return {b for b, c in n.items() if marked(c, words)}
-
-        by_doc = [hits(w) for w in docs]
+        least = max(3, TRUE_SHARE * len(by_doc))
         some = {b for b, c in Counter(x for h in by_doc for x in h).items() if c >= least}
-        false = Counter(x for w in clean for x in hits(w, some))
+        false = Counter(x for h in clean for x in h & some)
         some = {b for b in some if false[b] <= FALSE_SHARE * len(clean)}
         while some:
             gain = Counter(x for h in by_doc for x in h & some)
@@ -257,58 +302,74 @@ def beginnings(sample: list[tuple[str | None, bool, str]]) -> tuple[bytes, ...]:
 
 def learned(docs: DataFrame, labels: DataFrame, rows: int = LABELLED) -> tuple[Rule, ...]:
     """The rules with the flagged beginnings of a sample: at most ``rows`` toxic and clean labels each of the smallest
-    id hashes, and at most ``SAMPLE_BYTES`` of each text. Ids go to the documents, so no text is shuffled."""
+    id hashes. Ids go to the documents and texts are read where they lie, so the driver gets only what marks them."""
     place = F.xxhash64("doc_id")
     ids = [labels.filter(F.col("toxic") == t).select("doc_id", F.lit(bool(t)).alias("is_toxic")).distinct().orderBy(place, "doc_id").limit(rows) for t in (1, 0)]
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
-    texts = docs.select("doc_id", lang.alias("lang"), F.substring("text", 1, SAMPLE_BYTES).alias("text")).filter("text IS NOT NULL")
-    chosen = texts.join(F.broadcast(ids[0].unionByName(ids[1])), "doc_id").limit(4 * rows).select("lang", "is_toxic", "text").collect()  # 2 * rows ids
-    starts = beginnings(sorted(map(tuple, chosen), key=str))
-    more = Rule("flagged", lambda t: marks(t, t.n_marked(starts)))
+    texts = docs.select("doc_id", lang.alias("lang"), "text").filter("text IS NOT NULL")
+    chosen = texts.join(F.broadcast(ids[0].unionByName(ids[1])), "doc_id").select("lang", "is_toxic", "text")  # 2 * rows ids
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in W.slices(batches, "text"):
+            found = [marking(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("is_toxic"), pa.array([x for x, _ in found], pa.bool_()), pa.array([x for _, x in found], pa.list_(pa.string()))], ["lang", "is_toxic", "flagged", "hits"])
+
+    found = chosen.mapInArrow(run, "lang string, is_toxic boolean, flagged boolean, hits array<string>").limit(4 * rows).collect()
+    starts = beginnings(sorted(map(tuple, found), key=str))
+    more = Rule("flagged", partial(flagged_or, starts))
     return tuple(more if r.name == "flagged" and starts else r for r in RULES)
 
 
-#: Documents, and bytes of text of each, that cost and selectivity are estimated on at most.
-SAMPLE_ROWS, SAMPLE_BYTES = 400, 20_000
+def flagged_or(starts: tuple[bytes, ...], t: Texts) -> np.ndarray:
+    return marks(t, t.n_marked(starts))
 
 
-@dataclass(frozen=True)
-class Estimate:
-    rule: str
-    seconds: float
-    rejected: float
+#: Documents that cost and selectivity are estimated on at most.
+SAMPLE_ROWS = 400
 
-    @property
-    def rank(self) -> float:
-        return self.rejected / max(self.seconds, 1e-9)
 
+def measured(t: Texts, rules: tuple[Rule, ...]) -> dict:
+    """Seconds of features and of rules beyond them, the features that rules need, and the rows that they reject."""
+    rejected = {r.name: t.timed(r.name, partial(r.rejects, t)).tolist() for r in rules}
+    return {"spent": dict(t.spent), "needs": {r.name: sorted(t.needs[r.name]) for r in rules}, "rejected": rejected}
 
-def estimate(texts: list[str | None], rules: tuple[Rule, ...] = RULES) -> list[Estimate]:
-    """Seconds a document and share rejected of each rule alone; the least of three timings."""
-    column, out = pa.array(texts, pa.string()), []
-    for rule in rules:
-        best, share = float("inf"), 0.0
-        for _ in range(3):
-            fresh = Texts.of(column)
-            began = time.perf_counter()
-            no = rule.rejects(fresh)
-            best = min(best, time.perf_counter() - began)
-            share = float(no.mean()) if len(no) else 0.0
-        out.append(Estimate(rule.name, best / max(len(texts), 1), share))
-    return out
+
+def ordered(parts: list[dict], rules: tuple[Rule, ...]) -> tuple[Rule, ...]:
+    """The rules by rejections of what is left per second that a rule adds, from measurements."""
+    spent: Counter = Counter()
+    for p in parts:
+        spent.update(p["spent"])
+    needs = {r.name: set().union(*(p["needs"][r.name] for p in parts)) for r in rules}
+    rejects = {r.name: np.concatenate([np.zeros(0, bool), *(np.array(p["rejected"][r.name], bool) for p in parts)]) for r in rules}
+    alive, have, left, out = np.ones(len(rejects[rules[0].name]), bool), set(), {r.name: r for r in rules}, []
+    while left:
+        share = alive.mean() if len(alive) else 0.0
+
+        def adds(name: str) -> float:
+            return max(share * (spent[name] + sum(spent[f] for f in needs[name] - have)), 1e-9)  # noqa: B023
+
+        best = max(left, key=lambda n: ((rejects[n] & alive).sum() / adds(n), -adds(n), n))  # noqa: B023
+        out.append(left.pop(best))
+        alive &= ~rejects[best]
+        have |= needs[best]
+    return tuple(out)
 
 
 def plan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, rows: int = SAMPLE_ROWS) -> tuple[Rule, ...]:
-    """The rules by rejections per second on a sample of at most ``rows`` documents of the smallest id hashes.
+    """The rules in the order of a sample of at most ``rows`` documents of the smallest id hashes.
 
-    Ids are chosen first, so no task sends texts that another task's smaller hashes displace.
+    Ids are chosen first and texts measured where they lie, so no text moves.
     """
     place = F.xxhash64("doc_id")
     chosen = [r.place for r in docs.select(place.alias("place")).orderBy("place").limit(rows).collect()]
-    text = F.substring("text", 1, SAMPLE_BYTES).alias("text")
-    sample = [r.text for r in docs.filter(place <= max(chosen, default=0)).select(text).limit(rows).collect()]
-    by = {e.rule: e for e in estimate(sample, rules)}
-    return tuple(sorted(rules, key=lambda r: (-by[r.name].rank, r.name)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in W.slices(batches, "text"):
+            yield pa.RecordBatch.from_arrays([pa.array([json.dumps(measured(Texts.of(batch.column("text")), rules))])], ["m"])
+
+    sample = docs.select("text", place.alias("place")).filter(F.col("place") <= max(chosen, default=0)).limit(rows).select("text")
+    parts = [json.loads(r.m) for r in sample.mapInArrow(run, "m string").collect()]  # figures of ``rows`` documents
+    return ordered(parts, rules) if parts else rules
 
 
 def cascade(t: Texts, rules: tuple[Rule, ...]) -> np.ndarray:
@@ -330,30 +391,25 @@ REPORT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_rep
 
 def report(docs: DataFrame, rules: tuple[Rule, ...] | None = None) -> DataFrame:
     """doc_id with the base statistics, base_failed and the verdict of the whole cascade, per document."""
-    ordered = rules or plan(docs)
-    extra = tuple(r for r in ordered if not r.base)
+    rules = rules or plan(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.slices(batches, "text"):
             t = Texts.of(batch.column("text"))
-            failed = base_words(t) | base_repeats(t)
-            kept = np.zeros(len(t), bool)
-            rest = np.flatnonzero(~failed)
-            kept[rest] = cascade(t.take(rest), extra)
-            names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(t[n]) for n in names), pa.array(failed), pa.array(kept)], ["doc_id", *names, "base_failed", "kept"])
+            names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")  # wanted of all; the cascade reuses them
+            stats = [pa.array(t[n]) for n in names]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *stats, pa.array(base_words(t) | base_repeats(t)), pa.array(cascade(t, rules))], ["doc_id", *names, "base_failed", "kept"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, {REPORT}")
 
 
 def keep(docs: DataFrame, rules: tuple[Rule, ...] | None = None) -> DataFrame:
     """The documents that pass every rule, with all their columns; each rule runs only on what is left."""
-    ordered = rules or plan(docs)
-    schema = docs.schema
+    rules, schema = rules or plan(docs), docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.slices(batches, "text"):
-            yield batch.filter(pa.array(cascade(Texts.of(batch.column("text")), ordered)))
+            yield batch.filter(pa.array(cascade(Texts.of(batch.column("text")), rules)))
 
     return docs.mapInArrow(run, schema)
 

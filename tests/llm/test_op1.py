@@ -33,11 +33,64 @@ def test_order_does_not_change_verdicts():
         assert (op.cascade(op.Texts.of(pa.array(TEXTS * 3)), rules) == want).all()
 
 
+def plainly_kept(text):
+    """The rules one by one, by Python's own means."""
+    import re
+
+    text = text or ""
+    w, lines = brute.words(text), [x for x in text.split("\n") if brute.words(x)]
+    upper, lower = len(re.findall("[A-Z]", text)), len(re.findall("[a-z]", text))
+    flags = sum(x.lower().strip(".,;:!?\"'()[]") in op.FLAGGED for x in w)
+    base = brute.quality(text)
+    return not (
+        base["base_failed"]
+        or 10 * base["n_symbols"] > 2 * len(w)
+        or not 3 * len(w) <= base["word_chars"] <= 12 * len(w)
+        or 100 * upper > 50 * (upper + lower)
+        or 100 * base["n_dup_lines"] > 40 * len(lines)
+        or max(100 * w.count(x) // len(w) for x in set(w)) > 30
+        or (flags >= 2 and 200 * flags >= len(w))
+    )
+
+
+def test_verdicts_against_a_plain_version(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()] + list(enumerate(TEXTS, 10**6))
+    got = {r.doc_id: r.kept for r in op.report(spark.createDataFrame(rows, SCHEMA)).collect()}
+    want = {d: plainly_kept(t) for d, t in rows}
+    assert got == want and 20 < sum(want.values()) < len(want)
+
+
 def test_estimates_order_rules():
     good = "Some plain words that make a sentence, each of them not like the other and with no marks at all in here. "
-    by = {e.rule: e for e in op.estimate([good, "short", "s", "t"] * 20)}
-    assert by["base_words"].rejected == 0.75 and by["flagged"].rejected == 0
-    assert by["base_words"].rank > by["base_repeats"].rank
+    part = op.measured(op.Texts.of(pa.array([good, "short", "s", "t"] * 20)), op.RULES)
+    assert sum(part["rejected"]["base_words"]) == 60 and not any(part["rejected"]["flagged"])
+    assert {"words", "hashes", "n_repeat_words"} <= set(part["needs"]["base_repeats"]) and "hashes" not in part["needs"]["base_words"]
+    assert op.ordered([part], op.RULES)[0].name in ("base_words", "symbols", "word_length")
+
+
+def test_shared_features_are_paid_once():
+    rule = lambda name: op.Rule(name, lambda t: None)
+    part = {"spent": {"f": 8.0, "a": 1.0, "b": 1.0, "c": 4.0}, "needs": {"a": ["f"], "b": ["f"], "c": []}, "rejected": {"a": [1, 1, 1, 0, 0, 0], "b": [0, 0, 0, 1, 0, 0], "c": [0, 0, 0, 0, 1, 0]}}
+    assert [r.name for r in op.ordered([part], (rule("a"), rule("b"), rule("c")))] == ["a", "b", "c"]  # b alone would cost 9
+    part["rejected"]["c"] = [1, 1, 1, 0, 1, 0]
+    assert [r.name for r in op.ordered([part], (rule("a"), rule("b"), rule("c")))] == ["c", "b", "a"]  # c leaves nothing to a
+
+
+def test_taken_documents_keep_words():
+    t = op.Texts.of(pa.array(TEXTS))
+    t["n_repeat_words"]
+    rows = np.array([3, 4, 6, 10])
+    some, fresh = t.take(rows), op.Texts.of(pa.array([TEXTS[i] for i in rows]))
+    assert some.spent.total() == 0 and (some.words.starts == fresh.words.starts).all() and (some.words.ends == fresh.words.ends).all() and (some.hashes == fresh.hashes).all()
+    assert (some["top_share"] == fresh["top_share"]).all()
+
+
+def test_words_of_equal_polynomials(spark):
+    """Words of two letters that collide in every polynomial hash modulo a power of two."""
+    one = "".join("ab"[i.bit_count() % 2] for i in range(1024))
+    other = one.translate(str.maketrans("ab", "ba"))
+    text = " ".join([one, *"cdefghi", "|", other, *"cdefghi"]) + " and twenty words or more so that it passes"
+    check(spark, [(1, text)])
 
 
 def test_labels(spark):
@@ -73,5 +126,6 @@ def test_toxic_documents_in_other_languages(spark):
 
 
 def test_few_labels_teach_nothing():
-    assert op.beginnings([("fr", True, "réeuxpa réeuxle")] * 9 + [("fr", False, "les eau")]) == ()
-    assert op.beginnings([("fr", True, "réeuxpa réeuxle")] * 10 + [("fr", False, "les eau")]) != ()
+    toxic, clean = ("fr", True, *op.marking("réeuxpa réeuxle")), ("fr", False, *op.marking("les eau"))
+    assert op.beginnings([toxic] * 9 + [clean]) == ()
+    assert op.beginnings([toxic] * 10 + [clean]) != ()
