@@ -7,13 +7,19 @@ import shutil
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
+#: Tables that this process made and has not dropped: paths, and how to reach their store.
+_made: dict[str, tuple] = {}
+
 
 def folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; where it is unset (tests) a folder of our own, set for later calls."""
+    """``spark.checkpoint.dir`` of the session; where it is unset on a local master (tests) a folder of our own, set for later calls."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="quarry-")
         atexit.register(shutil.rmtree, at, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", at)
@@ -21,7 +27,9 @@ def folder(spark: SparkSession) -> str:
 
 
 def place(spark: SparkSession, name: str) -> str:
-    return f"{folder(spark).rstrip('/')}/quarry-{name}-{uuid.uuid4().hex}"
+    path = f"{folder(spark).rstrip('/')}/quarry-{name}-{uuid.uuid4().hex}"
+    _made[path] = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    return path
 
 
 def keep(df: DataFrame, name: str) -> tuple[DataFrame, str]:
@@ -32,9 +40,23 @@ def keep(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def _delete(path: str) -> None:
+    jvm, configuration = _made.pop(path)
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(configuration).delete(at, True)
+
+
 def drop(spark: SparkSession, *paths: str) -> None:
     """Delete tables that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
     for path in paths:
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        _delete(path)
+
+
+@atexit.register
+def _sweep() -> None:
+    """What results still read goes when the driver ends."""
+    for path in list(_made):
+        try:
+            _delete(path)
+        except (Py4JError, OSError):
+            return
