@@ -7,8 +7,24 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Languages of file extensions.
-LANGUAGES = {"go": "go", "py": "python", "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "java": "java", "rs": "rust", "rb": "ruby", "cs": "csharp", "dart": "dart"}
+#: Languages by file extension, as manifests name them.
+LANGUAGES = {
+    "typescript": (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs"),
+    "go": (".go",),
+    "python": (".py",),
+    "jvm": (".java", ".kt", ".scala"),
+    "cpp": (".c", ".cc", ".cpp", ".cxx", ".h", ".hpp", ".hh"),
+    "dotnet": (".cs", ".vb", ".fs"),
+    "ruby": (".rb",),
+    "rust": (".rs",),
+    "dart": (".dart",),
+    "docs": (".md", ".mdx", ".rst", ".txt"),
+    "config": (".json", ".yaml", ".yml", ".toml", ".xml", ".gradle", ".sbt"),
+}
+#: Folders that mark generated, vendored and test files.
+GENERATED_DIRS = ("dist", "build", "coverage", "target", "generated", "gen", "vendor/bundle")
+VENDOR_DIRS = ("node_modules", "vendor", "third_party", ".venv", "venv")
+TEST_DIRS = ("__tests__", "test", "tests", "spec")
 
 
 def like_escape(term: str) -> str:
@@ -25,9 +41,8 @@ def like_any(columns: list[Column], terms: list[str]) -> Column:
 
 
 def suffix_patterns(name: str) -> list[str]:
-    """LIKE patterns of symbol ids that end in a name: as method, type, term, macro or parameter, after each separator."""
-    escaped = like_escape(name)
-    return [f"%{before}{escaped}{after}" for before in ("/", "#", ".", "`") for after in ("().", "#", ".")]
+    """LIKE patterns of symbol ids that end in a name: as method, term or type, after each separator or after anything."""
+    return ["%" + like_escape(before + name.strip() + after) for after in ("().", ".", "#") for before in ("/", "#", ".", "")]
 
 
 def glob_to_regex(glob: str) -> str:
@@ -68,20 +83,31 @@ def hash_of(*parts: Column, digits: int = 8) -> Column:
     return F.substring(F.sha2(F.concat_ws("\0", *parts), 256), 1, digits)
 
 
-def path_class(path: Column) -> Column:
-    return (
-        F.when(path.rlike("(^|/)vendor/"), "vendor")
-        .when(path.rlike("(^|/)(dist|build|generated)/|[.]pb[.]go$"), "generated")
-        .when(path.rlike("(^|/)(test|tests|testdata)/|_test[.]"), "test")
-        .otherwise("source")
-    )
+def _under(folders: tuple[str, ...]) -> str:
+    return "(^|/)(" + "|".join(f.replace(".", "[.]") for f in folders) + ")/"
+
+
+def is_generated(path: Column) -> Column:
+    return path.rlike(_under(GENERATED_DIRS)) | path.contains(".generated.") | path.endswith(".min.js")
+
+
+def is_vendor(path: Column) -> Column:
+    return path.rlike(_under(VENDOR_DIRS))
+
+
+def is_test_file(path: Column) -> Column:
+    """In a folder of tests, or named ``x.test.y`` or ``x.spec.y``."""
+    return path.rlike(_under(TEST_DIRS)) | path.rlike("(^|/)[^/]*[.](test|spec)[.][^./]+$")
+
+
+def extension(path: Column) -> Column:
+    """What follows the last dot, with it, in lower case; empty where there is no dot."""
+    return F.lower(F.regexp_extract(path, "[.][^.]*$", 0))
 
 
 def language(path: Column) -> Column:
-    out = F.lit(None).cast("string")
-    for extension, name in LANGUAGES.items():
-        out = F.when(F.substring_index(path, ".", -1) == extension, name).otherwise(out)
-    return out
+    known = [F.when(extension(path).isin(*endings), name) for name, endings in LANGUAGES.items()]
+    return F.coalesce(*known)
 
 
 def safe_path(path: Column) -> Column:
@@ -89,5 +115,18 @@ def safe_path(path: Column) -> Column:
     return (F.length(path) > 0) & (F.length(path) <= 4096) & ~path.startswith("/") & ~path.rlike("(^|/)[.][.](/|$)") & ~path.rlike("[\\x00-\\x1f]")
 
 
+def is_reference(ref: Column) -> Column:
+    """What may name a branch, tag or commit: it begins with a letter or digit and has 256 characters at most."""
+    return ref.rlike("^[A-Za-z0-9][A-Za-z0-9._/@+-]{0,255}$")
+
+
+def cut_bytes(value: Column, most: int) -> Column:
+    """The longest beginning of whole characters that ``most`` bytes of UTF-8 hold."""
+    raw = F.substring(F.encode(value, "UTF-8"), 1, most + 1)
+    tail = F.substring(F.hex(raw), 1, 2 * most)
+    whole = F.regexp_replace(tail, "(?:[CD][0-9A-F]|E[0-9A-F](?:[89AB][0-9A-F])?|F[0-7](?:[89AB][0-9A-F]){0,2})$", "")
+    return F.when(F.octet_length(value) <= most, value).otherwise(F.decode(F.unhex(whole), "UTF-8"))
+
+
 def is_test(path: Column) -> Column:
     return path.ilike("%\\_test.%") | path.ilike("%/test/%") | path.ilike("tests/%")

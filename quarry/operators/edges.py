@@ -11,9 +11,15 @@ from quarry.functions import text
 RELATION_SCORE = {"CALLS": 80, "REFERENCES": 50, "IMPLEMENTS": 45, "TYPE_DEFINES": 45, "DEFINES": 20}
 RELATION_ORDER = {"HANDLES": 0, "EMITS": 0, "PROVIDES": 0, "CONSUMES": 0, "CALLS": 1, "REFERENCES": 1, "IMPLEMENTS": 2, "TYPE_DEFINES": 2, "EXTENDS": 2, "DEFINES": 3, "IMPORTS": 4, "IMPORTS_FROM": 4, "CONTAINS": 6}
 SCIP_SCORE, AST_SCORE, PATH_SCORE, TEST_SCORE = 100, 60, 30, -50
+#: The order of relations among edges of one relation's turn, and in the fallback.
+TURN_ORDER = {"CALLS": 0, "REFERENCES": 1, "IMPLEMENTS": 2, "TYPE_DEFINES": 2, "DEFINES": 3}
+FALLBACK_ORDER = {"CALLS": 0, "REFERENCES": 1, "HANDLES": 2, "EMITS": 2, "PROVIDES": 2, "CONSUMES": 2, "IMPLEMENTS": 3, "TYPE_DEFINES": 3, "EXTENDS": 3, "DEFINES": 4, "IMPORTS": 5, "IMPORTS_FROM": 5, "CONTAINS": 7}
+#: Paths that one corpus prefers, as data: another corpus passes its own.
 PREFERRED_PATHS = ("%/sdk.%", "%/nodejs.%", "%/python.%", "%/dotnet.%", "%/podmutator.%", "%/webhook/%")
+#: Ends that only name a local symbol of one file.
+LOCAL_SYMBOL, LOCAL_EVIDENCE = r"(?i)(^|[ /#.])local [0-9]+[.]?$", r"(?i)(CALLS|REFERENCES|DEFINES) [0-9]+[.]?$"
 PRODUCER_ORDER = {"scip": 0, "ast": 1}
-CONTEXTS = {"CALLS": "call", "REFERENCES": "reference", "IMPORTS_FROM": "import", "IMPORTS": "import", "DEFINES": "definition", "IMPLEMENTS": "inherits", "EXTENDS": "inherits", "CONTAINS": "containment"}
+CONTEXTS = {"CALLS": "call", "REFERENCES": "reference", "IMPORTS_FROM": "import", "DEFINES": "definition", "IMPLEMENTS": "inherits", "EXTENDS": "inherits", "TYPE_DEFINES": "type", "CONTAINS": "containment"}
 
 
 def choice(column: Column, table: dict, other) -> Column:
@@ -28,42 +34,67 @@ def producer(source: Column) -> Column:
     return F.when(source == "scip", "scip").when(ast, "ast").otherwise("other")
 
 
-def score(terms: list[str], fields: list[Column]) -> Column:
-    """Lengths of the terms that any field holds, and what producer, relation and path add."""
+def searched() -> Column:
+    """What a term is looked for in: ends, relation, path, evidence and rationale in one text."""
+    return F.concat_ws(" ", *(F.coalesce(F.col(c), F.lit("")) for c in ("src", "dst", "relation", "source_file", "evidence", "rationale")))
+
+
+def global_only(edges: DataFrame) -> DataFrame:
+    """Edges of which no end is a symbol that only one file knows."""
+    return edges.filter(~F.coalesce(F.col("src").rlike(LOCAL_SYMBOL) | F.col("dst").rlike(LOCAL_SYMBOL) | F.col("evidence").rlike(LOCAL_EVIDENCE), F.lit(False)))
+
+
+def preferred(path: Column, paths: tuple[str, ...]) -> Column:
+    out = F.lit(False)
+    for p in paths:
+        out = out | path.ilike(p)
+    return out
+
+
+def score(terms: list[str], field: Column, paths: tuple[str, ...] = PREFERRED_PATHS) -> Column:
+    """Lengths of the terms that the field holds, and what producer, relation and path add."""
     out = F.lit(0)
     for t in terms:
-        out = out + F.when(text.like_any(fields, [t]), max(1, len(t))).otherwise(0)
+        out = out + F.when(text.like_any([field], [t]), max(1, len(t))).otherwise(0)
     path, kind = F.coalesce("source_file", F.lit("")), producer(F.col("source"))
-    preferred = F.lit(False)
-    for p in PREFERRED_PATHS:
-        preferred = preferred | path.ilike(p)
     out = out + F.when(kind == "scip", SCIP_SCORE).when(kind == "ast", AST_SCORE).otherwise(0) + choice(F.upper("relation"), RELATION_SCORE, 0)
-    return out + F.when(preferred, PATH_SCORE).otherwise(0) + F.when(text.is_test(path), TEST_SCORE).otherwise(0)
+    return out + F.when(preferred(path, paths), PATH_SCORE).otherwise(0) + F.when(text.is_test(path), TEST_SCORE).otherwise(0)
 
 
 def quota(relation: Column, limit: int) -> Column:
     return F.when(relation.isin("CALLS", "REFERENCES"), max(8, limit // 2)).when(relation.isin("IMPORTS", "IMPORTS_FROM"), max(3, limit // 8)).otherwise(max(4, limit // 4))
 
 
-def ranked(edges: DataFrame, terms: list[str], limit: int) -> DataFrame:
-    """Edges that hold a term, best first, with quotas for each relation and turns for each producer."""
+def ranked(edges: DataFrame, terms: list[str], limit: int, paths: tuple[str, ...] = PREFERRED_PATHS) -> DataFrame:
+    """Edges that hold a term, best first, with quotas for each relation and turns for each producer.
+
+    The greatest quota is a filter of its own, so that each task keeps no more of a group before the shuffle.
+    """
     relation, path = F.upper("relation"), F.coalesce("source_file", F.lit(""))
-    hit = edges.filter(text.like_any([F.col("src"), F.col("dst"), F.col("source_file")], terms)) if terms else edges
-    scored = hit.withColumns({"producer": producer(F.col("source")), "score": score(terms, [F.col("src"), F.col("dst"), F.col("source_file")]), "relation_order": choice(relation, RELATION_ORDER, 5), "test_order": F.when(text.is_test(path), 2).otherwise(0)})
+    hit = global_only(edges).withColumn("searched", searched())
+    hit = hit.filter(text.like_any([F.col("searched")], terms)) if terms else hit
+    hits = F.lit(0)
+    for t in terms:
+        hits = hits + F.when(text.like_any([F.col("searched")], [t]), max(1, len(t))).otherwise(0)
+    scored = hit.withColumns({"producer": producer(F.col("source")), "hits": hits, "score": score(terms, F.col("searched"), paths), "relation_order": choice(relation, RELATION_ORDER, 5), "test_order": F.when(text.is_test(path), 2).otherwise(0)})
     tie = [F.col("graph_index_id"), F.col("ordinal")]
-    first = [F.col("score").desc(), F.col("test_order"), F.col("confidence").desc_nulls_last(), F.col("source_file").asc_nulls_last(), F.col("start_line").asc_nulls_last(), *tie]
+    place = [F.col("confidence").desc_nulls_last(), F.col("source_file").asc_nulls_last(), F.col("start_line").asc_nulls_last(), *tie]
+    first = [F.col("hits").desc(), F.when(F.col("producer") == "scip", 0).otherwise(1), choice(relation, TURN_ORDER, 4), F.when(preferred(path, paths), 0).otherwise(1), F.col("test_order"), *place]
     scored = scored.withColumn("relation_rank", F.row_number().over(Window.partitionBy(relation, "producer").orderBy(*first)))
-    scored = scored.filter(F.col("relation_rank") <= quota(relation, limit))
-    second = [F.col("score").desc(), F.col("relation_order"), F.col("confidence").desc_nulls_last(), F.col("source_file").asc_nulls_last(), F.col("start_line").asc_nulls_last(), *tie]
+    scored = scored.filter(F.col("relation_rank") <= max(8, limit // 2)).filter(F.col("relation_rank") <= quota(relation, limit))
+    second = [F.col("score").desc(), F.col("relation_order"), *place]
     scored = scored.withColumn("producer_rank", F.row_number().over(Window.partitionBy("producer").orderBy(*second)))
     order = ["producer_rank", choice(F.col("producer"), PRODUCER_ORDER, 2), "repo_id", F.col("score").desc(), "relation_order", "test_order", F.col("confidence").desc_nulls_last(), F.col("source_file").asc_nulls_last(), *tie]
     return scored.orderBy(*order).limit(limit).select("repo_id", "graph_index_id", "ordinal", "src", "dst", "relation", "producer", "score", "relation_rank", "producer_rank")
 
 
-def fallback(edges: DataFrame, per_bucket: int = 4) -> DataFrame:
-    """The surest edges of each repository, producer and relation."""
-    w = Window.partitionBy("repo_id", "producer", "relation").orderBy(F.col("confidence").desc_nulls_last(), F.col("source_file").asc_nulls_last(), "graph_index_id", "ordinal")
-    return edges.withColumn("producer", producer(F.col("source"))).withColumn("bucket_rank", F.row_number().over(w)).filter(F.col("bucket_rank") <= per_bucket).select("repo_id", "producer", "relation", "graph_index_id", "ordinal", "bucket_rank")
+def fallback(edges: DataFrame, limit: int, per_bucket: int = 4) -> DataFrame:
+    """The surest edges of each repository, producer and relation; precise producers and calls first."""
+    tie = [F.col("graph_index_id"), F.col("ordinal")]
+    w = Window.partitionBy("repo_id", "producer", F.upper("relation")).orderBy(F.col("confidence").desc_nulls_last(), F.col("source_file").asc_nulls_last(), F.col("start_line").asc_nulls_last(), *tie)
+    rows = global_only(edges).withColumn("producer", producer(F.col("source"))).withColumn("bucket_rank", F.row_number().over(w)).filter(F.col("bucket_rank") <= per_bucket)
+    order = [choice(F.col("producer"), PRODUCER_ORDER, 2), choice(F.upper("relation"), FALLBACK_ORDER, 6), F.when(text.is_test(F.coalesce("source_file", F.lit(""))), 2).otherwise(0), F.col("confidence").desc_nulls_last(), "repo_id", F.col("source_file").asc_nulls_last(), F.col("start_line").asc_nulls_last(), *tie]
+    return rows.orderBy(*order).limit(limit).select("repo_id", "producer", "relation", "graph_index_id", "ordinal", "bucket_rank")
 
 
 def reconciled(edges: DataFrame) -> DataFrame:

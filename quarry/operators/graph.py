@@ -5,12 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.operators.edges import choice
-
 HUB_FLOOR, FEWEST = 50, 4
-#: What a relation adds to an edge's score in a traversal.
-RELATION_SCORE = {"HANDLES": 35, "EMITS": 35, "PROVIDES": 35, "CONSUMES": 35, "ANCHOR_LINK": 35, "CALLS": 50, "DEPENDS_ON": 25, "REFERENCES": 18, "IMPORTS": 6, "IMPORTS_FROM": 6, "IMPLEMENTS": 22, "TYPE_DEFINES": 22, "EXTENDS": 22, "CONTAINS": 10, "DEFINES": 10}
-
 
 def degrees(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array("src", "dst")).alias("vid")).groupBy("vid").agg(F.count(F.lit(1)).alias("degree"))
@@ -31,10 +26,9 @@ def hub_threshold(degree: DataFrame) -> DataFrame:
 def without_hubs(edges: DataFrame) -> DataFrame:
     """Edges (with depth) less those deeper than 1 that leave a hub; fewer than four edges stay as they are."""
     degree = degrees(edges)
-    hubs = degree.crossJoin(F.broadcast(hub_threshold(degree))).filter("degree >= threshold").select(F.col("vid").alias("src"), F.lit(True).alias("hub"))
-    if edges.limit(FEWEST).count() < FEWEST:
-        return edges
-    return edges.join(hubs, "src", "left").filter("depth <= 1 OR hub IS NULL").drop("hub")
+    some = edges.limit(FEWEST).agg((F.count(F.lit(1)) >= FEWEST).alias("some"))
+    hubs = degree.crossJoin(F.broadcast(hub_threshold(degree))).crossJoin(F.broadcast(some)).filter("some AND degree >= threshold")  # one row each
+    return edges.join(hubs.select(F.col("vid").alias("src"), F.lit(True).alias("hub")), "src", "left").filter("depth <= 1 OR hub IS NULL").drop("hub")
 
 
 def hops(edges: DataFrame, seeds: DataFrame, depth: int, both: bool = True) -> DataFrame:
@@ -54,13 +48,7 @@ def hops(edges: DataFrame, seeds: DataFrame, depth: int, both: bool = True) -> D
     return seen
 
 
-def scored(edges: DataFrame) -> DataFrame:
-    """What relation, producer and confidence make of an edge in a traversal."""
-    source = F.when(F.col("source") == "scip", 35).when(F.col("source").startswith("ast-"), 18).when(F.col("source") == "heuristic", -8).otherwise(0)
-    return edges.withColumn("traversal_score", (choice(F.upper("relation"), RELATION_SCORE, 5) + source + (F.col("confidence") * 10).cast("int")).cast("long"))
-
-
 def diversified(edges: DataFrame, bucket: str, order: list, limit: int) -> DataFrame:
     """Edges in turns over buckets: the best of each, then the second of each, and so on."""
     w = Window.partitionBy(bucket).orderBy(*order)
-    return edges.withColumn("turn", F.row_number().over(w)).orderBy("turn", bucket, *order).limit(limit)
+    return edges.withColumn("turn", F.row_number().over(w)).filter(F.col("turn") <= limit).orderBy("turn", bucket, *order).limit(limit)

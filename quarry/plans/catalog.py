@@ -30,7 +30,7 @@ def first_by(view: str, keys: str, order: str, columns: str, where: str = "TRUE"
 USABLE = "status IN ('READY', 'PARTIAL')"
 LATEST = first_by("f_index", "org_id, repo_id, revision", "COALESCE(indexed_at, updated_at) DESC NULLS LAST, updated_at DESC NULLS LAST, id DESC", "*", USABLE)
 IS_TEST = "(source_file LIKE '%\\_test.%' ESCAPE '\\' OR source_file LIKE '%/test/%' OR source_file LIKE 'tests/%')"
-PRODUCER = "CASE WHEN source = 'scip' THEN 'scip' WHEN source LIKE 'ast-%' THEN 'ast' ELSE 'other' END"
+PRODUCER = "CASE WHEN source = 'scip' THEN 'scip' WHEN source LIKE 'ast-%' OR source LIKE 'tree-sitter%' OR source LIKE 'tree\\_sitter%' ESCAPE '\\' THEN 'ast' ELSE 'other' END"
 
 
 @query("active_repo_semi", "SELECT id, org_id, name FROM f_repo r WHERE EXISTS (SELECT 1 FROM f_repo_to_connection l JOIN f_connection c ON c.id = l.connection_id WHERE l.repo_id = r.id AND c.org_id = r.org_id)")
@@ -81,7 +81,7 @@ def _(f):
 
 
 def _occurrences(roles: str) -> str:
-    match = " OR ".join(f"LOWER(symbol) LIKE '{p.lower()}'" for p in text.suffix_patterns(NAME))
+    match = " OR ".join(f"LOWER(symbol) LIKE '%{p}'" for p in ("/cold ring().", "#cold ring().", ".cold ring().", "cold ring().", "/cold ring.", "#cold ring.", ".cold ring.", "cold ring.", "/cold ring#", "#cold ring#", ".cold ring#", "cold ring#"))
     return f"""WITH cur AS (SELECT id AS index_id, revision, COALESCE(indexed_at, updated_at) AS seen FROM ({LATEST}) z WHERE org_id = {ORG}),
 m AS (SELECT s.repo_id, r.name AS repo_name, s.index_id, c.revision, s.symbol, s.display_name, c.seen, CASE WHEN LOWER(s.display_name) = '{NAME}' THEN 0 WHEN LOWER(s.symbol) = '{NAME}' THEN 1 ELSE 2 END AS match_rank
 FROM f_symbol s JOIN cur c ON c.index_id = s.index_id JOIN f_repo r ON r.id = s.repo_id AND r.org_id = s.org_id
@@ -112,20 +112,22 @@ def _(f):
     return symbols.ambiguous(f.f_symbol)
 
 
-def _case(column: str, table: dict, other: int) -> str:
-    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in table.items()) + f" ELSE {other} END"
-
-
 LIMIT = 40
-HIT = " OR ".join(f"LOWER({c}) LIKE '%{t}%'" for c in ("src", "dst", "source_file") for t in TERMS)
-SCORE = " + ".join(f"CASE WHEN {' OR '.join(f"LOWER({c}) LIKE '%{t}%'" for c in ('src', 'dst', 'source_file'))} THEN {len(t)} ELSE 0 END" for t in TERMS)
-EDGES = f"""WITH s AS (SELECT *, {PRODUCER} AS producer, CAST({SCORE} + CASE {PRODUCER} WHEN 'scip' THEN 100 WHEN 'ast' THEN 60 ELSE 0 END + {_case('relation', edges.RELATION_SCORE, 0)} + CASE WHEN {IS_TEST} THEN -50 ELSE 0 END AS INT) AS score,
-{_case('relation', edges.RELATION_ORDER, 5)} AS ro, CASE WHEN {IS_TEST} THEN 2 ELSE 0 END AS te FROM f_edge WHERE {HIT}),
-a AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY relation, producer ORDER BY score DESC, te, confidence DESC, source_file, start_line, graph_index_id, ordinal) AS relation_rank FROM s),
-b AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY producer ORDER BY score DESC, ro, confidence DESC, source_file, start_line, graph_index_id, ordinal) AS producer_rank FROM a
-WHERE relation_rank <= CASE WHEN relation IN ('CALLS', 'REFERENCES') THEN {max(8, LIMIT // 2)} WHEN relation IN ('IMPORTS', 'IMPORTS_FROM') THEN {max(3, LIMIT // 8)} ELSE {max(4, LIMIT // 4)} END)
+LOCAL = "COALESCE(regexp_matches(src, '(^|[ /#.])local [0-9]+[.]?$', 'i') OR regexp_matches(dst, '(^|[ /#.])local [0-9]+[.]?$', 'i') OR regexp_matches(evidence, '(CALLS|REFERENCES|DEFINES) [0-9]+[.]?$', 'i'), FALSE)"
+SEARCHED = "LOWER(CONCAT_WS(' ', COALESCE(src, ''), COALESCE(dst, ''), COALESCE(relation, ''), COALESCE(source_file, ''), COALESCE(evidence, ''), COALESCE(rationale, '')))"
+RELATION_ORDER = "CASE relation WHEN 'HANDLES' THEN 0 WHEN 'EMITS' THEN 0 WHEN 'PROVIDES' THEN 0 WHEN 'CONSUMES' THEN 0 WHEN 'CALLS' THEN 1 WHEN 'REFERENCES' THEN 1 WHEN 'IMPLEMENTS' THEN 2 WHEN 'TYPE_DEFINES' THEN 2 WHEN 'EXTENDS' THEN 2 WHEN 'DEFINES' THEN 3 WHEN 'IMPORTS' THEN 4 WHEN 'IMPORTS_FROM' THEN 4 WHEN 'CONTAINS' THEN 6 ELSE 5 END"
+PREFERRED = "(source_file LIKE '%/sdk.%' OR source_file LIKE '%/nodejs.%' OR source_file LIKE '%/python.%' OR source_file LIKE '%/dotnet.%' OR source_file LIKE '%/podmutator.%' OR source_file LIKE '%/webhook/%')"
+BY_PLACE = "confidence DESC NULLS LAST, source_file NULLS LAST, start_line NULLS LAST, graph_index_id, ordinal"
+EDGES = f"""WITH h AS (SELECT *, {PRODUCER} AS producer, {SEARCHED} AS searched FROM f_edge WHERE NOT {LOCAL}),
+s AS (SELECT *, CASE WHEN searched LIKE '%part:1%' THEN 6 ELSE 0 END + CASE WHEN searched LIKE '%s7%' THEN 2 ELSE 0 END AS hits, {RELATION_ORDER} AS ro, CASE WHEN {IS_TEST} THEN 2 ELSE 0 END AS te FROM h WHERE searched LIKE '%part:1%' OR searched LIKE '%s7%'),
+t AS (SELECT *, CAST(hits + CASE producer WHEN 'scip' THEN 100 WHEN 'ast' THEN 60 ELSE 0 END + CASE relation WHEN 'CALLS' THEN 80 WHEN 'REFERENCES' THEN 50 WHEN 'IMPLEMENTS' THEN 45 WHEN 'TYPE_DEFINES' THEN 45 WHEN 'DEFINES' THEN 20 ELSE 0 END
++ CASE WHEN {PREFERRED} THEN 30 ELSE 0 END + CASE WHEN {IS_TEST} THEN -50 ELSE 0 END AS INT) AS score FROM s),
+a AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY relation, producer ORDER BY hits DESC, CASE producer WHEN 'scip' THEN 0 ELSE 1 END, CASE relation WHEN 'CALLS' THEN 0 WHEN 'REFERENCES' THEN 1 WHEN 'IMPLEMENTS' THEN 2 WHEN 'TYPE_DEFINES' THEN 2 WHEN 'DEFINES' THEN 3 ELSE 4 END,
+CASE WHEN {PREFERRED} THEN 0 ELSE 1 END, te, {BY_PLACE}) AS relation_rank FROM t),
+b AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY producer ORDER BY score DESC, ro, {BY_PLACE}) AS producer_rank FROM a
+WHERE relation_rank <= CASE WHEN relation IN ('CALLS', 'REFERENCES') THEN 20 WHEN relation IN ('IMPORTS', 'IMPORTS_FROM') THEN 5 ELSE 10 END)
 SELECT repo_id, graph_index_id, ordinal, src, dst, relation, producer, score, CAST(relation_rank AS INT) AS relation_rank, CAST(producer_rank AS INT) AS producer_rank FROM b
-ORDER BY producer_rank, CASE producer WHEN 'scip' THEN 0 WHEN 'ast' THEN 1 ELSE 2 END, repo_id, score DESC, ro, te, confidence DESC, source_file, graph_index_id, ordinal LIMIT {LIMIT}"""
+ORDER BY producer_rank, CASE producer WHEN 'scip' THEN 0 WHEN 'ast' THEN 1 ELSE 2 END, repo_id, score DESC, ro, te, confidence DESC NULLS LAST, source_file NULLS LAST, graph_index_id, ordinal LIMIT 40"""
 
 
 @query("relation_rank", EDGES)
@@ -133,9 +135,19 @@ def _(f):
     return edges.ranked(f.f_edge, TERMS, LIMIT)
 
 
-@query("fallback_edges", f"SELECT repo_id, producer, relation, graph_index_id, ordinal, CAST(bucket_rank AS INT) AS bucket_rank FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY repo_id, producer, relation ORDER BY confidence DESC NULLS LAST, source_file NULLS LAST, graph_index_id, ordinal) AS bucket_rank FROM (SELECT *, {PRODUCER} AS producer FROM f_edge) e) x WHERE bucket_rank <= 4")
+@query(
+    "fallback_edges",
+    f"""SELECT repo_id, producer, relation, graph_index_id, ordinal, CAST(bucket_rank AS INT) AS bucket_rank FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY repo_id, producer, relation ORDER BY {BY_PLACE}) AS bucket_rank FROM (SELECT *, {PRODUCER} AS producer FROM f_edge WHERE NOT {LOCAL}) e) x WHERE bucket_rank <= 4
+ORDER BY CASE producer WHEN 'scip' THEN 0 WHEN 'ast' THEN 1 ELSE 2 END, CASE relation WHEN 'CALLS' THEN 0 WHEN 'REFERENCES' THEN 1 WHEN 'HANDLES' THEN 2 WHEN 'EMITS' THEN 2 WHEN 'PROVIDES' THEN 2 WHEN 'CONSUMES' THEN 2 WHEN 'IMPLEMENTS' THEN 3 WHEN 'TYPE_DEFINES' THEN 3 WHEN 'EXTENDS' THEN 3 WHEN 'DEFINES' THEN 4 WHEN 'IMPORTS' THEN 5 WHEN 'IMPORTS_FROM' THEN 5 WHEN 'CONTAINS' THEN 7 ELSE 6 END,
+CASE WHEN {IS_TEST} THEN 2 ELSE 0 END, confidence DESC NULLS LAST, repo_id, source_file NULLS LAST, start_line NULLS LAST, graph_index_id, ordinal LIMIT 200""",
+)
+def _(f):
+    return edges.fallback(f.f_edge, 200)
+
+
+@query("global_edges", f"SELECT graph_index_id, ordinal FROM f_edge WHERE NOT {LOCAL}")
 def _(f):
-    return edges.fallback(f.f_edge)
+    return edges.global_only(f.f_edge).select("graph_index_id", "ordinal")
 
 
 @query("reconcile_edges", f"SELECT src, dst, relation, graph_index_id, ordinal, value FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY src, dst, relation ORDER BY value DESC, graph_index_id, ordinal) AS rn FROM (SELECT *, CAST(CAST(TRUNC(confidence * 1000) AS INT) * 10 + CASE {PRODUCER} WHEN 'scip' THEN 5 WHEN 'ast' THEN 3 ELSE 1 END AS INT) AS value FROM f_edge) e) x WHERE rn = 1")
@@ -175,9 +187,10 @@ def _(f):
     return graph.hub_threshold(graph.degrees(f.f_edge))
 
 
-@query("hub_filter", f"WITH t AS ({THRESHOLD}), d AS ({DEGREE}) SELECT e.graph_index_id, e.ordinal FROM f_edge e WHERE e.ordinal <= 1 OR e.src NOT IN (SELECT vid FROM d, t WHERE degree >= threshold)")
+@query("hub_filter", f"WITH t AS ({THRESHOLD}), d AS ({DEGREE}) SELECT e.graph_index_id, e.ordinal FROM f_edge e WHERE e.ordinal <= 1 OR e.dst NOT IN (SELECT vid FROM d, t WHERE degree >= threshold)")
 def _(f):
-    return graph.without_hubs(f.f_edge.withColumn("depth", F.col("ordinal"))).select("graph_index_id", "ordinal")
+    e = f.f_edge  # turned round, so that the suppliers, some of which are hubs, are where edges start
+    return graph.without_hubs(e.select("graph_index_id", "ordinal", F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("ordinal").alias("depth"))).select("graph_index_id", "ordinal")
 
 
 @query(
@@ -193,17 +206,12 @@ def _(f):
     return graph.hops(e, e.filter(F.col("src").endswith(":part:7")).select(F.col("src").alias("vid")), 3)
 
 
-@query("edge_score", f"SELECT graph_index_id, ordinal, CAST({_case('relation', graph.RELATION_SCORE, 5)} + CASE WHEN source = 'scip' THEN 35 WHEN source LIKE 'ast-%' THEN 18 ELSE 0 END + CAST(TRUNC(confidence * 10) AS INT) AS BIGINT) AS traversal_score FROM f_edge")
-def _(f):
-    return graph.scored(f.f_edge).select("graph_index_id", "ordinal", "traversal_score")
-
-
 @query("diversified_edges", "SELECT graph_index_id, ordinal, source, CAST(turn AS INT) AS turn FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY source ORDER BY confidence DESC, graph_index_id, ordinal) AS turn FROM f_edge) x ORDER BY turn, source, confidence DESC, graph_index_id, ordinal LIMIT 50")
 def _(f):
     return graph.diversified(f.f_edge, "source", [F.col("confidence").desc(), "graph_index_id", "ordinal"], 50).select("graph_index_id", "ordinal", "source", "turn")
 
 
-@query("default_context", f"SELECT relation, {_case('relation', {k: repr(v) for k, v in edges.CONTEXTS.items()}, 0).replace('ELSE 0', 'ELSE NULL')} AS context, COUNT(*) AS n FROM f_edge GROUP BY 1, 2")
+@query("default_context", "SELECT relation, CASE relation WHEN 'CALLS' THEN 'call' WHEN 'DEFINES' THEN 'definition' WHEN 'REFERENCES' THEN 'reference' WHEN 'IMPORTS_FROM' THEN 'import' WHEN 'EXTENDS' THEN 'inherits' WHEN 'IMPLEMENTS' THEN 'inherits' WHEN 'TYPE_DEFINES' THEN 'type' WHEN 'CONTAINS' THEN 'containment' END AS context, COUNT(*) AS n FROM f_edge GROUP BY 1, 2")
 def _(f):
     return f.f_edge.groupBy("relation", edges.choice(F.col("relation"), edges.CONTEXTS, None).alias("context")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -240,11 +248,6 @@ def _(f):
     return status.contexts(f.f_repo, f.f_org)
 
 
-@query("quality_issues", "SELECT id, CONCAT_WS(',', CASE WHEN status = 'PARTIAL' THEN 'partial' END, CASE WHEN status = 'INDEXING' THEN 'unfinished' END, CASE WHEN indexed_at IS NULL THEN 'never_indexed' END) AS issues FROM f_index WHERE status IN ('PARTIAL', 'INDEXING') OR indexed_at IS NULL")
-def _(f):
-    return status.issues(f.f_index)
-
-
 @query("repo_page", "SELECT id, name FROM f_repo WHERE org_id = 1 ORDER BY name, id LIMIT 2 OFFSET 2")
 def _(f):
     return scope.page(scope.in_org(f.f_repo, ORG), ["name", "id"], 2, 2).select("id", "name")
@@ -357,9 +360,16 @@ def _(f):
     return lexical.compared(f.f_file, "main", "release")
 
 
-@query("path_classes", "SELECT path, CASE WHEN path LIKE 'vendor/%' THEN 'vendor' WHEN path LIKE 'tests/%' THEN 'test' ELSE 'source' END AS class, CASE WHEN path LIKE '%.go' THEN 'go' WHEN path LIKE '%.py' THEN 'python' WHEN path LIKE '%.ts' THEN 'typescript' END AS language FROM f_file")
+@query(
+    "path_classes",
+    """SELECT path, regexp_matches(path, '(^|/)(dist|build|coverage|target|generated|gen)/') OR regexp_matches(path, '(^|/)vendor/bundle/') OR contains(path, '.generated.') OR path LIKE '%.min.js' AS generated,
+regexp_matches(path, '(^|/)(node_modules|vendor|third_party|[.]venv|venv)/') AS vendor, regexp_matches(path, '(^|/)(__tests__|test|tests|spec)/') OR regexp_matches(path, '[.](test|spec)[.][^./]+$') AS test,
+CASE LOWER(regexp_extract(path, '[.][^.]*$')) WHEN '.ts' THEN 'typescript' WHEN '.jsx' THEN 'typescript' WHEN '.js' THEN 'typescript' WHEN '.go' THEN 'go' WHEN '.py' THEN 'python' WHEN '.kt' THEN 'jvm' WHEN '.hpp' THEN 'cpp' WHEN '.cs' THEN 'dotnet' WHEN '.vb' THEN 'dotnet'
+WHEN '.rb' THEN 'ruby' WHEN '.rs' THEN 'rust' WHEN '.dart' THEN 'dart' WHEN '.mdx' THEN 'docs' WHEN '.yaml' THEN 'config' END AS language FROM f_path""",
+)
 def _(f):
-    return f.f_file.select("path", text.path_class(F.col("path")).alias("class"), text.language(F.col("path")).alias("language"))
+    p = F.col("path")
+    return f.f_path.select("path", text.is_generated(p).alias("generated"), text.is_vendor(p).alias("vendor"), text.is_test_file(p).alias("test"), text.language(p).alias("language"))
 
 
 @query("branch_policy", "SELECT path, branch FROM f_file WHERE branch LIKE 'rel%'")
@@ -377,14 +387,28 @@ def _(f):
     return f.table("events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
-@query("chat_context", "SELECT conv_id, turn, role, kept FROM (SELECT *, SUM(LENGTH(kept)) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING) AS used FROM (SELECT *, SUBSTR(text, 1, 1400) AS kept, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations) x WHERE back <= 8) y WHERE used <= 12000")
+LONG_CHAT = "SELECT conv_id, turn, role, CASE WHEN conv_id % 3 = 0 THEN REPEAT(CONCAT(text, ' '), 30) WHEN turn = 1 AND conv_id % 5 = 0 THEN '  ' ELSE text END AS text FROM conversations UNION ALL SELECT conv_id, turn + 100, CASE WHEN turn = 0 THEN ' ' ELSE role END, REPEAT(text, 40) FROM conversations WHERE conv_id % 2 = 0"
+
+
+@query(
+    "chat_context",
+    f"""WITH c AS ({LONG_CHAT}), b AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM c),
+l AS (SELECT conv_id, turn, CONCAT(CASE WHEN TRIM(role) = '' THEN 'MESSAGE' ELSE UPPER(TRIM(role)) END, ': ', CASE WHEN strlen(TRIM(text)) > 1400 THEN CONCAT(SUBSTR(TRIM(text), 1, 1400), '... (truncated)') ELSE TRIM(text) END, chr(10)) AS line FROM b WHERE back <= 8 AND TRIM(text) <> ''),
+u AS (SELECT *, 43 + SUM(strlen(line)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) - strlen(line) AS before FROM l),
+j AS (SELECT conv_id, CONCAT('Recent prior chat turns, oldest to newest:', chr(10), STRING_AGG(line, '' ORDER BY turn)) AS whole FROM u WHERE before < 12000 GROUP BY conv_id)
+SELECT d.conv_id, CASE WHEN whole IS NULL THEN 'Recent prior chat turns, oldest to newest:' WHEN strlen(whole) < 12000 THEN TRIM(whole, chr(10)) WHEN strlen(whole) = 12000 THEN whole ELSE CONCAT(SUBSTR(whole, 1, 12000), chr(10), chr(10), '(Output truncated before sending back to the model.)') END AS context
+FROM (SELECT DISTINCT conv_id FROM c) d LEFT JOIN j ON j.conv_id = d.conv_id""".replace("FROM conversations", "FROM (SELECT conv_id, turn, role, regexp_replace(text, '[^ -~]', '?', 'g') AS text FROM conversations) z"),
+)
 def _(f):
-    return chat.context(f.table("conversations"))
+    rows = f.table("conversations").withColumn("text", F.regexp_replace("text", "[^ -~]", "?"))
+    one = F.expr("CASE WHEN conv_id % 3 = 0 THEN REPEAT(CONCAT(text, ' '), 30) WHEN turn = 1 AND conv_id % 5 = 0 THEN '  ' ELSE text END")
+    more = rows.filter("conv_id % 2 = 0").select("conv_id", (F.col("turn") + 100).alias("turn"), F.when(F.col("turn") == 0, " ").otherwise(F.col("role")).alias("role"), F.expr("REPEAT(text, 40)").alias("text"))
+    return chat.context(rows.withColumn("text", one).select("conv_id", "turn", "role", "text").unionByName(more))
 
 
-@query("chat_anchors")
+@query("chat_query")
 def _(f):
-    return chat.anchors(f.table("conversations"))
+    return chat.retrieval_query(f.table("conversations").groupBy("conv_id").agg(F.lit("where is it").alias("query"), F.concat_ws("\n", F.collect_list("text")).alias("context")))
 
 
 @query("extract_facts")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 WIDE = ("CALLS", "DEPENDS_ON", "REFERENCES", "IMPORTS", "IMPORTS_FROM", "CONTAINS", "DEFINES", "EXTENDS", "IMPLEMENTS", "TYPE_DEFINES", "PROVIDES", "CONSUMES", "HANDLES", "EMITS", "ANCHOR_LINK")
@@ -57,6 +58,39 @@ def focused(tool: str, subject: str) -> Plan:
     return plan(PREFIXES[tool] + subject)
 
 
+#: Words that a search of the graph leaves out.
+STOP = frozenset(
+    (
+        "the", "and", "for", "from", "with", "this", "that", "how", "what", "where", "when", "which", "code", "flow", "path", "repo", "service",
+        "explain", "show", "important", "workloads", "pieces", "auto-instrumentation", "opentelemetry", "operator", "otel",
+    )
+)
+#: Words of one corpus that bring others along, as data: (any of these in a question, words that come first, unless a language is named).
+EXPANSIONS = (
+    (("instrument", "workload", "otel", "opentelemetry"), ("inject",), False),
+    (("instrument", "workload", "otel", "opentelemetry"), ("injectNodeJS", "injectPython", "injectDotNet"), True),
+    (("node", "javascript", "js"), ("NodeJS", "injectNodeJS"), False),
+    (("python",), ("Python", "injectPython"), False),
+    ((".net", "dotnet", "c#"), ("DotNet", "injectDotNet"), False),
+    (("instrument", "workload", "otel", "opentelemetry"), ("sdkInjector", "InstrumentationSpec", "instrumentation"), False),
+    (("webhook", "admission", "mutat"), ("webhook", "admission", "mutate"), False),
+    (("controller", "reconcile"), ("controller", "Reconcile"), False),
+)
+RUNTIMES = ("node", "javascript", "js", "python", ".net", "dotnet", "c#", " golang", " go ")
+
+
+def tokens(asked: str, most: int, expansions: tuple = EXPANSIONS) -> list[str]:
+    """Words to look up: those that the question's words bring along, then its own, each once, without stop words."""
+    low, out = asked.lower(), {}
+    runtime = low == "go" or any(r in low for r in RUNTIMES)
+    brought = [w for marks, words, alone in expansions if any(m in low for m in marks) and not (alone and runtime) for w in words]
+    own = [w for w in re.findall(r"[A-Za-z0-9_.$@:/-]+", asked) if len(w) >= 3]
+    for word in [*brought, *own]:
+        if word.lower() not in STOP and len(out) < most:
+            out.setdefault(word.lower(), word)
+    return list(out.values())
+
+
 def clamp(x: int, low: int, high: int) -> int:
     return max(low, min(x, high))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 #: Words that say nothing about code.
-STOP = ("the", "and", "for", "with", "that", "this", "from", "what", "where", "when", "how", "why", "does", "are", "which")
+STOP = ("the", "and", "for", "from", "with", "this", "that", "how", "what", "where", "when", "which", "code", "flow", "path", "repo", "service")
 
 
 def terms(question: str, most: int = 12) -> list[str]:

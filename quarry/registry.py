@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.plans import catalog, catalog_evidence  # noqa: F401  (the second adds its queries to the first)
+from quarry.plans import catalog, catalog_evidence, catalog_graph, catalog_search  # noqa: F401  (the others add their queries to the first)
 
 Query = Callable[[SparkSession, str], DataFrame]
 

@@ -57,13 +57,62 @@ FROM lineitem l JOIN part p ON p.p_partkey = l.l_partkey JOIN f_index i ON i.id
 SELECT i.org_id, i.repo_id, i.id AS graph_index_id, l.l_linenumber AS ordinal,
        CONCAT('cg:o', CAST(i.org_id AS VARCHAR(10)), ':part:', CAST(l.l_partkey AS VARCHAR(10))) AS src,
        CONCAT('cg:o', CAST(i.org_id AS VARCHAR(10)), ':supp:', CAST(l.l_suppkey AS VARCHAR(10))) AS dst,
-       CASE (l.l_orderkey + l.l_linenumber) % 6 WHEN 0 THEN 'CALLS' WHEN 1 THEN 'REFERENCES' WHEN 2 THEN 'IMPORTS_FROM'
-            WHEN 3 THEN 'DEFINES' WHEN 4 THEN 'IMPLEMENTS' ELSE 'CONTAINS' END AS relation,
-       CASE l.l_linenumber % 3 WHEN 0 THEN 'scip' WHEN 1 THEN 'ast-go' ELSE 'anchor-linker' END AS source,
+       CASE (l.l_orderkey + l.l_linenumber) % 9 WHEN 0 THEN 'CALLS' WHEN 1 THEN 'REFERENCES' WHEN 2 THEN 'IMPORTS_FROM'
+            WHEN 3 THEN 'DEFINES' WHEN 4 THEN 'IMPLEMENTS' WHEN 5 THEN 'CONTAINS' WHEN 6 THEN 'HANDLES' WHEN 7 THEN 'TYPE_DEFINES'
+            ELSE 'IMPORTS' END AS relation,
+       CASE l.l_linenumber % 5 WHEN 0 THEN 'scip' WHEN 1 THEN 'ast-go' WHEN 2 THEN 'anchor-linker' WHEN 3 THEN 'tree-sitter-python' ELSE 'heuristic' END AS source,
        ROUND(1.0 - l.l_discount, 2) AS confidence,
-       CONCAT('internal/s', CAST(l.l_suppkey AS VARCHAR(10)), CASE WHEN l.l_suppkey % 5 = 0 THEN '_test.go' ELSE '.go' END) AS source_file,
-       CAST(l.l_quantity AS INT) AS start_line
+       CONCAT(CASE l.l_suppkey % 4 WHEN 0 THEN 'pkg/webhook/s' WHEN 1 THEN 'lib/test/s' ELSE 'internal/s' END, CAST(l.l_suppkey AS VARCHAR(10)),
+              CASE WHEN l.l_suppkey % 5 = 0 THEN '_test.go' WHEN l.l_suppkey % 5 = 1 THEN '/sdk.py' ELSE '.go' END) AS source_file,
+       CAST(l.l_quantity AS INT) AS start_line,
+       CASE WHEN l.l_linenumber = 7 THEN CONCAT('CALLS ', CAST(l.l_partkey AS VARCHAR(10)), '.') ELSE CONCAT('ship ', l.l_returnflag) END AS evidence,
+       CASE WHEN l.l_suppkey % 3 = 0 THEN NULL ELSE l.l_linestatus END AS rationale
 FROM lineitem l JOIN f_index i ON i.id = l.l_orderkey
+""",
+    "f_vertex": """
+SELECT e.vid, e.org_id, e.repo_id, CONCAT('ws', CAST(e.repo_id % 2 AS VARCHAR(10))) AS workspace_id,
+       CASE e.k % 7 WHEN 0 THEN 'function' WHEN 1 THEN 'class' WHEN 2 THEN 'file' WHEN 3 THEN 'package' WHEN 4 THEN 'symbol' WHEN 5 THEN 'route' ELSE 'parameter' END AS kind,
+       CONCAT(CASE WHEN e.k % 11 = 0 THEN 'fmt.' WHEN e.k % 13 = 0 THEN 'scip npm ' WHEN e.k % 17 = 0 THEN 'local 7 ' ELSE '' END, p.p_brand, '/', p.p_name) AS key,
+       CONCAT(CASE e.k % 9 WHEN 0 THEN 'nodejs ' WHEN 1 THEN 'Python ' WHEN 2 THEN 'golang ' ELSE '' END, p.p_name) AS label,
+       CASE WHEN e.k % 3 = 0 THEN '' ELSE CONCAT(CASE WHEN e.k % 5 = 0 THEN 'src/test/' ELSE 'src/' END, CAST(e.k AS VARCHAR(10)), '.py') END AS path,
+       CASE WHEN e.k % 7 = 5 THEN CONCAT('/api/', CAST(e.k AS VARCHAR(10))) END AS route_path
+FROM (SELECT src AS vid, org_id, MIN(repo_id) AS repo_id, CAST(split_part(src, ':', 4) AS BIGINT) AS k FROM f_edge GROUP BY src, org_id) e JOIN part p ON p.p_partkey = e.k
+UNION ALL
+SELECT e.vid, e.org_id, e.repo_id, CONCAT('ws', CAST(e.repo_id % 2 AS VARCHAR(10))), 'method', s.s_name,
+       CONCAT(CASE e.k % 4 WHEN 0 THEN 'nodejs webhook ' WHEN 1 THEN 'logger. ' ELSE '' END, s.s_name), CONCAT('lib/', CASE WHEN e.k % 2 = 0 THEN 'python/' ELSE 'go/' END, CAST(e.k AS VARCHAR(10))), NULL
+FROM (SELECT dst AS vid, org_id, MIN(repo_id) AS repo_id, CAST(split_part(dst, ':', 4) AS BIGINT) AS k FROM f_edge GROUP BY dst, org_id) e JOIN supplier s ON s.s_suppkey = e.k
+""",
+    "f_link": """
+SELECT e.org_id, e.repo_id, e.graph_index_id, e.ordinal, e.src, e.dst, e.relation, e.source, CASE WHEN e.ordinal % 3 = 0 THEN NULL WHEN e.ordinal % 3 = 1 THEN ' ' ELSE e.source END AS provenance, e.confidence,
+       CASE e.relation WHEN 'CALLS' THEN 'call' WHEN 'REFERENCES' THEN 'reference' WHEN 'IMPORTS_FROM' THEN 'import' WHEN 'DEFINES' THEN 'definition' WHEN 'IMPLEMENTS' THEN 'inherits' WHEN 'TYPE_DEFINES' THEN 'type' WHEN 'CONTAINS' THEN 'containment' END AS context,
+       e.source_file AS evidence_path, e.start_line, CONCAT('ws', CAST(e.repo_id % 2 AS VARCHAR(10))) AS workspace_id, i.revision, CONCAT('c', CAST(e.graph_index_id AS VARCHAR(20))) AS commit_hash
+FROM f_edge e JOIN f_index i ON i.id = e.graph_index_id
+""",
+    "f_policy": """
+SELECT r.id, r.org_id, r.name, r.default_branch, CASE WHEN r.id % 9 = 8 THEN NULL ELSE TIMESTAMP '2024-01-01 00:00:00' END AS indexed_at,
+       CASE r.id % 6 WHEN 0 THEN '{}' WHEN 1 THEN '{"branches":["release*","main"],"tags":["v1*"],"indexedRevisions":["refs/heads/main","refs/heads/release-2","refs/tags/v1.0","refs/tags/v2.0","refs/heads/dev"]}'
+       WHEN 2 THEN '{"branches":["*"],"indexedRevisions":["refs/heads/dev","refs/heads/a-b","refs/heads/dev"]}' WHEN 3 THEN '{"indexedRevisions":["refs/heads/main","refs/heads/dev","abc123"]}'
+       WHEN 4 THEN '{"branches":["hotfix/?","topic"],"indexedRevisions":["refs/heads/hotfix/1","refs/heads/hotfix/22"]}' ELSE '{"branches":["[bad","dev"],"tags":[],"indexedRevisions":["","refs/heads/dev"]}' END AS metadata,
+       CASE WHEN r.id % 10 = 7 THEN 'REMOVE_INDEX' ELSE 'INDEX' END AS job_type, CASE r.id % 4 WHEN 0 THEN 'PENDING' WHEN 1 THEN 'IN_PROGRESS' WHEN 2 THEN 'FAILED' ELSE 'COMPLETED' END AS job_status
+FROM f_repo r
+""",
+    "f_graph": """
+SELECT i.id, i.org_id, i.repo_id, CONCAT('ws', CAST(i.repo_id % 2 AS VARCHAR(10))) AS workspace_id, i.revision,
+       CASE i.id % 11 WHEN 0 THEN 'FAILED' WHEN 1 THEN 'BUILDING' WHEN 2 THEN 'SKIPPED' WHEN 3 THEN 'PARTIAL' WHEN 4 THEN 'DELETING' WHEN 5 THEN 'PENDING' WHEN 6 THEN 'ODD' ELSE 'READY' END AS status,
+       i.indexed_at, i.updated_at, CASE WHEN i.id % 3 = 0 THEN i.updated_at END AS superseded_at, CAST(i.id % 4 AS INT) AS revisions, e.n AS edge_count,
+       CASE WHEN i.id % 5 = 0 THEN 0 ELSE e.n END AS anchor_count, CASE WHEN i.id % 7 = 0 THEN 0 ELSE e.n END AS linked_edge_count, CASE WHEN i.id % 2 = 0 THEN 0 ELSE e.n END AS semantic_edge_count
+FROM f_index i JOIN (SELECT l_orderkey, COUNT(*) AS n FROM lineitem GROUP BY l_orderkey) e ON e.l_orderkey = i.id
+""",
+    "f_scip": """
+SELECT i.id, i.org_id, i.repo_id, i.revision, CASE i.id % 8 WHEN 0 THEN 'FAILED' WHEN 1 THEN 'INDEXING' WHEN 2 THEN 'PARTIAL' WHEN 3 THEN 'PENDING' ELSE 'READY' END AS status,
+       CASE WHEN i.id % 9 = 0 THEN 0 ELSE i.id % 50 END AS occurrence_count, i.id % 6 AS symbol_count, i.id % 4 AS relationship_count, i.indexed_at, i.updated_at
+FROM f_index i
+""",
+    "f_repo_manifest": """
+SELECT i.id, i.repo_id, CONCAT('ws', CAST(i.repo_id % 2 AS VARCHAR(10))) AS workspace_id, i.revision AS branch, CASE i.id % 4 WHEN 0 THEN 'PENDING' ELSE 'READY' END AS status,
+       i.id % 5 AS file_count, CASE WHEN i.id % 3 = 0 THEN 0 WHEN i.id % 3 = 1 THEN i.id % 5 ELSE 1 END AS file_rows, CASE WHEN i.id % 2 = 0 THEN 'FULL_REPO' WHEN i.id % 7 = 0 THEN NULL ELSE 'DELTA_FILES' END AS lexical_strategy,
+       i.id % 2 AS changed_files, i.id % 6 AS deleted_files, CASE WHEN i.id % 8 = 1 THEN i.updated_at END AS superseded_at
+FROM f_index i
 """,
     "f_file": """
 SELECT doc_id, source AS repo_name, CASE WHEN doc_id % 5 = 0 THEN 'release' ELSE 'main' END AS branch,
@@ -72,6 +121,14 @@ SELECT doc_id, source AS repo_name, CASE WHEN doc_id % 5 = 0 THEN 'release' ELSE
               CASE doc_id % 4 WHEN 0 THEN '.go' WHEN 1 THEN '.py' WHEN 2 THEN '.ts' ELSE '.md' END) AS path,
        lang, text AS content
 FROM documents
+""",
+    "f_path": """
+SELECT doc_id, CONCAT(CASE doc_id % 13 WHEN 0 THEN 'web/node_modules/' WHEN 1 THEN 'third_party/' WHEN 2 THEN 'app/.venv/' WHEN 3 THEN 'dist/' WHEN 4 THEN 'vendor/bundle/'
+              WHEN 5 THEN 'src/coverage/' WHEN 6 THEN 'pkg/gen/' WHEN 7 THEN 'ui/__tests__/' WHEN 8 THEN 'spec/' WHEN 9 THEN 'mytest/' WHEN 10 THEN 'tests/' ELSE 'src/' END,
+              'd', CAST(doc_id AS VARCHAR(10)),
+              CASE doc_id % 17 WHEN 0 THEN '.go' WHEN 1 THEN '.py' WHEN 2 THEN '.test.ts' WHEN 3 THEN '.spec.jsx' WHEN 4 THEN '.min.js' WHEN 5 THEN '.generated.cs' WHEN 6 THEN '.kt'
+              WHEN 7 THEN '.hpp' WHEN 8 THEN '.RB' WHEN 9 THEN '.rs' WHEN 10 THEN '.dart' WHEN 11 THEN '.mdx' WHEN 12 THEN '.yaml' WHEN 13 THEN '' WHEN 14 THEN '.test.' WHEN 15 THEN '.Vb' ELSE '_test.go' END) AS path
+FROM documents
 """,
     "f_manifest_prev": """
 SELECT path, CAST(LENGTH(content) AS BIGINT) AS content_hash, repo_name, branch FROM f_file WHERE doc_id % 10 <> 0
@@ -124,6 +181,6 @@ class Frames:
     def __getattr__(self, name: str) -> DataFrame:
         if name not in VIEWS:
             raise AttributeError(name)
-        statement = oracle(f"SELECT * FROM {name}")
+        statement = oracle(f"SELECT * FROM {name}").replace("{", "{{").replace("}", "}}")
         used = sorted({t for t in TABLES if re.search(rf"\b{t}\b", statement)})
         return self.spark.sql(re.sub(rf"\b(FROM|JOIN) ({'|'.join(used)})\b", r"\1 {\2}", statement), **{t: self.table(t) for t in used})
