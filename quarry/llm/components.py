@@ -49,45 +49,39 @@ def contracted(links: DataFrame) -> DataFrame:
     return links.select("a", "b").mapInArrow(run, "a binary, b binary")
 
 
-def _large(links: DataFrame) -> DataFrame:
-    """Every larger neighbour of a node is linked to the node's least neighbour or itself."""
+def _large(links: DataFrame) -> tuple[DataFrame, str]:
+    """Every larger neighbour of a node is linked to the node's least neighbour or itself; and a table to drop later."""
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("low"))
-    return both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
+    low, path = scratch.keep(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("low")), "low")
+    return both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct(), path
 
 
-def _small(links: DataFrame) -> DataFrame:
-    """The smaller neighbours of a node, and itself, are linked to the least of them."""
-    low = links.groupBy("a").agg(F.min("b").alias("low"))
+def _small(links: DataFrame) -> tuple[DataFrame, str]:
+    """The smaller neighbours of a node, and itself, are linked to the least of them; and a table to drop later."""
+    low, path = scratch.keep(links.groupBy("a").agg(F.min("b").alias("low")), "low")
     others = links.join(low, "a").filter("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
-    return others.unionByName(low.select("a", F.col("low").alias("b"))).distinct()
+    return others.unionByName(low.select("a", F.col("low").alias("b"))).distinct(), path
 
 
 def _print(links: DataFrame) -> tuple:
     return tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
-#: Links, after contraction, that one task may hold (some 40 MB of it).
-ONE_TASK = 100_000
-
-
 def components(links: DataFrame) -> tuple[DataFrame, str]:
     """(node, root) of every node with a link, the root being the least of its component; and the table's path.
 
-    Few links, by count, are one forest in one task; more go by stars until nothing changes.
+    Partitions are forests first; then stars until nothing changes.
     """
     spark = links.sparkSession
     now, path = scratch.keep(contracted(links), "links")
     seen = _print(now)
-    few = seen[0] <= ONE_TASK
-    if few:
-        new, new_path = scratch.keep(contracted(now.coalesce(1)), "links")
-        scratch.drop(spark, path)
-        now, path = new, new_path
-    while not few:
-        new, new_path = scratch.keep(_small(_large(now)), "links")
+    while True:
+        large, used = _large(now)
+        large, large_path = scratch.keep(large, "links")
+        new, also = _small(large)
+        new, new_path = scratch.keep(new, "links")
         found = _print(new)
-        scratch.drop(spark, path)
+        scratch.drop(spark, path, used, also, large_path)
         now, path = new, new_path
         if found == seen:
             break

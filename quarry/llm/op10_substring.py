@@ -37,7 +37,8 @@ K, M = 13, 3
 LAST = np.iinfo(np.int64).max
 #: Text of a map block, and input bytes for each bucket.
 BLOCK, PER_BUCKET, LEAST_BUCKETS = 4 << 20, 2 << 20, 256
-FIRST_STEP, SECOND_STEP = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
+#: Bases of two hashes of runs of words.
+FIRST_BASE, SECOND_BASE = 0x0A0761D6478BD64F, 0x07037ED1A0B428DB
 PACKED = "bucket int, body binary, lengths binary, least binary, greatest binary"
 VERDICT = "key1 long, key2 long, places array<int>, firsts array<long>"
 FOUND = "doc_id long, row long, start int, key1 long, key2 long"
@@ -53,15 +54,6 @@ def least_of(x: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def runs_hash(h: np.ndarray, start: np.ndarray, end: np.ndarray, step: np.uint64) -> np.ndarray:
-    """A hash of h[start:end] for runs of any length."""
-    inverse = np.uint64(pow(int(step), -1, 1 << 64))
-    with np.errstate(over="ignore"):
-        sums = np.zeros(len(h) + 1, np.uint64)
-        np.cumsum(h * W._power(step, len(h))[: len(h)], out=sums[1:])
-        return W.mix((sums[end] - sums[start]) * W._power(inverse, len(h))[start] + (end - start).astype(np.uint64))
-
-
 def super_kmers(words: W.Words, k: int = K, m: int = M) -> tuple[np.ndarray, ...]:
     """(minimiser, document, first word, last word + 1, key1, key2) of each run of windows with one minimiser."""
     h = words.hashes()
@@ -74,7 +66,7 @@ def super_kmers(words: W.Words, k: int = K, m: int = M) -> tuple[np.ndarray, ...
     at = np.flatnonzero(new)
     start = first[at]
     end = first[np.append(at[1:], len(first)) - 1] + k
-    return least[at], doc[at], start, end, W.signed(runs_hash(h, start, end, FIRST_STEP)), W.signed(runs_hash(h, start, end, SECOND_STEP))
+    return least[at], doc[at], start, end, W.signed(W.runs_hash(h, start, end, FIRST_BASE)), W.signed(W.runs_hash(h, start, end, SECOND_BASE))
 
 
 def _ids(batch: pa.RecordBatch) -> np.ndarray:
@@ -128,8 +120,11 @@ def judge(packed: DataFrame) -> DataFrame:
         at = first[order]
         same = key[order][1:] == key[order][:-1]
         pair = np.flatnonzero(same)
-        for j in range(K):  # exact: equal hashes must have equal words
-            same[pair] &= h[at[pair] + j] == h[at[pair + 1] + j]
+        for j in range(K):  # exact: equal hashes must have equal bytes of words
+            one, two = at[pair] + j, at[pair + 1] + j
+            pair = pair[W.spans_equal(body, words.starts[one], words.ends[one], body, words.starts[two], words.ends[two])]
+        same[:] = False
+        same[pair] = True
         edge = np.flatnonzero(np.concatenate([[True], ~same]))
         group = np.cumsum(np.concatenate([[True], ~same])) - 1
         least, most = np.minimum.reduceat(low[string[order]], edge), np.maximum.reduceat(high[string[order]], edge)
@@ -140,7 +135,7 @@ def judge(packed: DataFrame) -> DataFrame:
         of = string[window]
         hit = np.unique(of)
         ends = words.bounds[hit + 1]
-        key1, key2 = (W.signed(runs_hash(h, words.bounds[hit], ends, s)) for s in (FIRST_STEP, SECOND_STEP))
+        key1, key2 = (W.signed(W.runs_hash(h, words.bounds[hit], ends, s)) for s in (FIRST_BASE, SECOND_BASE))
         keep = np.unique(np.stack([key1, key2], axis=1), axis=0, return_index=True)[1] if len(hit) else np.empty(0, int)
         begin, end = np.searchsorted(of, hit[keep]), np.searchsorted(of, hit[keep], "right")
         sizes = end - begin

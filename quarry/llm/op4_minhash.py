@@ -7,26 +7,35 @@ places. The values of a place are as for MinHash, but the steps of a shingle are
 of one permutation, so places are negatively correlated and the estimate varies less.
 
 Documents with equal sets form a class first, so copies cost one row. Bands of the
-signature put classes into buckets. A bucket of few members has all pairs of different
-components compared, on their full sets. In a larger one each member is compared
-with the pivot P, the member that shares most buckets with others, the likely centre of
-a family of copies. What that leaves open shrinks by a lemma. Let x and z be in two
-components, x without a link to P. If they share no shingle outside P, then x & z is
-within x & P, so a link needs |x & P| >= share (|x| + |z| - |x & P|); as P fails that,
-z must be smaller than P. Pairs that pass this and its like for z are compared; all
-other links share shingles outside P, and at least as many as the overlap that a link needs
-exceeds x & P. So members go to new buckets by these shingles, the rarest ones that must
-hold a shared one (a prefix filter), where independent changes fall apart and only what
-was copied together stays together.
-This goes on until no bucket holds two components: the same components as all pairs
-would give, without all pairs of a group. At the threshold itself 40 bands of 5 places
-lose one link in 8 million.
+signature put classes into buckets. Nothing is compared pair by pair within a bucket:
+each member is compared with one pivot P, the class that meets most others in its own
+or a neighbouring bucket, on their full sets. Union-find joins what is linked. For what
+that leaves open, let D be the shingles that a set has outside P, M those of P that it
+lacks, and ``E = 100 |M| + p |D| - (100 - p) |P|`` (p per cent; E > 0: no link with P).
+The sets x and z differ by at most the share that a link allows only if
+
+* they share at least ``(E(x) + p (|z| - |P|)) / (100 + p)`` shingles of D, or
+* z is smaller than P, and x lacks all of M(z) but ``(p (|P| - |z|) - E(x)) / (100 + p)``,
+
+where x is one of the two without a link to P (both in one component needs no link).
+So members meet again only in new buckets, one for each such shingle, of the rarest
+ones that must hold a shared one (a prefix filter): independent changes fall apart at
+once, and what was copied together stays together. The new bucket gets a pivot of its
+own, and sets are from then on known by D and M alone. This goes on until no bucket
+holds two components: the same components as all pairs of all buckets would give. A
+bucket's pivot leaves it, and from the third round on pivots are four times as many, so
+rounds are logarithmic; only sets that all resemble one another, share their changes and still
+differ by too much cost more than their number. At the threshold itself 40 bands of 5
+places lose one link in 8 million.
+
+Sets are those of the 64-bit shingle hashes that n_shingles counts.
 
 Defined results: null, empty and white texts have an empty set and no links, each being
 a component of its own; texts with fewer words than a shingle are one shingle; null ids
 count after all ids (a component without ids has a null component_id and is kept);
 repeated rows are in one component and have the same result; an empty table gives an
-empty result; columns other than doc_id and text are not read.
+empty result; columns other than doc_id and text are not read. ``keep`` leaves one row
+of each component, also of rows without ids or with equal ones, and every empty text.
 """
 
 from __future__ import annotations
@@ -41,13 +50,10 @@ from pyspark.sql import functions as F
 from quarry.llm import bloom, scratch
 from quarry.llm import words as W
 from quarry.llm.components import components
-from quarry.llm.op10_substring import FIRST_STEP, runs_hash
 
 BANDS, ROWS, PERCENT = 40, 5, 80
 BLOCK = 1 << 20
-#: Members of a bucket that are all compared with one another in the first round; twice as many in each later one,
-#: as what is left falls apart.
-FEW = 8
+SHORT_BASE = 0x1B873593CC9E2D51
 #: Pairs of one pivot that a task compares in a run.
 RUN = 2000
 FRACTION = np.uint64(48)
@@ -59,7 +65,7 @@ def shingles(words: W.Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     h, counts = words.hashes(), words.counts
     first, doc = words.window_doc(k)
     short = np.flatnonzero((counts > 0) & (counts < k))
-    e = np.concatenate([W.windows_hash(h, k)[first], runs_hash(h, words.bounds[short], words.bounds[short + 1], FIRST_STEP)])
+    e = np.concatenate([W.windows_hash(h, k)[first], W.runs_hash(h, words.bounds[short], words.bounds[short + 1], SHORT_BASE)])
     doc = np.concatenate([doc, short])
     order = np.lexsort((e, doc))
     e, doc = e[order], doc[order]
@@ -135,7 +141,7 @@ def sign(docs: DataFrame, k: int, bands: int = BANDS, rows: int = ROWS) -> DataF
 
 
 def texts_of(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> tuple[DataFrame, str]:
-    """(cls, text) of the classes in pairs, and the table's path. Later rounds compare some of the same classes."""
+    """(cls, text) of the classes in pairs, and the table's path."""
     wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct().join(classes.select("cls", "rep"), "cls")
     spark, identity = docs.sparkSession, lambda doc: F.xxhash64(F.coalesce(doc, F.lit(0)), "th")
     wanted, path = scratch.keep(wanted.select("cls", F.col("rep.doc_id").alias("r_doc"), F.col("rep.th").alias("th")), "wanted")
@@ -149,21 +155,21 @@ def texts_of(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> tuple[Dat
 
 
 def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b, star) with the text of a, each run of one b after a row of b's own text (a null there).
+    """Pairs (a, b) with the text of a, each run of one b after a row of b's own text (a null there).
 
     A pivot's pairs spread over runs of about RUN rows, so no task holds a hot pivot and its text is sent once a run.
     """
     size = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / RUN).alias("runs"))
     parted = pairs.join(size, "b").withColumn("run", F.pmod(F.xxhash64("a"), "runs"))
     heads = parted.select("b", "run").distinct().join(texts.withColumnRenamed("cls", "b"), "b")
-    rows = parted.join(texts.withColumnRenamed("cls", "a"), "a").select("a", "b", "run", "star", "text")
-    heads = heads.select(F.lit(None).cast("binary").alias("a"), "b", "run", F.lit(False).alias("star"), "text")
-    return rows.unionByName(heads).repartition("b", "run").sortWithinPartitions("b", "run", F.asc_nulls_first("a")).select("a", "b", "star", "text")
+    rows = parted.join(texts.withColumnRenamed("cls", "a"), "a").select("a", "b", "run", "text")
+    heads = heads.select(F.lit(None).cast("binary").alias("a"), "b", "run", "text")
+    return rows.unionByName(heads).repartition("b", "run").sortWithinPartitions("b", "run", F.asc_nulls_first("a")).select("a", "b", "text")
 
 
 def compared(met: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of pairs with texts: overlap and sizes of the full sets, whether that is a link, and for pairs with a
-    pivot (star) hashes of the shingles that a has outside it. Sets are of the 64-bit hashes that n_shingles counts."""
+    """Of pairs with texts: the sizes of both full sets, whether they are linked, and hashes of the shingles that only
+    a (d) and only b (m) has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivot = np.empty(0, np.uint64)
@@ -173,123 +179,184 @@ def compared(met: DataFrame, k: int, percent: int) -> DataFrame:
             cut = np.searchsorted(doc, np.arange(rows + 1))
             head = batch.column("a").is_null().to_numpy(zero_copy_only=False)
             bounds = np.unique(np.concatenate([[0], np.flatnonzero(head), [rows]]))
-            hit, b_n = np.zeros(len(e), bool), np.zeros(rows, np.int64)
+            hit, b_n, lacks = np.zeros(len(e), bool), np.zeros(rows, np.int64), []
             for low, high in zip(bounds[:-1], bounds[1:], strict=True):
                 if head[low]:
                     pivot = e[cut[low] : cut[low + 1]].copy()
                 mine = slice(cut[low], cut[high])
-                if len(pivot):
-                    at = np.minimum(np.searchsorted(pivot, e[mine]), len(pivot) - 1)
-                    hit[mine] = pivot[at] == e[mine]
+                at = np.minimum(np.searchsorted(pivot, e[mine]), max(len(pivot) - 1, 0))
+                hit[mine] = pivot[at] == e[mine] if len(pivot) else False
                 b_n[low:high] = len(pivot)
+                for r in range(low, high):
+                    own = slice(cut[r] - cut[low], cut[r + 1] - cut[low])
+                    there = np.zeros(len(pivot), bool)
+                    there[at[own][hit[mine][own]]] = True
+                    lacks.append(pivot[~there])
             n, both = np.diff(cut), np.bincount(doc[hit], minlength=rows)
             link = 100 * both >= percent * (n + b_n - both)
-            star = batch.column("star").to_numpy(zero_copy_only=False)
-            out = ~hit & star[doc]
-            offsets = np.concatenate([[0], np.cumsum(np.bincount(doc[out], minlength=rows))])
-            rest = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(W.signed(e[out])), mask=pa.array(~star))
-            full = pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b", "star")), pa.array(both, pa.int64()), pa.array(n, pa.int64()), pa.array(b_n), pa.array(link), rest], ["a", "b", "star", "both", "n", "b_n", "link", "rest"])
+            d = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n - both)]), pa.int32()), pa.array(W.signed(e[~hit])))
+            m = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in lacks])]), pa.int32()), pa.array(W.signed(np.concatenate([pivot[:0], *lacks]))))
+            full = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(n, pa.int64()), pa.array(b_n), pa.array(link), d, m], ["a", "b", "n", "b_n", "link", "d", "m"])
             yield full.filter(pa.array(~head))
 
-    return met.mapInArrow(run, "a binary, b binary, star boolean, both long, n long, b_n long, link boolean, rest array<long>")
+    return met.mapInArrow(run, "a binary, b binary, n long, b_n long, link boolean, d array<long>, m array<long>")
+
+
+def led(classes: DataFrame) -> tuple[DataFrame, str]:
+    """(bucket, cls, leader) of buckets with several classes, and the table's path: the leader is the class that meets
+    most others, of those in the bucket or in another bucket of one of its members."""
+    spark, paths = classes.sparkSession, []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        """Written, so that its size is known: Spark broadcasts it below its own limit and nothing else moves."""
+        df, path = scratch.keep(df, name)
+        paths.append(path)
+        return df
+
+    placed = classes.select("cls", F.explode("bands").alias("bucket"))
+    shared = kept(placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "shared")
+    live = kept(placed.join(shared, "bucket"), "live")
+    best = kept(live.groupBy("cls").agg(F.struct((-F.sum("c")).alias("score"), "cls").alias("best")), "best")
+    by_bucket = kept(live.join(best, "cls").groupBy("bucket").agg(F.min("best").alias("best")), "best")
+    best = kept(live.select("bucket", "cls").join(by_bucket, "bucket").groupBy("cls").agg(F.min("best").alias("best")), "best")
+    by_bucket = kept(live.join(best, "cls").groupBy("bucket").agg(F.min("best").alias("best")), "best")
+    out = scratch.keep(live.select("bucket", "cls").join(by_bucket, "bucket").select("bucket", "cls", F.col("best.cls").alias("leader")), "led")
+    scratch.drop(spark, *paths)
+    return out
+
+
+def postings(state: DataFrame, percent: int) -> tuple[DataFrame, list[str]]:
+    """(bucket, scope, cls, comp, first): the buckets in which members of a scope, that is of a pivot, can still be linked.
+    And tables to drop once it is written.
+
+    See the module's text. ``first`` orders a bucket's members: those without a link to the pivot, with least of their
+    own, lead. Shingles that members of one component alone have count as the rarest, as no open pair shares them.
+    """
+    d, m = F.size("d"), F.size("m")
+    ceil = lambda x: F.ceil(x / (100 + percent))
+    state = state.withColumn("e", 100 * m + percent * d - (100 - percent) * F.col("p_n"))
+    open_ = state.groupBy("scope").agg(F.min(F.when(~F.col("link"), F.col("e"))).alias("e_min"), F.max(F.col("p_n") - F.col("n")).alias("less"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    open_, open_path = scratch.keep(open_.filter("low <> high AND e_min IS NOT NULL").drop("low", "high"), "open")
+    state = state.join(open_, "scope")
+    smaller = F.greatest(F.col("less"), F.lit(0))
+    need = F.greatest(F.lit(1), F.when(F.col("link"), ceil(F.col("e_min") + percent * (F.col("n") - F.col("p_n")))).otherwise(ceil(F.col("e") - percent * smaller)))
+    short = percent * (F.col("p_n") - F.col("n")) - F.col("e_min")
+    some = F.when(~F.col("link") & (F.col("e") <= percent * smaller), m).when(short >= 0, F.floor(short / (100 + percent)) + 1).otherwise(0)
+    sides = F.array(F.struct(F.lit(0).alias("side"), (d - need + 1).alias("prefix"), F.col("d").alias("all")), F.struct(F.lit(1).alias("side"), some.alias("prefix"), F.col("m").alias("all")))
+    rows = state.select("scope", "cls", "comp", F.struct("link", d.alias("own"), "cls").alias("first"), F.explode(sides).alias("s")).filter("s.prefix > 0")
+    rows = rows.select("scope", "cls", "comp", "first", "s.side", "s.prefix", F.size("s.all").alias("size"), F.explode("s.all").alias("one")).withColumn("bucket", F.xxhash64("scope", "side", "one")).drop("one")
+    useful = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("often"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("bucket", "often")
+    useful, useful_path = scratch.keep(useful, "useful")
+    own = Window.partitionBy("scope", "cls", "side")
+    place = F.col("size") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("often", "bucket"))
+    return rows.join(useful, "bucket").withColumn("place", place).filter("place <= prefix").select("bucket", "scope", "cls", "comp", "first"), [open_path, useful_path]
+
+
+def turned(pairs: DataFrame, state: DataFrame, percent: int) -> DataFrame:
+    """Pairs (scope, cls, p) as rows of a state whose scope is the pivot p, by differences from the old scope's pivot.
+
+    Where ``whole`` is not set, only the link counts.
+    """
+    x = state.select("scope", "cls", "comp", "n", F.col("p_n").alias("s_n"), F.col("d").alias("xd"), F.col("m").alias("xm"))
+    y = state.select("scope", F.col("cls").alias("p"), F.col("comp").alias("p_comp"), F.col("n").alias("p_n"), F.col("d").alias("yd"), F.col("m").alias("ym"))
+    both = F.col("s_n") - F.size(F.array_union("xm", "ym")) + F.size(F.array_intersect("xd", "yd"))
+    met = pairs.join(x, ["scope", "cls"]).join(y, ["scope", "p"]).withColumn("both", both)
+    met = met.withColumn("link", 100 * F.col("both") >= percent * (F.col("n") + F.col("p_n") - F.col("both")))
+    d = F.concat(F.array_except("ym", "xm"), F.array_except("xd", "yd"))
+    m = F.concat(F.array_except("xm", "ym"), F.array_except("yd", "xd"))
+    return met.select(F.xxhash64("scope", "p").alias("scope"), "cls", "p", "n", "p_n", "link", F.when(F.col("link"), F.col("p_comp")).otherwise(F.col("comp")).alias("comp"), F.when(F.col("whole"), d).alias("d"), F.when(F.col("whole"), m).alias("m"))
 
 
 def linked(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> tuple[DataFrame | None, list[str]]:
-    """(node, root) of all classes with a link; and the tables to drop later. See the module's text."""
+    """(node, root) of the classes that have a link; and the tables to drop later. See the module's text.
+
+    A state's ``comp`` is a class that its row is linked to, if by several steps: rows of one comp need no link, and
+    union-find runs once, over the links of all rounds.
+    """
     spark = docs.sparkSession
-    placed = classes.select("cls", "n", F.explode("bands").alias("bucket"))
-    shared = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    live = placed.join(shared, "bucket").withColumn("comp", F.col("cls"))
-    roots, stars_path, odd, drop_paths, most = None, [], None, [], FEW
-    tried, tried_paths, texts, texts_path = None, [], None, []
+    places, places_path = led(classes)
+    pairs, path = scratch.keep(places.filter("cls <> leader").select(F.col("cls").alias("a"), F.col("leader").alias("b")).distinct(), "pairs")
+    scratch.drop(spark, places_path)
+    if pairs.isEmpty():
+        scratch.drop(spark, path)
+        return None, []
+    texts, texts_path = texts_of(pairs, docs, classes)
+    seen, seen_path = scratch.keep(compared(with_texts(pairs, texts), k, percent), "compared")
+    scratch.drop(spark, texts_path, path)
+    comp = F.when(F.col("link"), F.col("b")).otherwise(F.col("a"))
+    state = seen.select(F.xxhash64("b").alias("scope"), F.col("a").alias("cls"), F.col("b").alias("p"), "n", F.col("b_n").alias("p_n"), "link", comp.alias("comp"), "d", "m")
+    links, paths = state.filter("link").select(F.col("cls").alias("a"), F.col("p").alias("b")), [seen_path]
+    more = 0  # pivots of a bucket besides the first
     while True:
-        live, live_path = scratch.keep(live.select("bucket", "cls", "n", "comp", "c"), "live")
-        scratch.drop(spark, *drop_paths)
-        few = live.filter(F.col("c") <= most).select("bucket", F.col("cls").alias("a"), F.col("n").alias("a_n"), F.col("comp").alias("a_comp"))
-        other = few.toDF("bucket", "b", "b_n", "b_comp")
-        close = few.join(other, "bucket").filter(f"a < b AND a_comp <> b_comp AND 100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n)").select("a", "b", F.lit(False).alias("star")).distinct()
-        many = live.filter(F.col("c") > most)
-        central = many.groupBy("cls").agg(F.sum("c").alias("score"))
-        pivots = many.join(central, "cls").groupBy("bucket").agg(F.min(F.struct(-F.col("score"), "cls")).alias("p")).select("bucket", F.col("p.cls").alias("b"))
-        star = many.join(pivots, "bucket").filter("cls <> b").select(F.col("cls").alias("a"), "b", F.lit(True).alias("star")).distinct()
-        close = close if odd is None else close.unionByName(odd).distinct()
-        close = close if tried is None else close.join(tried, ["a", "b"], "left_anti")
-        pairs, pairs_path = scratch.keep(close.unionByName(star), "pairs")
-        scratch.drop(spark, live_path, *odd_path) if odd is not None else scratch.drop(spark, live_path)
-        tried_paths.append(pairs_path)
-        if pairs.isEmpty():
-            scratch.drop(spark, *tried_paths, *texts_path)
-            return roots, stars_path
-        done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        tried = done if tried is None else tried.unionByName(done)
-        if texts is None:
-            texts, path = texts_of(pairs, docs, classes)
-            texts_path = [path]
-        seen, seen_path = scratch.keep(compared(with_texts(pairs, texts), k, percent), "compared")
-        links = seen.filter("link").select("a", "b")
-        known = links if roots is None else links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).filter("a <> b"))
-        roots, new_path = components(known)
-        scratch.drop(spark, *stars_path)
-        stars_path = [new_path]
-        named = seen.filter("star").join(roots.select(F.col("node").alias("a"), "root"), "a", "left").withColumn("comp", F.coalesce("root", "a"))
-        two = named.groupBy("b").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("b")
-        around, around_path = scratch.keep(named.join(two, "b").select("a", "b", "both", "n", "b_n", "link", "comp", "rest"), "around")
-        scratch.drop(spark, seen_path)
-        x = around.filter("NOT link").select("b", F.col("a").alias("x"), F.col("both").alias("x_both"), F.col("n").alias("x_n"), F.col("comp").alias("x_comp"))
-        z = around.filter("n < b_n").select("b", F.col("a").alias("z"), F.col("both").alias("z_both"), F.col("n").alias("z_n"), F.col("comp").alias("z_comp"))
-        bound = f"100 * least(x_both, z_both) >= {percent} * (x_n + z_n - least(x_both, z_both))"
-        odd, path = scratch.keep(x.join(z, "b").filter(f"x_comp <> z_comp AND {bound}").select(F.least("x", "z").alias("a"), F.greatest("x", "z").alias("b"), F.lit(False).alias("star")).distinct(), "odd")
-        odd_path = [path]
-        need = F.greatest(F.lit(1), F.ceil(F.col("n") * percent / 100).cast("long") - F.col("both"))  # shingles outside P that a link shares at least
-        outside = around.select(F.col("a").alias("cls"), "n", "comp", "b", (F.size("rest") - need + 1).alias("prefix"), F.explode("rest").alias("one"))
-        outside = outside.withColumn("bucket", F.xxhash64("b", "one")).drop("one")
-        rarest = Window.partitionBy("cls", "b").orderBy("often", "bucket")
-        first = outside.join(outside.groupBy("bucket").agg(F.count(F.lit(1)).alias("often")), "bucket").withColumn("place", F.row_number().over(rarest)).filter("place <= prefix AND often > 1")
-        left, left_path = scratch.keep(first.select("bucket", "cls", "n", "comp"), "left")
-        scratch.drop(spark, around_path)
-        two = left.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("bucket", "c")
-        live, drop_paths = left.join(two, "bucket"), [left_path]
-        most *= 2
+        posts, used = postings(state, percent)
+        posts, path = scratch.keep(posts, "posts")
+        scratch.drop(spark, *used)
+        of = posts.groupBy("bucket").agg(F.min("first").alias("p"), F.count(F.lit(1)).alias("c"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+        of, of_path = scratch.keep(of.filter("low <> high").select("bucket", "c", F.col("p.cls").alias("p")), "of")
+        if of.isEmpty():
+            scratch.drop(spark, path, of_path)
+            break
+        stars = posts.join(of, "bucket")
+        if more:
+            also = F.pmod(F.xxhash64("cls", F.lit(more)), F.lit(1 << 20)) * F.col("c") < more << 20
+            others = stars.filter(also).select("bucket", F.col("cls").alias("q"))
+            extra = stars.join(others, "bucket").select("scope", "cls", F.col("q").alias("p"), F.lit(False).alias("whole"))
+            stars = stars.withColumn("whole", ~also)  # an extra pivot has met all of the bucket and needs no other of it
+        else:
+            stars, extra = stars.withColumn("whole", F.lit(True)), None
+        pairs = stars.select("scope", "cls", "p", "whole")
+        pairs = (pairs if extra is None else pairs.unionByName(extra)).filter("cls <> p").groupBy("scope", "cls", "p").agg(F.max("whole").alias("whole"))
+        seen, seen_path = scratch.keep(turned(pairs, state, percent), "turned")
+        scratch.drop(spark, path, of_path)
+        links = links.unionByName(seen.filter("link").select(F.col("cls").alias("a"), F.col("p").alias("b")))
+        paths.append(seen_path)
+        state, more = seen.filter("d IS NOT NULL"), 4 * more + 3
+    roots, path = components(links)
+    scratch.drop(spark, *paths)
+    return roots, [path]
 
 
 def components_of(docs: DataFrame, k: int, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, th, n_shingles, component_id, kept for each document."""
+    """doc_id, th, cls, n_shingles, component_id, kept for each document, and the id and text hash of the one of its
+    component that comes first."""
     spark = docs.sparkSession
     signed, _ = scratch.keep(sign(docs, k, bands, rows), "signed")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
     classes, classes_path = scratch.keep(signed.filter("cls IS NOT NULL").groupBy("cls").agg(F.min(order).alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
     roots, paths = linked(docs, classes, k, percent)
-    reps = classes.select("cls", F.col("rep.doc_id").alias("first"))
+    reps = classes.select("cls", "rep")
     if roots is None:
-        named = reps.select("cls", F.col("first").alias("component_id"))
+        reps = reps.withColumn("root", F.col("cls"))
     else:
-        joined = reps.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left")
-        least = joined.filter("root IS NOT NULL").groupBy("root").agg(F.min("first").alias("least"))
-        named = joined.join(least, "root", "left").select("cls", F.when(F.col("root").isNull(), F.col("first")).otherwise(F.col("least")).alias("component_id"))
-    named, _ = scratch.keep(named, "named")
+        reps = reps.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    least = reps.groupBy("root").agg(F.min("rep").alias("first"))
+    named, _ = scratch.keep(reps.join(least, "root").select("cls", "first"), "named")
     scratch.drop(spark, classes_path, *paths)
     out = signed.select("doc_id", "th", "n_shingles", "cls").join(named, "cls", "left")
-    component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "th", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+    component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id"))
+    return out.select("doc_id", "th", "cls", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"), F.col("first.doc_id").alias("first_doc"), F.col("first.th").alias("first_th"))
 
 
 def report(docs: DataFrame, k: int = 2) -> DataFrame:
-    return components_of(docs, k).drop("th")
+    return components_of(docs, k).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def keep(docs: DataFrame, k: int = 5) -> DataFrame:
-    """The documents, with all columns, less those that are near-duplicates of one with a smaller id.
+    """The documents, with all columns, one row of each component: of those with the smallest id.
 
-    Rows that surely stay, by a bounded filter of the rows that go, never move.
+    Rows that surely stay, by a bounded filter of the rows that go or are there again, never move.
     """
-    columns, row = docs.columns, F.xxhash64("doc_id", "text")
-    gone, _ = scratch.keep(components_of(docs, k).filter("NOT kept").select(F.col("doc_id").alias("gone_doc"), F.col("th").alias("gone_th")).distinct(), "gone")
-    key = F.xxhash64(F.coalesce("gone_doc", F.lit(0)), "gone_th").alias("row")
-    filled = bloom.build(gone.select(key), "row", gone.count())
-    marked = docs.withColumn("__th", F.xxhash64("text")).withColumn("__row", F.xxhash64(F.coalesce("doc_id", F.lit(0)), "__th"))
-    clear, maybe = bloom.parted(marked, "__row", filled)
-    stay = maybe.join(gone, maybe.doc_id.eqNullSafe(gone.gone_doc) & (maybe["__th"] == gone.gone_th), "left_anti")
-    return clear.unionByName(stay).select(*columns)
+    columns, identity = docs.columns, lambda doc, text: F.xxhash64(F.coalesce(doc, F.lit(0)), text)
+    whole = components_of(docs, k).filter("cls IS NOT NULL")
+    stays = F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("th") == F.col("first_th"))
+    marked = whole.groupBy(F.col("doc_id").alias("m_doc"), F.col("th").alias("m_th")).agg(F.max(stays).alias("stays"), F.count(F.lit(1)).alias("times"))
+    marked, _ = scratch.keep(marked.filter("NOT stays OR times > 1").select("m_doc", "m_th", "stays"), "marked")
+    filled = bloom.build(marked.select(identity("m_doc", "m_th").alias("row")), "row", marked.count())
+    rows = docs.withColumn("__th", F.xxhash64("text")).withColumn("__row", identity("doc_id", "__th"))
+    clear, maybe = bloom.parted(rows, "__row", filled)
+    met = maybe.join(marked, maybe.doc_id.eqNullSafe(marked.m_doc) & (maybe["__th"] == marked.m_th), "left")
+    once = met.filter("stays").dropDuplicates(["doc_id", "__th"])
+    return clear.select(*columns).unionByName(met.filter("stays IS NULL").select(*columns)).unionByName(once.select(*columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ is by position in one byte buffer, so no Python object is made per word.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,11 +21,11 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 BLOCK = 1 << 18
 
-_seeded = np.random.default_rng(20240229)
-TABLE = _seeded.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
 STEP = U64(0x9E3779B97F4A7C15 | 1)
-STEP_INVERSE = U64(pow(int(STEP), -1, 1 << 64))
 WINDOW_STEP = U64(0xD6E8FEB86659FD93)
+#: Words longer than this many bytes are hashed one by one.
+LONG = 64
+PRIME = (1 << 61) - 1
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -36,34 +37,93 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> U64(31))
 
 
-def _power(base: np.uint64, n: int) -> np.ndarray:
-    have = _powers.get(int(base))
-    if have is None or len(have) < n:
-        size = max(BLOCK + 4096, n)
-        with np.errstate(over="ignore"):
-            have = np.concatenate([np.ones(1, U64), np.cumprod(np.full(size, base, U64))])
-        if size <= BLOCK * 16:
-            _powers[int(base)] = have
-    return have
+def _chunks(data: np.ndarray) -> np.ndarray:
+    """The eight bytes that follow each place, zeros beyond the end, as one little-endian number."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
+
+
+def _chunk(chunks: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The ``min(left, 8)`` bytes at each place, as a number."""
+    out = chunks[at]
+    short = left < 8
+    out[short] &= (U64(1) << (left[short] * 8).astype(U64)) - U64(1)
+    return out
 
 
 def spans_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit polynomial hash of each ``data[start:end]``; starts ascend, spans don't overlap."""
+    """A 64-bit hash of each ``data[start:end]``: eight bytes a step, each through the mixer, so no step is linear."""
     out = np.empty(len(starts), U64)
     if not len(starts):
         return out
-    cuts = np.unique(np.searchsorted(starts, np.arange(int(starts[0]), int(starts[-1]) + 1, BLOCK)))
-    cuts = np.append(cuts, len(starts))
+    size = ends - starts
+    out[:] = size
+    out = mix(out)
+    chunks = _chunks(data)
+    with np.errstate(over="ignore"):
+        live, done = np.flatnonzero(size <= LONG), 0
+        while len(live):
+            out[live] = mix((out[live] ^ _chunk(chunks, starts[live] + done, size[live] - done)) + STEP)
+            done += 8
+            live = live[size[live] > done]
+    for i in np.flatnonzero(size > LONG):
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return out
+
+
+def spans_equal(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, other_starts: np.ndarray, other_ends: np.ndarray) -> np.ndarray:
+    """Whether ``data[start:end]`` and ``other[start:end]`` are the same bytes."""
+    size = ends - starts
+    same = size == other_ends - other_starts
+    mine, its = _chunks(data), _chunks(other)
+    live, done = np.flatnonzero(same & (size > 0)), 0
+    while len(live) and done < LONG:
+        left = size[live] - done
+        same[live] = _chunk(mine, starts[live] + done, left) == _chunk(its, other_starts[live] + done, left)
+        done += 8
+        live = live[same[live] & (size[live] > done)]
+    for i in live:
+        same[i] = np.array_equal(data[starts[i] : ends[i]], other[other_starts[i] : other_ends[i]])
+    return same
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo the Mersenne prime 2**61 - 1."""
+    x = (x & U64(PRIME)) + (x >> U64(61))
+    return np.where(x >= U64(PRIME), x - U64(PRIME), x)
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo 2**61 - 1, of numbers below it, by halves of 31 and 30 bits."""
+    low = U64((1 << 31) - 1)
+    ah, al, bh, bl = a >> U64(31), a & low, b >> U64(31), b & low
+    cross = ah * bl + al * bh  # below 2**62
+    # ah * bh * 2**62 is twice ah * bh; cross * 2**31 is split so that no part leaves 61 bits
+    return _reduced(_reduced((ah * bh) << U64(1)) + _reduced(al * bl) + _reduced((cross >> U64(30)) + ((cross & U64((1 << 30) - 1)) << U64(31))))
+
+
+def _power(base: int, n: int) -> np.ndarray:
+    """Powers 0 to n - 1 of a base modulo 2**61 - 1."""
+    have = _powers.get(base)
+    if have is None or len(have) < n:
+        have = np.ones(1, U64)
+        while len(have) < n:
+            have = np.concatenate([have, _times(have, np.full(len(have), pow(base, len(have), PRIME), U64))])
+        if len(have) <= BLOCK * 16:
+            _powers[base] = have
+    return have
+
+
+def runs_hash(h: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
+    """A 64-bit hash of each h[start:end], for runs of any length: a polynomial modulo 2**61 - 1, by prefix sums."""
+    terms = _times(_reduced(h), _power(base, len(h))[: len(h)])
+    low = U64((1 << 31) - 1)
+    halves = [np.concatenate([np.zeros(1, U64), np.cumsum(x)]) for x in (terms >> U64(31), terms & low)]
+    high, rest = (_reduced(x[end] - x[start]) for x in halves)
+    sums = _reduced(_times(high, np.full(len(high), 1 << 31, U64)) + rest)
+    place = _times(sums, _power(pow(base, -1, PRIME), len(h) + 1)[start])
     with np.errstate(over="ignore"):
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            if a == b:
-                continue
-            low, high = int(starts[a]), int(ends[b - 1])
-            sums = np.zeros(high - low + 1, U64)
-            np.cumsum(TABLE[data[low:high]] * _power(STEP, high - low)[: high - low], out=sums[1:])
-            s, e = starts[a:b] - low, ends[a:b] - low
-            out[a:b] = (sums[e] - sums[s]) * _power(STEP_INVERSE, high - low)[s]
-    return mix(out ^ (ends - starts).astype(U64))
+        return mix(place + (end - start).astype(U64) * STEP)
 
 
 def windows_hash(h: np.ndarray, k: int) -> np.ndarray:

@@ -55,3 +55,12 @@ def test_text(spark):
     docs = spark.createDataFrame([(1, passage, "s"), (2, f"a {passage}\nb", "s")], SCHEMA + ", row string")
     got = {r.doc_id: r.text for r in op10_substring.without(docs, op10_substring.repeated(docs)[0]).collect()}
     assert got == {1: passage, 2: "a b"}
+
+
+def test_words_of_equal_polynomials(spark):
+    """Words, and runs of words, of two kinds that collide in every polynomial hash modulo a power of two."""
+    one = "".join("ab"[i.bit_count() % 2] for i in range(1024))
+    other = one.translate(str.maketrans("ab", "ba"))
+    kinds = lambda x: " ".join({"a": "left", "b": "right"}[c] for c in x)
+    rows = [(1, f"{one} c d e f g h i j k l m n"), (2, f"{other} c d e f g h i j k l m n"), (3, kinds(one)), (4, kinds(other))]
+    check(spark, rows)

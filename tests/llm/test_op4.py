@@ -101,3 +101,44 @@ def test_components(spark):
     df = spark.createDataFrame(links, "a binary, b binary").repartition(4)
     got = {bytes(x.node): bytes(x.root) for x in components.components(df)[0].collect()}
     assert got == {x: forest.root(x) for pair in links for x in pair}
+
+
+def test_words_of_equal_polynomials(spark):
+    """Words of two letters that collide in every polynomial hash modulo a power of two."""
+    one = "".join("ab"[i.bit_count() % 2] for i in range(1024))
+    other = one.translate(str.maketrans("ab", "ba"))
+    check(spark, [(1, one), (2, other), (3, f"{one} x y z"), (4, f"{other} x y z"), (5, f"x {one}"), (6, " ".join([one, other] * 600)), (7, " ".join([other, one] * 600))])
+
+
+def test_cut_texts_and_changed_copies(spark):
+    """Sets that differ by what they lack: beginnings of one text, some with changes of their own or shared ones."""
+    r = random.Random(21)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(60):
+        w = base[r.randint(0, 12) : r.randint(75, 120)]
+        for _ in range(r.randint(0, 4)):
+            w[r.randrange(len(w))] = r.choice(("y1", "y2", f"x{r.randint(0, 99)}"))
+        rows.append((i, " ".join(w)))
+    assert 1 < len({c for _, c in brute.near(rows, 2).values()}) < 60
+    for k in (1, 2, 5):
+        check(spark, rows, k)
+
+
+def test_no_centre(spark):
+    """Changed copies of a text that isn't there, no two of which are linked, and some that are."""
+    r = random.Random(4)
+    base, rows = [f"w{i}" for i in range(100)], []
+    for i in range(50):
+        w = base[:]
+        for j in r.sample(range(100), r.randint(3, 8)):
+            w[j] = f"x{r.randint(0, 10**6)}"
+        rows.append((i, " ".join(w)))
+    check(spark, rows)
+
+
+def test_keep_leaves_one_row_of_each_component(spark):
+    rows = [(None, "a b c d e f", 1), (None, "a b c d e f", 2), (7, "g h i j k l", 3), (7, "g h i j k l", 4), (8, "g h i j k l", 5), (None, None, 6), (9, "", 7), (None, "m n o p q r", 8), (3, "m n o p q r", 9)]
+    got = op4_minhash.keep(spark.createDataFrame(rows, SCHEMA + ", n long").repartition(3)).collect()
+    assert len(got) == 5
+    assert {(r.doc_id, r.text) for r in got} == {(None, "a b c d e f"), (7, "g h i j k l"), (None, None), (9, ""), (3, "m n o p q r")}
