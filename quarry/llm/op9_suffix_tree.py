@@ -1,29 +1,40 @@
 """Language-model scores by a probabilistic suffix tree over words.
 
-Contexts have variable length. A context is considered if its relative frequency is at
-least ``P_MIN``, which bounds each level of the tree by ``1 / P_MIN`` entries at every
-size of corpus; it is retained if its next-word distribution diverges from that of its
-longest suffix by more than its parameters cost (Kullback-Leibler gain in nats against
-half a log of the corpus for each). A retained context s gives
-``P(w|s) = max(c(sw) - D, 0) / c(s) + rest(s) P(w|suffix(s))``, where ``rest`` makes it
-sum to 1; other contexts are their suffix. The root is the add-half unigram law over
-all words of the corpus and one unknown word. A word is scored by its longest state.
-
-Counting is by level: n-grams are only counted where both their (n-1)-grams passed,
-in blocks, so what moves is the distinct n-grams of a block. Words under ``P_MIN`` may
-be any number: their counts stay a table. For such a word no context has an entry, so
-its probability is a product of rests and its root probability, and the logarithm of
-the latter is added by a join, once for each such word of a document.
+Contexts have up to ``DEPTH`` words. A context s that occurs ``LEAST`` times or more is
+retained if its next-word distribution diverges from that of its longest suffix by more
+than its parameters cost: the sum over its occurrences of ``ln P(w|s) / P(w|suffix(s))``,
+in relative frequencies, against half a log of the corpus for each distinct next word
+(for a suffix without words, the root law below). A retained s gives
+``P(w|s) = max(c(sw) - D, 0) / c(s) + D T(s) / c(s) P(w|suffix(s))``, T(s) being its
+distinct next words, so it sums to 1; other contexts are their suffix. The root is the
+add-half unigram law over all words of the corpus and one unknown word. A word is scored
+by its longest state.
+
+The tree is never held anywhere: no count and no context is left out for the corpus's
+size, and what is gathered grows with it. Texts go into blocks. A block asks for what it
+needs by sorted hashes (its share of the counts with them), one packed row for each
+range of hashes; the task of a range adds up what all blocks sent and answers each row
+in its order. Three such rounds give each block all it needs:
+
+1. counts of its words and pairs of words,
+2. which of its words are retained contexts, with T, and the counts of its triples whose
+   context occurs ``LEAST`` times,
+3. which of its pairs are retained contexts, with T.
+
+Sums over a context's occurrences are sums over blocks: T is that of 1 / c(sw). A block
+sends a word once however often it has it, so a hot word costs a row no more than others.
 
 Defined results: a null or empty text is the end token alone; a null doc_id counts as
 the empty string (it trains); repeated rows train and score each for itself; without
-training rows every score is that of unknown words; an empty table gives an empty
-result; columns other than doc_id and text are not read.
+training rows every score is that of unknown words; a very long text is a block of its
+own; an empty table gives an empty result; columns other than doc_id and text are not
+read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,242 +45,326 @@ from pyspark.sql import functions as F
 from quarry.llm import scratch
 from quarry.llm import words as W
 
-P_MIN, DEPTH, DISCOUNT = 2e-6, 2, 0.75
-BLOCK = 2 << 20
-#: Distinct keys that a task gathers before it hands them on.
-GATHER = 1 << 20
+DEPTH, LEAST, DISCOUNT = 2, 2, 0.75
+#: Text of a block, and text whose hashes one task of a range adds up.
+BLOCK, PER_RANGE, LEAST_RANGES = 4 << 20, 8 << 20, 8
 END = np.uint64(0x2545F4914F6CDD1D)
-LOCAL = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, full double, rare array<long>, times array<int>"
+#: What a unit of a gain and of a share of T is, so that sums don't depend on their order.
+GAIN, SHARE = 1 << 16, 1 << 32
+BLOCKS = "ids array<long>, held array<boolean>, lengths array<long>, body binary, bytes long, tokens long"
+STATE = "block long, ids array<long>, held array<boolean>, lengths array<long>, body binary, known binary"
+ASKED = "block long, part int, keys binary, values binary"
+ANSWER = "block long, part int, distinct long, answer binary"
+SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
 def held_out() -> F.Column:
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 1
 
 
-def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of each document's words and its end token; and the bounds of documents."""
-    words = W.of_column(column, lower=True)
-    bounds = words.bounds + np.arange(len(words.bounds))
-    out = np.empty(bounds[-1], np.uint64)
-    end = np.zeros(len(out), bool)
-    end[bounds[1:] - 1] = True
-    out[end], out[~end] = END, words.hashes()
-    return W.signed(out), bounds
+def packed(x: np.ndarray) -> bytes:
+    """64-bit numbers by planes of their bytes, so that small ones and small steps take few."""
+    planes = np.ascontiguousarray(x, "<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    return len(x).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True) if len(x) else b""
 
 
-def find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Places of keys in a sorted table, or -1."""
-    if not len(table):
-        return np.full(len(keys), -1, np.int64)
-    at = np.searchsorted(table, keys)
-    at[at == len(table)] = 0
-    return np.where(table[at] == keys, at, -1)
+def unpacked(x: bytes | None) -> np.ndarray:
+    if not x:
+        return np.empty(0, np.uint64)
+    n = int.from_bytes(x[:8], "little")
+    planes = np.frombuffer(pa.decompress(x[8:], 8 * n, "zstd"), np.uint8).reshape(8, n)
+    return np.ascontiguousarray(planes.T).view("<u8").ravel()
 
 
-@dataclass
-class Tree:
-    """Level n: sorted keys of the frequent (n+1)-grams and their counts; ``share`` is an entry's own part of
-    P(w|s), ``rest`` what a context leaves to its suffix (1 where it isn't retained)."""
-
-    keys: list[np.ndarray]
-    counts: list[np.ndarray]
-    share: list[np.ndarray]
-    rest: list[np.ndarray]
-    total: int = 0
-    distinct: int = 0
-
-    @property
-    def width(self) -> int:
-        return len(self.keys[0]) + 1
-
-    def grams(self, hashes: np.ndarray, bounds: np.ndarray, levels: int) -> list[np.ndarray]:
-        """For each level n the place of the (n+1)-gram that ends at each token, or -1."""
-        out = [find(self.keys[0], hashes)]
-        position = np.arange(len(hashes)) - np.repeat(bounds[:-1], np.diff(bounds))
-        for n in range(1, levels):
-            before = np.full(len(hashes), -1, np.int64)
-            before[1:] = out[n - 1][:-1]
-            ok = (before >= 0) & (out[0] >= 0) & (position >= n)
-            place = np.full(len(hashes), -1, np.int64)
-            place[ok] = find(self.keys[n], before[ok] * self.width + out[0][ok])
-            out.append(place)
-        return out
-
-    def root(self, counts: np.ndarray) -> np.ndarray:
-        return (counts + 0.5) / (self.total + 0.5 * (self.distinct + 1))
-
+def blocks(docs: DataFrame) -> DataFrame:
+    """The texts in blocks, with ids, whether they are held out, and how many tokens of the block train."""
 
-def _gathered(pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    """Sums of counts by key over a task, handed on whenever there are many keys."""
-    keys, counts, held = [], [], 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in W.slices(batches, "text", BLOCK):
+            data, offsets = W.buffers(batch.column("text"))
+            held = batch.column("held").to_numpy(zero_copy_only=False)
+            n = W.split(data, offsets).counts + 1
+            rows = [pa.array([batch.column(c).to_pylist()], t) for c, t in (("doc_id", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())))]
+            body = len(data).to_bytes(8, "little") + (pa.compress(data.tobytes(), "zstd", asbytes=True) if len(data) else b"")
+            yield pa.RecordBatch.from_arrays([*rows, pa.array([np.diff(offsets)], pa.list_(pa.int64())), pa.array([body], pa.binary()), pa.array([len(data)]), pa.array([int(n[~held].sum())])], ["ids", "held", "lengths", "body", "bytes", "tokens"])
 
-    def merge() -> None:
-        nonlocal keys, counts, held
-        if keys:
-            k, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-            keys, counts, held = [k], [np.bincount(inverse, np.concatenate(counts), len(k)).astype(np.int64)], len(k)
+    rows = docs.select("doc_id", held_out().alias("held"), "text").mapInArrow(run, BLOCKS)
+    return rows.select(F.monotonically_increasing_id().alias("block"), "*")
 
-    def batch() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(keys[0] if keys else [], pa.int64()), pa.array(counts[0] if keys else [], pa.int64())], ["key", "c"])
 
-    for k, c in pairs:
-        keys.append(k)
-        counts.append(c)
-        held += len(k)
-        if held > 2 * GATHER:
-            merge()
-            if held > GATHER:
-                yield batch()
-                keys, counts, held = [], [], 0
-    merge()
-    yield batch()
+@dataclass
+class Tokens:
+    """The tokens of a block. ``word`` are hashes, ``place`` is a token's place in its document, ``train`` whether it counts."""
+
+    ids: list[int | None]
+    held: np.ndarray
+    bounds: np.ndarray
+    word: np.ndarray
+    place: np.ndarray
+    train: np.ndarray
+
+    @classmethod
+    def of(cls, row: dict) -> Tokens:
+        size = int.from_bytes(row["body"][:8], "little")
+        data = np.frombuffer(pa.decompress(row["body"][8:], size, "zstd"), np.uint8) if size else np.empty(0, np.uint8)
+        words = W.split(data, np.concatenate([[0], np.cumsum(row["lengths"])]).astype(np.int64), lower=True)
+        bounds = words.bounds + np.arange(len(words.bounds))
+        word = np.empty(bounds[-1], np.uint64)
+        end = np.zeros(len(word), bool)
+        end[bounds[1:] - 1] = True
+        word[end], word[~end] = END, words.hashes()
+        held = np.array(row["held"], bool)
+        sizes = np.diff(bounds)
+        return cls(row["ids"], held, bounds, word, np.arange(len(word)) - np.repeat(bounds[:-1], sizes), ~np.repeat(held, sizes))
+
+    def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where a gram of n words ends, and a hash of each; the two lowest bits say n."""
+        at = np.flatnonzero(self.place >= n - 1)
+        x = self.word[at - n + 1] if n > 1 else self.word[at]
+        with np.errstate(over="ignore"):
+            for j in range(n - 2, -1, -1):
+                x = W.mix(x) * W.WINDOW_STEP + self.word[at - j]
+        return at, W.mix(x) & ~np.uint64(3) | np.uint64(n)
+
+
+class Asking:
+    """Sorted hashes that a block asks about, and at each place of ``at`` which of them is meant."""
+
+    def __init__(self, parts: list[tuple[np.ndarray, np.ndarray]]):
+        keys = np.concatenate([np.empty(0, np.uint64), *(k for _, k in parts)])
+        self.keys, inverse = np.unique(keys, return_inverse=True)
+        cuts = np.cumsum([0, *(len(k) for _, k in parts)])
+        self.parts = [(at, inverse[a:b]) for (at, _), a, b in zip(parts, cuts[:-1], cuts[1:], strict=True)]
+
+    def spread(self, part: int, answer: np.ndarray, n: int) -> np.ndarray:
+        """The answers at the places of one part, zeros elsewhere."""
+        out = np.zeros(n, np.int64)
+        at, which = self.parts[part]
+        out[at] = answer[which]
+        return out
 
+    def total(self, part: int, rows: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """Sums by key of whole numbers at some of a part's places."""
+        out = np.zeros(len(self.keys), np.int64)
+        np.add.at(out, self.parts[part][1][rows], values)
+        return out
 
-def count_words(docs: DataFrame) -> DataFrame:
-    """(key, c): occurrences of each word hash and of the end token in the documents."""
+    def rows(self, block: int, ranges: int, values: list[np.ndarray]) -> Iterator[tuple]:
+        part = ((self.keys >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+        cuts = np.searchsorted(part, np.arange(ranges + 1))
+        for p in np.flatnonzero(np.diff(cuts)).tolist():
+            own = slice(int(cuts[p]), int(cuts[p + 1]))
+            steps = np.diff(self.keys[own], prepend=np.uint64(0))
+            yield block, p, packed(steps), b"".join(len(x).to_bytes(8, "little") + x for x in (packed(v[own].view(np.uint64)) for v in values))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _gathered(np.unique(tokens(b.column("text"))[0], return_counts=True) for b in W.slices(batches, "text", BLOCK))
 
-    return docs.select("text").mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+def words_and_pairs(t: Tokens) -> Asking:
+    return Asking([t.grams(1), t.grams(2)])
 
 
-def count_grams(docs: DataFrame, tree: Tree, level: int) -> DataFrame:
-    """(key, c) of (level+1)-grams whose two parts passed; key: place of the first part, and of the last word."""
-    shared = docs.sparkSession.sparkContext.broadcast(tree)  # at most (level / P_MIN) entries
+@dataclass
+class Counted:
+    """What rounds so far told of a block's tokens: counts of the word, of the pair and of the triple that ends there."""
+
+    tokens: Tokens
+    one: np.ndarray
+    two: np.ndarray
+
+    @classmethod
+    def of(cls, t: Tokens, answer: np.ndarray) -> Counted:
+        asking = words_and_pairs(t)
+        return cls(t, *(asking.spread(i, answer, len(t.word)) for i in (0, 1)))
+
+    def contexts(self) -> Asking:
+        """Words that are contexts, where the word after them stands; and triples whose context occurs often enough."""
+        t = self.tokens
+        _, k1 = t.grams(1)
+        after = np.flatnonzero(t.place >= 1)
+        after = after[self.one[after - 1] >= LEAST]
+        at, k3 = t.grams(3)
+        some = (self.two[at - 1] >= LEAST) & (self.two[at] >= 1)
+        return Asking([(after, k1[after - 1]), (at[some], k3[some])])
+
+    def pairs(self) -> Asking:
+        """Pairs that are contexts, where the word after them stands."""
+        at, k2 = self.tokens.grams(2)
+        of = np.zeros(len(self.tokens.word), np.uint64)
+        of[at] = k2
+        after = np.flatnonzero(self.tokens.place >= 2)
+        after = after[self.two[after - 1] >= LEAST]
+        return Asking([(after, of[after - 1])])
+
+
+def evidence(asking: Asking, part: int, train: np.ndarray, ratio: np.ndarray, next_count: np.ndarray) -> list[np.ndarray]:
+    """By context its gain and its share of T, from the training tokens that follow it."""
+    at = asking.parts[part][0]
+    rows = np.flatnonzero(train[at])
+    gain = np.rint(np.log(ratio[rows]) * GAIN).astype(np.int64)
+    share = np.rint(SHARE / next_count[rows]).astype(np.int64)
+    return [asking.total(part, rows, gain), asking.total(part, rows, share)]
+
+
+def exchange(asked: DataFrame, values: int, answer: Callable[[np.ndarray, list[np.ndarray]], np.ndarray]) -> DataFrame:
+    """Answers to each packed row, from sums over all rows of its range; with block -1 the distinct words that count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs():
-            t = shared.value
-            for b in W.slices(batches, "text", BLOCK):
-                hashes, bounds = tokens(b.column("text"))
-                grams = t.grams(hashes, bounds, level)
-                first, last = grams[level - 1][:-1], grams[level - 1][1:]
-                position = np.arange(len(hashes)) - np.repeat(bounds[:-1], np.diff(bounds))
-                ok = (first >= 0) & (last >= 0) & (position[1:] >= level)
-                yield np.unique(first[ok] * t.width + grams[0][1:][ok], return_counts=True)
-
-        yield from _gathered(pairs())
-
-    return docs.select("text").mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
-
-
-def _frequent(table: DataFrame, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys and counts of those with at least ``least``: no more than 1 / P_MIN rows, as counts add up to the corpus."""
-    t = table.filter(F.col("c") >= F.lit(float(least))).toArrow()
-    keys, counts = (t.column(n).to_numpy().astype(np.int64) for n in ("key", "c"))
-    order = np.argsort(keys)
-    return keys[order], counts[order]
-
-
-def grow(tree: Tree, level: int, keys: np.ndarray, counts: np.ndarray) -> None:
-    """Adds a level and decides which contexts of ``level`` words are retained."""
-    context, word = keys // tree.width, keys % tree.width
-    n = len(tree.counts[level - 1])
-    of = tree.counts[level - 1][context].astype(float)
-    p, part = counts / of, np.maximum(counts - DISCOUNT, 0) / of
-    parent = tree.root(tree.counts[0][word])
-    for j in range(1, level):  # P(word | the last j words of the context), from the shortest
-        place, have = _suffix(tree, level, context, j)
-        entry = np.full(len(word), -1, np.int64)
-        entry[have] = find(tree.keys[j], place[have] * tree.width + word[have])
-        own = np.where(entry >= 0, tree.share[j][entry] if len(tree.share[j]) else 0.0, 0.0)
-        left = np.where(have, tree.rest[j][place], 1.0)
-        parent = own + left * parent
-    explained = np.bincount(context, p, n)
-    gain = np.bincount(context, counts * np.log(p / parent), n).astype(float)
-    outside = np.maximum(1 - explained, 0)
-    outside_parent = np.maximum(1 - np.bincount(context, parent, n), 1e-12)
-    gain += np.where(outside > 0, tree.counts[level - 1] * outside * np.log(np.maximum(outside, 1e-12) / outside_parent), 0)
-    entries = np.bincount(context, minlength=n)
-    retained = (entries > 0) & (gain > 0.5 * np.log(max(tree.total, 2)) * entries)
-    rest = np.where(retained, 1 - np.bincount(context, part, n), 1.0)
-    tree.keys.append(keys)
-    tree.counts.append(counts)
-    tree.share.append(np.where(retained[context], part, 0.0))
-    tree.rest.append(rest)
-
-
-def _suffix(tree: Tree, level: int, context: np.ndarray, j: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places, among the frequent j-grams, of the last j words of contexts of ``level`` words; and where there is one."""
-    words = []
-    place = context
-    for n in range(level - 1, 0, -1):
-        key = tree.keys[n][place]
-        words.append(key % tree.width)
-        place = key // tree.width
-    words.append(place)
-    words = words[:j][::-1]
-    out, have = words[0], np.ones(len(context), bool)
-    for n in range(1, j):
-        new = np.full(len(context), -1, np.int64)
-        new[have] = find(tree.keys[n], out[have] * tree.width + words[n][have])
-        out, have = new, have & (new >= 0)
-    return np.where(have, out, 0), have
-
-
-def train(docs: DataFrame, p_min: float = P_MIN, depth: int = DEPTH) -> tuple[Tree, DataFrame, str]:
-    """The tree, the table of all word counts and its path. docs: training rows only."""
-    table, path = scratch.keep(count_words(docs), "words")
-    total, distinct = table.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    least = max(1.0, p_min * total)
-    keys, counts = _frequent(table, least)
-    tree = Tree([keys], [counts], [np.zeros(len(keys))], [np.ones(len(keys))], total, distinct)
-    for level in range(1, depth + 1):
-        grow(tree, level, *_frequent(count_grams(docs, tree, level), least))
-    return tree, table, path
-
-
-def score(docs: DataFrame, tree: Tree, table: DataFrame) -> DataFrame:
+        rows, keys, sums, part = [], [], [[] for _ in range(values)], None
+        for batch in batches:
+            for r in batch.to_pylist():
+                k = np.cumsum(unpacked(r["keys"]), dtype=np.uint64)
+                rows.append((r["block"], len(k)))
+                keys.append(k)
+                part, at = r["part"], 0
+                for v in sums:
+                    size = int.from_bytes(r["values"][at : at + 8], "little")
+                    v.append(unpacked(r["values"][at + 8 : at + 8 + size]).view(np.int64))
+                    at += 8 + size
+        all_, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        totals = []
+        for v in sums:
+            total = np.zeros(len(all_), np.int64)
+            np.add.at(total, inverse, np.concatenate(v))
+            totals.append(total)
+        said = answer(all_, totals)[inverse]
+        words = int(((all_ & np.uint64(3) == 1) & (totals[0] > 0)).sum())
+        yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([part], pa.int32()), pa.array([words]), pa.array([b""], pa.binary())], ["block", "part", "distinct", "answer"])
+        cuts = np.cumsum([0, *(n for _, n in rows)])
+        for i, (block, _) in enumerate(rows):
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([part], pa.int32()), pa.array([0]), pa.array([packed(said[cuts[i] : cuts[i + 1]].view(np.uint64))], pa.binary())], ["block", "part", "distinct", "answer"])
+
+    return asked.groupBy("part").applyInArrow(run, ANSWER)
+
+
+def answered(state: DataFrame, answers: DataFrame, run: Callable[[dict, np.ndarray], Iterator], schema: str, build: Callable[[list], pa.RecordBatch]) -> DataFrame:
+    """``run`` over each block with its answers, which come in the order of their ranges, streaming."""
+    own = [f.name for f in state.schema.fields]
+    rows = state.select(*own, F.lit(-1).alias("part"), F.lit(None).cast("binary").alias("answer"))
+    more = answers.filter("block >= 0").select("block", *(F.lit(None).cast(f.dataType).alias(f.name) for f in state.schema.fields[1:]), "part", "answer")
+    met = rows.unionByName(more).repartition("block").sortWithinPartitions("block", "part")
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, parts = None, []
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["part"] < 0:
+                    if head is not None:
+                        yield from map(build, run(head, np.concatenate([np.empty(0, np.uint64), *parts]).view(np.int64)))
+                    head, parts = r, []
+                else:
+                    parts.append(unpacked(r["answer"]))
+        if head is not None:
+            yield from map(build, run(head, np.concatenate([np.empty(0, np.uint64), *parts]).view(np.int64)))
+
+    return met.mapInArrow(go, schema)
+
+
+def _records(schema: str) -> Callable[[list], pa.RecordBatch]:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64()), "array<boolean>": pa.list_(pa.bool_())}
+    fields = [x.split(" ") for x in schema.split(", ")]
+
+    def build(rows: list) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) or [[] for _ in fields]
+        return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], [n for n, _ in fields])
+
+    return build
+
+
+#: Rows of the next round's questions, after a row with the block's state (``part`` -1).
+BOTH = f"{STATE}, part int, keys binary, values binary"
+
+
+def _with_state(row: dict, known: list[np.ndarray], asked: Iterator[tuple]) -> Iterator[list]:
+    said = b"".join(len(x).to_bytes(8, "little") + x for x in (packed(k.view(np.uint64)) for k in known))
+    yield [(row["block"], row["ids"], row["held"], row["lengths"], row["body"], (row.get("known") or b"") + said, -1, None, None)]
+    for block, part, keys, values in asked:
+        yield [(block, None, None, None, None, None, part, keys, values)]
+
+
+def _known(row: dict) -> list[np.ndarray]:
+    out, at, said = [], 0, row["known"] or b""
+    while at < len(said):
+        size = int.from_bytes(said[at : at + 8], "little")
+        out.append(unpacked(said[at + 8 : at + 8 + size]).view(np.int64))
+        at += 8 + size
+    return out
+
+
+def _root(count: np.ndarray, total: int, distinct: int) -> np.ndarray:
+    return (count + 0.5) / (total + 0.5 * (distinct + 1))
+
+
+def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each document."""
-    shared = docs.sparkSession.sparkContext.broadcast(tree)  # at most (DEPTH + 1) / P_MIN entries
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = shared.value
-        levels = len(t.keys)
-        root = t.root(t.counts[0])
-        for batch in W.slices(batches, "text", BLOCK):
-            hashes, bounds = tokens(batch.column("text"))
-            grams = t.grams(hashes, bounds, levels)
-            common = grams[0] >= 0
-            at = np.maximum(grams[0], 0)
-            base = np.where(common, root[at], 1.0) if len(root) else np.ones(len(hashes))
-            p = base.copy()
-            position = np.arange(len(hashes)) - np.repeat(bounds[:-1], np.diff(bounds))
-            for n in range(1, levels):
-                before = np.full(len(hashes), -1, np.int64)
-                before[1:] = grams[n - 1][:-1]
-                state = (before >= 0) & (position >= n)
-                left = np.where(state, t.rest[n][np.maximum(before, 0)], 1.0) if len(t.rest[n]) else np.ones(len(hashes))
-                own = np.where(grams[n] >= 0, t.share[n][np.maximum(grams[n], 0)], 0.0) if len(t.share[n]) else 0.0
-                p = own + left * p
-            first = bounds[:-1]
-            rare = np.flatnonzero(~common)
-            doc = np.repeat(np.arange(batch.num_rows), np.diff(bounds))[rare]
-            order = np.lexsort((hashes[rare], doc))
-            word, doc = hashes[rare][order], doc[order]
-            new = np.flatnonzero(np.concatenate([[True], (word[1:] != word[:-1]) | (doc[1:] != doc[:-1])])) if len(word) else np.empty(0, int)
-            offsets = pa.array(np.searchsorted(doc[new], np.arange(batch.num_rows + 1)), pa.int32())
-            times = np.diff(np.append(new, len(word)))
-            sums = [np.add.reduceat(np.log10(x), first) if len(first) else np.empty(0) for x in (base, p)]
-            known = np.add.reduceat(common.astype(np.int64), first) if len(first) else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), batch.column("doc_id"), batch.column("held_out"), pa.array(np.diff(bounds), pa.int64()), pa.array(known), pa.array(sums[0]), pa.array(sums[1]), pa.ListArray.from_arrays(offsets, pa.array(word[new], pa.int64())), pa.ListArray.from_arrays(offsets, pa.array(times, pa.int32()))],
-                ["row", "doc_id", "held_out", "n_tokens", "known", "base", "full", "rare", "times"],
-            )
-
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", held_out().alias("held_out"), "text")
-    local, _ = scratch.keep(rows.mapInArrow(run, LOCAL), "scored")  # written, so that row numbers stay
-    each = local.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("key"), F.col("x.times").alias("times"))
-    whole = tree.total + 0.5 * (tree.distinct + 1)
-    c = F.coalesce("c", F.lit(0))
-    rare = each.join(table, "key", "left").groupBy("row").agg(F.sum(F.col("times") * F.log10((c + 0.5) / F.lit(float(whole)))).alias("more"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("seen"))
-    out = local.select("row", "doc_id", "held_out", "n_tokens", "known", "base", "full").join(rare, "row", "left")
-    more = F.coalesce("more", F.lit(0.0))
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("seen", F.lit(0))).cast("long").alias("n_known"), F.lit(int(tree.total)).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("full") + more).alias("score"))
+    spark = docs.sparkSession
+    first, first_path = scratch.keep(blocks(docs), "blocks")
+    size, total = first.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
+    ranges, cost = max(LEAST_RANGES, size // PER_RANGE), 0.5 * math.log(max(total, 2))
+
+    def ask_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                t = Tokens.of(row)
+                asking = words_and_pairs(t)
+                count = sum((asking.total(p, rows, np.ones(len(rows), np.int64)) for p in (0, 1) for rows in [np.flatnonzero(t.train[asking.parts[p][0]])]), np.zeros(len(asking.keys), np.int64))
+                for x in asking.rows(row["block"], ranges, [count]):
+                    yield _records(ASKED)([x])
+
+    counts, counts_path = scratch.keep(exchange(first.select("block", "ids", "held", "lengths", "body").mapInArrow(ask_counts, ASKED), 1, lambda keys, sums: sums[0]), "counts")
+    distinct = counts.filter("block < 0").agg(F.coalesce(F.sum("distinct"), F.lit(0))).first()[0]
+
+    def ask_contexts(row: dict, answer: np.ndarray) -> Iterator[list]:
+        c = Counted.of(Tokens.of(row), answer)
+        t, asking = c.tokens, c.contexts()
+        at = asking.parts[0][0]
+        gains = evidence(asking, 0, t.train, np.where(t.train[at], c.two[at] / c.one[at - 1] / _root(c.one[at], total, distinct), 1.0), np.maximum(c.two[at], 1))
+        rows = np.flatnonzero(t.train[asking.parts[1][0]])
+        triples = asking.total(1, rows, np.ones(len(rows), np.int64))
+        yield from _with_state(row, [answer], asking.rows(row["block"], ranges, [triples, *gains]))
+
+    def retained(gain: np.ndarray, share: np.ndarray) -> np.ndarray:
+        t = np.rint(share / SHARE).astype(np.int64)
+        return np.where((t > 0) & (gain / GAIN > cost * t), t, 0)
+
+    state = first.select("block", "ids", "held", "lengths", "body", F.lit(None).cast("binary").alias("known"))
+    second, second_path = scratch.keep(answered(state, counts, ask_contexts, BOTH, _records(BOTH)), "contexts")
+    scratch.drop(spark, first_path, counts_path)
+    scratch.release(spark)
+    told, told_path = scratch.keep(exchange(second.filter("part >= 0").select("block", "part", "keys", "values"), 3, lambda keys, sums: np.where(keys & np.uint64(3) == 3, sums[0], retained(sums[1], sums[2]))), "told")
+
+    def ask_pairs(row: dict, answer: np.ndarray) -> Iterator[list]:
+        c = Counted.of(Tokens.of(row), _known(row)[0])
+        t, asking = c.tokens, c.pairs()
+        three = c.contexts().spread(1, answer, len(t.word))
+        at = asking.parts[0][0]
+        ratio = np.where(t.train[at], np.maximum(three[at], 1) / c.two[at - 1] / (np.maximum(c.two[at], 1) / c.one[at - 1]), 1.0)
+        yield from _with_state(row, [answer], asking.rows(row["block"], ranges, evidence(asking, 0, t.train, ratio, np.maximum(three[at], 1))))
+
+    third, third_path = scratch.keep(answered(second.filter("part < 0").select(*(x.split(" ")[0] for x in STATE.split(", "))), told, ask_pairs, BOTH, _records(BOTH)), "pairs")
+    scratch.drop(spark, second_path, told_path)
+    scratch.release(spark)
+    last, _ = scratch.keep(exchange(third.filter("part >= 0").select("block", "part", "keys", "values"), 2, lambda keys, sums: retained(*sums)), "last")
+
+    def law(row: dict, answer: np.ndarray) -> Iterator[list]:
+        counts, told = _known(row)
+        c = Counted.of(Tokens.of(row), counts)
+        t, contexts = c.tokens, c.contexts()
+        one, three = contexts.spread(0, told, len(t.word)), contexts.spread(1, told, len(t.word))
+        two = c.pairs().spread(0, answer, len(t.word))
+        base = _root(c.one, total, distinct)
+        p = base.copy()
+        for next_words, of, own in ((one, np.roll(c.one, 1), c.two), (two, np.roll(c.two, 1), three)):
+            some = next_words > 0
+            p[some] = np.maximum(own[some] - DISCOUNT, 0) / of[some] + DISCOUNT * next_words[some] / of[some] * p[some]
+        starts = t.bounds[:-1]
+        if not len(starts):
+            return
+        sums = [np.add.reduceat(np.log10(x), starts) for x in (base, p)]
+        known = np.add.reduceat((c.one > 0).astype(np.int64), starts)
+        yield list(zip(t.ids, t.held.tolist(), np.diff(t.bounds).tolist(), known.tolist(), [total] * len(starts), sums[0].tolist(), sums[1].tolist(), strict=True))
+
+    return answered(third.filter("part < 0").select(*(x.split(" ")[0] for x in STATE.split(", "))), last, law, SCORES, _records(SCORES))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    tree, table, _ = train(docs.filter(~held_out()))
-    return score(docs, tree, table)
+    return score(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

@@ -52,6 +52,11 @@ def drop(spark: SparkSession, *paths: str) -> None:
         _delete(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the cleaner take the shuffle files of plans that are done: it sees them when the driver's JVM collects garbage."""
+    spark.sparkContext._jvm.System.gc()
+
+
 @atexit.register
 def _sweep() -> None:
     """What results still read goes when the driver ends."""
