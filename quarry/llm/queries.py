@@ -14,4 +14,32 @@ QUERIES = {
     "op9_suffix_tree": op9_suffix_tree.query,
     "op10_substring": op10_substring.query,
 }
-ORACLE_SQL: dict[str, str] = {}
+
+BITS = "array_to_string(list_transform(range(1, 41), lambda i: SUBSTR('0000000100100011010001010110011110001001101010111100110111101111', strpos('0123456789abcdef', SUBSTR(h, i, 1)) * 4 - 3, 4)), '')"
+BASE32 = "array_to_string(list_transform(range(0, 32), lambda i: SUBSTR('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + 16 * CAST(SUBSTR(bits, 5 * i + 1, 1) AS INT) + 8 * CAST(SUBSTR(bits, 5 * i + 2, 1) AS INT) + 4 * CAST(SUBSTR(bits, 5 * i + 3, 1) AS INT) + 2 * CAST(SUBSTR(bits, 5 * i + 4, 1) AS INT) + CAST(SUBSTR(bits, 5 * i + 5, 1) AS INT), 1)), '')"
+WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+ESCAPED = r"regexp_replace({0}, '<(\\*)\|', '<\\\1|', 'g')"
+ROLE = ESCAPED.format(r"REPLACE(REPLACE(role, '\', '\\'), chr(10), '\n')")
+
+#: What DuckDB gives for the queries that SQL can express. The others stand against brute-force versions in the tests.
+ORACLE_SQL: dict[str, str] = {
+    "op3_warc": f"""SELECT page_id, payload_bytes, {BASE32} AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM (SELECT *, {BITS} AS bits FROM (SELECT page_id, strlen(body) AS payload_bytes, sha1(body) AS h, MIN(page_id) OVER (PARTITION BY body) AS first FROM (SELECT page_id, COALESCE(html, '') AS body FROM pages) p) q) r""",
+    "op4_minhash": f"""WITH RECURSIVE d AS (SELECT doc_id, {WORDS.format(f"translate(COALESCE(text, ''), '{UPPER}', '{LOWER}')")} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) = 1 THEN w[1] ELSE CONCAT(w[i], ' ', w[i + 1]) END AS e FROM (SELECT doc_id, w, UNNEST(range(1, GREATEST(len(w), 2))) AS i FROM d WHERE len(w) > 0) x),
+n AS (SELECT doc_id, COUNT(*) AS n FROM s GROUP BY doc_id),
+l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.e = b.e AND a.doc_id <> b.doc_id JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id GROUP BY ALL HAVING 100 * COUNT(*) >= 80 * (MIN(x.n) + MIN(y.n) - COUNT(*))),
+r(doc_id, node) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.node)
+SELECT d.doc_id, COALESCE(n.n, 0) AS n_shingles, COALESCE(c.least, d.doc_id) AS component_id, d.doc_id = COALESCE(c.least, d.doc_id) AS kept FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN (SELECT doc_id, MIN(node) AS least FROM r GROUP BY doc_id) c ON c.doc_id = d.doc_id""",
+    "op8_chat": f"""WITH c AS (SELECT conv_id, turn, COALESCE(role, '') AS role, COALESCE(text, '') AS text FROM conversations UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')
+SELECT conv_id, COUNT(*) AS n_turns, sha256(STRING_AGG(CONCAT(role, chr(10), text, chr(10)), '' ORDER BY turn, role, text)) AS turns_sha256, CAST(COALESCE(SUM(LENGTH(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+sha256(COALESCE(STRING_AGG(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(SUM(24 + LENGTH({ROLE}) + LENGTH({ESCAPED.format('text')})) AS BIGINT) AS formatted_chars FROM c GROUP BY conv_id""",
+    "op10_substring": f"""WITH d AS (SELECT doc_id, {WORDS.format("COALESCE(text, '')")} AS w FROM documents),
+v AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS k FROM (SELECT doc_id, w, UNNEST(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13) x),
+f AS (SELECT k, MIN(doc_id) AS first FROM v GROUP BY k HAVING MIN(doc_id) < MAX(doc_id)),
+g AS (SELECT DISTINCT doc_id, i + j AS p FROM (SELECT v.doc_id, v.i FROM v JOIN f ON f.k = v.k WHERE f.first < v.doc_id) y, range(0, 13) t(j)),
+a AS (SELECT doc_id, UNNEST(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+k AS (SELECT a.doc_id, STRING_AGG(a.word, ' ' ORDER BY a.p) AS kept FROM a LEFT JOIN g ON g.doc_id = a.doc_id AND g.p = a.p WHERE g.p IS NULL GROUP BY a.doc_id)
+SELECT d.doc_id, len(d.w) AS n_words, COALESCE(n.n, 0) AS n_removed, sha256(COALESCE(k.kept, '')) AS kept_sha256 FROM d LEFT JOIN k ON k.doc_id = d.doc_id LEFT JOIN (SELECT doc_id, COUNT(*) AS n FROM g GROUP BY doc_id) n ON n.doc_id = d.doc_id""",
+}
