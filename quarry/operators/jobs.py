@@ -30,20 +30,6 @@ def dispatchable(subjobs: DataFrame) -> DataFrame:
     return waiting.join(flags, "job_id").filter(ready).select("id", "job_id", "layer", "attempt")
 
 
-def after_failure(subjobs: DataFrame, empty: bool = False, timeout: bool = False) -> DataFrame:
-    """The next status of running subjobs that fail."""
-    skip = F.lit(empty or timeout) & (F.col("layer") == "SCIP")
-    state = F.when(skip, "SKIPPED").when(F.col("attempt") < F.col("max_attempts"), "RETRYING").when(F.col("layer").isin("SCIP", "AST_TREE_SITTER"), "SKIPPED").otherwise("FAILED")
-    return subjobs.filter(F.col("status") == "RUNNING").select("id", "layer", state.alias("next_status"))
-
-
-def expired(subjobs: DataFrame, now: str, lease_seconds: int) -> DataFrame:
-    """Running subjobs whose lease, from their start, is over, with what becomes of them."""
-    over = F.col("created_at") + F.make_interval(secs=F.lit(lease_seconds)) < F.lit(now).cast("timestamp_ntz")
-    state = F.when(F.col("attempt") < F.col("max_attempts"), "RETRYING").when(F.col("layer").isin("SCIP", "AST_TREE_SITTER"), "SKIPPED").otherwise("FAILED")
-    return subjobs.filter((F.col("status") == "RUNNING") & over).select("id", "layer", state.alias("next_status"))
-
-
 def completed(subjobs: DataFrame) -> DataFrame:
     """Jobs with no unfinished subjob."""
     finished = F.col("status").isin(*DONE, "FAILED", "CANCELED")

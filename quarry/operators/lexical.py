@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text
 
-MOST_LINES, MOST_BYTES = 800, 16_384
+#: Lines and bytes of a slice, bytes of a source that is read at all, and bytes of a line.
+MOST_LINES, MOST_BYTES, MOST_SOURCE, MOST_LINE = 800, 16_384, 4 << 20, 2000
+#: Depth and entries of a tree.
+DEEPEST, MOST_ENTRIES = 10, 10_000
 
 
 def lines(files: DataFrame) -> DataFrame:
@@ -32,7 +35,23 @@ def by_repo(matches: DataFrame) -> DataFrame:
 def read(files: DataFrame, repo: str, path: str, offset: int = 1, limit: int = MOST_LINES) -> DataFrame:
     if offset < 1 or not 1 <= limit <= MOST_LINES:
         raise ValueError(f"lines count from 1, and {MOST_LINES} at most are read")
-    return lines(files.filter((F.col("repo_name") == repo) & (F.col("path") == path))).filter(F.col("line").between(offset, offset + limit - 1))
+    one = files.filter((F.col("repo_name") == repo) & (F.col("path") == path) & (F.octet_length("content") <= MOST_SOURCE))
+    rows = lines(one).filter(F.col("line").between(offset, offset + limit - 1)).withColumn("content", text.cut_bytes(F.col("content"), MOST_LINE))
+    upto = Window.partitionBy("repo_name", "branch", "path").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("used", F.sum(F.octet_length("content") + 1).over(upto)).filter(F.col("used") <= MOST_BYTES).drop("used")
+
+
+def listed(files: DataFrame, repo: str, below: str = "", depth: int = 1, folders: bool = True, leaves: bool = True, most: int = 1000) -> DataFrame:
+    """Entries of one repository below a folder, as the tool lists them; depth counts from that folder."""
+    if not 1 <= depth <= DEEPEST or not 1 <= most <= MOST_ENTRIES:
+        raise ValueError(f"depth is 1 to {DEEPEST}, and entries are 1 to {MOST_ENTRIES}")
+    base = below.strip("/")
+    inside = files.filter(F.col("repo_name") == repo)
+    if base:
+        inside = inside.filter(F.col("path").startswith(base + "/")).withColumn("path", F.substr("path", F.lit(len(base) + 2)))
+    rows = tree(inside, depth, None).filter((F.col("is_file") & F.lit(leaves)) | (~F.col("is_file") & F.lit(folders)))
+    named = F.concat(F.lit(base + "/" if base else ""), F.col("entry"))
+    return rows.withColumn("entry", named).orderBy(F.lower("entry"), "entry").limit(most)
 
 
 def tree(files: DataFrame, depth: int, most: int | None = 1000) -> DataFrame:

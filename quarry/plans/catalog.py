@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.functions import text
-from quarry.operators import chat, delta, edges, extract, graph, jobs, latest, lexical, scope, status, symbols
+from quarry.operators import chat, delta, edges, graph, jobs, latest, lexical, scope, status, symbols
 from quarry.plans import search
 from quarry.sources.fixtures import Frames, oracle
 
@@ -277,35 +277,6 @@ def _(f):
     return delta.merged(f.f_manifest_prev, f.f_manifest_cur, ["path", "repo_name", "branch"], ["content_hash"]).select("path", "repo_name", "branch", "content_hash")
 
 
-DONE = "dep.status NOT IN ('SUCCEEDED', 'SKIPPED')"
-TOLERATED = "NOT (dep.layer = 'SCIP' AND dep.status IN ('FAILED', 'CANCELED'))"
-
-
-@query(
-    "list_dispatchable",
-    f"""SELECT id, job_id, layer, attempt FROM f_subjob s WHERE status IN ('QUEUED', 'RETRYING') AND attempt < max_attempts AND (layer IN ('CLONE', 'REMOVE')
-OR (layer IN ('ZOEKT', 'AST_TREE_SITTER', 'SCIP') AND NOT EXISTS (SELECT 1 FROM f_subjob dep WHERE dep.job_id = s.job_id AND dep.layer = 'CLONE' AND {DONE}))
-OR (layer = 'GRAPH_MERGE' AND NOT EXISTS (SELECT 1 FROM f_subjob dep WHERE dep.job_id = s.job_id AND dep.layer IN ('AST_TREE_SITTER', 'SCIP') AND {DONE} AND {TOLERATED}))
-OR (layer = 'ACTIVATE' AND NOT EXISTS (SELECT 1 FROM f_subjob dep WHERE dep.job_id = s.job_id AND dep.layer <> 'ACTIVATE' AND {DONE} AND {TOLERATED})
-AND NOT EXISTS (SELECT 1 FROM f_subjob act WHERE act.job_id = s.job_id AND act.layer = 'ACTIVATE' AND act.id <> s.id AND act.status IN ('QUEUED', 'CLAIMED', 'RUNNING', 'VALIDATING', 'RETRYING') AND (act.created_at < s.created_at OR (act.created_at = s.created_at AND act.id < s.id)))))""",
-)
-def _(f):
-    return jobs.dispatchable(f.f_subjob)
-
-
-NEXT = "CASE WHEN attempt < max_attempts THEN 'RETRYING' WHEN layer IN ('SCIP', 'AST_TREE_SITTER') THEN 'SKIPPED' ELSE 'FAILED' END AS next_status"
-
-
-@query("failure_transition", f"SELECT id, layer, {NEXT} FROM f_subjob WHERE status = 'RUNNING'")
-def _(f):
-    return jobs.after_failure(f.f_subjob)
-
-
-@query("lease_expiry", f"SELECT id, layer, {NEXT} FROM f_subjob WHERE status = 'RUNNING' AND created_at + INTERVAL 3600 SECOND < (SELECT TIMESTAMP '2024-01-15 00:00:00')")
-def _(f):
-    return jobs.expired(f.f_subjob, "2024-01-15 00:00:00", 3600)
-
-
 @query("job_completion", "SELECT job_id, COUNT(*) AS subjobs FROM f_subjob GROUP BY job_id HAVING SUM(CASE WHEN status IN ('SUCCEEDED', 'SKIPPED', 'FAILED', 'CANCELED') THEN 0 ELSE 1 END) = 0".replace("FROM f_subjob", "FROM (SELECT CAST(FLOOR(id / 3) AS BIGINT) AS job_id, status FROM f_subjob) s"))
 def _(f):
     return jobs.completed(f.f_subjob.withColumn("job_id", F.floor(F.col("id") / 3)))
@@ -334,9 +305,12 @@ def _(f):
     return lexical.by_repo(lexical.grep(f.f_file, "@[a-z0-9]+[.]"))
 
 
-@query("read_file", f"SELECT * FROM ({LINES}) l WHERE repo_name = 'src5' AND path LIKE 'src/%' AND line BETWEEN 2 AND 4")
+@query("read_file", f"SELECT repo_name, branch, path, line, content FROM (SELECT *, SUM(strlen(content) + 1) OVER (PARTITION BY repo_name, branch, path ORDER BY line) AS used FROM (SELECT * REPLACE (CASE WHEN strlen(content) > 2000 THEN SUBSTR(content, 1, 2000) ELSE content END AS content) FROM ({LINES.replace('FROM f_file', "FROM (SELECT repo_name, branch, path, REPEAT(regexp_replace(content, '[^ -~]', chr(10), 'g'), 9) AS content FROM f_file WHERE doc_id = 5) w")}) l WHERE line BETWEEN 2 AND 400) m) n WHERE used <= 16384")
 def _(f):
-    return lexical.lines(f.f_file.filter("repo_name = 'src5' AND path LIKE 'src/%'")).filter("line BETWEEN 2 AND 4")
+    one = f.f_file.filter("doc_id = 5")
+    at = one.select("repo_name", "path").first()
+    wide = one.withColumn("content", F.expr(r"REPEAT(regexp_replace(content, '[^ -~]', '\n'), 9)"))
+    return lexical.read(wide, at.repo_name, at.path, 2, 399)
 
 
 @query("list_tree", "SELECT DISTINCT repo_name, array_to_string(string_split(path, '/')[1:n], '/') AS entry, n = len(string_split(path, '/')) AS is_file, CAST(n AS INT) AS n FROM (SELECT repo_name, path, UNNEST(range(1, LEAST(len(string_split(path, '/')), 2) + 1)) AS n FROM f_file) x")
@@ -349,6 +323,16 @@ def _(f):
     return f.f_file.filter(search.predicate('lang:de file:[.]go$ -keit or reposet:src1,src2 "http"')).select("repo_name", "branch", "path")
 
 
+@query("search_groups", "SELECT repo_name, branch, path FROM f_file WHERE branch = 'release' AND (lang = 'de' OR lang = 'fr') AND regexp_matches(path, '^src/') AND NOT (regexp_matches(path, '[.]go$') OR regexp_matches(content, '(?i)HTTP'))")
+def _(f):
+    return f.f_file.filter(search.predicate("(lang:de or lang:fr) file:^src/ -(file:[.]go$ or HTTP) case:no", options=["refs/heads/release"])).select("repo_name", "branch", "path")
+
+
+@query("list_tree_tool", "SELECT entry, is_file FROM (SELECT DISTINCT CONCAT('src/', array_to_string(string_split(p, '/')[1:n], '/')) AS entry, n = len(string_split(p, '/')) AS is_file FROM (SELECT p, UNNEST(range(1, LEAST(len(string_split(p, '/')), 2) + 1)) AS n FROM (SELECT SUBSTR(path, 5) AS p FROM f_file WHERE repo_name = 'src5' AND path LIKE 'src/%') a) b) c WHERE is_file ORDER BY LOWER(entry), entry LIMIT 20")
+def _(f):
+    return lexical.listed(f.f_file, "src5", "/src/", 2, folders=False, most=20).select("entry", "is_file")
+
+
 @query("branch_pairs", "SELECT repo_name, branch, path FROM f_file WHERE (repo_name = 'src1' AND branch = 'main') OR (repo_name = 'src2' AND branch = 'release')")
 def _(f):
     pairs = f.spark.createDataFrame([("src1", "main"), ("src2", "release")], "repo_name string, branch string")
@@ -411,14 +395,6 @@ def _(f):
     return chat.retrieval_query(f.table("conversations").groupBy("conv_id").agg(F.lit("where is it").alias("query"), F.concat_ws("\n", F.collect_list("text")).alias("context")))
 
 
-@query("extract_facts")
-def _(f):
-    # the driver's documents are prose, which states no facts; two short sources go through the same rules
-    sample = [("a.go", "go", 'package a\nimport "fmt"\nfunc Run() {\n\tfmt.Println(x)\n\thelp(1)\n}'), ("b.py", "python", "import os\nclass A(B):\n    def go(self):\n        os.path.join(1)\n")]
-    files = f.f_file.select("path", text.language(F.col("path")).alias("language"), "content")
-    return extract.facts(files.unionByName(f.spark.createDataFrame(sample, "path string, language string, content string")))
-
-
 @query("running_totals", "SELECT event_id, user_id, CAST(SUM(CAST(FLOOR(value) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total, LAG(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events")
 def _(f):
     from pyspark.sql import Window

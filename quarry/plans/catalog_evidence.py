@@ -10,8 +10,8 @@ from quarry.plans.catalog import LATEST, first_by, query
 
 MASK = "CAST((start_line * 7 + ordinal) % 128 AS INT)"
 ROLE_ROWS = " UNION ALL ".join(
-    [f"SELECT index_id, ordinal, 'REFERENCE' AS role FROM m WHERE mask & {scip.ROLE_BITS['DEFINITION'] | scip.ROLE_BITS['FORWARD_DEFINITION']} = 0"]
-    + [f"SELECT index_id, ordinal, '{name}' FROM m WHERE mask & {bit} > 0" for name, bit in scip.ROLE_BITS.items()]
+    ["SELECT index_id, ordinal, 'REFERENCE' AS role FROM m WHERE mask & 65 = 0"]
+    + [f"SELECT index_id, ordinal, '{name}' FROM m WHERE mask & {bit} > 0" for name, bit in (("DEFINITION", 1), ("IMPORT", 2), ("WRITE", 4), ("READ", 8), ("GENERATED", 16), ("TEST", 32), ("FORWARD_DEFINITION", 64))]
 )
 
 
@@ -22,7 +22,7 @@ def _(f):
 
 ENCLOSED = """SELECT index_id, ordinal, role, symbol, file_path, start_line, enclosing FROM (SELECT o.*, d.symbol AS enclosing,
 ROW_NUMBER() OVER (PARTITION BY o.index_id, o.ordinal, o.role, o.symbol, o.file_path, o.start_line ORDER BY d.ordinal * 500000, d.index_id, d.ordinal, d.symbol) AS rn
-FROM f_occurrence o JOIN f_occurrence d ON d.repo_id = o.repo_id AND d.file_path = o.file_path AND d.symbol <> o.symbol AND d.role = 'DEFINITION'
+FROM f_occurrence o JOIN f_occurrence d ON d.index_id = o.index_id AND d.file_path = o.file_path AND d.symbol <> o.symbol AND d.role = 'DEFINITION'
 WHERE o.role <> 'DEFINITION' AND d.start_line <= o.start_line AND d.start_line + d.ordinal * 5 >= o.start_line) x WHERE rn = 1"""
 
 
@@ -30,7 +30,7 @@ def _enclosed(f):
     o = f.f_occurrence.withColumns({"start_col": F.lit(0), "end_col": F.lit(0)})
     d = o.filter("role = 'DEFINITION'").withColumn("end_line", F.col("start_line") + F.col("ordinal") * 5)
     found = o.filter("role <> 'DEFINITION'").withColumn("end_line", F.col("start_line"))
-    return scip.enclosed(found, d, ["repo_id", "file_path"], ["index_id", "ordinal", "role", "symbol", "file_path", "start_line"], ["index_id", "ordinal"])
+    return scip.enclosed(found, d, ["index_id", "file_path"], ["index_id", "ordinal", "role", "symbol", "file_path", "start_line"], ["ordinal"])
 
 
 @query("enclosing_definition", ENCLOSED)
@@ -115,9 +115,9 @@ SLICE = "SELECT repo_id, source_file AS path, CAST(start_line * ordinal * 10 AS
 
 @query(
     "slice_selection",
-    f"""WITH c AS (SELECT repo_id, path, line, score - CASE WHEN path LIKE '%\\_test.%' ESCAPE '\\' THEN {evidence.TEST_COST} ELSE 0 END AS score, line // {evidence.SLICE_LINES} AS stretch FROM ({SLICE}) s WHERE line > 0),
+    f"""WITH c AS (SELECT repo_id, path, line, score - CASE WHEN path LIKE '%\\_test.%' ESCAPE '\\' THEN 35 ELSE 0 END AS score, line // 80 AS stretch FROM ({SLICE}) s WHERE line > 0),
 b AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY repo_id, path, stretch ORDER BY score DESC, line) AS best FROM c) x WHERE best = 1),
-p AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY repo_id, path ORDER BY score DESC, line) AS nth FROM b) x WHERE nth <= {evidence.PER_PATH}),
+p AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY repo_id, path ORDER BY score DESC, line) AS nth FROM b) x WHERE nth <= 3),
 t AS (SELECT repo_id, path, line, score, CAST(ROW_NUMBER() OVER (PARTITION BY repo_id ORDER BY score DESC, path, line) AS INT) AS turn FROM p)
 SELECT * FROM t ORDER BY turn, score DESC, repo_id, path, line LIMIT 40""",
 )

@@ -113,6 +113,24 @@ SELECT i.id, i.repo_id, CONCAT('ws', CAST(i.repo_id % 2 AS VARCHAR(10))) AS work
        i.id % 5 AS file_count, CASE WHEN i.id % 3 = 0 THEN 0 WHEN i.id % 3 = 1 THEN i.id % 5 ELSE 1 END AS file_rows, CASE WHEN i.id % 2 = 0 THEN 'FULL_REPO' WHEN i.id % 7 = 0 THEN NULL ELSE 'DELTA_FILES' END AS lexical_strategy,
        i.id % 2 AS changed_files, i.id % 6 AS deleted_files, CASE WHEN i.id % 8 = 1 THEN i.updated_at END AS superseded_at
 FROM f_index i
+""",
+    "f_lease": """
+SELECT s.id, j.id AS job_id, s.created_at, s.layer, CASE s.id % 8 WHEN 0 THEN 'QUEUED' WHEN 1 THEN 'RETRYING' WHEN 2 THEN 'CLAIMED' WHEN 3 THEN 'RUNNING' WHEN 4 THEN 'ARTIFACT_WRITTEN' WHEN 5 THEN 'VALIDATING' WHEN 6 THEN 'FAILED' ELSE 'SUCCEEDED' END AS status,
+       CAST(s.id % 4 AS INT) AS attempt, 3 AS max_attempts, CONCAT('w', CAST(s.id % 3 AS VARCHAR(5))) AS lease_owner, CONCAT('a', CAST(s.id % 5 AS VARCHAR(5))) AS attempt_id,
+       CASE WHEN s.id % 7 = 0 THEN NULL ELSE CAST(s.id * 37 % 1000 AS INT) END AS lease_expires_at
+FROM f_subjob s JOIN (SELECT id, ROW_NUMBER() OVER (ORDER BY id) AS n FROM f_job) j ON j.n = s.job_id
+""",
+    "f_source": """
+SELECT k, language, path, REPLACE(REPLACE(body, '~', CHR(10)), '@', CAST(k AS VARCHAR(20))) AS content FROM (
+SELECT p_partkey AS k, CASE p_partkey % 7 WHEN 0 THEN 'go' WHEN 1 THEN 'python' WHEN 2 THEN 'java' WHEN 3 THEN 'ruby' WHEN 4 THEN 'rust' WHEN 5 THEN 'csharp' ELSE 'dart' END AS language,
+       CONCAT('src/f', CAST(p_partkey AS VARCHAR(20)), CASE p_partkey % 7 WHEN 0 THEN '.go' WHEN 1 THEN '.py' WHEN 2 THEN '.java' WHEN 3 THEN '.rb' WHEN 4 THEN '.rs' WHEN 5 THEN '.cs' ELSE '.dart' END) AS path,
+       CASE p_partkey % 7 WHEN 0 THEN 'package a~import (~"fmt"~"net/x@"~)~func (r *T) Fn@() {~ help@(1)~ if (x) { Fn@(2) }~}~out@()~'
+       WHEN 1 THEN 'from a@ import b, c as d~class K@(B@, x.Y, 7):~    def go@(self):~        return os.run@(print(1))~out@()~'
+       WHEN 2 THEN 'import a.b@;~public class K@ extends P@<T> implements I@, J {~  public int run@(int a) {~    help@(a);~  }~}~'
+       WHEN 3 THEN 'require "x@"~class K@ < P@~  def go@~    help@(1)~  end~  out@(2)~end~'
+       WHEN 4 THEN 'use std::x@;~pub struct S@ {~}~pub fn go@() {~    help::run@(1);~    Some(2);~}~out@();~'
+       WHEN 5 THEN 'using A.B@;~public class K@ : P@, I@ {~  void go() { help@(1); }~}~'
+       ELSE 'import "./x@";~class K@ extends P@ {~  void go() { help@(1); }~}~' END AS body FROM part) x
 """,
     "f_file": """
 SELECT doc_id, source AS repo_name, CASE WHEN doc_id % 5 = 0 THEN 'release' ELSE 'main' END AS branch,
@@ -150,14 +168,17 @@ FROM events
 
 
 def needed(text: str) -> list[str]:
-    """The views that a statement reads, directly or through others, in order of definition."""
-    found, todo = set(), [text]
-    while todo:
-        for name in re.findall(r"\bf_\w+", todo.pop()):
-            if name in VIEWS and name not in found:
-                found.add(name)
-                todo.append(VIEWS[name])
-    return [n for n in VIEWS if n in found]
+    """The views that a statement reads, directly or through others, each after those that it reads."""
+    out: list[str] = []
+
+    def visit(statement: str) -> None:
+        for name in re.findall(r"\bf_\w+", statement):
+            if name in VIEWS and name not in out:
+                visit(VIEWS[name])
+                out.append(name)
+
+    visit(text)
+    return out
 
 
 def oracle(body: str) -> str:

@@ -4,9 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import text
-from quarry import registry
-from quarry.operators import chat, delta, edges, extract, graph, jobs, lexical, scope
+from quarry.operators import build, chat, delta, edges, evidence, extract, graph, jobs, lexical, policy, scope
 from quarry.plans import question, search, terms
+from quarry.sources import walk
 from quarry.streaming import leases
 
 
@@ -34,7 +34,15 @@ def test_globs(glob, yes, no):
 
 
 def test_search_language():
-    assert search.atoms('a -file:b "c d" or branch:refs/heads/x') == [[(False, "content", "a"), (True, "file", "b"), (False, "content", "c d")], [(False, "branch", "x")]]
+    tree = search.parse('a -file:b "c d" or branch:refs/heads/x')
+    assert search.atoms(tree) == [(True, search.Atom("content", "a")), (False, search.Atom("file", "b")), (True, search.Atom("content", "c d")), (True, search.Atom("branch", "x"))]
+    assert [len(p.parts) for p in tree.parts] == [3, 1]
+    grouped = search.parse("(a or b) -(c rev:d)")
+    assert isinstance(grouped.parts[0].parts[0], search.Any) and isinstance(grouped.parts[0].parts[1], search.Not)
+    assert search.branches("x branch:refs/heads/a -b:c (rev:d or b:a)") == ["a", "d"]
+    for bad in ("(a", "a)", '"open'):
+        with pytest.raises(ValueError):
+            search.parse(bad)
 
 
 def test_ids(spark):
@@ -95,20 +103,38 @@ def test_jobs(spark):
     rows = [(1, 9, "CLONE", "SUCCEEDED", 0), (2, 9, "SCIP", "FAILED", 0), (3, 9, "GRAPH_MERGE", "QUEUED", 0), (4, 9, "ACTIVATE", "QUEUED", 0), (5, 8, "CLONE", "RUNNING", 3), (6, 8, "SCIP", "QUEUED", 0)]
     df = spark.createDataFrame([(*r, 3) for r in rows], "id long, job_id long, layer string, status string, attempt int, max_attempts int").withColumn("created_at", F.lit("2024-01-01").cast("timestamp_ntz"))
     assert [r.id for r in jobs.dispatchable(df).collect()] == [3]
-    assert {r.id: r.next_status for r in jobs.after_failure(df).collect()} == {5: "FAILED"}
 
 
 def test_facts():
-    go = list(extract.facts_of("a.go", "go", 'import "fmt"\nfunc Run() {\n\tfmt.Println(1)\n\tif (x) { Run(2) }\n}'))
-    assert [(f[2], f[3], f[4]) for f in go] == [("imports", "a.go", "fmt"), ("defines", "a.go", "Run"), ("calls", "Run", "fmt.Println")]
-    py = list(extract.facts_of("b.py", "python", "from a.b import c\nclass D(E):\n    def f(self):\n        return g(1)"))
-    assert [(f[2], f[4]) for f in py] == [("imports", "a.b"), ("class", "D"), ("defines", "f"), ("calls", "g")]
+    go = list(extract.facts_of("a.go", "go", 'import "fmt"\nfunc Run() {\n\tfmt.Println(1)\n\tif (x) { Run(2) }\n}\nlater(1)'))
+    assert [(f[3], f[4], f[7], f[10]) for f in go] == [("imports_from", "module:a.go", "module:fmt", 1), ("defines", "module:a.go", "function:a.go:Run", 2), ("calls", "function:a.go:Run", "function:?:fmt.Println", 3)]
+    py = list(extract.facts_of("b.py", "python", "import y2\nfrom . import z\nclass D(E):\n    def f(self):\n        return g(1)\nh(2)"))
+    assert [(f[3], f[8]) for f in py] == [("imports_from", "y2"), ("defines", "D"), ("extends", "E"), ("defines", "f"), ("calls", "g")]
+    ts = list(extract.facts_of("c.ts", "typescript", "import { x } from './y'\nexport class A extends B implements C, D {\n}\nexport async function go(a) {\n  run(1)\n}"))
+    assert [(f[3], f[8], f[9]) for f in ts] == [("imports_from", "./y", "module"), ("defines", "A", "class"), ("extends", "B", "class"), ("implements", "C", "interface"), ("implements", "D", "interface"), ("defines", "go", "function"), ("calls", "run", "function")]
+    assert list(extract.facts_of("d.md", "docs", "func x() {")) == []
 
 
-def test_chat_budgets(spark):
-    df = spark.createDataFrame([(1, t, "user", "x" * 3000) for t in range(12)], "conv_id long, turn long, role string, text string")
-    assert sorted(r.turn for r in chat.context(df).collect()) == list(range(4, 12))
-    assert sorted(r.turn for r in chat.context(df, whole=3000).collect()) == [10, 11]
+def test_callees():
+    assert extract.callee_of("a  b") == "a b" and extract.callee_of("a'b") is None and extract.callee_of(" ") is None
+    assert extract.callee_of("é" * 61) == "é" * 60 + "..."
+
+
+def test_chat_context(spark):
+    df = spark.createDataFrame([(1, t, "user" if t % 2 else " ", f"{t} " + "é" * 1000) for t in range(12)] + [(2, 0, "assistant", "  "), (3, 0, "assistant", " a "), (3, 1, None, None)], "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r.context for r in chat.context(df).collect()}
+    lines = got[1].split("\n")
+    assert lines[0] + "\n" == chat.OPENING and [x.split(" ")[1] for x in lines[1:9]] == [str(t) for t in range(4, 12)]
+    assert lines[1].startswith("MESSAGE: 4 é") and lines[2].startswith("USER: 5 é") and lines[1].endswith(chat.CUT)
+    assert len(lines[1].removeprefix("MESSAGE: ").removesuffix(chat.CUT).encode()) <= 1400
+    assert got[2] == chat.OPENING.strip() and got[3] == chat.OPENING + "ASSISTANT: a"
+
+
+def test_chat_anchors():
+    said = "see `the code` in src/a/B.go and pkg/x.txt, ../up.go; FooBar.run is MAX_SIZE of the assistant, x.y, fooBar"
+    assert chat.anchors_of(said) == ["src/a/B.go", "B.go", "x.txt", "up.go", "FooBar.run", "x.y", "MAX_SIZE", "FooBar", "the code"]
+    assert chat.query_of(" q ", "") == "q" and chat.query_of("q", said).startswith("q" + chat.ANCHOR_OPENING + "- src/a/B.go\n")
+    assert chat.query_of("x" * 3990, said).endswith(chat.CUT_ALL)
 
 
 def test_read_limits(spark):
@@ -128,15 +154,79 @@ def test_stream_counts(spark, tmp_path):
     assert spark.sql("SELECT SUM(n) FROM counted").first()[0] == src.count()
 
 
-def test_extract_facts_reads_every_file(spark, tmp_path):
-    texts = ['import "fmt"\nfunc Run() {\n\tfmt.Println(1)\n}', "from a.b import c\nclass D(E):\n    def f(self):\n        return g(1)", "import x from 'y'\nfunction f() {\n  g(1)\n}", "def not_code():\n    g(1)"]
-    rows = [(i, texts[i % 4] if i != 9 else None, "en", "src1", 5) for i in range(40)]
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
-    got = sorted(tuple(r) for r in registry.queries()["extract_facts"](spark, str(tmp_path)).collect() if r.path not in ("a.go", "b.py"))
-    folder = lambda i: "vendor/" if i % 11 == 0 else "tests/" if i % 7 == 0 else "src/"
-    kinds = (("go", ".go"), ("python", ".py"), ("typescript", ".ts"))
-    want = [x for i, t, *_ in rows if t and i % 4 < 3 for x in extract.facts_of(f"{folder(i)}en/d{i}{kinds[i % 4][1]}", kinds[i % 4][0], t)]
-    assert got == sorted(want) and len(want) > 80
+def test_walk(spark, tmp_path):
+    for path, body in (("a/x.go", "func F() {\n}\n"), ("a/node_modules/y.js", "function g() {}"), ("b.py", "def f():\n    g(1)\n"), ("c.txt", "x"), ("d.rb", "x" * 2000)):
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(body)
+    got = walk.files(spark, str(tmp_path), bytes_=1000)
+    assert sorted((r.path, r.language) for r in got.collect()) == [("a/x.go", "go"), ("b.py", "python")]
+    assert [r.path for r in walk.files(spark, str(tmp_path), ["python"]).collect()] == ["b.py"]
+    assert [r.path for r in walk.files(spark, str(tmp_path), most=1).collect()] == ["a/x.go"]
+    assert extract.facts(got).filter("kind = 'defines'").count() == 2
+
+
+def test_audit(spark, tmp_path):
+    from datetime import datetime
+
+    at = datetime(2024, 1, 1)
+    rows = [("1", 1, "u", "READ", "t", at, {"a": "b"}), ("1", 1, "u", "READ", "t", at, {}), ("2", 0, "u", "READ", "t", at, {}), ("3", 2, " ", "READ", "t", at, None), (None, 1, "u", "x", None, at, None)]
+    assert walk.append_audit(spark.createDataFrame(rows, walk.AUDIT), str(tmp_path / "audit")) == 3
+    assert [(r.event_id, r.org_id) for r in spark.read.parquet(str(tmp_path / "audit")).collect()] == [("1", 1)]
+
+
+def test_graph_sink_and_scope_delete(spark, tmp_path):
+    rows = [(1, "w", r, "c", 1, "b", f"v{r}{i}") for r in (1, 2) for i in range(3)]
+    v = spark.createDataFrame(rows, "org_id int, workspace_id string, repo_id int, commit_hash string, schema_version int, builder_version string, vid string")
+    left = build.without_scope(v, v.filter("repo_id = 1"))
+    assert {r.repo_id for r in left.collect()} == {2}
+    build.write(v, v, str(tmp_path))
+    build.write(v.filter("repo_id = 2 AND vid = 'v20'"), v.limit(0), str(tmp_path))
+    assert spark.read.parquet(f"{tmp_path}/vertices").groupBy("repo_id").count().orderBy("repo_id").collect() == [(1, 3), (2, 1)]
+
+
+def test_text_helpers(spark):
+    row = spark.range(1).select(*(text.is_reference(F.lit(x)).alias(f"r{i}") for i, x in enumerate(("main", "-x", "a b", "v1.0/x@y+z"))), text.cut_bytes(F.lit("aé😀b"), 3).alias("a"), text.cut_bytes(F.lit("aé😀b"), 6).alias("b"), text.cut_bytes(F.lit("aé😀b"), 8).alias("c")).first()
+    assert tuple(row) == (True, False, False, True, "aé", "aé", "aé😀b")
+
+
+def test_suffix_patterns():
+    assert text.suffix_patterns(" a_b ") == [f"%{x}" for x in (r"/a\_b().", r"#a\_b().", r".a\_b().", r"a\_b().", r"/a\_b.", r"#a\_b.", r".a\_b.", r"a\_b.", r"/a\_b#", r"#a\_b#", r".a\_b#", r"a\_b#")]
+
+
+def test_graph_tokens():
+    assert question.tokens("Explain the flow of injectPython in node apps", 8) == ["NodeJS", "injectNodeJS", "Python", "injectPython", "node", "apps"]
+    assert question.tokens("otel workloads", 8)[:4] == ["inject", "injectNodeJS", "injectPython", "injectDotNet"]
+
+
+def test_scope_coverage(spark):
+    repos = spark.createDataFrame([("a", "main", '{"indexedRevisions":["refs/heads/main"]}', 1, None, None), ("b", "main", "{}", None, None, None), ("c", "dev", '{"branches":["*"],"indexedRevisions":["refs/heads/x"]}', 1, None, None)], "name string, default_branch string, metadata string, indexed_at int, job_type string, job_status string")
+    wanted = spark.createDataFrame([("a",), ("b",), ("c",), ("zz",), ("bad name",)], "repo_name string")
+    got = {r.repo_name: (r.indexed, r.ref) for r in evidence.coverage(wanted, repos).collect()}
+    assert got == {"a": (True, "refs/heads/main"), "b": (False, None), "c": (True, "refs/heads/x"), "zz": (False, None), "bad name": (False, None)}
+    assert {r.repo_name for r in evidence.coverage(wanted, repos, "x").filter("indexed").collect()} == {"c"}
+    with pytest.raises(ValueError):
+        evidence.coverage(wanted, repos, "-bad")
+
+
+def test_limits():
+    assert policy.search_options(0, -1) == {"matches": 30, "context": 0, "most": 31} and policy.search_options(5000, 99) == {"matches": 1000, "context": 50, "most": 1001}
+    assert policy.grep_limit(None) == 100 and policy.grep_limit(None, True) == 10_000 and policy.grep_limit(7) == 7
+    with pytest.raises(ValueError):
+        policy.grep_limit(0)
+
+
+def test_lease_stream(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    at = lambda s: datetime(2024, 1, 1) + timedelta(seconds=s)
+    rows = [(1, "claim", "w", at(0)), (1, "beat", "w", at(30)), (1, "done", "late", at(31)), (1, "done", "w", at(40)), (2, "claim", "w", at(0)), (2, "done", "w", at(500)), (2, "claim", "v", at(501)), (2, "fail", "v", at(502)), (3, "beat", "w", at(1))]
+    spark.createDataFrame(rows, "id long, kind string, owner string, ts timestamp").write.parquet(str(tmp_path / "in"))
+    events = spark.readStream.schema("id long, kind string, owner string, ts timestamp").parquet(str(tmp_path / "in"))
+    q = leases.track(events, "1 second").writeStream.outputMode("append").format("memory").queryName("tracked").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    q.stop()
+    got = [(r.id, r.status) for r in spark.sql("SELECT * FROM tracked ORDER BY id, at, attempt, status DESC").collect()]
+    assert got == [(1, "CLAIMED"), (1, "RUNNING"), (1, "SUCCEEDED"), (2, "CLAIMED"), (2, "RETRYING"), (2, "CLAIMED"), (2, "RETRYING")]
 
 
 def test_tree_limits_each_repository(spark):
