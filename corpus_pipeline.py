@@ -3,6 +3,12 @@
 Each stage works on all that the one before kept. A stage's result is written as
 Parquet in the shared folder and read again, so a stage never runs twice and a lost
 executor costs no more than its own stage.
+
+Defined results: null, empty and white texts fail the quality rules and go; null ids stay
+null, and near-dedup orders them after all others; of repeated rows one stays; a very long
+text is read whole by every stage; ties go to the smallest id; an empty table gives an
+empty result; columns beyond those of documents pass through all stages but the last,
+whatever their names.
 """
 
 from __future__ import annotations

@@ -16,7 +16,9 @@ parts of about ``PART`` bytes, so one of any length runs in bounded memory.
 
 Defined results: null role and text are empty; equal turn numbers are ordered by role
 and then text; a null turn number comes last; rows with a null conversation form one
-conversation; an empty table gives an empty result; other columns are not read.
+conversation; an empty table gives an empty result; other columns are not read. A very
+long text is copied as a slice. A conversation's turns stream through one task, as its
+digest is that of all of them in order: a hot conversation takes its time, not memory.
 """
 
 from __future__ import annotations
@@ -53,10 +55,19 @@ def _unescape_role(role: str) -> str:
     return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], _unescape(role)) if "\\" in role else role
 
 
+#: Bytes from which a row is copied as one slice, so that index arrays stay small.
+SLICE = 4096
+
+
 def _scatter(out: np.ndarray, at: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> None:
-    """Copies row i of (data, offsets) to out[at[i]:]."""
+    """Copies row i of (data, offsets) to out[at[i]:]; short rows by scatter indices, a long one as a slice."""
     lengths = np.diff(offsets)
-    out[np.arange(len(data)) + np.repeat(at - offsets[:-1], lengths)] = data
+    for i in np.flatnonzero(lengths >= SLICE).tolist():
+        out[at[i] : at[i] + lengths[i]] = data[offsets[i] : offsets[i + 1]]
+    short = np.flatnonzero(lengths < SLICE)
+    n = lengths[short]
+    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    out[np.repeat(at[short], n) + step] = data[np.repeat(offsets[short], n) + step]
 
 
 def assemble(role: pa.Array, text: pa.Array, group: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:

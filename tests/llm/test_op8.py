@@ -34,6 +34,11 @@ def test_long_conversation_streams(spark, monkeypatch):
     check(spark, rows)
 
 
+def test_very_long_and_short_texts(spark):
+    long = "é<|x" * 300_000
+    check(spark, [(1, 0, "user", "a"), (1, 1, "assistant", long), (1, 2, "user", ""), (1, 3, "assistant", "b" * 4095), (1, 4, "assistant", "c" * 4096), (2, 0, "assistant", long)])
+
+
 def test_clashing_columns(spark):
     df = spark.createDataFrame([(1, 0, "user", "a", 9)], SCHEMA + ", part long")
     assert op8_chat.render(df).first().text == "<|im_start|>user\na<|im_end|>\n"
