@@ -39,15 +39,19 @@ def hops(edges: DataFrame, seeds: DataFrame, depth: int, both: bool = True) -> D
     step = edges.select(F.col("src").alias("vid"), F.col("dst").alias("next"))
     if both:
         step = step.unionByName(edges.select(F.col("dst").alias("vid"), F.col("src").alias("next")))
-    step = step.distinct()
-    seen = seeds.select("vid").distinct().withColumn("depth", F.lit(0))
-    front = seen
+    seen = front = kept(seeds.select("vid").distinct().withColumn("depth", F.lit(0)))
     for d in range(1, depth + 1):
-        front = front.select("vid").join(step, "vid").select(F.col("next").alias("vid")).distinct().join(seen.select("vid"), "vid", "left_anti").withColumn("depth", F.lit(d))
+        near = step.join(front.select("vid"), "vid").select(F.col("next").alias("vid")).distinct()
+        front = kept(near.join(seen.select("vid"), "vid", "left_anti").withColumn("depth", F.lit(d)))
         seen = seen.unionByName(front)
     return seen
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """A front, computed once: a checkpoint where the session has a folder for them, else cached, which an executor may lose."""
+    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.persist()
+
+
 def diversified(edges: DataFrame, bucket: str, order: list, limit: int) -> DataFrame:
     """Edges in turns over buckets: the best of each, then the second of each, and so on."""
     w = Window.partitionBy(bucket).orderBy(*order)

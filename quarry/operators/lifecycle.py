@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import text
-from quarry.operators import latest
+from quarry.operators import graph, latest
 
 #: Fixed value: bytes in the kilobyte of a repository's size.
 KILOBYTE = 1000
@@ -75,11 +75,6 @@ def replaced(current: DataFrame, new: DataFrame, scope: list[str]) -> DataFrame:
     return current.join(new.select(*scope).distinct(), scope, "left_anti").unionByName(new)
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """A round's result, computed once: a checkpoint where the session has a folder for them, else cached."""
-    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.persist()
-
-
 def reachable(parents: DataFrame, start: int, most: int = MOST_COMMITS) -> DataFrame:
     """Commits (id) that a commit reaches by (id, parent), itself included; no more rounds once ``most`` are reached."""
     spark = parents.sparkSession
@@ -87,11 +82,11 @@ def reachable(parents: DataFrame, start: int, most: int = MOST_COMMITS) -> DataF
     step = parents.filter("parent IS NOT NULL").select("id", "parent")
     count = 1
     while count < most:
-        front = _kept(front.join(step, "id").select(F.col("parent").alias("id")).distinct().join(seen, "id", "left_anti"))
+        front = graph.kept(front.join(step, "id").select(F.col("parent").alias("id")).distinct().join(seen, "id", "left_anti"))
         new = front.count()
         if not new:
             break
-        seen, count = _kept(seen.unionByName(front)), count + new
+        seen, count = graph.kept(seen.unionByName(front)), count + new
     return seen
 
 
