@@ -63,27 +63,25 @@ def _small(links: DataFrame) -> tuple[DataFrame, str]:
     return others.unionByName(low.select("a", F.col("low").alias("b"))).distinct(), path
 
 
-def _print(links: DataFrame) -> tuple:
-    return tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def _done(links: DataFrame) -> bool:
+    """Whether every node has one link, to a node without any: then all links lead to roots."""
+    twice = links.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("a")
+    inner = links.select(F.col("b").alias("a")).join(links.select("a"), "a", "left_semi")
+    return twice.unionByName(inner).isEmpty()
 
 
 def components(links: DataFrame) -> tuple[DataFrame, str]:
     """(node, root) of every node with a link, the root being the least of its component; and the table's path.
 
-    Partitions are forests first; then stars until nothing changes.
+    Partitions are forests first; then stars until all links lead to roots.
     """
     spark = links.sparkSession
     now, path = scratch.keep(contracted(links), "links")
-    seen = _print(now)
-    while True:
+    while not _done(now):
         large, used = _large(now)
         large, large_path = scratch.keep(large, "links")
         new, also = _small(large)
         new, new_path = scratch.keep(new, "links")
-        found = _print(new)
         scratch.drop(spark, path, used, also, large_path)
         now, path = new, new_path
-        if found == seen:
-            break
-        seen = found
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()), path

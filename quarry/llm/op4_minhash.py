@@ -23,8 +23,8 @@ ones that must hold a shared one (a prefix filter): independent changes fall apa
 once, and what was copied together stays together. The new bucket gets a pivot of its
 own, and sets are from then on known by D and M alone. This goes on until no bucket
 holds two components: the same components as all pairs of all buckets would give. A
-bucket's pivot leaves it, and from the third round on pivots are four times as many, so
-rounds are logarithmic; only sets that all resemble one another, share their changes and still
+bucket's pivots leave it, and each round has four times as many of them, so rounds are
+logarithmic; only sets that all resemble one another, share their changes and still
 differ by too much cost more than their number. At the threshold itself 40 bands of 5
 places lose one link in 8 million.
 
@@ -286,7 +286,7 @@ def linked(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> tuple[D
     comp = F.when(F.col("link"), F.col("b")).otherwise(F.col("a"))
     state = seen.select(F.xxhash64("b").alias("scope"), F.col("a").alias("cls"), F.col("b").alias("p"), "n", F.col("b_n").alias("p_n"), "link", comp.alias("comp"), "d", "m")
     links, paths = state.filter("link").select(F.col("cls").alias("a"), F.col("p").alias("b")), [seen_path]
-    more = 0  # pivots of a bucket besides the first
+    more = 3  # pivots of a bucket besides the first, about
     while True:
         posts, used = postings(state, percent)
         posts, path = scratch.keep(posts, "posts")
@@ -296,18 +296,14 @@ def linked(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> tuple[D
         if of.isEmpty():
             scratch.drop(spark, path, of_path)
             break
-        stars = posts.join(of, "bucket")
-        if more:
-            also = F.pmod(F.xxhash64("cls", F.lit(more)), F.lit(1 << 20)) * F.col("c") < more << 20
-            others = stars.filter(also).select("bucket", F.col("cls").alias("q"))
-            extra = stars.join(others, "bucket").select("scope", "cls", F.col("q").alias("p"), F.lit(False).alias("whole"))
-            stars = stars.withColumn("whole", ~also)  # an extra pivot has met all of the bucket and needs no other of it
-        else:
-            stars, extra = stars.withColumn("whole", F.lit(True)), None
-        pairs = stars.select("scope", "cls", "p", "whole")
-        pairs = (pairs if extra is None else pairs.unionByName(extra)).filter("cls <> p").groupBy("scope", "cls", "p").agg(F.max("whole").alias("whole"))
-        seen, seen_path = scratch.keep(turned(pairs, state, percent), "turned")
-        scratch.drop(spark, path, of_path)
+        also = F.pmod(F.xxhash64("cls", F.lit(more)), F.lit(1 << 20)) * F.col("c") < more << 20
+        stars, stars_path = scratch.keep(posts.join(of, "bucket").select("bucket", "scope", "cls", "p", also.alias("also")), "stars")
+        others = stars.filter("also").select("bucket", F.col("cls").alias("q"))
+        extra = stars.join(others, "bucket").select("scope", "cls", F.col("q").alias("p"), F.lit(False).alias("whole"))
+        # a pivot besides the first has met all of the bucket, and needs no other of it
+        pairs = stars.select("scope", "cls", "p", (~F.col("also")).alias("whole")).unionByName(extra).filter("cls <> p")
+        seen, seen_path = scratch.keep(turned(pairs.groupBy("scope", "cls", "p").agg(F.max("whole").alias("whole")), state, percent), "turned")
+        scratch.drop(spark, path, of_path, stars_path)
         links = links.unionByName(seen.filter("link").select(F.col("cls").alias("a"), F.col("p").alias("b")))
         paths.append(seen_path)
         state, more = seen.filter("d IS NOT NULL"), 4 * more + 3
