@@ -52,7 +52,6 @@ END = np.uint64(0x2545F4914F6CDD1D)
 #: What a unit of a gain and of a share of T is, so that sums don't depend on their order.
 GAIN, SHARE = 1 << 16, 1 << 32
 BLOCKS = "ids array<long>, held array<boolean>, lengths array<long>, body binary, bytes long, tokens long"
-STATE = "block long, ids array<long>, held array<boolean>, lengths array<long>, body binary, known binary"
 ASKED = "block long, part int, keys binary, values binary"
 ANSWER = "block long, part int, distinct long, answer binary"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -235,25 +234,30 @@ def exchange(asked: DataFrame, values: int, answer: Callable[[np.ndarray, list[n
     return asked.groupBy("part").applyInArrow(run, ANSWER)
 
 
-def answered(state: DataFrame, answers: DataFrame, run: Callable[[dict, np.ndarray], Iterator], schema: str, build: Callable[[list], pa.RecordBatch]) -> DataFrame:
-    """``run`` over each block with its answers, which come in the order of their ranges, streaming."""
-    own = [f.name for f in state.schema.fields]
-    rows = state.select(*own, F.lit(-1).alias("part"), F.lit(None).cast("binary").alias("answer"))
-    more = answers.filter("block >= 0").select("block", *(F.lit(None).cast(f.dataType).alias(f.name) for f in state.schema.fields[1:]), "part", "answer")
-    met = rows.unionByName(more).repartition("block").sortWithinPartitions("block", "part")
+def answered(first: DataFrame, answers: list[DataFrame], run: Callable[[dict, list[np.ndarray]], Iterator], schema: str) -> DataFrame:
+    """``run`` over each block with its answers of each round, which come in the order of their ranges, streaming."""
+    own, build, turns = ["block", "ids", "held", "lengths", "body"], _records(schema), len(answers)
+    rows = first.select(*own, F.lit(-1).alias("turn"), F.lit(0).alias("part"), F.lit(None).cast("binary").alias("answer"))
+    for i, said in enumerate(answers):
+        none = [F.lit(None).cast(f.dataType).alias(f.name) for f in first.select(*own[1:]).schema.fields]
+        rows = rows.unionByName(said.filter("block >= 0").select("block", *none, F.lit(i).alias("turn"), "part", "answer"))
+    met = rows.repartition("block").sortWithinPartitions("block", "turn", "part")
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
+            return [np.concatenate([np.empty(0, np.uint64), *p]).view(np.int64) for p in parts]
+
         head, parts = None, []
         for batch in batches:
             for r in batch.to_pylist():
-                if r["part"] < 0:
+                if r["turn"] < 0:
                     if head is not None:
-                        yield from map(build, run(head, np.concatenate([np.empty(0, np.uint64), *parts]).view(np.int64)))
-                    head, parts = r, []
+                        yield from map(build, run(head, told(parts)))
+                    head, parts = r, [[] for _ in range(turns)]
                 else:
-                    parts.append(unpacked(r["answer"]))
+                    parts[r["turn"]].append(unpacked(r["answer"]))
         if head is not None:
-            yield from map(build, run(head, np.concatenate([np.empty(0, np.uint64), *parts]).view(np.int64)))
+            yield from map(build, run(head, told(parts)))
 
     return met.mapInArrow(go, schema)
 
@@ -269,26 +273,6 @@ def _records(schema: str) -> Callable[[list], pa.RecordBatch]:
     return build
 
 
-#: Rows of the next round's questions, after a row with the block's state (``part`` -1).
-BOTH = f"{STATE}, part int, keys binary, values binary"
-
-
-def _with_state(row: dict, known: list[np.ndarray], asked: Iterator[tuple]) -> Iterator[list]:
-    said = b"".join(len(x).to_bytes(8, "little") + x for x in (packed(k.view(np.uint64)) for k in known))
-    yield [(row["block"], row["ids"], row["held"], row["lengths"], row["body"], (row.get("known") or b"") + said, -1, None, None)]
-    for block, part, keys, values in asked:
-        yield [(block, None, None, None, None, None, part, keys, values)]
-
-
-def _known(row: dict) -> list[np.ndarray]:
-    out, at, said = [], 0, row["known"] or b""
-    while at < len(said):
-        size = int.from_bytes(said[at : at + 8], "little")
-        out.append(unpacked(said[at + 8 : at + 8 + size]).view(np.int64))
-        at += 8 + size
-    return out
-
-
 def _root(count: np.ndarray, total: int, distinct: int) -> np.ndarray:
     return (count + 0.5) / (total + 0.5 * (distinct + 1))
 
@@ -296,7 +280,7 @@ def _root(count: np.ndarray, total: int, distinct: int) -> np.ndarray:
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each document."""
     spark = docs.sparkSession
-    first, first_path = scratch.keep(blocks(docs), "blocks")
+    first, _ = scratch.keep(blocks(docs), "blocks")
     size, total = first.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
     ranges, cost = max(LEAST_RANGES, size // PER_RANGE), 0.5 * math.log(max(total, 2))
 
@@ -310,47 +294,44 @@ def score(docs: DataFrame) -> DataFrame:
                 for x in asking.rows(row["block"], ranges, [count]):
                     yield _records(ASKED)([x])
 
-    counts, counts_path = scratch.keep(exchange(first.select("block", "ids", "held", "lengths", "body").mapInArrow(ask_counts, ASKED), 1, lambda keys, sums: sums[0]), "counts")
+    counts, _ = scratch.keep(exchange(first.select("block", "ids", "held", "lengths", "body").mapInArrow(ask_counts, ASKED), 1, lambda keys, sums: sums[0]), "counts")
+    scratch.release(spark)
     distinct = counts.filter("block < 0").agg(F.coalesce(F.sum("distinct"), F.lit(0))).first()[0]
 
-    def ask_contexts(row: dict, answer: np.ndarray) -> Iterator[list]:
-        c = Counted.of(Tokens.of(row), answer)
+    def ask_contexts(row: dict, answers: list[np.ndarray]) -> Iterator[list]:
+        c = Counted.of(Tokens.of(row), answers[0])
         t, asking = c.tokens, c.contexts()
         at = asking.parts[0][0]
         gains = evidence(asking, 0, t.train, np.where(t.train[at], c.two[at] / c.one[at - 1] / _root(c.one[at], total, distinct), 1.0), np.maximum(c.two[at], 1))
         rows = np.flatnonzero(t.train[asking.parts[1][0]])
         triples = asking.total(1, rows, np.ones(len(rows), np.int64))
-        yield from _with_state(row, [answer], asking.rows(row["block"], ranges, [triples, *gains]))
+        for x in asking.rows(row["block"], ranges, [triples, *gains]):
+            yield [x]
 
     def retained(gain: np.ndarray, share: np.ndarray) -> np.ndarray:
         t = np.rint(share / SHARE).astype(np.int64)
         return np.where((t > 0) & (gain / GAIN > cost * t), t, 0)
 
-    state = first.select("block", "ids", "held", "lengths", "body", F.lit(None).cast("binary").alias("known"))
-    second, second_path = scratch.keep(answered(state, counts, ask_contexts, BOTH, _records(BOTH)), "contexts")
-    scratch.drop(spark, first_path, counts_path)
+    told, _ = scratch.keep(exchange(answered(first, [counts], ask_contexts, ASKED), 3, lambda keys, sums: np.where(keys & np.uint64(3) == 3, sums[0], retained(sums[1], sums[2]))), "told")
     scratch.release(spark)
-    told, told_path = scratch.keep(exchange(second.filter("part >= 0").select("block", "part", "keys", "values"), 3, lambda keys, sums: np.where(keys & np.uint64(3) == 3, sums[0], retained(sums[1], sums[2]))), "told")
 
-    def ask_pairs(row: dict, answer: np.ndarray) -> Iterator[list]:
-        c = Counted.of(Tokens.of(row), _known(row)[0])
+    def ask_pairs(row: dict, answers: list[np.ndarray]) -> Iterator[list]:
+        c = Counted.of(Tokens.of(row), answers[0])
         t, asking = c.tokens, c.pairs()
-        three = c.contexts().spread(1, answer, len(t.word))
+        three = c.contexts().spread(1, answers[1], len(t.word))
         at = asking.parts[0][0]
         ratio = np.where(t.train[at], np.maximum(three[at], 1) / c.two[at - 1] / (np.maximum(c.two[at], 1) / c.one[at - 1]), 1.0)
-        yield from _with_state(row, [answer], asking.rows(row["block"], ranges, evidence(asking, 0, t.train, ratio, np.maximum(three[at], 1))))
+        for x in asking.rows(row["block"], ranges, evidence(asking, 0, t.train, ratio, np.maximum(three[at], 1))):
+            yield [x]
 
-    third, third_path = scratch.keep(answered(second.filter("part < 0").select(*(x.split(" ")[0] for x in STATE.split(", "))), told, ask_pairs, BOTH, _records(BOTH)), "pairs")
-    scratch.drop(spark, second_path, told_path)
+    last, _ = scratch.keep(exchange(answered(first, [counts, told], ask_pairs, ASKED), 2, lambda keys, sums: retained(*sums)), "last")
     scratch.release(spark)
-    last, _ = scratch.keep(exchange(third.filter("part >= 0").select("block", "part", "keys", "values"), 2, lambda keys, sums: retained(*sums)), "last")
 
-    def law(row: dict, answer: np.ndarray) -> Iterator[list]:
-        counts, told = _known(row)
-        c = Counted.of(Tokens.of(row), counts)
+    def law(row: dict, answers: list[np.ndarray]) -> Iterator[list]:
+        c = Counted.of(Tokens.of(row), answers[0])
         t, contexts = c.tokens, c.contexts()
-        one, three = contexts.spread(0, told, len(t.word)), contexts.spread(1, told, len(t.word))
-        two = c.pairs().spread(0, answer, len(t.word))
+        one, three = contexts.spread(0, answers[1], len(t.word)), contexts.spread(1, answers[1], len(t.word))
+        two = c.pairs().spread(0, answers[2], len(t.word))
         base = _root(c.one, total, distinct)
         p = base.copy()
         for next_words, of, own in ((one, np.roll(c.one, 1), c.two), (two, np.roll(c.two, 1), three)):
@@ -363,7 +344,7 @@ def score(docs: DataFrame) -> DataFrame:
         known = np.add.reduceat((c.one > 0).astype(np.int64), starts)
         yield list(zip(t.ids, t.held.tolist(), np.diff(t.bounds).tolist(), known.tolist(), [total] * len(starts), sums[0].tolist(), sums[1].tolist(), strict=True))
 
-    return answered(third.filter("part < 0").select(*(x.split(" ")[0] for x in STATE.split(", "))), last, law, SCORES, _records(SCORES))
+    return answered(first, [counts, told, last], law, SCORES)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
