@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -53,7 +54,9 @@ def drop(spark: SparkSession, *paths: str) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let the cleaner take the shuffle files of plans that are done: it sees them when the driver's JVM collects garbage."""
+    """Let the cleaner take the shuffle files of plans that are done: it sees them when no frame here and then nothing in
+    the driver's JVM refers to them any more."""
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
