@@ -1,6 +1,6 @@
 """The queries of the operators in this subpackage, by name, and SQL for those that SQL can express."""
 
-from quarry.llm import op1_quality, op2_bpe, op3_warc, op4_minhash, op5_decontaminate, op6_pii, op7_shards, op8_chat, op9_suffix_tree, op10_substring
+from quarry.llm import op1_quality, op2_bpe, op3_warc, op4_minhash, op5_decontaminate, op6_pii, op7_shards, op8_chat, op9_suffix_tree, op10_substring, op11_negatives, op12_survivorship, op13_lines
 
 QUERIES = {
     "op1_quality": op1_quality.query,
@@ -13,12 +13,16 @@ QUERIES = {
     "op8_chat": op8_chat.query,
     "op9_suffix_tree": op9_suffix_tree.query,
     "op10_substring": op10_substring.query,
+    "op11_negatives": op11_negatives.query,
+    "op12_survivorship": op12_survivorship.query,
+    "op13_lines": op13_lines.query,
 }
 
 BITS = "array_to_string(list_transform(range(1, 41), lambda i: SUBSTR('0000000100100011010001010110011110001001101010111100110111101111', strpos('0123456789abcdef', SUBSTR(h, i, 1)) * 4 - 3, 4)), '')"
 BASE32 = "array_to_string(list_transform(range(0, 32), lambda i: SUBSTR('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + 16 * CAST(SUBSTR(bits, 5 * i + 1, 1) AS INT) + 8 * CAST(SUBSTR(bits, 5 * i + 2, 1) AS INT) + 4 * CAST(SUBSTR(bits, 5 * i + 3, 1) AS INT) + 2 * CAST(SUBSTR(bits, 5 * i + 4, 1) AS INT) + CAST(SUBSTR(bits, 5 * i + 5, 1) AS INT), 1)), '')"
 WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+BLANK, EDGES = r"'[\x20\x09-\x0D]*'", r"'^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$'"
 ESCAPED = r"regexp_replace({0}, '<(\\*)\|', '<\\\1|', 'g')"
 ROLE = ESCAPED.format(r"REPLACE(REPLACE(role, '\', '\\'), chr(10), '\n')")
 
@@ -42,4 +46,24 @@ g AS (SELECT DISTINCT doc_id, i + j AS p FROM (SELECT v.doc_id, v.i FROM v JOIN
 a AS (SELECT doc_id, UNNEST(w) AS word, generate_subscripts(w, 1) AS p FROM d),
 k AS (SELECT a.doc_id, STRING_AGG(a.word, ' ' ORDER BY a.p) AS kept FROM a LEFT JOIN g ON g.doc_id = a.doc_id AND g.p = a.p WHERE g.p IS NULL GROUP BY a.doc_id)
 SELECT d.doc_id, len(d.w) AS n_words, COALESCE(n.n, 0) AS n_removed, sha256(COALESCE(k.kept, '')) AS kept_sha256 FROM d LEFT JOIN k ON k.doc_id = d.doc_id LEFT JOIN (SELECT doc_id, COUNT(*) AS n FROM g GROUP BY doc_id) n ON n.doc_id = d.doc_id""",
+    "op11_negatives": """WITH e AS (SELECT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT a, b, score FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY a ORDER BY score DESC, b) AS n FROM s WHERE same) x WHERE n <= 5)
+SELECT a AS anchor_id, positive_id, rank, b AS negative_id, positive_score, score AS negative_score FROM (SELECT p.a, p.b AS positive_id, s.b, p.score AS positive_score, s.score, CAST(ROW_NUMBER() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b) AS INT) AS rank
+FROM p JOIN s ON s.a = p.a AND NOT s.same AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score) y WHERE rank <= 5""",
+    "op12_survivorship": f"""WITH c AS (SELECT COALESCE(master_id, client_id) AS cluster_id, client_id, updated_at, CASE source WHEN 'crm' THEN 0 WHEN 'web' THEN 1 WHEN 'store' THEN 2 WHEN 'partner' THEN 3 ELSE 4 END AS trust,
+{', '.join(f"CASE WHEN regexp_full_match({x}, {BLANK}) THEN NULL ELSE {x} END AS {x}" for x in ('name', 'email', 'city', 'segment'))}, nation_id, balance FROM clients),
+s AS (SELECT *, updated_at IS NULL OR updated_at < MAX(updated_at) OVER (PARTITION BY cluster_id) - INTERVAL 1440 HOUR AS stale, ROW_NUMBER() OVER (PARTITION BY cluster_id ORDER BY updated_at DESC NULLS LAST, trust, client_id) AS recent FROM c),
+t AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY cluster_id ORDER BY stale, trust, recent) AS trusted, FIRST_VALUE(segment) OVER (PARTITION BY cluster_id ORDER BY CASE WHEN segment IS NULL THEN 1 ELSE 0 END, recent) AS chosen FROM s),
+g AS (SELECT cluster_id, COUNT(*) AS n_records, COUNT(*) FILTER (stale) AS n_stale,
+arg_min({{'v': name, 'id': client_id}}, {{'a': -LENGTH(name), 'b': trusted}}) FILTER (name IS NOT NULL) AS n, arg_min({{'v': email, 'id': client_id}}, trusted) FILTER (email IS NOT NULL) AS e, arg_min({{'v': segment, 'id': client_id}}, recent) FILTER (segment IS NOT NULL) AS s,
+arg_min({{'c': city, 'n': nation_id, 'id': client_id}}, {{'a': CASE WHEN city IS NULL THEN 1 ELSE 0 END + CASE WHEN nation_id IS NULL THEN 1 ELSE 0 END, 'b': recent}}) AS a,
+arg_min({{'v': balance, 'id': client_id}}, {{'a': CASE WHEN segment IS NOT DISTINCT FROM chosen THEN 0 ELSE 1 END, 'b': recent}}) FILTER (balance IS NOT NULL) AS b FROM t GROUP BY cluster_id)
+SELECT cluster_id, n_records, n_stale, n.v AS name, e.v AS email, s.v AS segment, a.c AS city, a.n AS nation_id, CAST(floor(100 * b.v + 0.5) AS BIGINT) AS balance_cents, n.id AS name_from, e.id AS email_from, s.id AS segment_from, b.id AS balance_from, CASE WHEN a.c IS NOT NULL OR a.n IS NOT NULL THEN a.id END AS address_from FROM g""",
+    "op13_lines": f"""WITH l AS (SELECT doc_id, UNNEST(lines) AS line, generate_subscripts(lines, 1) AS p FROM (SELECT doc_id, string_split(COALESCE(text, ''), chr(10)) AS lines FROM documents) d),
+k AS (SELECT *, translate(regexp_replace(line, {EDGES}, '', 'g'), '{UPPER}', '{LOWER}') AS key FROM l),
+f AS (SELECT key, MIN(doc_id) AS first FROM k WHERE LENGTH(key) >= 10 GROUP BY key HAVING MIN(doc_id) < MAX(doc_id)),
+m AS (SELECT k.*, COALESCE(k.doc_id > f.first, FALSE) AS gone FROM k LEFT JOIN f ON f.key = k.key)
+SELECT doc_id, COUNT(*) AS n_lines, COUNT(*) FILTER (gone) AS n_dropped, sha256(COALESCE(STRING_AGG(line, chr(10) ORDER BY p) FILTER (NOT gone), '')) AS kept_sha256 FROM m GROUP BY doc_id""",
 }
