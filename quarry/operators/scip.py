@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import bisect
+import heapq
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bits of a role mask, in the order in which their names are listed.
 ROLE_BITS = {"DEFINITION": 1, "IMPORT": 2, "WRITE": 4, "READ": 8, "GENERATED": 16, "TEST": 32, "FORWARD_DEFINITION": 64}
 #: Fixed value: what a line weighs against a column in a range's span.
 LINE_SPAN = 100_000
+#: Lines of a file that are swept together.
+STRETCH = 8192
 
 
 def roles(mask: Column) -> Column:
@@ -23,17 +31,47 @@ def by_role(found: DataFrame, mask: str) -> DataFrame:
     return found.withColumn("role", F.explode(roles(F.coalesce(F.col(mask), F.lit(0)))))
 
 
-def enclosed(found: DataFrame, definitions: DataFrame, file: list[str], key: list[str], order: list[str]) -> DataFrame:
-    """Occurrences inside a definition of another symbol, with the smallest such definition's symbol (``enclosing``).
+def swept(found: DataFrame, definitions: DataFrame, file: list[str], key: list[str], order: list[str]) -> DataFrame:
+    """``key`` columns of each occurrence, and the symbol of the smallest definition of another symbol around it (``enclosing``, null without one).
 
-    Both sides have symbol, start_line, start_col, end_line, end_col. The join is by file, so a group is as large as a file.
+    Both sides have symbol, start_line, start_col, end_line, end_col. Starts of a stretch of a file, sorted, are streamed past
+    the definitions that are open, which are all that a task holds; of equal spans the first by ``order`` counts. A long
+    file is several stretches, and a definition goes to each that it spans.
     """
-    d = definitions.select(*file, *(F.col(c).alias(f"d_{c}") for c in ("symbol", "start_line", "start_col", "end_line", "end_col", *order)))
-    inside = (F.struct("d_start_line", "d_start_col") <= F.struct("start_line", "start_col")) & (F.struct("d_end_line", "d_end_col") >= F.struct("end_line", "end_col"))
-    met = found.join(d, file).filter((F.col("d_symbol") != F.col("symbol")) & inside)
-    span = (F.col("d_end_line") - F.col("d_start_line")) * LINE_SPAN + F.greatest(F.col("d_end_col") - F.col("d_start_col"), F.lit(0))
-    least = F.min(F.struct(span.alias("span"), *(F.col(f"d_{c}") for c in order), "d_symbol")).alias("least")  # a partial aggregate: no sort of a file's pairs
-    return met.groupBy(*key).agg(least).select(*key, F.col("least.d_symbol").alias("enclosing"))
+    place = F.struct("start_line", "start_col", "end_line", "end_col")
+    where, stretch = F.struct(*file).alias("file"), lambda c: F.floor(F.col(c) / STRETCH)
+    span = (F.col("end_line") - F.col("start_line")).cast("long") * LINE_SPAN + F.greatest(F.col("end_col") - F.col("start_col"), F.lit(0))
+    open_ = definitions.select(where, F.explode(F.sequence(stretch("start_line"), F.greatest(stretch("start_line"), stretch("end_line")))).alias("stretch"), place.alias("place"), F.lit(0).alias("kind"), "symbol", span.alias("span"), F.struct(*order).alias("order"))
+    ask = found.select(where, stretch("start_line").alias("stretch"), place.alias("place"), F.lit(1).alias("kind"), "symbol", F.struct(*key).alias("key"))
+    both = open_.unionByName(ask, allowMissingColumns=True).repartition("file", "stretch").sortWithinPartitions("file", "stretch", "place.start_line", "place.start_col", "kind")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, inner, ends = None, [], []  # open definitions by span, and by end
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("file", "stretch", "place", "kind", "symbol", "span", "order")), strict=True)
+            asked, told = [], []
+            for i, (name, part, where, kind, symbol, size, rank) in enumerate(rows):
+                if (name, part) != at:
+                    at, inner, ends = (name, part), [], []
+                begin, end = (where["start_line"], where["start_col"]), (where["end_line"], where["end_col"])
+                while ends and ends[0][0] < begin:
+                    del inner[bisect.bisect_left(inner, heapq.heappop(ends)[1])]
+                if kind == 0:
+                    one = (size, tuple((v is not None, v) for v in rank.values()), symbol, end)
+                    bisect.insort(inner, one)
+                    heapq.heappush(ends, (end, one))
+                else:
+                    asked.append(i)
+                    told.append(next((d[2] for d in inner if d[2] != symbol and d[3] >= end), None))
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(asked, pa.int64())), pa.array(told, pa.string())], ["key", "enclosing"])
+
+    held = StructType().add("key", ask.schema["key"].dataType).add("enclosing", "string")
+    return both.mapInArrow(run, held).select("key.*", "enclosing")
+
+
+def enclosed(found: DataFrame, definitions: DataFrame, file: list[str], key: list[str], order: list[str]) -> DataFrame:
+    """Occurrences inside a definition of another symbol, with the smallest such definition's symbol (``enclosing``)."""
+    return swept(found, definitions, file, key, order).filter("enclosing IS NOT NULL")
 
 
 def edges(found: DataFrame) -> DataFrame:
