@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text
@@ -75,19 +75,44 @@ def replaced(current: DataFrame, new: DataFrame, scope: list[str]) -> DataFrame:
     return current.join(new.select(*scope).distinct(), scope, "left_anti").unionByName(new)
 
 
+def jumps(parents: DataFrame, most: int) -> list[DataFrame]:
+    """Tables (id, to) of the first parent, and of what it leads to in 2, 4, 8 ... steps, as long as there is any."""
+    now = graph.kept(parents.filter("nth = 0").select("id", F.col("parent").alias("to")))
+    out = [now]
+    while 2 ** len(out) < most:
+        far = now.alias("a").join(now.alias("b"), F.col("a.to") == F.col("b.id")).select("a.id", "b.to")
+        now = graph.kept(far)
+        if now.isEmpty():
+            break
+        out.append(now)
+    return out
+
+
 def reachable(parents: DataFrame, start: int, most: int = MOST_COMMITS) -> DataFrame:
-    """Commits (id) that a commit reaches by (id, parent), itself included; no more rounds once ``most`` are reached."""
+    """Commits (id) that a commit reaches by (id, parent), itself included; the nearest ``most`` where there are more.
+
+    Along first parents, what is marked marks what lies 1, 2, 4, 8 ... steps on, so a line of n commits takes log n joins;
+    other parents of what is reached then start again. With ``nth`` parents have an order, else the least is the first.
+    """
     spark = parents.sparkSession
-    seen = front = spark.createDataFrame([(start,)], "id long")
-    step = parents.filter("parent IS NOT NULL").select("id", "parent")
-    count = 1
-    while count < most:
-        front = graph.kept(front.join(step, "id").select(F.col("parent").alias("id")).distinct().join(seen, "id", "left_anti"))
-        new = front.count()
-        if not new:
-            break
-        seen, count = graph.kept(seen.unionByName(front)), count + new
-    return seen
+    known = parents.filter("parent IS NOT NULL")
+    if "nth" not in known.columns:
+        known = known.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy("parent")) - 1)
+    known = known.select("id", "parent", "nth")
+    far, others = jumps(known, most), known.filter("nth > 0")
+    front, seen, turn = spark.createDataFrame([(start,)], "id long"), None, 0
+    while True:
+        marked = front.select("id", F.lit(0).alias("steps"))
+        for k, jump in enumerate(far):
+            on = marked.join(jump, "id", "left").select(F.explode(F.array(F.struct("id", "steps"), F.struct(F.col("to").alias("id"), (F.col("steps") + 2**k).alias("steps")))).alias("m"))
+            marked = on.select("m.*").filter("id IS NOT NULL").groupBy("id").agg(F.min("steps").alias("steps"))
+        new = marked.withColumn("turn", F.lit(turn))
+        new = graph.kept(new if seen is None else new.join(seen.select("id"), "id", "left_anti"))
+        seen = new if seen is None else seen.unionByName(new)
+        front = graph.kept(new.join(others, "id").select(F.col("parent").alias("id")).distinct().join(seen.select("id"), "id", "left_anti"))
+        turn += 1
+        if front.isEmpty() or seen.count() >= most:
+            return seen.orderBy("turn", "steps", "id").limit(most).select("id")
 
 
 def ahead_behind(parents: DataFrame, base: int, head: int) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.operators import ingest
+from quarry.operators import graph, ingest, projects
 from quarry.plans.catalog import query
 from quarry.sources import artifact
 
@@ -29,21 +29,21 @@ def _artifacts(f):
     documents = used.groupBy("index_id", "file_path").agg(F.array_sort(F.collect_list(occurrence)).alias("os"), F.array_sort(F.collect_list(F.when(F.col("mask") == 1, info))).alias("ss"))
     documents = documents.select("index_id", F.struct(F.col("file_path").alias("relative_path"), F.transform("os", lambda x: x["o"]).alias("occurrences"), F.transform("ss", lambda x: x["s"]).alias("symbols"), F.lit("go").alias("language")).alias("d"))
     external = used.filter("mask <> 1").groupBy("index_id").agg(F.array_sort(F.collect_set("symbol")).alias("names"))
-    rows = documents.groupBy("index_id").agg(F.array_sort(F.collect_list("d"), lambda a, b: F.when(a["relative_path"] < b["relative_path"], -1).otherwise(1)).alias("documents")).join(external, "index_id", "left")
+    rows = documents.groupBy("index_id").agg(F.array_sort(F.collect_list("d")).alias("documents")).join(external, "index_id", "left")
     named = F.transform(F.coalesce("names", F.array().cast("array<string>")), lambda n: F.struct(n.alias("symbol"), F.lit(7).alias("kind")))
     return artifact.encoded(rows.select(F.col("index_id").alias("id"), "documents", named.alias("external_symbols")))
 
 
 def _documents(f):
     projects = f.f_index.select("id", F.lit("typescript").alias("project_language"), F.when(F.col("id") % 2 == 0, "app/").otherwise(F.lit(".")).alias("project_root"))
-    return ingest.placed(artifact.documents(_artifacts(f)), projects)
+    return ingest.placed(artifact.documents(graph.kept(_artifacts(f))), projects)
 
 
 PATH = "CONCAT(CASE WHEN index_id % 2 = 0 THEN 'app/' ELSE '' END, file_path)"
 NUMBERED = f"SELECT *, {PATH} AS path, DENSE_RANK() OVER (PARTITION BY index_id ORDER BY file_path) AS doc, ROW_NUMBER() OVER () AS rid FROM ({USED}) u"
 SYNTAX = "list_element(['Comment', 'PunctuationDelimiter', 'PunctuationBracket', 'Keyword', 'IdentifierOperator', 'Identifier', 'IdentifierBuiltin', 'IdentifierNull', 'IdentifierConstant', 'IdentifierMutableGlobal', 'IdentifierParameter', 'IdentifierLocal', 'IdentifierShadowed', 'IdentifierNamespace', 'IdentifierFunction', 'IdentifierFunctionDefinition', 'IdentifierMacro', 'IdentifierMacroDefinition', 'IdentifierType', 'IdentifierBuiltinType', 'IdentifierAttribute', 'RegexEscape', 'RegexRepeated', 'RegexWildcard', 'RegexDelimiter', 'RegexJoin', 'StringLiteral', 'StringLiteralEscape', 'StringLiteralSpecial', 'StringLiteralKey', 'CharacterLiteral', 'NumericLiteral', 'BooleanLiteral', 'Tag', 'TagAttribute', 'TagDelimiter'], syntax)"
 AROUND = f"""SELECT o.*, d.symbol AS enclosing FROM ({NUMBERED}) o LEFT JOIN (SELECT * FROM ({NUMBERED}) n WHERE mask = 1) d ON d.index_id = o.index_id AND d.doc = o.doc AND d.symbol <> o.symbol AND d.start_line <= o.start_line AND d.start_line + d.ordinal * 5 >= o.start_line
-QUALIFY ROW_NUMBER() OVER (PARTITION BY o.rid ORDER BY d.ordinal * 500000, d.ordinal) = 1"""
+QUALIFY ROW_NUMBER() OVER (PARTITION BY o.rid ORDER BY d.ordinal * 500000, d.ordinal, d.start_line, d.symbol) = 1"""
 ROLES = f"""SELECT a.*, UNNEST(CASE mask WHEN 1 THEN ['DEFINITION'] WHEN 2 THEN ['REFERENCE', 'IMPORT'] WHEN 8 THEN ['REFERENCE', 'READ'] ELSE ['REFERENCE'] END) AS role FROM ({AROUND}) a"""
 
 
@@ -75,3 +75,30 @@ UNION SELECT r.index_id, enclosing, r.symbol, TRUE, FALSE, FALSE, FALSE FROM ({R
 def _(f):
     docs = _documents(f)
     return ingest.relationships(docs, ingest.occurrences(docs)).select("id", "source", "target", *ingest.FLAGS)
+
+
+#: Every project by its definition: each marker is held against every file of its repository.
+TREE = "SELECT DISTINCT repo_name, path, regexp_extract(path, '[^/]*$') AS base, regexp_replace(path, '/?[^/]*$', '') AS folder, LOWER(path) AS low FROM f_tree WHERE NOT regexp_matches(path, '(^|/)([.]git|node_modules|[.]next|dist|build|target|[.]venv|venv|__pycache__|vendor)(/|$)')"
+INSIDE = "({1} = '' OR starts_with({0}, CONCAT({1}, '/')))"
+PROJECTS = f"""WITH t AS ({TREE}),
+k AS (SELECT DISTINCT repo_name, folder AS root, CASE WHEN base IN ('package.json', 'tsconfig.json', 'jsconfig.json') THEN 'typescript' WHEN base = 'go.mod' THEN 'go' WHEN base = 'setup.cfg' THEN 'python' WHEN base IN ('pom.xml', 'build.sbt') THEN 'java'
+WHEN base LIKE '%.csproj' THEN 'dotnet' WHEN base = 'Gemfile' OR base LIKE '%.gemspec' THEN 'ruby' WHEN base = 'Cargo.toml' THEN 'rust' END AS language FROM t),
+i AS (SELECT * FROM t WHERE regexp_matches(low, '[.](ts|tsx|js|jsx|mts|cts|mjs|cjs)$') AND low NOT LIKE '%.d.ts' AND low NOT LIKE '%.min.js' AND NOT regexp_matches(path, '(^|/)coverage/')),
+s AS (SELECT DISTINCT k.repo_name, k.root FROM k JOIN i ON i.repo_name = k.repo_name AND k.language = 'typescript' AND {INSIDE.format('i.path', 'k.root')}
+WHERE NOT EXISTS (SELECT 1 FROM k c WHERE c.repo_name = k.repo_name AND c.language = 'typescript' AND c.root <> k.root AND LENGTH(c.root) > LENGTH(k.root) AND {INSIDE.format('c.root', 'k.root')} AND {INSIDE.format('i.path', 'c.root')})),
+n AS (SELECT DISTINCT i.repo_name, CASE WHEN regexp_matches(SUBSTR(path, strpos(path, '/')), '^/([^/]+/)*?src/') AND strpos(path, '/') > 0 THEN regexp_replace(regexp_extract(path, '^[^/]+/(?:[^/]+/)*?src/'), '/src/$', '') ELSE '' END AS root FROM i
+WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.repo_name = i.repo_name AND {INSIDE.format('i.path', 's.root')})),
+a AS (SELECT repo_name, root, 'typescript' AS language FROM s UNION SELECT repo_name, root, 'typescript' FROM n UNION SELECT repo_name, root, language FROM k WHERE language NOT IN ('typescript', 'java')
+UNION SELECT k.repo_name, k.root, 'java' FROM k WHERE language = 'java' AND EXISTS (SELECT 1 FROM t WHERE t.repo_name = k.repo_name AND {INSIDE.format('t.path', 'k.root')} AND regexp_matches(low, '[.](java|scala|kt)$') AND regexp_matches(SUBSTR(low, LENGTH(k.root) + 1), '(^|/)src/')))
+SELECT *, CASE language WHEN 'typescript' THEN 'scip-typescript' WHEN 'go' THEN 'scip-go' WHEN 'python' THEN 'scip-python' WHEN 'java' THEN 'scip-java' WHEN 'dotnet' THEN 'scip-dotnet' WHEN 'ruby' THEN 'scip-ruby' ELSE 'rust-analyzer' END AS indexer,
+CASE language WHEN 'typescript' THEN 'ts-js' WHEN 'java' THEN 'jvm' WHEN 'rust' THEN 'rust-dart' ELSE language END AS worker_class FROM a"""
+
+
+@query("detected_projects", PROJECTS)
+def _(f):
+    return projects.detected(f.f_tree)
+
+
+@query("planned_projects", f"SELECT * FROM (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY repo_name, runnable ORDER BY root, language) AS INT) AS place FROM (SELECT *, worker_class IN ('ts-js', 'go', 'jvm') AS runnable FROM ({PROJECTS}) p) x) y WHERE place <= 4")
+def _(f):
+    return projects.planned(projects.detected(f.f_tree), "ts-js, go,jvm,", 4)

@@ -147,6 +147,13 @@ SELECT doc_id, CONCAT(CASE doc_id % 13 WHEN 0 THEN 'web/node_modules/' WHEN 1 TH
               CASE doc_id % 17 WHEN 0 THEN '.go' WHEN 1 THEN '.py' WHEN 2 THEN '.test.ts' WHEN 3 THEN '.spec.jsx' WHEN 4 THEN '.min.js' WHEN 5 THEN '.generated.cs' WHEN 6 THEN '.kt'
               WHEN 7 THEN '.hpp' WHEN 8 THEN '.RB' WHEN 9 THEN '.rs' WHEN 10 THEN '.dart' WHEN 11 THEN '.mdx' WHEN 12 THEN '.yaml' WHEN 13 THEN '' WHEN 14 THEN '.test.' WHEN 15 THEN '.Vb' ELSE '_test.go' END) AS path
 FROM documents
+""",
+    "f_tree": """
+SELECT source AS repo_name, CONCAT(CASE doc_id % 13 WHEN 0 THEN '' WHEN 1 THEN 'apps/web/' WHEN 2 THEN 'apps/web/admin/' WHEN 3 THEN 'svc/api/' WHEN 4 THEN 'web/node_modules/x/' WHEN 5 THEN 'java/app/' WHEN 6 THEN 'java/app/src/main/'
+              WHEN 7 THEN 'lib/src/ui/' WHEN 8 THEN 'app/coverage/' WHEN 9 THEN 'vendor/y/' WHEN 10 THEN 'apps/' WHEN 11 THEN 'java/' ELSE 'tools/Src/' END,
+              CASE doc_id % 17 WHEN 0 THEN 'package.json' WHEN 1 THEN 'src/app.ts' WHEN 2 THEN 'Index.TSX' WHEN 3 THEN 'go.mod' WHEN 4 THEN 'setup.cfg' WHEN 5 THEN 'pom.xml' WHEN 6 THEN 'src/Main.java' WHEN 7 THEN 'App.kt' WHEN 8 THEN 'x.csproj' WHEN 9 THEN 'Gemfile'
+              WHEN 10 THEN 'a.gemspec' WHEN 11 THEN 'Cargo.toml' WHEN 12 THEN 'types.d.ts' WHEN 13 THEN 'lib.min.js' WHEN 14 THEN 'tsconfig.json' WHEN 15 THEN 'build.sbt' ELSE 'src/lib/b.cjs' END) AS path
+FROM documents
 """,
     "f_manifest_prev": """
 SELECT path, CAST(LENGTH(content) AS BIGINT) AS content_hash, repo_name, branch FROM f_file WHERE doc_id % 10 <> 0
