@@ -45,20 +45,21 @@ def global_only(edges: DataFrame) -> DataFrame:
 
 
 def preferred(path: Column, paths: tuple[str, ...]) -> Column:
+    """Whether a path, in lower case, is like one of the patterns."""
     out = F.lit(False)
     for p in paths:
-        out = out | path.ilike(p)
+        out = out | path.like(p.lower())
     return out
 
 
-def score(terms: list[str], field: Column, paths: tuple[str, ...] = PREFERRED_PATHS) -> Column:
-    """Lengths of the terms that the field holds, and what producer, relation and path add."""
-    out = F.lit(0)
-    for t in terms:
-        out = out + F.when(text.like_any([field], [t]), max(1, len(t))).otherwise(0)
-    path, kind = F.coalesce("source_file", F.lit("")), producer(F.col("source"))
-    out = out + F.when(kind == "scip", SCIP_SCORE).when(kind == "ast", AST_SCORE).otherwise(0) + choice(F.upper("relation"), RELATION_SCORE, 0)
-    return out + F.when(preferred(path, paths), PATH_SCORE).otherwise(0) + F.when(text.is_test(path), TEST_SCORE).otherwise(0)
+def java_literal(term: str) -> str:
+    """A term as a pattern that matches itself."""
+    return "".join(c if c.isalnum() or c in " _" else f"\\{c}" for c in term)
+
+
+def term_lengths(terms: list[str], low: Column) -> Column:
+    """Lengths of the terms that a text in lower case holds."""
+    return sum((F.when(low.contains(t.lower()), max(1, len(t))).otherwise(0) for t in terms), F.lit(0))
 
 
 def quota(relation: Column, limit: int) -> Column:
@@ -70,16 +71,20 @@ def ranked(edges: DataFrame, terms: list[str], limit: int, paths: tuple[str, ...
 
     The greatest quota is a filter of its own, so that each task keeps no more of a group before the shuffle.
     """
-    relation, path = F.upper("relation"), F.coalesce("source_file", F.lit(""))
-    hit = global_only(edges).withColumn("searched", searched())
-    hit = hit.filter(text.like_any([F.col("searched")], terms)) if terms else hit
-    hits = F.lit(0)
-    for t in terms:
-        hits = hits + F.when(text.like_any([F.col("searched")], [t]), max(1, len(t))).otherwise(0)
-    scored = hit.withColumns({"producer": producer(F.col("source")), "hits": hits, "score": score(terms, F.col("searched"), paths), "relation_order": choice(relation, RELATION_ORDER, 5), "test_order": F.when(text.is_test(path), 2).otherwise(0)})
+    relation = F.upper("relation")
+    # texts are made once: what is used several times stays a column of its own
+    hit = global_only(edges).withColumns({"low": F.lower(searched()), "low_path": F.lower(F.coalesce("source_file", F.lit(""))), "producer": producer(F.col("source"))})
+    if terms:
+        hit = hit.filter(F.col("low").rlike("|".join(java_literal(t.lower()) for t in terms)))
+    hit = hit.withColumns({"hits": term_lengths(terms, F.col("low")), "liked": preferred(F.col("low_path"), paths), "tested": text.is_test(F.col("low_path"))})
+    worth = F.col("hits") + F.when(F.col("producer") == "scip", SCIP_SCORE).when(F.col("producer") == "ast", AST_SCORE).otherwise(0) + choice(relation, RELATION_SCORE, 0)
+    worth = worth + F.when(F.col("liked"), PATH_SCORE).otherwise(0) + F.when(F.col("tested"), TEST_SCORE).otherwise(0)
+    scored = hit.withColumns({"score": worth, "relation_order": choice(relation, RELATION_ORDER, 5), "test_order": F.when(F.col("tested"), 2).otherwise(0)})
     tie = [F.col("graph_index_id"), F.col("ordinal")]
     place = [F.col("confidence").desc_nulls_last(), F.col("source_file").asc_nulls_last(), F.col("start_line").asc_nulls_last(), *tie]
-    first = [F.col("hits").desc(), F.when(F.col("producer") == "scip", 0).otherwise(1), choice(relation, TURN_ORDER, 4), F.when(preferred(path, paths), 0).otherwise(1), F.col("test_order"), *place]
+    first = [F.col("hits").desc(), F.when(F.col("producer") == "scip", 0).otherwise(1), choice(relation, TURN_ORDER, 4), F.when(F.col("liked"), 0).otherwise(1), F.col("test_order"), *place]
+    needed = ["repo_id", "graph_index_id", "ordinal", "src", "dst", "relation", "producer", "hits", "score", "relation_order", "test_order", "liked", "confidence", "source_file", "start_line"]
+    scored = scored.select(*needed)
     scored = scored.withColumn("relation_rank", F.row_number().over(Window.partitionBy(relation, "producer").orderBy(*first)))
     scored = scored.filter(F.col("relation_rank") <= max(8, limit // 2)).filter(F.col("relation_rank") <= quota(relation, limit))
     second = [F.col("score").desc(), F.col("relation_order"), *place]

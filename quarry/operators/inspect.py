@@ -74,23 +74,23 @@ def is_local(text: Column) -> Column:
     return F.lower(F.trim(F.coalesce(text, F.lit("")))).rlike(LOCAL)
 
 
-def low_signal(end: str) -> Column:
-    text = named(f"{end}_key", f"{end}_label")
+def low_signal(end: str, text: Column | None = None) -> Column:
+    text = named(f"{end}_key", f"{end}_label") if text is None else text
     return holds(text, LOW_SIGNAL) | is_local(text)
 
 
-def external(end: str) -> Column:
+def external(end: str, text: Column | None = None) -> Column:
     """Whether an end without a path belongs to a package from elsewhere."""
-    return (F.coalesce(F.col(f"{end}_path"), F.lit("")) == "") & holds(named(f"{end}_key", f"{end}_label"), EXTERNAL)
+    return (F.coalesce(F.col(f"{end}_path"), F.lit("")) == "") & holds(named(f"{end}_key", f"{end}_label") if text is None else text, EXTERNAL)
 
 
 def low_value(path: Column) -> Column:
     return holds(F.lower(path), LOW_VALUE)
 
 
-def language_bucket() -> Column:
+def language_bucket(text: Column | None = None) -> Column:
     """The language that an edge's path and ends name; empty where they name none."""
-    text = named("evidence_path", *(f"{e}_{c}" for e in ENDS for c in END_FIELDS))
+    text = named("evidence_path", *(f"{e}_{c}" for e in ENDS for c in END_FIELDS)) if text is None else text
     out = F.lit("")
     for name, markers in reversed(BUCKETS):
         hit = holds(text, markers) & ~text.contains("javascript") if name == "java" else holds(text, markers)
@@ -112,24 +112,40 @@ def requested_languages(terms: list[str]) -> list[str]:
     return [x for x in TURNS if x in out]
 
 
-def score(terms: list[str], core_flow: tuple[str, ...] = CORE_FLOW) -> Column:
+def texts() -> dict[str, Column]:
+    """What an edge's score looks for marks in, in lower case: all of it, what names its language, each end and the path."""
+    ends = [f"{e}_{c}" for e in ENDS for c in END_FIELDS]
+    out = {"all": named("relation", "source", "provenance", "context", "evidence_path", *ends), "language": named("evidence_path", *ends), "path": F.lower(F.coalesce("evidence_path", F.lit("")))}
+    for e in ENDS:
+        out |= {e: named(*(f"{e}_{c}" for c in END_FIELDS)), f"{e}_name": named(f"{e}_key", f"{e}_label")}
+    return out
+
+
+def scored(edges: DataFrame, terms: list[str], core_flow: tuple[str, ...] = CORE_FLOW) -> DataFrame:
+    """Edges with their ``score``; the texts it reads are made once and dropped again."""
+    made = {f"__{name}": text for name, text in texts().items()}
+    return edges.withColumns(made).withColumn("score", score(terms, core_flow, {name: F.col(f"__{name}") for name in texts()})).drop(*made)
+
+
+def score(terms: list[str], core_flow: tuple[str, ...] = CORE_FLOW, read: dict[str, Column] | None = None) -> Column:
     """An edge's score in a traversal: relation, producer, both ends, evidence path, languages asked for, confidence."""
+    read = texts() if read is None else read
     asked, relation = requested_languages(terms), F.upper("relation")
     blank = lambda c: F.when(F.trim(F.coalesce(F.col(c), F.lit(""))) == "", None).otherwise(F.col(c))
     out = E.choice(relation, RELATION_SCORE, 5) + E.choice(F.lower(F.coalesce(blank("provenance"), blank("source"), F.lit(""))), PRODUCER_SCORE, 0)
     out = out + F.when(F.col("start_repo_id") != F.col("neighbor_repo_id"), 25).otherwise(0)
     matched = F.lit(False)
     if asked:
-        bucket = language_bucket()
+        bucket = language_bucket(read["language"])
         out = out + F.when(bucket.isin(asked), 42).when(bucket != "", -48).otherwise(0)
-        text = named("relation", "source", "provenance", "context", "evidence_path", *(f"{e}_{c}" for e in ENDS for c in END_FIELDS))
+        text = read["all"]
         for topic, markers in TOPICS:
             out = out + F.when(holds(text, markers), 26 if topic in asked else -42).otherwise(0)
         out = out + F.when(holds(text, core_flow), 24).otherwise(0)
     for end in ENDS:
-        kind, text = F.lower(F.coalesce(F.col(f"{end}_kind"), F.lit(""))), named(*(f"{end}_{c}" for c in END_FIELDS))
+        kind, text = F.lower(F.coalesce(F.col(f"{end}_kind"), F.lit(""))), read[end]
         out = out + F.when(kind.isin(*FLOW_KINDS), 18).when(kind.isin(*WEAK_KINDS), -10).otherwise(0)
-        out = out + F.when(low_signal(end), -28).otherwise(0) + F.when(external(end), -35).otherwise(0)
+        out = out + F.when(low_signal(end, read[f"{end}_name"]), -28).otherwise(0) + F.when(external(end, read[f"{end}_name"]), -35).otherwise(0)
         out = out + F.when((F.col(f"{end}_kind") == "symbol") & (F.coalesce(F.col(f"{end}_path"), F.lit("")) == ""), -14).otherwise(0)
         for name in ("node", "python", "dotnet"):
             if name in asked:
@@ -139,7 +155,7 @@ def score(terms: list[str], core_flow: tuple[str, ...] = CORE_FLOW) -> Column:
             out = out + F.when(holds(text, ("injectgo", "golang")), -24).otherwise(0)
         for t in terms:
             out, matched = out + F.when(text.contains(t.lower()), 8).otherwise(0), matched | text.contains(t.lower())
-    path = F.lower(F.coalesce("evidence_path", F.lit("")))
+    path = read["path"]
     for t in terms:
         out, matched = out + F.when(path.contains(t.lower()), 10).otherwise(0), matched | path.contains(t.lower())
     out = out + F.when(low_value(path), -20).otherwise(0) + F.when(relation.isin("IMPORTS", "IMPORTS_FROM") & ~matched, -18).otherwise(0)
@@ -274,7 +290,7 @@ def inspect(edges: DataFrame, vertices: DataFrame, org_id: int, asked: str, limi
         seeds = lookup(vertices, org_id, question.tokens(asked, question.budget(limit)["tokens"]), kinds, question.budget(limit)["seed_rows"], scopes)
     found = traverse(edges, vertices, seeds, org_id, plan, limit, scopes).edges
     terms = question.tokens(asked, 12)
-    rows = graph.without_hubs(found).withColumn("score", score(terms))
+    rows = scored(graph.without_hubs(found), terms)
     rows = rows.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), stable_key())))  # a few thousand rows at most
     return in_turns(rows, requested_languages(terms), limit)
 

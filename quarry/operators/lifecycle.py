@@ -88,18 +88,22 @@ def jumps(parents: DataFrame, most: int) -> list[DataFrame]:
     return out
 
 
-def reachable(parents: DataFrame, start: int, most: int = MOST_COMMITS) -> DataFrame:
+def ordered(parents: DataFrame) -> DataFrame:
+    """(id, parent, nth): where parents have no order, the least is the first."""
+    known = parents.filter("parent IS NOT NULL")
+    if "nth" not in known.columns:
+        known = known.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy("parent")) - 1)
+    return known.select("id", "parent", "nth")
+
+
+def reachable(parents: DataFrame, start: int, most: int = MOST_COMMITS, far: list[DataFrame] | None = None) -> DataFrame:
     """Commits (id) that a commit reaches by (id, parent), itself included; the nearest ``most`` where there are more.
 
     Along first parents, what is marked marks what lies 1, 2, 4, 8 ... steps on, so a line of n commits takes log n joins;
-    other parents of what is reached then start again. With ``nth`` parents have an order, else the least is the first.
+    other parents of what is reached then start again. ``far``: the jumps, where they are there already.
     """
-    spark = parents.sparkSession
-    known = parents.filter("parent IS NOT NULL")
-    if "nth" not in known.columns:
-        known = known.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy("parent")) - 1)
-    known = known.select("id", "parent", "nth")
-    far, others = jumps(known, most), known.filter("nth > 0")
+    spark, known = parents.sparkSession, ordered(parents)
+    far, others = jumps(known, most) if far is None else far, known.filter("nth > 0")
     front, seen, turn = spark.createDataFrame([(start,)], "id long"), None, 0
     while True:
         marked = front.select("id", F.lit(0).alias("steps"))
@@ -117,7 +121,9 @@ def reachable(parents: DataFrame, start: int, most: int = MOST_COMMITS) -> DataF
 
 def ahead_behind(parents: DataFrame, base: int, head: int) -> DataFrame:
     """One row: commits of head that base lacks, and of base that head lacks."""
-    a, b = reachable(parents, base), reachable(parents, head)
+    known = graph.kept(ordered(parents))
+    far = jumps(known, MOST_COMMITS)
+    a, b = reachable(known, base, far=far), reachable(known, head, far=far)
     ahead = b.join(a, "id", "left_anti").agg(F.count(F.lit(1)).alias("ahead"))
     return ahead.crossJoin(a.join(b, "id", "left_anti").agg(F.count(F.lit(1)).alias("behind")))  # one row each
 

@@ -89,12 +89,12 @@ TERMS, ASKED = ["Python", "golang", "Supplier", "webhook", "s7"], ["python", "go
 
 @query("edge_score", f"SELECT graph_index_id, ordinal, {score_sql(TERMS, ASKED)} AS score FROM ({ENDS}) e")
 def _(f):
-    return _ends(f).withColumn("score", inspect.score(TERMS)).select("graph_index_id", "ordinal", "score")
+    return inspect.scored(_ends(f), TERMS).select("graph_index_id", "ordinal", "score")
 
 
 @query("edge_score_no_language", f"SELECT graph_index_id, ordinal, {score_sql(['ring', 'src'], [])} AS score FROM ({ENDS}) e")
 def _(f):
-    return _ends(f).withColumn("score", inspect.score(["ring", "src"])).select("graph_index_id", "ordinal", "score")
+    return inspect.scored(_ends(f), ["ring", "src"]).select("graph_index_id", "ordinal", "score")
 
 
 @query("endpoint_signal", f"SELECT graph_index_id, ordinal, {_low_signal('start')} AS low_signal, {_external('start')} AS external, {LOCAL.format('start_key')} AS local, {BUCKET} AS lang FROM ({ENDS}) e")

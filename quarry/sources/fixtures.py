@@ -1,4 +1,7 @@
-"""The code-intelligence tables, as views over the driver's star schema. The same text serves Spark and the oracle."""
+"""The code-intelligence tables, as views over the driver's star schema. The same text serves Spark and the oracle.
+
+Views over lineitem state a merge join: a small copy of the tables would else be broadcast whole and read by one task.
+"""
 
 from __future__ import annotations
 
@@ -40,13 +43,13 @@ SELECT j.id, r.org_id, j.repo_id, o.o_orderpriority AS revision,
 FROM f_job j JOIN orders o ON o.o_orderkey = j.id JOIN f_repo r ON r.id = j.repo_id
 """,
     "f_symbol": """
-SELECT DISTINCT i.org_id, i.repo_id, i.id AS index_id,
+SELECT /*+ MERGE(i) */ DISTINCT i.org_id, i.repo_id, i.id AS index_id,
        CONCAT('pkg ', p.p_brand, '/', p.p_name, '().') AS symbol, p.p_name AS display_name,
        LOWER(p.p_type) AS kind, CONCAT('internal/', LOWER(p.p_type), '/file', CAST(p.p_size AS VARCHAR(10)), '.go') AS file_path
 FROM lineitem l JOIN part p ON p.p_partkey = l.l_partkey JOIN f_index i ON i.id = l.l_orderkey
 """,
     "f_occurrence": """
-SELECT i.org_id, i.repo_id, i.id AS index_id, l.l_linenumber AS ordinal,
+SELECT /*+ MERGE(i) */ i.org_id, i.repo_id, i.id AS index_id, l.l_linenumber AS ordinal,
        CONCAT('pkg ', p.p_brand, '/', p.p_name, '().') AS symbol,
        CONCAT('cmd/s', CAST(l.l_suppkey AS VARCHAR(10)), CASE WHEN l.l_suppkey % 5 = 0 THEN '_test.go' ELSE '.go' END) AS file_path,
        CAST(l.l_quantity AS INT) AS start_line,
@@ -54,7 +57,7 @@ SELECT i.org_id, i.repo_id, i.id AS index_id, l.l_linenumber AS ordinal,
 FROM lineitem l JOIN part p ON p.p_partkey = l.l_partkey JOIN f_index i ON i.id = l.l_orderkey
 """,
     "f_edge": """
-SELECT i.org_id, i.repo_id, i.id AS graph_index_id, l.l_linenumber AS ordinal,
+SELECT /*+ MERGE(i) */ i.org_id, i.repo_id, i.id AS graph_index_id, l.l_linenumber AS ordinal,
        CONCAT('cg:o', CAST(i.org_id AS VARCHAR(10)), ':part:', CAST(l.l_partkey AS VARCHAR(10))) AS src,
        CONCAT('cg:o', CAST(i.org_id AS VARCHAR(10)), ':supp:', CAST(l.l_suppkey AS VARCHAR(10))) AS dst,
        CASE (l.l_orderkey + l.l_linenumber) % 9 WHEN 0 THEN 'CALLS' WHEN 1 THEN 'REFERENCES' WHEN 2 THEN 'IMPORTS_FROM'
@@ -118,7 +121,7 @@ FROM f_index i
 SELECT s.id, j.id AS job_id, s.created_at, s.layer, CASE s.id % 8 WHEN 0 THEN 'QUEUED' WHEN 1 THEN 'RETRYING' WHEN 2 THEN 'CLAIMED' WHEN 3 THEN 'RUNNING' WHEN 4 THEN 'ARTIFACT_WRITTEN' WHEN 5 THEN 'VALIDATING' WHEN 6 THEN 'FAILED' ELSE 'SUCCEEDED' END AS status,
        CAST(s.id % 4 AS INT) AS attempt, 3 AS max_attempts, CONCAT('w', CAST(s.id % 3 AS VARCHAR(5))) AS lease_owner, CONCAT('a', CAST(s.id % 5 AS VARCHAR(5))) AS attempt_id,
        CASE WHEN s.id % 7 = 0 THEN NULL ELSE CAST(s.id * 37 % 1000 AS INT) END AS lease_expires_at
-FROM f_subjob s JOIN (SELECT id, ROW_NUMBER() OVER (ORDER BY id) AS n FROM f_job) j ON j.n = s.job_id
+FROM f_subjob s JOIN (SELECT id, id - (SELECT MIN(id) FROM f_job) + 1 AS n FROM f_job) j ON j.n = s.job_id
 """,
     "f_source": """
 SELECT k, language, path, REPLACE(REPLACE(body, '~', CHR(10)), '@', CAST(k AS VARCHAR(20))) AS content FROM (
