@@ -302,19 +302,21 @@ def beginnings(sample: list[tuple[str | None, bool, bool, list[str]]]) -> tuple[
 
 def learned(docs: DataFrame, labels: DataFrame, rows: int = LABELLED) -> tuple[Rule, ...]:
     """The rules with the flagged beginnings of a sample: at most ``rows`` toxic and clean labels each of the smallest
-    id hashes. Ids go to the documents and texts are read where they lie, so the driver gets only what marks them."""
+    id hashes. Ids go to the documents and of rows with one id one text is read, that of the least hash, so the driver
+    gets only what marks them, of 2 * ``rows`` texts at most."""
     place = F.xxhash64("doc_id")
     ids = [labels.filter(F.col("toxic") == t).select("doc_id", F.lit(bool(t)).alias("is_toxic")).distinct().orderBy(place, "doc_id").limit(rows) for t in (1, 0)]
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
     texts = docs.select("doc_id", lang.alias("lang"), "text").filter("text IS NOT NULL")
-    chosen = texts.join(F.broadcast(ids[0].unionByName(ids[1])), "doc_id").select("lang", "is_toxic", "text")  # 2 * rows ids
+    met = texts.join(F.broadcast(ids[0].unionByName(ids[1])), "doc_id")  # 2 * rows ids
+    chosen = met.groupBy("doc_id", "is_toxic").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "lang", "text")).alias("one")).select("one.lang", "is_toxic", "one.text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.slices(batches, "text"):
             found = [marking(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("is_toxic"), pa.array([x for x, _ in found], pa.bool_()), pa.array([x for _, x in found], pa.list_(pa.string()))], ["lang", "is_toxic", "flagged", "hits"])
 
-    found = chosen.mapInArrow(run, "lang string, is_toxic boolean, flagged boolean, hits array<string>").limit(4 * rows).collect()
+    found = chosen.mapInArrow(run, "lang string, is_toxic boolean, flagged boolean, hits array<string>").collect()
     starts = beginnings(sorted(map(tuple, found), key=str))
     more = Rule("flagged", partial(flagged_or, starts))
     return tuple(more if r.name == "flagged" and starts else r for r in RULES)

@@ -342,17 +342,19 @@ def keep(docs: DataFrame, k: int = 5) -> DataFrame:
 
     Rows that surely stay, by a bounded filter of the rows that go or are there again, never move.
     """
-    columns, identity = docs.columns, lambda doc, text: F.xxhash64(F.coalesce(doc, F.lit(0)), text)
+    identity = lambda doc, text: F.xxhash64(F.coalesce(doc, F.lit(0)), text)
     whole = components_of(docs, k).filter("cls IS NOT NULL")
     stays = F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("th") == F.col("first_th"))
     marked = whole.groupBy(F.col("doc_id").alias("m_doc"), F.col("th").alias("m_th")).agg(F.max(stays).alias("stays"), F.count(F.lit(1)).alias("times"))
     marked, _ = scratch.keep(marked.filter("NOT stays OR times > 1").select("m_doc", "m_th", "stays"), "marked")
-    filled = bloom.build(marked.select(identity("m_doc", "m_th").alias("row")), "row", marked.count())
-    rows = docs.withColumn("__th", F.xxhash64("text")).withColumn("__row", identity("doc_id", "__th"))
-    clear, maybe = bloom.parted(rows, "__row", filled)
-    met = maybe.join(marked, maybe.doc_id.eqNullSafe(marked.m_doc) & (maybe["__th"] == marked.m_th), "left")
-    once = met.filter("stays").dropDuplicates(["doc_id", "__th"])
-    return clear.select(*columns).unionByName(met.filter("stays IS NULL").select(*columns)).unionByName(once.select(*columns))
+    filled = bloom.build(marked.select(identity("m_doc", "m_th").alias("key")), "key", marked.count())
+    # no name of the input meets those used here
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("doc"), F.xxhash64("text").alias("th")).withColumn("key", identity("doc", "th"))
+    clear, maybe = bloom.parted(rows, "key", filled)
+    met = maybe.join(marked, maybe.doc.eqNullSafe(marked.m_doc) & (maybe.th == marked.m_th), "left")
+    once = met.filter("stays").dropDuplicates(["doc", "th"])
+    out = clear.select("row").unionByName(met.filter("stays IS NULL").select("row")).unionByName(once.select("row"))
+    return out.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

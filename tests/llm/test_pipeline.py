@@ -51,6 +51,22 @@ def test_stages_keep_columns_and_bear_odd_rows(spark):
             assert out.count() <= df.count()
 
 
+def test_stages_pass_columns_of_any_name(spark):
+    """Columns named as the operators name their own come out as they went in."""
+    names = ("stays", "__th", "__row", "m_doc", "m_th", "row", "key", "all", "mark", "keep", "doc", "th", "cls")
+    schema = spark.read.parquet(f"{SMALL}/documents.parquet").schema
+    for n in names:
+        schema = schema.add(n, "string")
+    more = tuple(f"v {n}" for n in names)
+    text = "some words of a text that is long enough to pass all rules of quality and has no marks of any kind within it at all"
+    rows = [(1, text, "en", "s", len(text), *more), (2, text, "en", "s", len(text), *more), (3, f"{text} and more of it", "en", "s", len(text) + 15, *more)]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, spark.createDataFrame(rows, schema), SMALL)
+        got = out.collect()
+        assert out.columns == schema.names and got, name
+        assert all(tuple(r)[5:] == more for r in got), name
+
+
 def test_kinds_of_the_plain_steps_are_all_that_fire(spark):
     df = spark.read.parquet(f"{SMALL}/documents.parquet")
     assert op6_pii.report(df).filter("spans rlike 'iban|ssn'").count() == 0
