@@ -7,21 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Lines of a slice, slices of one path, what a test path costs, files to read.
-SLICE_LINES, PER_PATH, TEST_COST, MOST_FILES = 80, 3, 35, 25
-
-
-def slices(candidates: DataFrame, most: int, tests: bool = False) -> DataFrame:
-    """The best of (repo_id, path, line, score, ordinal) in each stretch of a file, few of a path, repositories in turns."""
-    clean = candidates.filter("repo_id IS NOT NULL AND path <> '' AND line > 0").filter(~F.col("path").rlike("/(vendor|node_modules|dist)/"))
-    if not tests:
-        clean = clean.withColumn("score", F.col("score") - F.when(F.col("path").contains("_test."), TEST_COST).otherwise(0))
-    best = clean.withColumn("stretch", F.floor(F.col("line") / SLICE_LINES)).groupBy("repo_id", "path", "stretch").agg(F.min(F.struct((-F.col("score")).alias("cost"), "line")).alias("b"))
-    best = best.select("repo_id", "path", F.col("b.line").alias("line"), (-F.col("b.cost")).alias("score"))
-    by_path = Window.partitionBy("repo_id", "path").orderBy(F.col("score").desc(), "line")
-    by_repo = Window.partitionBy("repo_id").orderBy(F.col("score").desc(), "path", "line")
-    best = best.withColumn("nth", F.row_number().over(by_path)).filter(F.col("nth") <= PER_PATH).withColumn("turn", F.row_number().over(by_repo)).filter(F.col("turn") <= most)
-    return best.orderBy("turn", F.col("score").desc(), "repo_id", "path", "line").limit(most).select("repo_id", "path", "line", "score", "turn")
+#: Fixed value: files to read.
+MOST_FILES = 25
 
 
 def files_to_read(lists: list[DataFrame], most: int = MOST_FILES) -> DataFrame:
@@ -172,10 +159,41 @@ def seeds(found: DataFrame) -> DataFrame:
     return first.select("workspace_id", "vid", "f.score", "f.ordinal")
 
 
-def by_trust(edges: DataFrame) -> DataFrame:
-    """Edges with whether they are trusted: precise ones are, guesses are not, others by their confidence."""
-    source = F.lower(F.coalesce("source", F.lit("")))
-    return edges.withColumn("trusted", F.when(source == "scip", True).when(source.startswith("ast-") | (source == "heuristic"), False).otherwise(F.coalesce(F.col("confidence") >= 0.8, F.lit(False))))
+#: What a text's topic adds where it is asked for and where another is, what a core flow adds, and what makes a text irrelevant.
+ASKED_TOPIC, OTHER_TOPIC, CORE, IRRELEVANT, SURE = 42, -72, 24, -30, 0.8
+
+
+def relevance(low: Column, asked: list[str]) -> Column:
+    """How a text in lower case fits the runtimes that a question asks for; 0 where it asks for none."""
+    from quarry.operators import inspect
+
+    if not asked:
+        return F.lit(0)
+    hits = {topic: inspect.holds(low, markers) for topic, markers in inspect.TOPICS}
+    some = reduce(lambda a, b: a | b, hits.values())
+    points = sum((F.when(hit, ASKED_TOPIC if topic in asked else OTHER_TOPIC).otherwise(0) for topic, hit in hits.items()), F.lit(0))
+    return points + F.when(~some & inspect.holds(low, inspect.CORE_FLOW), CORE).otherwise(0)
+
+
+def fits(low: Column, asked: list[str]) -> Column:
+    """Whether a text names what is asked for and no other runtime, or a core flow."""
+    from quarry.operators import inspect
+
+    if not asked:
+        return F.lit(True)
+    named = {True: F.lit(False), False: F.lit(False)}
+    for topic, markers in inspect.TOPICS:
+        named[topic in asked] = named[topic in asked] | inspect.holds(low, markers)
+    return (named[True] & ~named[False]) | inspect.holds(low, inspect.CORE_FLOW)
+
+
+def by_trust(edges: DataFrame, text: Column | None = None, asked: list[str] = ()) -> DataFrame:
+    """Edges with whether they are trusted: those that say what a question asks for, and are precise, or no guess and sure enough."""
+    low = F.lit("") if text is None else text
+    provenance, source = F.lower(F.coalesce("provenance", F.lit(""))), F.lower(F.trim(F.coalesce("source", F.lit(""))))
+    guess = source.startswith("ast-") | (provenance == "heuristic")
+    sure = (provenance == "scip") | (~guess & F.coalesce(F.col("confidence") >= SURE, F.lit(False)))
+    return edges.withColumn("trusted", (relevance(low, asked) >= IRRELEVANT) & fits(low, asked) & sure)
 
 
 #: Rows of each list in the views of a path and of a minimal context.

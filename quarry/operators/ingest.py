@@ -129,7 +129,7 @@ def with_lines(rows: DataFrame, files: DataFrame) -> DataFrame:
 def relationships(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """Relationships between the symbols that an index defines: those that it states and those that references inside of definitions make.
 
-    Rows that agree in all six fields are one; (document, part, nth) is where the first of them stands.
+    Rows that agree in all six fields are one; (document, part, nth, sub) is where the first of them stands.
     """
     each = docs.select("id", "document", F.posexplode("symbols").alias("s_nth", "s")).select("id", "document", "s_nth", F.col("s.symbol").alias("source"), F.posexplode("s.relationships").alias("r_nth", "r"))
     stated = each.select("id", "document", F.lit(0).alias("part"), F.struct("s_nth", "r_nth").alias("nth"), "source", F.col("r.symbol").alias("target"), *(f"r.{f}" for f in FLAGS))
@@ -142,9 +142,9 @@ def relationships(docs: DataFrame, rows: DataFrame) -> DataFrame:
     defined = told.join(_found(docs).filter(_defines()).select("id", "symbol"), ["id", "symbol"], "left_semi").distinct()
     for end in ("source", "target"):
         one = one.join(defined.withColumnRenamed("symbol", end), ["id", end], "left_semi")
-    return one.select("id", "source", "target", *FLAGS, "first.document", "first.part", F.col("first.nth.s_nth").alias("nth"))
+    return one.select("id", "source", "target", *FLAGS, "first.document", "first.part", F.col("first.nth.s_nth").alias("nth"), F.col("first.nth.r_nth").alias("sub"))
 
 
 def first_seen(rows: DataFrame) -> DataFrame:
     """Relationships numbered in document order."""
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("document", "part", "nth", "source", "target")))
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("document", "part", "nth", "sub")))

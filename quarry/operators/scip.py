@@ -34,7 +34,7 @@ def by_role(found: DataFrame, mask: str) -> DataFrame:
 def swept(found: DataFrame, definitions: DataFrame, file: list[str], key: list[str], order: list[str]) -> DataFrame:
     """``key`` columns of each occurrence, and the symbol of the smallest definition of another symbol around it (``enclosing``, null without one).
 
-    Both sides have symbol, start_line, start_col, end_line, end_col. Starts of a stretch of a file, sorted, are streamed past
+    Both sides have symbol, start_line, start_col, end_line, end_col; no range ends before it begins. Starts of a stretch of a file, sorted, are streamed past
     the definitions that are open, which are all that a task holds; of equal spans the first by ``order`` counts. A long
     file is several stretches, and a definition goes to each that it spans.
     """

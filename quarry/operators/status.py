@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.operators import latest
+from quarry.operators import latest, policy
 
 
 def listing(repos: DataFrame, jobs: DataFrame, indexes: DataFrame) -> DataFrame:
@@ -17,21 +17,29 @@ def listing(repos: DataFrame, jobs: DataFrame, indexes: DataFrame) -> DataFrame:
 
 
 def visible(rows: DataFrame) -> DataFrame:
-    """Run state of the latest job, and the state to show: a usable index outlives a failed run."""
+    """Run state of the latest job, and the state to show: a usable index outlives a failed run.
+
+    A repository's index is usable if it was indexed and its policy shows at least one indexed revision. Without a job the
+    status that the repository itself keeps of its latest one counts (``latest_status``).
+    """
+    status = F.coalesce("job_status", "latest_status") if "latest_status" in rows.columns else F.col("job_status")
     run = (
-        F.when(F.col("job_status").isin("PENDING", "IN_PROGRESS") & (F.col("job_type") == "REMOVE_INDEX"), "removing")
-        .when(F.col("job_status").isin("PENDING", "IN_PROGRESS"), "indexing")
-        .when(F.col("job_status") == "FAILED", "failed")
-        .when(F.col("job_status") == "COMPLETED", "completed")
+        F.when(status.isin("PENDING", "IN_PROGRESS") & F.coalesce(F.col("job_type") == "REMOVE_INDEX", F.lit(False)), "removing")
+        .when(status.isin("PENDING", "IN_PROGRESS"), "indexing")
+        .when(status == "FAILED", "failed")
+        .when(status == "COMPLETED", "completed")
         .otherwise("none")
     )
-    active = F.when(F.col("index_id").isNotNull(), "indexed").otherwise("not_indexed")
+    active = F.when(F.col("indexed_at").isNotNull() & (F.size(policy.visible_revisions()) > 0), "indexed").otherwise("not_indexed")
     rows = rows.withColumns({"run": run, "active": active})
     state = F.when(F.col("run").isin("indexing", "removing"), F.col("run")).when((F.col("run") == "failed") & (F.col("active") != "indexed"), "failed").otherwise(F.col("active"))
     rows = rows.withColumn("state", state)
-    color = F.when(F.col("state") == "indexed", "green").when(F.col("state") == "failed", "red").when(F.col("state").isin("indexing", "removing"), "yellow").otherwise("gray")
     blocks = F.col("run").isin("indexing", "removing") | ((F.col("run") == "failed") & (F.col("active") != "indexed"))
-    return rows.withColumns({"color": color, "blocks": blocks})
+    return rows.withColumns({"color": color(F.col("state")), "run_color": color(F.col("run")), "blocks": blocks})
+
+
+def color(state: Column) -> Column:
+    return F.when(state.isin("indexed", "completed"), "green").when(state == "failed", "red").when(state.isin("indexing", "removing"), "yellow").otherwise("gray")
 
 
 def rollup(rows: DataFrame) -> DataFrame:

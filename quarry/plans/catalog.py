@@ -228,15 +228,6 @@ def _(f):
     return status.listing(f.f_repo, f.f_job, f.f_index).select("repo_id", "org_id", "job_id", "job_type", "job_status", "index_id", "index_status")
 
 
-@query("visible_status", f"SELECT repo_id, {RUN} AS run, {STATE} AS state, CASE {STATE} WHEN 'indexed' THEN 'green' WHEN 'failed' THEN 'red' WHEN 'not_indexed' THEN 'gray' ELSE 'yellow' END AS color, {RUN} IN ('indexing', 'removing') OR ({RUN} = 'failed' AND index_id IS NULL) AS blocks FROM ({LISTING}) l")
-def _(f):
-    return status.visible(status.listing(f.f_repo, f.f_job, f.f_index)).select("repo_id", "run", "state", "color", "blocks")
-
-
-@query("org_status_rollup", f"SELECT org_id, COUNT(*) AS repos, {', '.join(f"CAST(SUM(CASE WHEN {STATE} = '{s}' THEN 1 ELSE 0 END) AS BIGINT) AS {s}" for s in ('indexed', 'not_indexed', 'indexing', 'removing', 'failed'))} FROM ({LISTING}) l GROUP BY org_id")
-def _(f):
-    return status.rollup(status.visible(status.listing(f.f_repo, f.f_job, f.f_index)))
-
 
 @query("index_status_rollup", "SELECT repo_id, CASE WHEN MAX(CASE WHEN status = 'PARTIAL' THEN 1 ELSE 0 END) = 1 AND MAX(CASE WHEN status = 'READY' THEN 1 ELSE 0 END) = 1 THEN 'PARTIAL' WHEN MAX(CASE WHEN status = 'INDEXING' THEN 1 ELSE 0 END) = 1 THEN 'INDEXING' WHEN MAX(CASE WHEN status = 'READY' THEN 1 ELSE 0 END) = 1 THEN 'READY' ELSE 'UNCHANGED' END AS status FROM f_index GROUP BY repo_id")
 def _(f):
@@ -287,10 +278,6 @@ def _(f):
     return jobs.canceled_dependents(f.f_subjob)
 
 
-@query("job_dedupe", first_by("f_job", "repo_id, type", "created_at NULLS LAST, id", "repo_id, type, id", "status IN ('PENDING', 'IN_PROGRESS')"))
-def _(f):
-    return jobs.deduplicated(f.f_job)
-
 
 LINES = "SELECT repo_name, branch, path, CAST(i AS INT) AS line, string_split(content, chr(10))[i] AS content FROM (SELECT *, UNNEST(range(1, len(string_split(content, chr(10))) + 1)) AS i FROM f_file) x"
 

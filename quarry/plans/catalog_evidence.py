@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.functions import text
-from quarry.operators import evidence, latest, lifecycle, scip
+from quarry.operators import evidence, fused, latest, lifecycle, scip
 from quarry.plans.catalog import LATEST, first_by, query
 
 MASK = "CAST((start_line * 7 + ordinal) % 128 AS INT)"
@@ -110,20 +110,31 @@ def _(f):
     return lifecycle.project_roots(f.f_file, roots)
 
 
-SLICE = "SELECT repo_id, source_file AS path, CAST(start_line * ordinal * 10 AS INT) AS line, CAST(ROUND(confidence * 100) AS INT) AS score FROM f_edge"
+SOURCES = ("focused", "runtime-env", "runtime-side", "scip-definition-forced", "scip-test-requested", "broad")
+SLICE = f"SELECT CAST(repo_id AS VARCHAR) AS repo_name, '' AS branch, source_file AS path, CAST(start_line * ordinal * 10 AS INT) AS line, CASE (graph_index_id + ordinal) % 6 {' '.join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(SOURCES))} END AS source, CAST(ROUND(confidence * 100) AS INT) AS score FROM f_edge"
+OWN = "CASE WHEN source IN ('runtime-env', 'runtime-side') THEN source WHEN source IN ('scip-definition-forced', 'scip-definition-requested', 'scip-test-requested') THEN CONCAT(source, ':', line) ELSE '' END"
+SELECTED = f"""SELECT repo_name, branch, path, line, source, score FROM (SELECT repo_name, branch, path, line, source, {OWN} AS own, score - CASE WHEN contains(path, '_test.') THEN 35 ELSE 0 END + CASE WHEN contains(path, '/sdk.py') OR contains(path, 'webhook') THEN 45 ELSE 0 END AS score FROM ({SLICE}) s WHERE line > 0 AND path <> '') c
+QUALIFY ROW_NUMBER() OVER (PARTITION BY repo_name, path, own, line // 80 ORDER BY score DESC, line, source, branch) = 1 ORDER BY score DESC, repo_name, path, line, source LIMIT 60"""
 
 
-@query(
-    "slice_selection",
-    f"""WITH c AS (SELECT repo_id, path, line, score - CASE WHEN path LIKE '%\\_test.%' ESCAPE '\\' THEN 35 ELSE 0 END AS score, line // 80 AS stretch FROM ({SLICE}) s WHERE line > 0),
-b AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY repo_id, path, stretch ORDER BY score DESC, line) AS best FROM c) x WHERE best = 1),
-p AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY repo_id, path ORDER BY score DESC, line) AS nth FROM b) x WHERE nth <= 3),
-t AS (SELECT repo_id, path, line, score, CAST(ROW_NUMBER() OVER (PARTITION BY repo_id ORDER BY score DESC, path, line) AS INT) AS turn FROM p)
-SELECT * FROM t ORDER BY turn, score DESC, repo_id, path, line LIMIT 40""",
-)
+@query("selected_slices", SELECTED)
 def _(f):
-    e = f.f_edge.select("repo_id", F.col("source_file").alias("path"), (F.col("start_line") * F.col("ordinal") * 10).alias("line"), F.round(F.col("confidence") * 100).cast("int").alias("score"))
-    return evidence.slices(e, 40)
+    return fused.selected(_candidates(f), 60, preferred=PREFERRED)
+
+
+PREFERRED = ("/sdk.py", "webhook")
+RANKED = f"SELECT *, ROW_NUMBER() OVER (ORDER BY score DESC, path, line, repo_name, source) AS rank FROM ({SELECTED}) s"
+TURNED = f"""SELECT *, CASE WHEN rank = MIN(rank) OVER (PARTITION BY repo_name) AND (SELECT COUNT(DISTINCT repo_name) FROM ({SELECTED}) n) > 1 THEN 100000 + rank WHEN rank = MIN(CASE WHEN contains(path, '/sdk.py') THEN rank END) OVER () THEN 200000 WHEN rank = MIN(CASE WHEN contains(path, 'webhook') THEN rank END) OVER () THEN 200001 ELSE 300000 + rank END AS turn FROM ({RANKED}) r"""
+
+
+@query("slice_selection", f"SELECT repo_name, branch, path, line, source, score FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY repo_name, path ORDER BY turn) AS of_path FROM ({TURNED}) t) p WHERE of_path <= 3 OR source IN ('scip-definition-requested', 'scip-test-requested') ORDER BY turn LIMIT 40")
+def _(f):
+    return fused.diverse(fused.selected(_candidates(f), 60, preferred=PREFERRED), 40, across=True, preferred=PREFERRED)
+
+
+def _candidates(f):
+    source = F.element_at(F.array(*map(F.lit, SOURCES)), ((F.col("graph_index_id") + F.col("ordinal")) % 6 + 1).cast("int"))
+    return f.f_edge.select(F.col("repo_id").cast("string").alias("repo_name"), F.lit("").alias("branch"), F.col("source_file").alias("path"), (F.col("start_line") * F.col("ordinal") * 10).alias("line"), source.alias("source"), F.round(F.col("confidence") * 100).cast("int").alias("score"))
 
 
 @query("files_to_read", "SELECT repo_id, path, revision FROM (SELECT repo_id, file_path AS path, 'active' AS revision FROM f_occurrence UNION SELECT e.repo_id, e.source_file, i.revision FROM f_edge e JOIN f_index i ON i.id = e.graph_index_id UNION SELECT repo_id, file_path, 'active' FROM f_symbol) x ORDER BY repo_id, path, revision LIMIT 25")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.operators import inspect
+from quarry.operators import evidence, inspect
 from quarry.plans import question
 from quarry.plans.catalog import query
 
@@ -92,6 +92,24 @@ def _(f):
     return inspect.scored(_ends(f), TERMS).select("graph_index_id", "ordinal", "score")
 
 
+CORE = _has(ALL_TEXT, "webhook", "mutate", "podmutator", "sdkinjector", "instrumentationspec", "injectcommon", "languageinstrumentations", "annotationvalue", "modifiedpod", "initcontainer", "volume mount", "envotel")
+IN_ASKED, IN_OTHER = (" OR ".join(_has(ALL_TEXT, *markers) for topic, markers in TOPICS.items() if (topic in ("node", "go")) == yes) for yes in (True, False))
+RELEVANT = " + ".join(f"CASE WHEN {_has(ALL_TEXT, *markers)} THEN {42 if topic in ('node', 'go') else -72} ELSE 0 END" for topic, markers in TOPICS.items())
+SURE = "LOWER(COALESCE(provenance, '')) = 'scip' OR (NOT starts_with(LOWER(TRIM(COALESCE(source, ''))), 'ast-') AND LOWER(COALESCE(provenance, '')) <> 'heuristic' AND COALESCE(confidence >= 0.8, FALSE))"
+
+
+@query("trusted_edges", f"SELECT graph_index_id, ordinal, {RELEVANT} + CASE WHEN NOT ({IN_ASKED} OR {IN_OTHER}) AND {CORE} THEN 24 ELSE 0 END >= -30 AND ((({IN_ASKED}) AND NOT ({IN_OTHER})) OR {CORE}) AND ({SURE}) AS trusted FROM ({ENDS}) e")
+def _(f):
+    rows = _ends(f)
+    rows = rows.withColumns({"confidence": F.col("confidence").cast("decimal(4,2)"), "said": inspect.texts()["all"]})
+    return evidence.by_trust(rows, F.col("said"), ["node", "go"]).select("graph_index_id", "ordinal", "trusted")
+
+
+@query("trusted_edges_any", f"SELECT graph_index_id, ordinal, {SURE} AS trusted FROM f_link")
+def _(f):
+    return evidence.by_trust(f.f_link.withColumn("confidence", F.col("confidence").cast("decimal(4,2)"))).select("graph_index_id", "ordinal", "trusted")
+
+
 @query("edge_score_no_language", f"SELECT graph_index_id, ordinal, {score_sql(['ring', 'src'], [])} AS score FROM ({ENDS}) e")
 def _(f):
     return inspect.scored(_ends(f), ["ring", "src"]).select("graph_index_id", "ordinal", "score")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.operators import policy, status
-from quarry.plans.catalog import query
+from quarry.plans.catalog import first_by, query
 
 LISTS = """SELECT *, list_filter(COALESCE(json_extract_string(metadata, '$.branches[*]'), []), lambda x: COALESCE(x, '') <> '') AS branches, list_filter(COALESCE(json_extract_string(metadata, '$.tags[*]'), []), lambda x: COALESCE(x, '') <> '') AS tags,
 list_filter(COALESCE(json_extract_string(metadata, '$.indexedRevisions[*]'), []), lambda x: COALESCE(x, '') <> '') AS revisions FROM f_policy"""
@@ -27,6 +27,29 @@ def _(f):
     return f.f_policy.select("id", F.explode(policy.visible_revisions()).alias("revision"))
 
 
+#: Repositories with their policy, their latest job (some have none) and the status that they keep themselves.
+SUMMARY = f"""SELECT p.id AS repo_id, p.org_id, j.type AS job_type, COALESCE(j.status, p.job_status) AS job_status, p.indexed_at IS NOT NULL AND EXISTS (SELECT 1 FROM ({POLICY}) v WHERE v.id = p.id) AS usable FROM f_policy p
+LEFT JOIN ({first_by('f_job', 'repo_id', 'created_at DESC NULLS LAST, id DESC', '*', 'repo_id % 5 <> 0')}) j ON j.repo_id = p.id"""
+RUN = "CASE WHEN job_status IN ('PENDING', 'IN_PROGRESS') THEN CASE WHEN job_type = 'REMOVE_INDEX' THEN 'removing' ELSE 'indexing' END WHEN job_status = 'FAILED' THEN 'failed' WHEN job_status = 'COMPLETED' THEN 'completed' ELSE 'none' END"
+STATE = f"CASE WHEN {RUN} IN ('indexing', 'removing') THEN {RUN} WHEN {RUN} = 'failed' AND NOT usable THEN 'failed' WHEN usable THEN 'indexed' ELSE 'not_indexed' END"
+COLOR = "CASE WHEN {0} IN ('indexed', 'completed') THEN 'green' WHEN {0} = 'failed' THEN 'red' WHEN {0} IN ('indexing', 'removing') THEN 'yellow' ELSE 'gray' END"
+
+
+def _summary(f):
+    repos = f.f_policy.select("id", "org_id", "default_branch", "metadata", "indexed_at", F.col("job_status").alias("latest_status"))
+    return status.visible(status.listing(repos, f.f_job.filter("repo_id % 5 <> 0"), f.f_index))
+
+
+@query("visible_status", f"SELECT repo_id, {RUN} AS run, {STATE} AS state, {COLOR.format(f'({STATE})')} AS color, {COLOR.format(f'({RUN})')} AS run_color, {RUN} IN ('indexing', 'removing') OR ({RUN} = 'failed' AND NOT usable) AS blocks FROM ({SUMMARY}) s")
+def _(f):
+    return _summary(f).select("repo_id", "run", "state", "color", "run_color", "blocks")
+
+
+@query("org_status_rollup", f"SELECT org_id, COUNT(*) AS repos, {', '.join(f"CAST(SUM(CASE WHEN {STATE} = '{s}' THEN 1 ELSE 0 END) AS BIGINT) AS {s}" for s in ('indexed', 'not_indexed', 'indexing', 'removing', 'failed'))} FROM ({SUMMARY}) l GROUP BY org_id")
+def _(f):
+    return status.rollup(_summary(f))
+
+
 @query("branch_glob_policy", f"SELECT id, b AS branch, {ALLOWED.format('b', GOOD)} AS allowed FROM ({LISTS}) l, (VALUES ('main'), ('release-9'), ('hotfix/2'), ('hotfix/22'), ('dev'), ('bad')) x(b)")
 def _(f):
     names = F.explode(F.array(*map(F.lit, ("main", "release-9", "hotfix/2", "hotfix/22", "dev", "bad"))))

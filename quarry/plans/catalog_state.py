@@ -18,11 +18,12 @@ def _requests(f):
     return rows.withColumn("sha256", F.sha2(F.col("id").cast("string"), 256))
 
 
-#: By job and key counts of the layers that are in the way: a formulation of its own.
+#: By revision counts of the layers that are in the way, by repository the first activation: a formulation of its own.
 OPEN = "SUM(CASE WHEN status NOT IN ('SUCCEEDED', 'SKIPPED') AND NOT (layer = 'SCIP' AND status IN ('FAILED', 'CANCELED')) AND {0} THEN 1 ELSE 0 END)"
-READY = f"""SELECT s.id, s.job_id, s.layer, s.attempt FROM {{0}} s JOIN (SELECT job_id, SUM(CASE WHEN layer = 'CLONE' AND status NOT IN ('SUCCEEDED', 'SKIPPED') THEN 1 ELSE 0 END) AS clones, {OPEN.format("layer IN ('AST_TREE_SITTER', 'SCIP')")} AS facts, {OPEN.format("layer <> 'ACTIVATE'")} AS others,
-MIN(CASE WHEN layer = 'ACTIVATE' AND status IN ('QUEUED', 'CLAIMED', 'RUNNING', 'VALIDATING', 'RETRYING') THEN CONCAT(CAST(created_at AS VARCHAR), LPAD(CAST(id AS VARCHAR), 12, '0')) END) AS turn FROM {{0}} x GROUP BY job_id) c ON c.job_id = s.job_id
-WHERE s.status IN ('QUEUED', 'RETRYING') AND s.attempt < s.max_attempts AND CASE WHEN s.layer IN ('CLONE', 'REMOVE') THEN TRUE WHEN s.layer = 'GRAPH_MERGE' THEN c.facts = 0 WHEN s.layer = 'ACTIVATE' THEN c.others = 0 AND c.turn = CONCAT(CAST(s.created_at AS VARCHAR), LPAD(CAST(s.id AS VARCHAR), 12, '0')) ELSE c.clones = 0 END"""
+OF = "job_id, workspace_id, repo_id, branch, revision, commit_hash"
+READY = f"""SELECT s.id, s.job_id, s.layer, s.attempt FROM {{0}} s JOIN (SELECT {OF}, SUM(CASE WHEN layer = 'CLONE' AND status NOT IN ('SUCCEEDED', 'SKIPPED') THEN 1 ELSE 0 END) AS clones, {OPEN.format("layer IN ('AST_TREE_SITTER', 'SCIP')")} AS facts, {OPEN.format("layer <> 'ACTIVATE'")} AS others FROM {{0}} x GROUP BY {OF}) c USING ({OF})
+JOIN (SELECT job_id, workspace_id, repo_id, MIN(CASE WHEN layer = 'ACTIVATE' AND status IN ('QUEUED', 'CLAIMED', 'RUNNING', 'VALIDATING', 'RETRYING') THEN CONCAT(CAST(created_at AS VARCHAR), LPAD(CAST(id AS VARCHAR), 12, '0')) END) AS turn FROM {{0}} x GROUP BY 1, 2, 3) t USING (job_id, workspace_id, repo_id)
+WHERE s.status IN ('QUEUED', 'RETRYING') AND s.attempt < s.max_attempts AND CASE WHEN s.layer IN ('CLONE', 'REMOVE') THEN TRUE WHEN s.layer = 'GRAPH_MERGE' THEN c.facts = 0 WHEN s.layer = 'ACTIVATE' THEN c.others = 0 AND t.turn = CONCAT(CAST(s.created_at AS VARCHAR), LPAD(CAST(s.id AS VARCHAR), 12, '0')) ELSE c.clones = 0 END"""
 
 
 @query("list_dispatchable", READY.format(f"(SELECT * FROM f_lease s WHERE {ALIVE})"))
@@ -30,6 +31,31 @@ def _(f):
     return jobs.dispatchable(leases.running(f.f_lease, f.f_job))
 
 
+@query("next_dispatchable", f"SELECT r.id, r.layer FROM ({READY.format(f'(SELECT * FROM f_lease s WHERE {ALIVE})')}) r JOIN f_lease l ON l.id = r.id ORDER BY l.created_at, l.id LIMIT 50")
+def _(f):
+    return jobs.dispatchable(leases.running(f.f_lease, f.f_job), 50).select("id", "layer")
+
+
+#: Requests and running jobs of each repository in order, folded one after another: what is taken is added to a text of what runs.
+REF = "CASE id % 7 WHEN 0 THEN '' WHEN 1 THEN 'main' WHEN 2 THEN 'refs/heads/main' WHEN 3 THEN 'refs/heads/dev' WHEN 4 THEN 'refs/tags/v1' WHEN 5 THEN ' dev ' ELSE NULL END"
+ASKED = f"SELECT id, repo_id % 40 * 1000 + id % 97 AS repo_id, {REF} AS ref, created_at, status FROM f_job"
+STEP = "CASE WHEN split_part(x, '~', 2) = '' AND acc <> '' THEN acc WHEN split_part(x, '~', 2) <> '' AND (contains(acc, '~' || split_part(x, '~', 2) || ';') OR contains(acc, '~;')) THEN acc ELSE acc || x || ';' END"
+GUARDED = f"""WITH q AS (SELECT *, regexp_replace(TRIM(COALESCE(ref, '')), '^refs/heads/', '') AS branch FROM ({ASKED}) a),
+g AS (SELECT repo_id, COALESCE(STRING_AGG(CONCAT(id, '~', branch, ';'), '' ORDER BY created_at, id) FILTER (status = 'IN_PROGRESS' AND id % 3 = 0), '') AS runs, COALESCE(list(CONCAT(id, '~', branch) ORDER BY created_at, id) FILTER (status = 'FAILED'), []) AS asks FROM q GROUP BY repo_id),
+d AS (SELECT repo_id, list_reduce(list_concat([runs], asks), lambda acc, x: {STEP}) AS done FROM g),
+j AS (SELECT repo_id, UNNEST(list_filter(string_split(done, ';'), lambda p: p <> '')) AS p, generate_subscripts(list_filter(string_split(done, ';'), lambda p: p <> ''), 1) AS n FROM d),
+m AS (SELECT repo_id, CAST(split_part(p, '~', 1) AS BIGINT) AS id, split_part(p, '~', 2) AS branch, n FROM j),
+r AS (SELECT q.*, m.n FROM q LEFT JOIN m ON m.repo_id = q.repo_id AND m.id = q.id WHERE status = 'FAILED')
+SELECT r.id, r.repo_id, r.ref, r.n IS NOT NULL AS accepted, CASE WHEN r.n IS NULL THEN arg_max(m.id, m.n) END AS existing FROM r
+LEFT JOIN m ON m.repo_id = r.repo_id AND (r.branch = '' OR m.branch = '' OR m.branch = r.branch) AND NOT EXISTS (SELECT 1 FROM r k WHERE k.repo_id = m.repo_id AND k.id = m.id AND (k.created_at, k.id) >= (r.created_at, r.id)) GROUP BY r.id, r.repo_id, r.ref, r.n"""
+
+
+@query("job_dedupe", GUARDED)
+def _(f):
+    rows = f.f_job.select("id", (F.col("repo_id") % 40 * 1000 + F.col("id") % 97).alias("repo_id"), F.expr(REF).alias("ref"), "created_at", "status")
+    return jobs.guarded(rows.filter("status = 'IN_PROGRESS' AND id % 3 = 0"), rows.filter("status = 'FAILED'"))
+
+
 @query("claim", f"SELECT s.id, s.job_id, 'CLAIMED' AS status, CAST(s.attempt + 1 AS INT) AS attempt, r.owner AS lease_owner, r.attempt_key AS attempt_id, 900 AS lease_expires_at FROM f_lease s JOIN ({REQUESTS}) r ON r.id = s.id WHERE (s.status IN ('QUEUED', 'RETRYING') OR (s.status = 'CLAIMED' AND COALESCE(s.lease_expires_at, 0) < 400)) AND s.attempt = r.asked - 1 AND s.attempt < s.max_attempts AND {ALIVE}")
 def _(f):
     return leases.claimed(f.f_lease, f.f_job, _requests(f).select("id", "attempt", "owner", "attempt_key"), NOW, F.lit(900))
@@ -149,10 +175,6 @@ def _(f):
     return evidence.seeds(found)
 
 
-@query("trusted_edges", "SELECT graph_index_id, ordinal, CASE WHEN source = 'scip' THEN TRUE WHEN source LIKE 'ast-%' OR source = 'heuristic' THEN FALSE ELSE confidence >= 0.8 END AS trusted FROM f_edge")
-def _(f):
-    return evidence.by_trust(f.f_edge.withColumn("confidence", F.col("confidence").cast("decimal(4,2)"))).select("graph_index_id", "ordinal", "trusted")
-
 
 @query("view_caps", "SELECT relation, graph_index_id, ordinal, CAST(rn AS INT) AS place, GREATEST(n - CASE relation WHEN 'CALLS' THEN 20 WHEN 'REFERENCES' THEN 12 ELSE 12 END, 0) AS omitted FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY relation ORDER BY confidence DESC, graph_index_id, ordinal) AS rn, COUNT(*) OVER (PARTITION BY relation) AS n FROM f_edge WHERE relation IN ('CALLS', 'REFERENCES', 'IMPORTS')) x WHERE rn <= CASE relation WHEN 'CALLS' THEN 20 ELSE 12 END")
 def _(f):

@@ -120,7 +120,8 @@ FROM f_index i
     "f_lease": """
 SELECT s.id, j.id AS job_id, s.created_at, s.layer, CASE s.id % 8 WHEN 0 THEN 'QUEUED' WHEN 1 THEN 'RETRYING' WHEN 2 THEN 'CLAIMED' WHEN 3 THEN 'RUNNING' WHEN 4 THEN 'ARTIFACT_WRITTEN' WHEN 5 THEN 'VALIDATING' WHEN 6 THEN 'FAILED' ELSE 'SUCCEEDED' END AS status,
        CAST(s.id % 4 AS INT) AS attempt, 3 AS max_attempts, CONCAT('w', CAST(s.id % 3 AS VARCHAR(5))) AS lease_owner, CONCAT('a', CAST(s.id % 5 AS VARCHAR(5))) AS attempt_id,
-       CASE WHEN s.id % 7 = 0 THEN NULL ELSE CAST(s.id * 37 % 1000 AS INT) END AS lease_expires_at
+       CASE WHEN s.id % 7 = 0 THEN NULL ELSE CAST(s.id * 37 % 1000 AS INT) END AS lease_expires_at,
+       CONCAT('ws', CAST(CAST(FLOOR(s.id / 8) AS BIGINT) % 2 AS VARCHAR(5))) AS workspace_id, j.id % 50 AS repo_id, CASE CAST(FLOOR(s.id / 8) AS BIGINT) % 3 WHEN 0 THEN 'dev' ELSE 'main' END AS branch, CASE CAST(FLOOR(s.id / 8) AS BIGINT) % 3 WHEN 0 THEN 'refs/heads/dev' ELSE 'refs/heads/main' END AS revision, CONCAT('c', CAST(CAST(FLOOR(s.id / 8) AS BIGINT) % 4 AS VARCHAR(5))) AS commit_hash
 FROM f_subjob s JOIN (SELECT id, id - (SELECT MIN(id) FROM f_job) + 1 AS n FROM f_job) j ON j.n = s.job_id
 """,
     "f_source": """

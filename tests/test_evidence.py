@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quarry.operators import evidence, lifecycle, scip
+from quarry.operators import evidence, fused, lifecycle, scip
 
 
 def rows(df):
@@ -48,6 +48,20 @@ def test_reachable(spark):
     assert {r.id for r in lifecycle.reachable(parents, 5).collect()} == {1, 2, 3, 4, 5}
     assert rows(lifecycle.ahead_behind(parents, 4, 3)) == [(1, 1)]
     assert rows(lifecycle.ahead_behind(parents, 99, 1)) == [(1, 1)]
+    assert {r.id for r in lifecycle.reachable(parents, 5, 3).collect()} == {5, 3, 2}
+
+
+def test_reachable_on_a_long_line(spark):
+    """A line of commits takes as many rounds as its length has bits; where there are more than may be told, exactly those are told."""
+    line = spark.range(2, 5001).select("id", (F.col("id") - 1).alias("parent"))
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup()
+    spark.sparkContext.setJobGroup("line", "line")
+    assert lifecycle.reachable(line, 5000, 6000).count() == 5000
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("line"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs < 150 and before is not None  # stages of adaptive queries are jobs of their own
+    got = lifecycle.reachable(line, 5000, 1000)
+    assert got.count() == 1000 and got.agg(F.min("id")).first()[0] == 4001
 
 
 def test_activation_and_cleanup(spark):
@@ -67,10 +81,25 @@ def test_roots(spark):
 
 def test_slices(spark):
     df = spark.createDataFrame(
-        [(1, "a.go", 5, 50), (1, "a.go", 6, 50), (1, "a.go", 100, 40), (1, "a.go", 200, 30), (1, "a.go", 300, 20), (1, "a_test.go", 1, 60), (2, "b.go", 1, 1), (2, "x/vendor/c.go", 1, 99), (2, "b.go", 0, 9), (None, "d.go", 1, 9)], "repo_id int, path string, line int, score int"
-    )
-    got = [tuple(r)[:4] for r in evidence.slices(df, 10).collect()]
-    assert got == [(1, "a.go", 5, 50), (2, "b.go", 1, 1), (1, "a.go", 100, 40), (1, "a.go", 200, 30), (1, "a_test.go", 1, 25)]
+        [
+            ("p", "a.go", 5, "focused", 50), ("p", "a.go", 6, "focused", 50), ("p", "a.go", 6, "runtime-env", 45), ("p", "a.go", 100, "broad", 40), ("p", "a.go", 200, "broad", 30), ("p", "a.go", 300, "broad", 20), ("p", "a_test.go", 1, "test", 60),
+            ("q", "b.go", 1, "broad", 1), ("q", "x/vendor/c.go", 1, "broad", 99), ("q", "b.go", 0, "broad", 9), (None, "d.go", 1, "broad", 9), ("p", "a.go", 301, "scip-definition-requested", 10), ("p", "z/sdk.py", 9, "broad", 1),
+        ],
+        "repo_name string, path string, line int, source string, score int",
+    ).withColumn("branch", F.lit("main"))
+    chosen = fused.selected(df, 50, preferred=("sdk.py",))
+    got = [(r.repo_name, r.path, r.line, r.score) for r in chosen.collect()]
+    assert got == [("p", "a.go", 5, 50), ("p", "z/sdk.py", 9, 46), ("p", "a.go", 6, 45), ("p", "a.go", 100, 40), ("p", "a.go", 200, 30), ("p", "a_test.go", 1, 25), ("p", "a.go", 300, 20), ("p", "a.go", 301, 10), ("q", "b.go", 1, 1)]
+    assert [r.score for r in fused.selected(df, 1, tests=True).collect()] == [60]
+    got = [(r.path, r.line) for r in fused.diverse(chosen, 50, across=True, preferred=("sdk.py", "_test.go")).collect()]
+    assert got == [("a.go", 5), ("b.go", 1), ("z/sdk.py", 9), ("a_test.go", 1), ("a.go", 6), ("a.go", 100), ("a.go", 301)]
+    assert [(r.path, r.line) for r in fused.diverse(chosen, 2).collect()] == [("a.go", 5), ("z/sdk.py", 9)]
+
+
+def test_trust(spark):
+    df = spark.createDataFrame([(1, "scip", "x", 0.1, "nodejs"), (2, "", "ast-go", 0.9, "nodejs"), (3, "heuristic", "x", 0.9, "nodejs"), (4, "", "x", 0.8, "nodejs"), (5, "SCIP", "x", None, "python"), (6, "scip", "x", 0.1, "python nodejs webhook"), (7, "scip", "x", 0.1, "webhook"), (8, "scip", "x", 0.1, "plain")], "id int, provenance string, source string, confidence double, said string")
+    assert [r.id for r in evidence.by_trust(df, F.col("said"), ["node"]).filter("trusted").collect()] == [1, 4, 6, 7]
+    assert [r.id for r in evidence.by_trust(df).filter("trusted").collect()] == [1, 4, 5, 6, 7, 8]
 
 
 def test_proof_lines(spark):

@@ -102,7 +102,20 @@ def test_delta_modes(spark):
 def test_jobs(spark):
     rows = [(1, 9, "CLONE", "SUCCEEDED", 0), (2, 9, "SCIP", "FAILED", 0), (3, 9, "GRAPH_MERGE", "QUEUED", 0), (4, 9, "ACTIVATE", "QUEUED", 0), (5, 8, "CLONE", "RUNNING", 3), (6, 8, "SCIP", "QUEUED", 0)]
     df = spark.createDataFrame([(*r, 3) for r in rows], "id long, job_id long, layer string, status string, attempt int, max_attempts int").withColumn("created_at", F.lit("2024-01-01").cast("timestamp_ntz"))
+    df = df.withColumns({c: F.lit(c) for c in ("workspace_id", "repo_id", "branch", "revision", "commit_hash")})
     assert [r.id for r in jobs.dispatchable(df).collect()] == [3]
+    # an open clone of another revision is in nobody's way
+    other = df.filter("id = 5").withColumns({"job_id": F.lit(9).cast("long"), "revision": F.lit("other"), "id": F.lit(7).cast("long")})
+    assert [r.id for r in jobs.dispatchable(df.unionByName(other)).collect()] == [3]
+
+
+def test_guard(spark):
+    """One job of a branch at a time, under any of its names; one without a ref shuts all others out."""
+    schema = "id long, repo_id long, ref string, created_at int"
+    active = spark.createDataFrame([(1, 42, "main", 1), (2, 7, "", 1)], schema)
+    asked = [(10, 42, "refs/heads/release-a", 2), (11, 42, "release-a", 3), (12, 42, "refs/heads/main", 4), (13, 42, None, 5), (14, 42, "refs/tags/main", 6), (20, 7, "x", 2), (30, 8, " ", 1), (31, 8, "x", 2), (40, 9, "x", 1), (41, 9, "", 2), (42, 9, "y", 3)]
+    got = {r.id: (r.accepted, r.existing) for r in jobs.guarded(active, spark.createDataFrame(asked, schema)).collect()}
+    assert got == {10: (True, None), 11: (False, 10), 12: (False, 1), 13: (False, 10), 14: (True, None), 20: (False, 2), 30: (True, None), 31: (False, 30), 40: (True, None), 41: (False, 40), 42: (True, None)}
 
 
 def test_facts():
