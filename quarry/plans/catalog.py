@@ -377,9 +377,18 @@ def _(f):
     return chat.context(rows.withColumn("text", one).select("conv_id", "turn", "role", "text").unionByName(more))
 
 
-@query("chat_query")
+#: What is said in each turn names the same code; a question of its own is asked in each conversation.
+SAID = "CONCAT('see src/pkg/f', CAST(conv_id AS VARCHAR(20)), '.go and MAX_', CAST(conv_id AS VARCHAR(20)), ' or loadItem; ', LOWER(regexp_replace(SUBSTR(COALESCE(text, ''), 1, 200), '[^a-z ]', '')))"
+
+
+@query(
+    "chat_query",
+    """SELECT DISTINCT conv_id, CONCAT('where is ', conv_id, chr(10), chr(10), 'Relevant prior code anchors for retrieval only:', chr(10), '- src/pkg/f', conv_id, '.go', chr(10), '- f', conv_id, '.go', chr(10), '- USER', chr(10), '- MAX_', conv_id, chr(10), '- loadItem') AS query FROM conversations""",
+)
 def _(f):
-    return chat.retrieval_query(f.table("conversations").groupBy("conv_id").agg(F.lit("where is it").alias("query"), F.concat_ws("\n", F.collect_list("text")).alias("context")))
+    rows = f.table("conversations").select("conv_id", "turn", F.lit("user").alias("role"), F.expr(SAID).alias("text"))
+    asked = chat.context(rows).withColumn("query", F.concat(F.lit(" where is "), F.col("conv_id").cast("string"), F.lit("\n")))
+    return chat.retrieval_query(asked)
 
 
 @query("running_totals", "SELECT event_id, user_id, CAST(SUM(CAST(FLOOR(value) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total, LAG(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events")

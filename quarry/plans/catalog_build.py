@@ -60,6 +60,26 @@ def _(f):
     return extract.facts(f.f_source)
 
 
+#: Facts of the sources that stand below the text of each file; a Go import counts as of line 1 wherever it stands.
+BELOW = {
+    "go": (("imports_from", MODULE, ("module:net/x@", "net/x@", "external"), "1 - above"), ("defines", MODULE, ("function:%:Fn@", "Fn@", "function"), 3), ("calls", ("function:%:Fn@", "Fn@", "function"), ("function:?:help@", "help@", "function"), 4)),
+    "python": (
+        ("imports_from", MODULE, ("module:os@", "os@", "external"), 1), ("defines", MODULE, ("class:%:K@", "K@", "class"), 2), ("extends", ("class:%:K@", "K@", "class"), ("class:?:B@", "B@", "class"), 2),
+        ("defines", MODULE, ("function:%:go", "go", "function"), 3), ("calls", ("function:%:go", "go", "function"), ("function:?:os.run@", "os.run@", "function"), 4),
+    ),
+    "typescript": (
+        ("imports_from", MODULE, ("module:./x@", "./x@", "module"), 1), ("defines", MODULE, ("class:%:K@", "K@", "class"), 2), ("extends", ("class:%:K@", "K@", "class"), ("class:?:P@", "P@", "class"), 2), ("implements", ("class:%:K@", "K@", "class"), ("interface:?:I@", "I@", "interface"), 2),
+        ("defines", MODULE, ("function:%:go@", "go@", "function"), 4), ("calls", ("function:%:go@", "go@", "function"), ("function:?:help@", "help@", "function"), 5),
+    ),
+}
+FILE_FACTS = " UNION ALL ".join(_fact(lang, i, *fact[:3], f"CAST(above + {fact[3]} AS INT)").replace("f_source", "f_code") for lang, facts in BELOW.items() for i, fact in enumerate(facts))
+
+
+@query("file_facts", f"SELECT path, ordinal, language, kind, source, source_name, source_kind, target, target_name, target_kind, line, confidence FROM ({FILE_FACTS}) x")
+def _(f):
+    return extract.facts(f.f_code)
+
+
 def _scoped(f):
     facts = extract.facts(f.f_source).withColumn("file_order", F.col("path"))
     k = F.regexp_extract("path", "f([0-9]+)", 1).cast("long")

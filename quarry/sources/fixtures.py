@@ -135,6 +135,11 @@ SELECT p_partkey AS k, CASE p_partkey % 7 WHEN 0 THEN 'go' WHEN 1 THEN 'python'
        WHEN 4 THEN 'use std::x@;~pub struct S@ {~}~pub fn go@() {~    help::run@(1);~    Some(2);~}~out@();~'
        WHEN 5 THEN 'using A.B@;~public class K@ : P@, I@ {~  void go() { help@(1); }~}~'
        ELSE 'import "./x@";~class K@ extends P@ {~  void go() { help@(1); }~}~' END AS body FROM part) x
+""",
+    "f_code": """
+SELECT k, path, CASE k % 4 WHEN 0 THEN 'go' WHEN 1 THEN 'python' WHEN 2 THEN 'typescript' ELSE 'markdown' END AS language, LENGTH(said) - LENGTH(REPLACE(said, CHR(10), '')) + 1 AS above, CONCAT(said, CHR(10), REPLACE(REPLACE(body, '~', CHR(10)), '@', CAST(k AS VARCHAR(20)))) AS content
+FROM (SELECT doc_id AS k, path, COALESCE(content, '') AS said, CASE doc_id % 4 WHEN 0 THEN 'package a~import "net/x@"~func Fn@() {~ help@(1)~}~' WHEN 1 THEN 'import os@~class K@(B@):~    def go(self):~        return os.run@(1)~'
+             WHEN 2 THEN 'import { a } from "./x@";~export class K@ extends P@ implements I@ {~}~export async function go@() {~  help@(2);~}~' ELSE '# K@' END AS body FROM f_file) x
 """,
     "f_file": """
 SELECT doc_id, source AS repo_name, CASE WHEN doc_id % 5 = 0 THEN 'release' ELSE 'main' END AS branch,
