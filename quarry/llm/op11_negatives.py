@@ -13,7 +13,7 @@ an anchor q, no row of a list scores more than q.c + |q| r nor less than q.c - |
    bounds lie outside of all windows of an anchor are passed over, and so are those whose
    bound is below the k-th score found in each window.
 
-Anchors come in blocks of at most ``ANCHORS``, which are broadcast; the rows never move
+Anchors come in blocks of some ``ANCHORS`` / 2, which are broadcast; the rows never move
 for a search, and each task returns a few candidates an anchor. Lists are range-partitioned
 by (list, vec_id), so that a list with a third of all rows is read by many tasks.
 
@@ -32,7 +32,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -43,7 +42,7 @@ POSITIVES = NEGATIVES = 5
 LOW, HIGH = 80, 100
 #: Rows that the centroids are fitted on at most, lists at most, and rounds of the fit.
 SAMPLE, LISTS, ROUNDS = 16_384, 1024, 8
-#: Anchors broadcast at a time, and lists that an anchor looks into first.
+#: Anchors broadcast at a time at most (blocks are by hash, half as large on average), and lists that an anchor looks into first.
 ANCHORS, PROBES = 4096, 4
 #: Rows multiplied at a time.
 STRIP = 2048
@@ -117,9 +116,7 @@ def build(rows: DataFrame) -> Index:
     """The index over every row."""
     n, dim = rows.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
     dim = dim or 1
-    centroids = fit(rows, dim, max(1, min(LISTS, int(n**0.5))))
-    if not len(centroids):
-        centroids = np.zeros((1, dim))
+    centroids = fit(rows, dim, max(1, min(LISTS, int(n**0.5)))) if n else np.zeros((1, dim))
     shared = rows.sparkSession.sparkContext.broadcast(centroids)  # LISTS rows at most
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,25 +125,21 @@ def build(rows: DataFrame) -> Index:
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(distance), *batch.columns], ["list", "distance", *batch.schema.names])
 
     order = ["list", "vec_id"]
-    table, _ = scratch.keep(rows.mapInArrow(assign, LISTED).repartitionByRange(*order).sortWithinPartitions(*order), "lists")
+    listed, path = scratch.keep(rows.mapInArrow(assign, LISTED), "listed")
+    table, _ = scratch.keep(listed.repartitionByRange(*order).sortWithinPartitions(*order), "lists")
+    scratch.drop(rows.sparkSession, path)
     radii = np.zeros(len(centroids))
     for r in table.groupBy("list").agg(F.max("distance").alias("radius")).collect():  # LISTS rows at most
         radii[r.list] = r.radius
     return Index(table, centroids, radii, dim)
 
 
-def blocks(rows: DataFrame) -> DataFrame:
-    """The anchors, in blocks of at most ANCHORS."""
+def blocks(rows: DataFrame) -> tuple[DataFrame, int]:
+    """The anchors with a ``block`` of ANCHORS / 2 on average, by a hash, and the number of blocks."""
     anchors = rows.filter(F.col("vec_id") % 100 == 0).groupBy("vec_id").agg(F.min(F.struct("label", "vector")).alias("first")).select("vec_id", "first.label", "first.vector")
-
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, n = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            block = (np.arange(n, n + batch.num_rows) // ANCHORS).astype(np.int32)
-            n += batch.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, place, np.int32)), pa.array(block), *batch.columns], ["place", "block", *batch.schema.names])
-
-    return anchors.mapInArrow(number, f"place int, block int, {ROW}")
+    anchors, _ = scratch.keep(anchors, "anchors")
+    n = -(-anchors.count() // max(1, ANCHORS // 2))
+    return anchors.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, n)))), n
 
 
 class Queries:
@@ -231,12 +224,13 @@ def firsts(found: DataFrame, want: int) -> DataFrame:
 def mined(rows: DataFrame) -> DataFrame:
     """Positives of each anchor and hard negatives of each positive."""
     spark = rows.sparkSession
-    rows, _ = scratch.keep(usable(rows), "vectors")
-    index = build(rows)
-    anchors, _ = scratch.keep(blocks(rows), "anchors")
+    index = build(usable(rows))
+    anchors, n_blocks = blocks(index.table)
     out = []
-    for at in sorted(anchors.select("place", "block").distinct().collect()):  # a row for ANCHORS anchors
-        own = anchors.filter((F.col("place") == at.place) & (F.col("block") == at.block)).drop("place", "block").toArrow()
+    for block in range(n_blocks):
+        own = anchors.filter(F.col("block") == block).drop("block").toArrow()
+        if not own.num_rows:
+            continue
         ids, labels, q = own.column("vec_id").to_numpy(), own.column("label").to_numpy(), matrix(own.column("vector"), index.dim)
         n = len(ids)
         every = np.full((n, 1), NONE), np.full((n, 1), -NONE)
@@ -247,12 +241,13 @@ def mined(rows: DataFrame) -> DataFrame:
         for r in start[start["rank"] == POSITIVES].itertuples():
             least[place[r.anchor_id], 0] = r.score
         positive = firsts(candidates(index, Queries(ids, labels, q, True, POSITIVES, *every, least, None)), POSITIVES).select("anchor_id", F.col("other").alias("positive_id"), F.col("score").alias("positive_score"), (F.col("rank") - 1).alias("place"))
-        positive, _ = scratch.keep(positive, "positives")
+        positive = positive.collect()  # POSITIVES rows an anchor of the block
         low, high = np.full((n, POSITIVES), -NONE), np.full((n, POSITIVES), NONE)  # of a place without a positive: empty
-        for r in positive.collect():  # POSITIVES rows an anchor of the block
+        for r in positive:
             low[place[r.anchor_id], r.place], high[place[r.anchor_id], r.place] = -(-LOW * r.positive_score // 100), HIGH * r.positive_score // 100
         negative = firsts(candidates(index, Queries(ids, labels, q, False, NEGATIVES, low, high, low, None)), NEGATIVES)
-        out.append(negative.join(positive, ["anchor_id", "place"]).select("anchor_id", "positive_id", "rank", F.col("other").alias("negative_id"), "positive_score", F.col("score").alias("negative_score")))
+        known = F.broadcast(spark.createDataFrame(positive, "anchor_id long, positive_id long, positive_score long, place int"))
+        out.append(negative.join(known, ["anchor_id", "place"]).select("anchor_id", "positive_id", "rank", F.col("other").alias("negative_id"), "positive_score", F.col("score").alias("negative_score")))
     if not out:
         return spark.createDataFrame([], "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long")
     table = out[0]
