@@ -9,8 +9,8 @@ from quarry.functions import text
 from quarry.operators import latest, scope
 
 
-def occurrences(symbols: DataFrame, found: DataFrame, indexes: DataFrame, repos: DataFrame, org_id: int, name: str, roles: list[str], limit: int = 25) -> DataFrame:
-    """Symbols whose name is ``name``, or whose id ends in it, ranked, then their occurrences of the given roles.
+def occurrences(symbols: DataFrame, found: DataFrame, indexes: DataFrame, repos: DataFrame, org_id: int, name: str, roles: list[str], limit: int = 25, definition_file: str | None = None) -> DataFrame:
+    """Symbols, of one file if it is named, whose name is ``name``, or whose id ends in it, ranked, then their occurrences of the given roles.
 
     The symbols are cut to ``max(32, 8 * limit)`` before occurrences are joined, as in the service.
     """
@@ -22,6 +22,8 @@ def occurrences(symbols: DataFrame, found: DataFrame, indexes: DataFrame, repos:
         match = match | F.col("symbol").ilike(p)
     current = latest.latest_index(scope.in_org(indexes, org_id)).select(F.col("id").alias("index_id"), "revision", F.coalesce("indexed_at", "updated_at").alias("seen"))
     names = scope.in_org(repos, org_id).select(F.col("id").alias("repo_id"), F.col("name").alias("repo_name"))
+    if definition_file:
+        match = match & (F.col("file_path") == definition_file)
     matched = scope.in_org(symbols, org_id).filter(match).join(current, "index_id").join(names, "repo_id")
     matched = matched.select("repo_id", "repo_name", "index_id", "revision", "symbol", "display_name", "seen", rank.alias("match_rank"))
     order = [F.col("match_rank"), F.col("seen").desc_nulls_last(), F.col("repo_name"), F.col("display_name"), F.col("symbol"), F.col("index_id")]
@@ -32,6 +34,17 @@ def occurrences(symbols: DataFrame, found: DataFrame, indexes: DataFrame, repos:
     return out.select("repo_id", "repo_name", "index_id", "revision", "symbol", "display_name", "file_path", "start_line", "role", "match_rank")
 
 
+def tool(precise: DataFrame, files: DataFrame, repos: DataFrame, name: str, limit: int = 25, **scope_of) -> DataFrame:
+    """What the symbol tools tell: occurrences from ``occurrences`` as precise rows, and the lines of a grep for the name beside them."""
+    from quarry.operators import matches
+
+    if not name.strip():
+        raise ValueError("a symbol is needed")
+    exact = precise.select(F.lit("precise").alias("evidence"), "repo_name", F.col("file_path").alias("path"), (F.col("start_line") + 1).cast("long").alias("line"), F.col("symbol").alias("text"))
+    lexical = matches.grep(files, repos, name.strip(), scope.page_limit(limit), **scope_of).select(F.lit("lexical").alias("evidence"), "repo_name", "path", F.col("line").cast("long"), "text")
+    return exact.unionByName(lexical)
+
+
 def probed(symbols: DataFrame, found: DataFrame, indexes: DataFrame, repos: DataFrame, org_id: int, names: list[str], limit: int) -> DataFrame:
     """Definitions and references of several names in one scan of the symbols: of each name and role the first ``limit``, with the same ranks and cuts."""
 

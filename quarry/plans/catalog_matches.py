@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.operators import matches
-from quarry.plans.catalog import query
+from quarry.operators import matches, symbols
+from quarry.plans.catalog import ORG, _occurrences, query
 
 PATTERN = "fr/d[0-9]*7|mail[0-9]+[.]|[Ll]icen[a-z]+|https?://[a-z]+"
 _HITS = f"regexp_extract_all({{0}}, '{PATTERN}')"
@@ -71,3 +71,26 @@ def _(f):
 @query("grep_tool_totals", f"SELECT repo_name, COUNT(*) FILTER (NOT is_name) AS matches, COUNT(DISTINCT CONCAT(branch, chr(0), path)) AS files FROM ({_scoped(DEFAULT, 10000)}) g GROUP BY repo_name")
 def _(f):
     return matches.grep_totals(f.f_file, _repos(f), PATTERN)
+
+
+def _lexical(pattern: str, most: int) -> str:
+    return f"""SELECT DISTINCT 'lexical' AS evidence, g.repo_name, g.path, CAST(l.line AS BIGINT) AS line, {_SHOWN} AS text FROM ({_scoped(DEFAULT, most).replace(PATTERN, pattern)}) g
+JOIN ({LINE_ROWS}) l ON l.repo_name = g.repo_name AND l.branch = g.branch AND l.path = g.path AND l.line = g.line AND NOT g.is_name"""
+
+
+def _tool(f, roles, **of):
+    precise = symbols.occurrences(f.f_symbol, f.f_occurrence, f.f_index, f.f_repo, ORG, "ring", roles, **of)
+    return symbols.tool(precise, f.f_file, _repos(f), "ring", 20)
+
+
+_PRECISE = "SELECT 'precise' AS evidence, repo_name, file_path AS path, CAST(start_line + 1 AS BIGINT) AS line, symbol AS text FROM ({0}) p"
+
+
+@query("find_symbol_definitions", f"{_PRECISE.format(_occurrences("'DEFINITION'").replace('cold ring', 'ring'))} UNION ALL {_lexical('ring', 20)}")
+def _(f):
+    return _tool(f, ["DEFINITION"])
+
+
+@query("find_symbol_references", f"{_PRECISE.format(_occurrences("'REFERENCE'").replace('cold ring', 'ring').replace('WHERE s.org_id = 1', "WHERE s.org_id = 1 AND s.file_path = 'internal/promo/file47.go'"))} UNION ALL {_lexical('ring', 20)}")
+def _(f):
+    return _tool(f, ["REFERENCE"], definition_file="internal/promo/file47.go")
