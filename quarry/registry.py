@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.plans import catalog, catalog_build, catalog_context, catalog_evidence, catalog_graph, catalog_ingest, catalog_matches, catalog_search, catalog_state  # noqa: F401  (the others add their queries to the first)
+from quarry.plans import catalog, catalog_build, catalog_context, catalog_evidence, catalog_graph, catalog_harness, catalog_ingest, catalog_matches, catalog_search, catalog_state  # noqa: F401  (the others add their queries to the first)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
