@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.operators import evidence, jobs, leases
+from quarry.operators import delta, evidence, jobs, leases
 from quarry.plans.catalog import query
 
 ALIVE = "EXISTS (SELECT 1 FROM f_job j WHERE j.id = s.job_id AND j.type = 'INDEX' AND j.status = 'IN_PROGRESS')"
@@ -180,3 +180,37 @@ def _(f):
 def _(f):
     caps = dict(zip(("CALLS", "REFERENCES", "IMPORTS"), evidence.PATH_CAPS, strict=True))
     return evidence.capped(f.f_edge.filter(F.col("relation").isin(*caps)), "relation", [F.col("confidence").desc(), "graph_index_id", "ordinal"], caps).select("relation", "graph_index_id", "ordinal", "place", "omitted")
+
+
+#: Manifest pairs of each repository and branch; the two spellings of the toolchains are one value in another order.
+PAIR = """repo_name, branch, n % 5 <> 0 AS had_previous, n % 2 = 0 AS file_delta, n AS org_id, CASE WHEN n % 11 = 3 THEN n + 1 ELSE n END AS old_org_id, 'w' AS workspace_id, CASE WHEN n % 11 IN (3, 4) THEN 'v' ELSE 'w' END AS old_workspace_id, n AS repo_id, n AS old_repo_id,
+CASE WHEN n % 3 = 0 THEN NULL ELSE 7 END AS provider_connection_id, CASE WHEN n % 3 = 0 THEN NULL WHEN n % 11 = 5 THEN 8 ELSE 7 END AS old_provider_connection_id, branch AS branch_name, branch AS old_branch_name,
+CASE n % 4 WHEN 0 THEN NULL WHEN 1 THEN '{"a": 1, "b": {"x": [1, 2], "y": 2}}' ELSE '{"a": 1}' END AS scip_toolchains, CASE n % 4 WHEN 0 THEN '{}' WHEN 1 THEN '{"b":{"y":2,"x":[1,2]},"a":1}' WHEN 2 THEN '{"a": 2}' ELSE '{"a":1}' END AS old_scip_toolchains,
+CASE WHEN n % 6 = 1 THEN '{"model": "m"}' END AS semantic_extraction, CASE WHEN n % 6 = 2 THEN 'broken' END AS old_semantic_extraction"""
+PAIRS = f"SELECT {PAIR} FROM (SELECT DISTINCT repo_name, branch, CAST(SUBSTR(repo_name, 4) AS INT) AS n FROM f_manifest_cur) m"
+ROOT = "CASE WHEN content_hash % 7 = 0 THEN NULL ELSE split_part(path, '/', 1) END AS root"
+TOUCHED = f"""SELECT repo_name, branch, COUNT(*) FILTER (change <> 'unchanged') AS touched, array_to_string(list_sort(list(DISTINCT root) FILTER (change <> 'unchanged')), ',') AS moved, array_to_string(list_sort(list(DISTINCT new_root) FILTER (new_root IS NOT NULL)), ',') AS every
+FROM (SELECT COALESCE(c.repo_name, p.repo_name) AS repo_name, COALESCE(c.branch, p.branch) AS branch, COALESCE(c.root, p.root) AS root, c.root AS new_root, CASE WHEN p.path IS NULL THEN 'added' WHEN c.path IS NULL THEN 'deleted' WHEN p.content_hash <> c.content_hash THEN 'changed' ELSE 'unchanged' END AS change
+FROM (SELECT * REPLACE (COALESCE(root, '.') AS root) FROM (SELECT *, {ROOT} FROM f_manifest_prev) x) p FULL JOIN (SELECT * REPLACE (COALESCE(root, '.') AS root) FROM (SELECT *, {ROOT} FROM f_manifest_cur) y) c ON p.path = c.path AND p.repo_name = c.repo_name AND p.branch = c.branch) d GROUP BY 1, 2"""
+TOOLS, PROMPT = "n % 4 = 2", "n % 6 = 1"
+WRONG = "CASE WHEN had_previous THEN CASE WHEN n % 11 = 3 THEN 'orgId' WHEN n % 11 = 4 THEN 'workspaceId' WHEN n % 11 = 5 AND n % 3 <> 0 THEN 'providerConnectionId' END END"
+
+
+def _when(value: str) -> str:
+    return f"CASE WHEN {WRONG} IS NULL THEN {value} END"
+
+
+@query(
+    "manifest_plans",
+    f"""SELECT p.repo_name, p.branch, {WRONG} AS error, {_when("CASE WHEN NOT had_previous THEN 'FULL' WHEN touched > 0 THEN 'DELTA' ELSE 'NOOP' END")} AS mode, {_when("CASE WHEN NOT had_previous THEN 'FULL_REPO' WHEN touched > 0 AND file_delta THEN 'DELTA_FILES' WHEN touched > 0 THEN 'FULL_REPO_REWRITE' ELSE 'NOOP' END")} AS lexical,
+{_when("CASE WHEN NOT had_previous THEN 'No previous manifest exists.' WHEN touched > 0 AND file_delta THEN 'Search engine supports file-level shard updates.' WHEN touched > 0 THEN 'Zoekt rewrites repository shard files because file-level shard delta is not enabled.' END")} AS lexical_reason,
+{_when(f"CASE WHEN NOT had_previous OR {TOOLS} THEN 'FULL_REPO' WHEN touched > 0 THEN 'PROJECT_ROOTS' ELSE 'NOOP' END")} AS scip, {_when(f"CASE WHEN NOT had_previous OR {TOOLS} THEN every ELSE COALESCE(moved, '') END")} AS scip_roots,
+{_when(f"CASE WHEN NOT had_previous THEN 'No previous manifest exists.' WHEN {TOOLS} THEN 'SCIP toolchain fingerprint changed.' WHEN touched > 0 THEN 'Language indexers require project-root context for precise symbols.' END")} AS scip_reason, {_when("CASE WHEN NOT had_previous OR touched > 0 THEN 'DELTA_FILES' ELSE 'NOOP' END")} AS graph,
+{_when(f"CASE WHEN NOT had_previous OR {PROMPT} THEN 'ALL_CHUNKS' WHEN touched > 0 THEN 'CHANGED_CHUNKS' ELSE 'NOOP' END")} AS semantic, {_when(f"CASE WHEN NOT had_previous THEN 'No previous semantic extraction cache exists.' WHEN {PROMPT} THEN 'Semantic extraction prompt, model, or schema changed.' END")} AS semantic_reason
+FROM (SELECT *, CAST(SUBSTR(repo_name, 4) AS INT) AS n FROM ({PAIRS}) q) p JOIN ({TOUCHED}) t ON t.repo_name = p.repo_name AND t.branch = p.branch""",
+)
+def _(f):
+    pairs = f.f_manifest_cur.select("repo_name", "branch").distinct().withColumn("n", F.expr("CAST(SUBSTR(repo_name, 4) AS INT)"))
+    pairs = f.spark.sql(f"SELECT {PAIR.replace('{', '{{').replace('}', '}}')} FROM {{pairs}}", pairs=pairs)
+    rooted = lambda df: df.withColumn("root", F.expr(ROOT.removesuffix(" AS root")))
+    return delta.plans(pairs, delta.touched_files(rooted(f.f_manifest_prev), rooted(f.f_manifest_cur)))
