@@ -6,7 +6,9 @@ import bisect
 import heapq
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -31,6 +33,17 @@ def by_role(found: DataFrame, mask: str) -> DataFrame:
     return found.withColumn("role", F.explode(roles(F.coalesce(F.col(mask), F.lit(0)))))
 
 
+def changed(columns: list[pa.Array]) -> np.ndarray:
+    """Whether a row differs from the one before it; the first does not."""
+    n = len(columns[0])
+    out = np.zeros(n, bool)
+    for c in columns:
+        one, two = c.slice(1), c.slice(0, n - 1)
+        same = pc.or_(pc.fill_null(pc.equal(one, two), False), pc.and_(pc.is_null(one), pc.is_null(two)))
+        out[1:] |= ~same.to_numpy(zero_copy_only=False)
+    return out
+
+
 def swept(found: DataFrame, definitions: DataFrame, file: list[str], key: list[str], order: list[str]) -> DataFrame:
     """``key`` columns of each occurrence, and the symbol of the smallest definition of another symbol around it (``enclosing``, null without one).
 
@@ -46,24 +59,29 @@ def swept(found: DataFrame, definitions: DataFrame, file: list[str], key: list[s
     both = open_.unionByName(ask, allowMissingColumns=True).repartition("file", "stretch").sortWithinPartitions("file", "stretch", "place.start_line", "place.start_col", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, inner, ends = None, [], []  # open definitions by span, and by end
+        last, inner, ends = None, [], []  # open definitions by span, and by end
         for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("file", "stretch", "place", "kind", "symbol", "span", "order")), strict=True)
-            asked, told = [], []
-            for i, (name, part, where, kind, symbol, size, rank) in enumerate(rows):
-                if (name, part) != at:
-                    at, inner, ends = (name, part), [], []
-                begin, end = (where["start_line"], where["start_col"]), (where["end_line"], where["end_col"])
+            if not batch.num_rows:
+                continue
+            where = [*batch.column("file").flatten(), batch.column("stretch")]
+            new, kinds = changed(where), batch.column("kind").to_numpy()
+            new[0], last = tuple(c[0].as_py() for c in where) != last, tuple(c[-1].as_py() for c in where)
+            ranks = iter(batch.column("order").take(pa.array(np.flatnonzero(kinds == 0))).to_pylist())
+            numbers = [c.to_numpy(zero_copy_only=False).tolist() for c in batch.column("place").flatten()]
+            told = []
+            for fresh, kind, start_line, start_col, end_line, end_col, symbol, size in zip(new.tolist(), kinds.tolist(), *numbers, batch.column("symbol").to_pylist(), batch.column("span").to_pylist(), strict=True):
+                if fresh:
+                    inner, ends = [], []
+                begin, end = (start_line, start_col), (end_line, end_col)
                 while ends and ends[0][0] < begin:
                     del inner[bisect.bisect_left(inner, heapq.heappop(ends)[1])]
                 if kind == 0:
-                    one = (size, tuple((v is not None, v) for v in rank.values()), symbol, end)
+                    one = (size, tuple((v is not None, v) for v in next(ranks).values()), symbol, end)
                     bisect.insort(inner, one)
                     heapq.heappush(ends, (end, one))
                 else:
-                    asked.append(i)
                     told.append(next((d[2] for d in inner if d[2] != symbol and d[3] >= end), None))
-            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(asked, pa.int64())), pa.array(told, pa.string())], ["key", "enclosing"])
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(np.flatnonzero(kinds == 1))), pa.array(told, pa.string())], ["key", "enclosing"])
 
     held = StructType().add("key", ask.schema["key"].dataType).add("enclosing", "string")
     return both.mapInArrow(run, held).select("key.*", "enclosing")
