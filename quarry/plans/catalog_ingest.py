@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarry.operators import graph, ingest, projects
@@ -17,8 +18,7 @@ def _artifacts(f):
     used = f.f_occurrence.select(
         "index_id", "ordinal", "symbol", "file_path", "start_line", F.expr("CASE role WHEN 'DEFINITION' THEN 1 WHEN 'IMPORT' THEN 2 ELSE CASE WHEN ordinal % 2 = 0 THEN 8 ELSE 0 END END").alias("mask"), F.expr("CAST(start_line % 40 AS INT)").alias("syntax"),
     )
-    first = used.groupBy("index_id").agg(F.min(F.when(F.col("mask") == 1, F.col("symbol"))).alias("least"))
-    used = used.join(first, "index_id")
+    used = used.withColumn("least", F.min(F.when(F.col("mask") == 1, F.col("symbol"))).over(Window.partitionBy("index_id")))  # and all that follows by index, in one pass
     around = F.when(F.col("mask") == 1, F.array("start_line", F.lit(0), (F.col("start_line") + F.col("ordinal") * 5).cast("int"), F.lit(9)))
     occurrence = F.struct(F.col("ordinal"), F.struct(F.array("start_line", F.lit(1), F.lit(5)).alias("range"), "symbol", F.col("mask").alias("symbol_roles"), F.col("syntax").alias("syntax_kind"), F.coalesce(around, F.array().cast("array<int>")).alias("enclosing_range")).alias("o"))
     related = F.array(F.struct(F.col("least").alias("symbol"), (F.col("ordinal") % 2 == 0).alias("is_reference"), (F.col("ordinal") % 3 == 0).alias("is_implementation"), F.lit(False).alias("is_type_definition"), F.lit(False).alias("is_definition")))
@@ -26,17 +26,16 @@ def _artifacts(f):
         F.col("ordinal"),
         F.struct("symbol", F.array(F.concat(F.lit("says "), "symbol")).alias("documentation"), related.alias("relationships"), F.expr(KIND).alias("kind"), F.when(F.col("ordinal") % 2 == 0, "").otherwise(F.lit("shown")).alias("display_name"), F.struct(F.lit("sig").alias("text")).alias("signature"), F.lit("").alias("enclosing_symbol")).alias("s"),
     )
-    documents = used.groupBy("index_id", "file_path").agg(F.array_sort(F.collect_list(occurrence)).alias("os"), F.array_sort(F.collect_list(F.when(F.col("mask") == 1, info))).alias("ss"))
-    documents = documents.select("index_id", F.struct(F.col("file_path").alias("relative_path"), F.transform("os", lambda x: x["o"]).alias("occurrences"), F.transform("ss", lambda x: x["s"]).alias("symbols"), F.lit("go").alias("language")).alias("d"))
-    external = used.filter("mask <> 1").groupBy("index_id").agg(F.array_sort(F.collect_set("symbol")).alias("names"))
-    rows = documents.groupBy("index_id").agg(F.array_sort(F.collect_list("d")).alias("documents")).join(external, "index_id", "left")
-    named = F.transform(F.coalesce("names", F.array().cast("array<string>")), lambda n: F.struct(n.alias("symbol"), F.lit(7).alias("kind")))
+    documents = used.groupBy("index_id", "file_path").agg(F.sort_array(F.collect_list(occurrence)).alias("os"), F.sort_array(F.collect_list(F.when(F.col("mask") == 1, info))).alias("ss"), F.collect_set(F.when(F.col("mask") != 1, F.col("symbol"))).alias("es"))
+    documents = documents.select("index_id", "es", F.struct(F.col("file_path").alias("relative_path"), F.transform("os", lambda x: x["o"]).alias("occurrences"), F.transform("ss", lambda x: x["s"]).alias("symbols"), F.lit("go").alias("language")).alias("d"))
+    rows = documents.groupBy("index_id").agg(F.sort_array(F.collect_list("d")).alias("documents"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("es")))).alias("names"))
+    named = F.transform("names", lambda n: F.struct(n.alias("symbol"), F.lit(7).alias("kind")))
     return artifact.encoded(rows.select(F.col("index_id").alias("id"), "documents", named.alias("external_symbols")))
 
 
 def _documents(f):
     projects = f.f_index.select("id", F.lit("typescript").alias("project_language"), F.when(F.col("id") % 2 == 0, "app/").otherwise(F.lit(".")).alias("project_root"))
-    return ingest.placed(artifact.documents(graph.kept(_artifacts(f))), projects)
+    return graph.kept(ingest.placed(artifact.documents(_artifacts(f)), projects))
 
 
 PATH = "CONCAT(CASE WHEN index_id % 2 = 0 THEN 'app/' ELSE '' END, file_path)"

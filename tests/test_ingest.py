@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.errors import PythonException
 from pyspark.sql import functions as F
@@ -53,6 +55,24 @@ def test_wire_format():
             artifact.read("index", bad)
 
 
+def test_messages_of_a_batch_are_written_and_read_as_one_by_one():
+    kinds = artifact._types()
+    symbol = pa.struct([f if f.name != "signature" else pa.field("signature", pa.struct([("text", pa.string())])) for f in kinds.field("symbols").type.value_type])
+    document = pa.struct([("relative_path", pa.string()), ("occurrences", kinds.field("occurrences").type), ("symbols", pa.list_(symbol)), ("language", pa.string())])
+    odd = {"documents": [{"relative_path": "é" * 90, "occurrences": [{"range": [-1, 0, 300], "symbol": "x" * 200, "symbol_roles": 1 << 30}] * n, "symbols": []} for n in (0, 1, 70)] * 40, "external_symbols": []}
+    every = [index(), odd, {"documents": [], "external_symbols": []}, {"documents": [{}], "external_symbols": [{"symbol": ""}]}] * 30
+    raw = [artifact.write("index", x) for x in every]
+    whole = [artifact.read("index", r) for r in raw]
+    assert artifact.written("index", pa.array(whole, pa.struct([("documents", pa.list_(document)), ("external_symbols", pa.list_(symbol))]))).to_pylist() == raw
+    ends = np.cumsum([len(r) for r in raw])
+    got = artifact.decoded("index", np.frombuffer(b"".join(raw), np.uint8), ends - np.array([len(r) for r in raw]), ends)
+    assert got.to_pylist() == whole
+    for bad in (raw[0][:-1], b"\x0b", b"\x12\xff", b"\x80" * 11):
+        for n in (1, 200):
+            with pytest.raises(ValueError):
+                artifact.decoded("index", np.frombuffer(bad * n, np.uint8), np.arange(n) * len(bad), np.arange(1, n + 1) * len(bad))
+
+
 def test_an_empty_artifact_is_an_error(spark):
     with pytest.raises(PythonException, match="an empty artifact"):
         artifact.documents(spark.createDataFrame([(1, bytearray())], "id long, content binary")).collect()
