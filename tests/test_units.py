@@ -247,3 +247,9 @@ def test_tree_limits_each_repository(spark):
     got = [(x.repo_name, x.entry) for x in lexical.tree(files, 2, 3).collect()]
     assert got == [(f"r{r}", e) for r in range(3) for e in ("a", "a/x.py", "B")]
     assert lexical.tree(files, 2, None).count() == 18
+
+
+def test_a_small_table_of_sources_is_dealt_out(spark):
+    files = spark.range(1000).selectExpr("concat('src/f', id, '.go') AS path").coalesce(1)
+    dealt = build.dealt(files, 20)
+    assert dealt.rdd.getNumPartitions() >= 50 and sorted(dealt.collect()) == sorted(files.collect())
