@@ -2,7 +2,7 @@
 
 Words of the benchmark's items are the terms. One pass over all documents counts, in
 units of ``UNIT`` words, how many units hold each term. The TF-IDF matrix of the items
-and of passages of a bounded sample of documents (``SAMPLE_DOCS``) is factored by a
+and of all passages of all documents is factored by a
 distributed randomised SVD: each partition gives its share of the product of the
 matrix's Gram operator and a thin block, shares are summed by pieces, and the driver
 only holds the thin block, terms by ``RANK`` + ``OVER``. Items become latent vectors.
@@ -44,11 +44,11 @@ from pyspark.sql import functions as F
 from quarry.llm import scratch
 from quarry.llm import words as W
 
-#: Words of a unit, and units of a passage of the sample.
+#: Words of a unit, and units of a passage.
 UNIT, PASSAGE = 8, 4
 RANK, OVER, POWERS = 128, 16, 2
-#: Documents that the latent space is fitted on besides all items (about), and items of a block (about).
-SAMPLE_DOCS, ITEMS = 2000, 4096
+#: Items of a block (about), and passages that a task multiplies at a time.
+ITEMS, ROWS = 4096, 256
 COSINE, SUBSEQUENCE, ANSWER = 0.2, 0.6, 0.5
 BLOCK, PIECE, DENSE = 1 << 20, 512, 1 << 22
 LEAKS = "doc_id long, item_id long, cosine double, subsequence double, answer double"
@@ -135,10 +135,9 @@ def frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[int, np.ndarray]:
     return units, out
 
 
-def sampled(docs: DataFrame, terms: np.ndarray, share: float) -> DataFrame:
-    """Passages (term lists of ``PASSAGE`` units of one document) of the documents with the smallest id hashes."""
+def passages_of(docs: DataFrame, terms: np.ndarray) -> DataFrame:
+    """The passages (term lists of ``PASSAGE`` units of one document) that hold a term."""
     shared = docs.sparkSession.sparkContext.broadcast(terms)
-    pick = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(int(min(1.0, share) * (1 << 30)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.slices(batches, "text", BLOCK):
@@ -153,11 +152,11 @@ def sampled(docs: DataFrame, terms: np.ndarray, share: float) -> DataFrame:
             lists = pa.ListArray.from_arrays(offsets, pa.array(place[some], pa.int32()))
             yield pa.RecordBatch.from_arrays([lists], ["terms"]).filter(pa.array(counts > 0))
 
-    return docs.select("doc_id", "text").filter(pick).select("text").mapInArrow(run, "terms array<int>")
+    return docs.select("text").mapInArrow(run, "terms array<int>")
 
 
-def _gram(of: np.ndarray, row: np.ndarray, n: int, idf: np.ndarray, thin: np.ndarray) -> np.ndarray:
-    """Transpose of A times A times ``thin``, for rows of unit length."""
+def _gram(of: np.ndarray, row: np.ndarray, n: int, idf: np.ndarray, thin: np.ndarray, out: np.ndarray) -> None:
+    """Add the transpose of A times A times ``thin`` to ``out``, for rows of unit length."""
     size = len(thin)
     key, times = np.unique(row.astype(np.int64) * size + of, return_counts=True)
     row, of = key // size, key % size
@@ -167,12 +166,10 @@ def _gram(of: np.ndarray, row: np.ndarray, n: int, idf: np.ndarray, thin: np.nda
     cut = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.empty(0, int)
     if len(row):
         product[row[cut]] = np.add.reduceat(weight[:, None] * thin[of], cut)
-    out = np.zeros_like(thin)
     order = np.argsort(of, kind="stable")
     if len(row):
         cut = np.flatnonzero(np.concatenate([[True], of[order][1:] != of[order][:-1]]))
-        out[of[order][cut]] = np.add.reduceat(weight[order, None] * product[row[order]], cut)
-    return out
+        out[of[order][cut]] += np.add.reduceat(weight[order, None] * product[row[order]], cut)
 
 
 def latent(passages: DataFrame, items: Items, idf: np.ndarray) -> np.ndarray:
@@ -189,11 +186,11 @@ def latent(passages: DataFrame, items: Items, idf: np.ndarray) -> np.ndarray:
             out = None
             for batch in batches:
                 lists = batch.column(0)
-                for a in range(0, len(lists), 4096):
-                    part = lists.slice(a, 4096)
+                for a in range(0, len(lists), ROWS):
+                    part = lists.slice(a, ROWS)
                     sizes = np.diff(part.offsets.to_numpy())
-                    new = _gram(part.flatten().to_numpy(), np.repeat(np.arange(len(part)), sizes), len(part), idf, block)
-                    out = new if out is None else out + new
+                    out = np.zeros_like(block) if out is None else out
+                    _gram(part.flatten().to_numpy(), np.repeat(np.arange(len(part)), sizes), len(part), idf, block, out)
             at = [] if out is None else list(range(0, len(out), PIECE))
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([out[i : i + PIECE].tobytes() for i in at], pa.binary())], ["at", "piece"])
 
@@ -207,7 +204,8 @@ def latent(passages: DataFrame, items: Items, idf: np.ndarray) -> np.ndarray:
         out = np.zeros_like(block)
         for r in passages.mapInArrow(run, "at long, piece binary").groupBy("at").applyInArrow(together, "at long, piece binary").collect():  # terms by rank
             out[r["at"] : r["at"] + PIECE] = np.frombuffer(r.piece).reshape(-1, block.shape[1])
-        own = _gram(items.of, items.item, len(items.ids), idf, block)
+        own = np.zeros_like(block)
+        _gram(items.of, items.item, len(items.ids), idf, block, own)
         rows = max(passages_n, 1)
         return out / rows + own / max(len(items.ids), 1)  # items weigh as much as all passages
 
@@ -269,10 +267,10 @@ class Index:
     postings: list[Postings]
 
 
-def index(docs: DataFrame, items: Items, n_docs: int) -> Index:
+def index(docs: DataFrame, items: Items) -> Index:
     units, seen = frequencies(docs, items.terms)
     idf = np.log((1 + units) / (1 + seen)) + 1
-    passages, path = scratch.keep(sampled(docs, items.terms, SAMPLE_DOCS / max(n_docs, 1)), "passages")
+    passages, path = scratch.keep(passages_of(docs, items.terms), "passages")
     directions = latent(passages, items, idf)
     scratch.drop(docs.sparkSession, path)
     vectors = (idf[:, None] * directions).astype(np.float32)
@@ -406,9 +404,9 @@ def blocks(benchmark: DataFrame) -> Iterator[Items]:
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, cosine, subsequence, answer) of every document that holds an item."""
-    spark, out, n = docs.sparkSession, None, docs.count()
+    spark, out = docs.sparkSession, None
     for items in blocks(benchmark):
-        shared = spark.sparkContext.broadcast(index(docs, items, n))  # one block of items
+        shared = spark.sparkContext.broadcast(index(docs, items))  # one block of items
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ix = shared.value
@@ -427,9 +425,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def keep(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents, with all columns, that hold no item."""
-    spark, schema, n, out = docs.sparkSession, docs.schema, docs.count(), docs
+    spark, schema, out = docs.sparkSession, docs.schema, docs
     for items in blocks(benchmark):
-        shared = spark.sparkContext.broadcast(index(docs, items, n))  # one block of items
+        shared = spark.sparkContext.broadcast(index(docs, items))  # one block of items
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in W.slices(batches, "text", BLOCK):

@@ -132,3 +132,11 @@ def test_same_cosines_under_any_partitioning(spark):
     items = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
     one, seven = (sorted(map(tuple, op.leaks(docs.repartition(n), items).collect())) for n in (1, 7))
     assert one == seven and len(one) > 5
+
+
+def test_the_latent_space_is_fitted_on_every_document(spark, monkeypatch):
+    docs = spark.range(5000).selectExpr("id AS doc_id", "concat('alpha ', id, ' beta') AS text")
+    fit, seen = op.latent, []
+    monkeypatch.setattr(op, "latent", lambda passages, *rest: seen.append(passages.count()) or fit(passages, *rest))
+    op.keep(docs, spark.createDataFrame([(1, "alpha beta gamma. answer: delta")], ITEMS)).count()
+    assert seen == [5000]
