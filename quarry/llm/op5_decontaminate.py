@@ -5,7 +5,9 @@ units of ``UNIT`` words, how many units hold each term. The TF-IDF matrix of the
 and of all passages of all documents is factored by a
 distributed randomised SVD: each partition gives its share of the product of the
 matrix's Gram operator and a thin block, shares are summed by pieces, and the driver
-only holds the thin block, terms by ``RANK`` + ``OVER``. Items become latent vectors.
+only holds the thin block, terms by ``RANK`` + ``OVER``. Where pairs of terms are few
+enough (``CELLS``) the Gram matrix itself is summed once, by pairs of terms that occur in
+one passage, and products read it instead of all passages. Items become latent vectors.
 
 Then every document is searched. An item can only pass if at least ``SUBSEQUENCE`` of
 its words are in one region, so of its rarest words (all but about a third) that many
@@ -49,6 +51,8 @@ UNIT, PASSAGE = 8, 4
 RANK, OVER, POWERS = 128, 16, 2
 #: Items of a block (about), and passages that a task multiplies at a time.
 ITEMS, ROWS = 4096, 256
+#: Pairs of terms that a task adds up in one list (128 MiB), passages that it adds at a time, and pairs of a stretch.
+CELLS, PAIRED, STRETCH = 1 << 24, 2048, 1 << 20
 COSINE, SUBSEQUENCE, ANSWER = 0.2, 0.6, 0.5
 BLOCK, PIECE, DENSE = 1 << 20, 512, 1 << 22
 LEAKS = "doc_id long, item_id long, cosine double, subsequence double, answer double"
@@ -155,13 +159,18 @@ def passages_of(docs: DataFrame, terms: np.ndarray) -> DataFrame:
     return docs.select("text").mapInArrow(run, "terms array<int>")
 
 
-def _gram(of: np.ndarray, row: np.ndarray, n: int, idf: np.ndarray, thin: np.ndarray, out: np.ndarray) -> None:
-    """Add the transpose of A times A times ``thin`` to ``out``, for rows of unit length."""
-    size = len(thin)
+def _weights(of: np.ndarray, row: np.ndarray, n: int, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, term and weight of the entries of n rows of unit length, in order."""
+    size = len(idf)
     key, times = np.unique(row.astype(np.int64) * size + of, return_counts=True)
     row, of = key // size, key % size
     weight = times * idf[of]
-    weight = weight / np.sqrt(np.maximum(np.bincount(row, weight**2, n), 1e-12))[row]
+    return row, of, weight / np.sqrt(np.maximum(np.bincount(row, weight**2, n), 1e-12))[row]
+
+
+def _gram(of: np.ndarray, row: np.ndarray, n: int, idf: np.ndarray, thin: np.ndarray, out: np.ndarray) -> None:
+    """Add the transpose of A times A times ``thin`` to ``out``, for rows of unit length."""
+    row, of, weight = _weights(of, row, n, idf)
     product = np.zeros((n, thin.shape[1]))
     cut = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.empty(0, int)
     if len(row):
@@ -172,26 +181,103 @@ def _gram(of: np.ndarray, row: np.ndarray, n: int, idf: np.ndarray, thin: np.nda
         out[of[order][cut]] += np.add.reduceat(weight[order, None] * product[row[order]], cut)
 
 
+def _cells(size: int) -> np.ndarray:
+    """Where each term's row would begin in a list of the pairs (i, j), i <= j, of ``size`` terms, if it held all j."""
+    i = np.arange(size, dtype=np.int64)
+    return i * size - i * (i + 1) // 2
+
+
+def _pairs(of: np.ndarray, row: np.ndarray, n: int, idf: np.ndarray, first: np.ndarray, out: np.ndarray) -> None:
+    """Add the transpose of A times A to ``out``, the list of its pairs of terms, for rows of unit length."""
+    row, of, weight = _weights(of, row, n, idf)
+    sizes = np.bincount(row, minlength=n)
+    start = np.cumsum(sizes) - sizes
+    for m in np.unique(sizes[sizes > 0]):
+        at = start[sizes == m][:, None] + np.arange(m)
+        term, value = of[at], weight[at]
+        i, j = np.triu_indices(m)
+        np.add.at(out, (first[term[:, i]] + term[:, j]).ravel(), (value[:, i] * value[:, j]).ravel())
+
+
+def co_occurrences(passages: DataFrame, idf: np.ndarray) -> DataFrame:
+    """(at, cell, value): the passages' Gram matrix, as sums of weights of pairs of terms that occur together. ``at`` names a
+    stretch of the pairs; each task adds its passages to one list of all pairs, of which there are ``CELLS`` at most."""
+    shared = passages.sparkSession.sparkContext.broadcast(idf)  # a weight for each term of one block of items
+    kind = "at long, cell array<int>, value array<double>"
+
+    def lists(x: np.ndarray, kind: pa.DataType) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, kind))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf = shared.value
+        size = len(idf)
+        first, out = _cells(size), None
+        for batch in batches:
+            part = batch.column(0)
+            for a in range(0, len(part), PAIRED):
+                some = part.slice(a, PAIRED)
+                out = np.zeros(size * (size + 1) // 2) if out is None else out
+                _pairs(some.flatten().to_numpy(), np.repeat(np.arange(len(some)), np.diff(some.offsets.to_numpy())), len(some), idf, first, out)
+        for a in range(0, 0 if out is None else len(out), STRETCH):
+            cell = np.flatnonzero(out[a : a + STRETCH])
+            yield pa.RecordBatch.from_arrays([pa.array([a // STRETCH], pa.int64()), lists(cell, pa.int32()), lists(out[a + cell], pa.float64())], ["at", "cell", "value"])
+
+    def together(pieces: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, total = None, np.zeros(STRETCH)
+        for batch in pieces:
+            for k in range(batch.num_rows):
+                at = batch.column(0)[k].as_py()
+                total[batch.column(1)[k].values.to_numpy()] += batch.column(2)[k].values.to_numpy()
+        cell = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), lists(cell, pa.int32()), lists(total[cell], pa.float64())], ["at", "cell", "value"])
+
+    return passages.mapInArrow(run, kind).groupBy("at").applyInArrow(together, kind)
+
+
 def latent(passages: DataFrame, items: Items, idf: np.ndarray) -> np.ndarray:
-    """Orthonormal directions (terms by rank) of the items and passages, by subspace iteration from a random block."""
+    """Orthonormal directions (terms by rank) of the items and passages, by subspace iteration from a random block.
+
+    Terms of which there are so few that a task can hold their pairs get the passages' Gram matrix once; else each product
+    reads all passages.
+    """
     spark, size = passages.sparkSession, len(items.terms)
     width = min(RANK + OVER, size)
     thin = np.linalg.qr(np.random.default_rng(7).standard_normal((size, width)))[0]
+    passages_n, paired = passages.count(), size * (size + 1) // 2 <= CELLS
+    source, path = scratch.keep(co_occurrences(passages, idf), "pairs") if paired else (passages, None)
 
     def product(block: np.ndarray) -> np.ndarray:
         shared = spark.sparkContext.broadcast((block, idf))  # terms of one block of items by rank
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            block, idf = shared.value
-            out = None
+        def of_passages(batches: Iterator[pa.RecordBatch], block: np.ndarray, idf: np.ndarray, out: np.ndarray) -> None:
             for batch in batches:
                 lists = batch.column(0)
                 for a in range(0, len(lists), ROWS):
                     part = lists.slice(a, ROWS)
                     sizes = np.diff(part.offsets.to_numpy())
-                    out = np.zeros_like(block) if out is None else out
                     _gram(part.flatten().to_numpy(), np.repeat(np.arange(len(part)), sizes), len(part), idf, block, out)
-            at = [] if out is None else list(range(0, len(out), PIECE))
+
+        def of_pairs(batches: Iterator[pa.RecordBatch], block: np.ndarray, idf: np.ndarray, out: np.ndarray) -> None:
+            first = _cells(len(block))
+            begin = first + np.arange(len(block))  # cell of the pair (i, i)
+            for batch in batches:
+                for k in range(batch.num_rows):
+                    cell = batch.column(0)[k].as_py() * STRETCH + batch.column(1)[k].values.to_numpy().astype(np.int64)
+                    value = batch.column(2)[k].values.to_numpy()
+                    if not len(cell):
+                        continue
+                    i = np.searchsorted(begin, cell, "right") - 1
+                    for t, low, high in zip(*_runs(i), strict=True):
+                        j, v = cell[low:high] - first[t], value[low:high]
+                        out[t] += v @ block[j]
+                        later = j > t
+                        out[j[later]] += v[later, None] * block[t]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            block, idf = shared.value
+            out = np.zeros_like(block)
+            (of_pairs if paired else of_passages)(batches, block, idf, out)
+            at = list(range(0, len(out), PIECE)) if out.any() else []
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([out[i : i + PIECE].tobytes() for i in at], pa.binary())], ["at", "piece"])
 
         def together(pieces: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,22 +288,29 @@ def latent(passages: DataFrame, items: Items, idf: np.ndarray) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["at", "piece"])
 
         out = np.zeros_like(block)
-        for r in passages.mapInArrow(run, "at long, piece binary").groupBy("at").applyInArrow(together, "at long, piece binary").collect():  # terms by rank
+        for r in source.mapInArrow(run, "at long, piece binary").groupBy("at").applyInArrow(together, "at long, piece binary").collect():  # terms by rank
             out[r["at"] : r["at"] + PIECE] = np.frombuffer(r.piece).reshape(-1, block.shape[1])
         own = np.zeros_like(block)
         _gram(items.of, items.item, len(items.ids), idf, block, own)
         rows = max(passages_n, 1)
         return out / rows + own / max(len(items.ids), 1)  # items weigh as much as all passages
 
-    passages_n = passages.count()
     for _ in range(POWERS):
         thin = np.linalg.qr(product(thin))[0]
     small = thin.T @ product(thin)
     values, vectors = np.linalg.eigh((small + small.T) / 2)
     order = np.argsort(-values)[:RANK]
+    if path:
+        scratch.drop(spark, path)
     return thin @ vectors[:, order]
 
 
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values, starts and ends of the runs of equal values."""
+    cut = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+    return x[cut], cut, np.append(cut[1:], len(x))
+
+
 @dataclass
 class Postings:
     """Items of about one length. Any region of theirs has at most ``reach`` words; of the

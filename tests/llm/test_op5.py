@@ -140,3 +140,15 @@ def test_the_latent_space_is_fitted_on_every_document(spark, monkeypatch):
     monkeypatch.setattr(op, "latent", lambda passages, *rest: seen.append(passages.count()) or fit(passages, *rest))
     op.keep(docs, spark.createDataFrame([(1, "alpha beta gamma. answer: delta")], ITEMS)).count()
     assert seen == [5000]
+
+
+def test_products_read_the_passages_once_and_give_the_same_space(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    items = op.items_of([(i, " ".join(r.text.split()[:40])) for i, r in enumerate(docs.filter("length(text) > 200").orderBy("doc_id").limit(12).collect())])
+    passages, idf = op.passages_of(docs, items.terms), np.linspace(1, 2, len(items.terms))
+    reads, gram = [], op.co_occurrences
+    monkeypatch.setattr(op, "co_occurrences", lambda *a: reads.append(1) or gram(*a))
+    pairs = op.latent(passages, items, idf)
+    assert reads == [1]
+    monkeypatch.setattr(op, "CELLS", 0)
+    assert np.allclose(abs(pairs.T @ op.latent(passages, items, idf)), np.eye(pairs.shape[1]), atol=1e-6) and reads == [1]
