@@ -52,7 +52,8 @@ from quarry.llm import words as W
 from quarry.llm.components import components
 
 BANDS, ROWS, PERCENT = 40, 5, 80
-BLOCK = 1 << 20
+#: Text of a batch: sets that are compared, and sets that are signed, of which each shingle holds all places.
+BLOCK, SIGNING = 1 << 20, 1 << 18
 SHORT_BASE = 0x1B873593CC9E2D51
 #: Pairs of one pivot that a task compares in a run.
 RUN = 2000
@@ -120,7 +121,7 @@ def sign(docs: DataFrame, k: int, bands: int = BANDS, rows: int = ROWS) -> DataF
     """Set size, a 128-bit name of the set, and band keys of each document; the last two null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in W.slices(batches, "text", BLOCK):
+        for batch in W.slices(batches, "text", SIGNING):
             n = batch.num_rows
             e, doc = shingles(W.of_column(batch.column("text"), lower=True), k)
             size = np.bincount(doc, minlength=n)
@@ -226,7 +227,7 @@ def led(classes: DataFrame) -> tuple[DataFrame, str]:
 
 
 def postings(state: DataFrame, percent: int) -> tuple[DataFrame, list[str]]:
-    """(bucket, scope, cls, comp, first): the buckets in which members of a scope, that is of a pivot, can still be linked.
+    """(bucket, scope, cls, comp, n, first): the buckets in which members of a scope, that is of a pivot, can still be linked.
     And tables to drop once it is written.
 
     See the module's text. ``first`` orders a bucket's members: those without a link to the pivot, with least of their
@@ -243,13 +244,13 @@ def postings(state: DataFrame, percent: int) -> tuple[DataFrame, list[str]]:
     short = percent * (F.col("p_n") - F.col("n")) - F.col("e_min")
     some = F.when(~F.col("link") & (F.col("e") <= percent * smaller), m).when(short >= 0, F.floor(short / (100 + percent)) + 1).otherwise(0)
     sides = F.array(F.struct(F.lit(0).alias("side"), (d - need + 1).alias("prefix"), F.col("d").alias("all")), F.struct(F.lit(1).alias("side"), some.alias("prefix"), F.col("m").alias("all")))
-    rows = state.select("scope", "cls", "comp", F.struct("link", d.alias("own"), "cls").alias("first"), F.explode(sides).alias("s")).filter("s.prefix > 0")
-    rows = rows.select("scope", "cls", "comp", "first", "s.side", "s.prefix", F.size("s.all").alias("size"), F.explode("s.all").alias("one")).withColumn("bucket", F.xxhash64("scope", "side", "one")).drop("one")
+    rows = state.select("scope", "cls", "comp", "n", F.struct("link", d.alias("own"), "cls").alias("first"), F.explode(sides).alias("s")).filter("s.prefix > 0")
+    rows = rows.select("scope", "cls", "comp", "n", "first", "s.side", "s.prefix", F.size("s.all").alias("size"), F.explode("s.all").alias("one")).withColumn("bucket", F.xxhash64("scope", "side", "one")).drop("one")
     useful = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("often"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("bucket", "often")
     useful, useful_path = scratch.keep(useful, "useful")
     own = Window.partitionBy("scope", "cls", "side")
     place = F.col("size") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("often", "bucket"))
-    return rows.join(useful, "bucket").withColumn("place", place).filter("place <= prefix").select("bucket", "scope", "cls", "comp", "first"), [open_path, useful_path]
+    return rows.join(useful, "bucket").withColumn("place", place).filter("place <= prefix").select("bucket", "scope", "cls", "comp", "n", "first"), [open_path, useful_path]
 
 
 def turned(pairs: DataFrame, state: DataFrame, percent: int) -> DataFrame:
@@ -267,6 +268,14 @@ def turned(pairs: DataFrame, state: DataFrame, percent: int) -> DataFrame:
     return met.select(F.xxhash64("scope", "p").alias("scope"), "cls", "p", "n", "p_n", "link", F.when(F.col("link"), F.col("p_comp")).otherwise(F.col("comp")).alias("comp"), F.when(F.col("whole"), d).alias("d"), F.when(F.col("whole"), m).alias("m"))
 
 
+def met(stars: DataFrame, percent: int) -> DataFrame:
+    """Members of a bucket with its pivots besides the first, ``q``, but for those in one component and those whose sizes
+    alone rule a link out."""
+    others = stars.filter("also").select("bucket", F.col("cls").alias("q"), F.col("comp").alias("q_comp"), F.col("n").alias("q_n"))
+    may = (F.col("comp") != F.col("q_comp")) & (100 * F.least("n", "q_n") >= percent * F.greatest("n", "q_n"))
+    return stars.join(others, "bucket").filter(may)
+
+
 def linked(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> tuple[DataFrame | None, list[str]]:
     """(node, root) of the classes that have a link; and the tables to drop later. See the module's text.
 
@@ -297,9 +306,8 @@ def linked(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> tuple[D
             scratch.drop(spark, path, of_path)
             break
         also = F.pmod(F.xxhash64("cls", F.lit(more)), F.lit(1 << 20)) * F.col("c") < more << 20
-        stars, stars_path = scratch.keep(posts.join(of, "bucket").select("bucket", "scope", "cls", "p", also.alias("also")), "stars")
-        others = stars.filter("also").select("bucket", F.col("cls").alias("q"))
-        extra = stars.join(others, "bucket").select("scope", "cls", F.col("q").alias("p"), F.lit(False).alias("whole"))
+        stars, stars_path = scratch.keep(posts.join(of, "bucket").select("bucket", "scope", "cls", "comp", "n", "p", also.alias("also")), "stars")
+        extra = met(stars, percent).select("scope", "cls", F.col("q").alias("p"), F.lit(False).alias("whole"))
         # a pivot besides the first has met all of the bucket, and needs no other of it
         pairs = stars.select("scope", "cls", "p", (~F.col("also")).alias("whole")).unionByName(extra).filter("cls <> p")
         seen, seen_path = scratch.keep(turned(pairs.groupBy("scope", "cls", "p").agg(F.max("whole").alias("whole")), state, percent), "turned")

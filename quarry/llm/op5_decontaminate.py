@@ -54,7 +54,7 @@ ITEMS, ROWS = 4096, 256
 #: Pairs of terms that a task adds up in one list (128 MiB), passages that it adds at a time, and pairs of a stretch.
 CELLS, PAIRED, STRETCH = 1 << 24, 2048, 1 << 20
 COSINE, SUBSEQUENCE, ANSWER = 0.2, 0.6, 0.5
-BLOCK, PIECE, DENSE = 1 << 20, 512, 1 << 22
+BLOCK, PIECE, DENSE = 1 << 18, 512, 1 << 22
 LEAKS = "doc_id long, item_id long, cosine double, subsequence double, answer double"
 
 

@@ -142,3 +142,9 @@ def test_keep_leaves_one_row_of_each_component(spark):
     got = op4_minhash.keep(spark.createDataFrame(rows, SCHEMA + ", n long").repartition(3)).collect()
     assert len(got) == 5
     assert {(r.doc_id, r.text) for r in got} == {(None, "a b c d e f"), (7, "g h i j k l"), (None, None), (9, ""), (3, "m n o p q r")}
+
+
+def test_pivots_do_not_meet_their_own_component_or_sets_of_another_size(spark):
+    rows = [(1, "a", "x", 10, True), (1, "b", "x", 10, True), (1, "c", "y", 10, False), (1, "d", "z", 20, False), (1, "e", "v", 12, False)]
+    stars = spark.createDataFrame(rows, "bucket long, cls string, comp string, n long, also boolean")
+    assert {(r.cls, r.q) for r in op.met(stars, 80).collect()} == {("c", "a"), ("c", "b"), ("e", "a"), ("e", "b")}
