@@ -51,8 +51,9 @@ UNIT, PASSAGE = 8, 4
 RANK, OVER, POWERS = 128, 16, 2
 #: Items of a block (about), and passages that a task multiplies at a time.
 ITEMS, ROWS = 4096, 256
-#: Pairs of terms that a task adds up in one list (128 MiB), passages that it adds at a time, and pairs of a stretch.
-CELLS, PAIRED, STRETCH = 1 << 24, 2048, 1 << 20
+#: Most pairs of terms that are summed, those of frequent terms that a task holds in one list (16 MiB), passages that it adds
+#: at a time, and pairs of a stretch.
+CELLS, NEAR, PAIRED, STRETCH = 1 << 24, 1 << 21, 2048, 1 << 20
 COSINE, SUBSEQUENCE, ANSWER = 0.2, 0.6, 0.5
 BLOCK, PIECE, DENSE = 1 << 18, 512, 1 << 22
 LEAKS = "doc_id long, item_id long, cosine double, subsequence double, answer double"
@@ -181,14 +182,26 @@ def _gram(of: np.ndarray, row: np.ndarray, n: int, idf: np.ndarray, thin: np.nda
         out[of[order][cut]] += np.add.reduceat(weight[order, None] * product[row[order]], cut)
 
 
-def _cells(size: int) -> np.ndarray:
-    """Where each term's row would begin in a list of the pairs (i, j), i <= j, of ``size`` terms, if it held all j."""
-    i = np.arange(size, dtype=np.int64)
-    return i * size - i * (i + 1) // 2
+def _ranks(idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The terms from the most frequent on, and the place of each there. The pair of places i <= j is the cell j (j + 1) / 2 + i,
+    so pairs of frequent terms come first."""
+    order = np.argsort(idf, kind="stable")
+    rank = np.empty(len(idf), np.int64)
+    rank[order] = np.arange(len(idf))
+    return order, rank
 
 
-def _pairs(of: np.ndarray, row: np.ndarray, n: int, idf: np.ndarray, first: np.ndarray, out: np.ndarray) -> None:
-    """Add the transpose of A times A to ``out``, the list of its pairs of terms, for rows of unit length."""
+def _summed(cell: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cells, each once and in order, with the sums of their values."""
+    if not len(cell):
+        return cell, value
+    order = np.argsort(cell, kind="stable")
+    cell, low, _ = _runs(cell[order])
+    return cell, np.add.reduceat(value[order], low)
+
+
+def _pairs(of: np.ndarray, row: np.ndarray, n: int, idf: np.ndarray, near: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Cells of the transpose of A times A, for rows of unit length and terms by rank: added to ``near``, or given where it ends."""
     row, of, weight = _weights(of, row, n, idf)
     sizes = np.bincount(row, minlength=n)
     start = np.cumsum(sizes) - sizes
@@ -196,12 +209,16 @@ def _pairs(of: np.ndarray, row: np.ndarray, n: int, idf: np.ndarray, first: np.n
         at = start[sizes == m][:, None] + np.arange(m)
         term, value = of[at], weight[at]
         i, j = np.triu_indices(m)
-        np.add.at(out, (first[term[:, i]] + term[:, j]).ravel(), (value[:, i] * value[:, j]).ravel())
+        cell = (term * (term + 1) // 2)[:, j] + term[:, i]
+        cell, value = cell.ravel(), (value[:, i] * value[:, j]).ravel()
+        some = cell < len(near)
+        np.add.at(near, cell[some], value[some])
+        yield cell[~some], value[~some]
 
 
 def co_occurrences(passages: DataFrame, idf: np.ndarray) -> DataFrame:
     """(at, cell, value): the passages' Gram matrix, as sums of weights of pairs of terms that occur together. ``at`` names a
-    stretch of the pairs; each task adds its passages to one list of all pairs, of which there are ``CELLS`` at most."""
+    stretch of ``STRETCH`` cells. Pairs of frequent terms are added in place, others sorted and summed as they come."""
     shared = passages.sparkSession.sparkContext.broadcast(idf)  # a weight for each term of one block of items
     kind = "at long, cell array<int>, value array<double>"
 
@@ -209,18 +226,22 @@ def co_occurrences(passages: DataFrame, idf: np.ndarray) -> DataFrame:
         return pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, kind))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf = shared.value
-        size = len(idf)
-        first, out = _cells(size), None
+        order, rank = _ranks(shared.value)
+        idf, size = shared.value[order], len(order)
+        near = np.zeros(min(size * (size + 1) // 2, NEAR))
+        far, waiting = (np.empty(0, np.int64), np.empty(0)), []
         for batch in batches:
             part = batch.column(0)
             for a in range(0, len(part), PAIRED):
                 some = part.slice(a, PAIRED)
-                out = np.zeros(size * (size + 1) // 2) if out is None else out
-                _pairs(some.flatten().to_numpy(), np.repeat(np.arange(len(some)), np.diff(some.offsets.to_numpy())), len(some), idf, first, out)
-        for a in range(0, 0 if out is None else len(out), STRETCH):
-            cell = np.flatnonzero(out[a : a + STRETCH])
-            yield pa.RecordBatch.from_arrays([pa.array([a // STRETCH], pa.int64()), lists(cell, pa.int32()), lists(out[a + cell], pa.float64())], ["at", "cell", "value"])
+                waiting += _pairs(rank[some.flatten().to_numpy()], np.repeat(np.arange(len(some)), np.diff(some.offsets.to_numpy())), len(some), idf, near)
+                if sum(len(c) for c, _ in waiting) > NEAR // 4:
+                    far, waiting = _summed(*map(np.concatenate, zip(far, *waiting, strict=True))), []
+        far = _summed(*map(np.concatenate, zip(far, *waiting, strict=True)))
+        cell = np.flatnonzero(near)
+        cell, value = np.concatenate([cell, far[0]]), np.concatenate([near[cell], far[1]])
+        for at, low, high in zip(*_runs(cell // STRETCH), strict=True) if len(cell) else ():
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), lists(cell[low:high] % STRETCH, pa.int32()), lists(value[low:high], pa.float64())], ["at", "cell", "value"])
 
     def together(pieces: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, total = None, np.zeros(STRETCH)
@@ -258,20 +279,18 @@ def latent(passages: DataFrame, items: Items, idf: np.ndarray) -> np.ndarray:
                     _gram(part.flatten().to_numpy(), np.repeat(np.arange(len(part)), sizes), len(part), idf, block, out)
 
         def of_pairs(batches: Iterator[pa.RecordBatch], block: np.ndarray, idf: np.ndarray, out: np.ndarray) -> None:
-            first = _cells(len(block))
-            begin = first + np.arange(len(block))  # cell of the pair (i, i)
+            order, _ = _ranks(idf)
+            place = np.arange(len(order))
+            begin = place * (place + 1) // 2
             for batch in batches:
                 for k in range(batch.num_rows):
                     cell = batch.column(0)[k].as_py() * STRETCH + batch.column(1)[k].values.to_numpy().astype(np.int64)
                     value = batch.column(2)[k].values.to_numpy()
-                    if not len(cell):
-                        continue
-                    i = np.searchsorted(begin, cell, "right") - 1
-                    for t, low, high in zip(*_runs(i), strict=True):
-                        j, v = cell[low:high] - first[t], value[low:high]
-                        out[t] += v @ block[j]
-                        later = j > t
-                        out[j[later]] += v[later, None] * block[t]
+                    for t, low, high in zip(*_runs(np.searchsorted(begin, cell, "right") - 1), strict=True) if len(cell) else ():
+                        i, v = cell[low:high] - begin[t], value[low:high]
+                        out[order[t]] += v @ block[order[i]]
+                        other = i < t
+                        out[order[i[other]]] += v[other, None] * block[order[t]]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             block, idf = shared.value

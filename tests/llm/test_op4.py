@@ -147,4 +147,4 @@ def test_keep_leaves_one_row_of_each_component(spark):
 def test_pivots_do_not_meet_their_own_component_or_sets_of_another_size(spark):
     rows = [(1, "a", "x", 10, True), (1, "b", "x", 10, True), (1, "c", "y", 10, False), (1, "d", "z", 20, False), (1, "e", "v", 12, False)]
     stars = spark.createDataFrame(rows, "bucket long, cls string, comp string, n long, also boolean")
-    assert {(r.cls, r.q) for r in op.met(stars, 80).collect()} == {("c", "a"), ("c", "b"), ("e", "a"), ("e", "b")}
+    assert {(r.cls, r.q) for r in op4_minhash.met(stars, 80).collect()} == {("c", "a"), ("c", "b"), ("e", "a"), ("e", "b")}

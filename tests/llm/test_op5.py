@@ -148,6 +148,7 @@ def test_products_read_the_passages_once_and_give_the_same_space(spark, monkeypa
     passages, idf = op.passages_of(docs, items.terms), np.linspace(1, 2, len(items.terms))
     reads, gram = [], op.co_occurrences
     monkeypatch.setattr(op, "co_occurrences", lambda *a: reads.append(1) or gram(*a))
+    monkeypatch.setattr(op, "NEAR", 1000)  # most pairs take the way of rare ones
     pairs = op.latent(passages, items, idf)
     assert reads == [1]
     monkeypatch.setattr(op, "CELLS", 0)
