@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.operators import fused, graph, matches, symbols
+from quarry.operators import fused, matches, symbols
 from quarry.plans import recall
 from quarry.plans.catalog import LATEST, ORG, query
 from quarry.plans.catalog_matches import LINE_ROWS, DEFAULT, _repos
@@ -113,5 +113,5 @@ UNION ALL SELECT 'manifest', NULL, NULL, NULL, NULL, CONCAT('graph=', CASE WHEN
 
 @query("codegraph_context", CONTEXT)
 def _(f):
-    probed = graph.kept(_probed(f))  # definitions and references are read from one scan of the symbols
+    probed = _probed(f)
     return fused.context(_plan(), _files(f), f.f_edge, _named(probed, "DEFINITION"), _named(probed, "REFERENCE"))
