@@ -163,37 +163,42 @@ def seeds(found: DataFrame) -> DataFrame:
 ASKED_TOPIC, OTHER_TOPIC, CORE, IRRELEVANT, SURE = 42, -72, 24, -30, 0.8
 
 
-def relevance(low: Column, asked: list[str]) -> Column:
-    """How a text in lower case fits the runtimes that a question asks for; 0 where it asks for none."""
+def relevance(marks: Column, asked: list[str]) -> Column:
+    """How a text with these marks fits the runtimes that a question asks for; 0 where it asks for none."""
     from quarry.operators import inspect
 
     if not asked:
         return F.lit(0)
-    hits = {topic: inspect.holds(low, markers) for topic, markers in inspect.TOPICS}
+    hits = {topic: inspect.marked(marks, f"topic {topic}") for topic, _ in inspect.TOPICS}
     some = reduce(lambda a, b: a | b, hits.values())
     points = sum((F.when(hit, ASKED_TOPIC if topic in asked else OTHER_TOPIC).otherwise(0) for topic, hit in hits.items()), F.lit(0))
-    return points + F.when(~some & inspect.holds(low, inspect.CORE_FLOW), CORE).otherwise(0)
+    return points + F.when(~some & inspect.marked(marks, "core"), CORE).otherwise(0)
 
 
-def fits(low: Column, asked: list[str]) -> Column:
-    """Whether a text names what is asked for and no other runtime, or a core flow."""
+def fits(marks: Column, asked: list[str]) -> Column:
+    """Whether a text with these marks names what is asked for and no other runtime, or a core flow."""
     from quarry.operators import inspect
 
     if not asked:
         return F.lit(True)
     named = {True: F.lit(False), False: F.lit(False)}
-    for topic, markers in inspect.TOPICS:
-        named[topic in asked] = named[topic in asked] | inspect.holds(low, markers)
-    return (named[True] & ~named[False]) | inspect.holds(low, inspect.CORE_FLOW)
+    for topic, _ in inspect.TOPICS:
+        named[topic in asked] = named[topic in asked] | inspect.marked(marks, f"topic {topic}")
+    return (named[True] & ~named[False]) | inspect.marked(marks, "core")
 
 
-def by_trust(edges: DataFrame, text: Column | None = None, asked: list[str] = ()) -> DataFrame:
-    """Edges with whether they are trusted: those that say what a question asks for, and are precise, or no guess and sure enough."""
-    low = F.lit("") if text is None else text
+def by_trust(edges: DataFrame, text: Column | None = None, asked: list[str] = (), marks: str | None = None) -> DataFrame:
+    """Edges with whether they are trusted: those that say what a question asks for, and are precise, or no guess and sure enough.
+
+    The ``text`` in lower case is searched for marks, unless ``marks`` names a column that has them."""
+    from quarry.operators import inspect
+
+    rows = edges if marks else edges.withColumn("__marks", inspect.marks(F.lit("") if text is None else text, kinds=("topic", "core")))
+    of = F.col(marks or "__marks")
     provenance, source = F.lower(F.coalesce("provenance", F.lit(""))), F.lower(F.trim(F.coalesce("source", F.lit(""))))
     guess = source.startswith("ast-") | (provenance == "heuristic")
     sure = (provenance == "scip") | (~guess & F.coalesce(F.col("confidence") >= SURE, F.lit(False)))
-    return edges.withColumn("trusted", (relevance(low, asked) >= IRRELEVANT) & fits(low, asked) & sure)
+    return rows.withColumn("trusted", (relevance(of, asked) >= IRRELEVANT) & fits(of, asked) & sure).drop("__marks")
 
 
 #: Rows of each list in the views of a path and of a minimal context.
