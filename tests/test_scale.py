@@ -40,3 +40,10 @@ def test_marks_across_texts(spark):
     assert {(r[0], r[1]) for r in said if r[2]} == {("x", "y")}
     assert {(r[0], r[1]) for r in said if r[3]} == {(s, d) for s in "xyzn" for d in "xyzn" if "y" in (s, d)}
     assert {(r[0], r[1]) for r in said if r[4]} == {(s, d) for s in "xyzn" for d in "xyzn" if "z" in (s, d)}
+
+
+def test_lines_are_dealt_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(fixtures, "TOGETHER", 100)
+    f = fixtures.Frames(spark, SMALL)
+    sizes = f.f_edge.groupBy(F.spark_partition_id()).count().select(F.sum("count"), F.max("count")).first()
+    assert sizes[0] == f.lines and sizes[1] <= 300
