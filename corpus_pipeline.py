@@ -21,15 +21,18 @@ from quarry.llm import op1_quality, op2_bpe, op4_minhash, op5_decontaminate, op6
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    scratch.small_batches(spark)
     rules = op1_quality.learned(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return op1_quality.keep(docs, op1_quality.plan(docs, rules))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    scratch.small_batches(spark)
     return op4_minhash.keep(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    scratch.small_batches(spark)
     return op5_decontaminate.keep(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -38,6 +41,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    scratch.small_batches(spark)
     return op2_bpe.round_trip(docs)
 
 
