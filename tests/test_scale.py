@@ -8,6 +8,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from quarry import registry
 from quarry.operators import inspect
 from quarry.sources import fixtures
 
@@ -47,3 +48,10 @@ def test_lines_are_dealt_by_rows(spark, monkeypatch):
     f = fixtures.Frames(spark, SMALL)
     sizes = f.f_edge.groupBy(F.spark_partition_id()).count().select(F.sum("count"), F.max("count")).first()
     assert sizes[0] == f.lines and sizes[1] <= 300
+
+
+def test_short_rows_move_to_ends(spark, monkeypatch):
+    moved, with_ends = [], inspect.with_ends
+    monkeypatch.setattr(inspect, "with_ends", lambda edges, vertices: moved.append(edges.columns) or with_ends(edges, vertices))
+    registry.queries()["stable_key"](spark, SMALL)
+    assert [len(c) for c in moved] == [7]
