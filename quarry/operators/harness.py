@@ -1,6 +1,7 @@
 """What an answer's texts hold for the next step: files to read, to change and to test, call edges, gaps, and how sure it all is.
 
-Texts are (id, text). Their lines become rows once; every list keeps the first mention of each item, up to its cap.
+Texts are (id, text), or (id, part, text) where a text comes in parts, whole lines each, in the order of ``part``; no task
+needs a text whole. Lines become rows once; every list keeps the first mention of each item, up to its cap.
 """
 
 from __future__ import annotations
@@ -35,8 +36,18 @@ def _holds(value: Column, marks: tuple[str, ...]) -> Column:
     return reduce(lambda a, b: a | b, (value.contains(m) for m in marks))
 
 
+def parts(texts: DataFrame) -> DataFrame:
+    return texts if "part" in texts.columns else texts.withColumn("part", F.lit(0))
+
+
+def _at(answer: int) -> Column:
+    """Where something stands: what tool output names comes before what the answer says."""
+    return F.struct(F.lit(answer).alias("answer"), "part", "n").alias("at")
+
+
 def lines(texts: DataFrame) -> DataFrame:
-    return texts.select("id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("at", "line"))
+    rows = parts(texts).select("id", "part", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("n", "line"))
+    return rows.select("id", _at(0), "line")
 
 
 def provenance(rows: DataFrame) -> DataFrame:
@@ -56,18 +67,28 @@ def _stripped(path: Column) -> Column:
     return F.regexp_replace(path, r"^[ \t\r\n`.,:;]+|[ \t\r\n`.,:;]+$", "")
 
 
+def _under_header(told: DataFrame) -> DataFrame:
+    """Headers and numbered lines with the last header up to each, ``of``. Most find it in their own part; those that don't are
+    few and look at the last headers of parts, so no task gets all lines of a text."""
+    upto = lambda *keys: Window.partitionBy(*keys).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    own = told.withColumn("of", F.last("named", ignorenulls=True).over(upto("id", "part")))
+    last = told.filter("header").groupBy("id", "part").agg(F.max("at").alias("at"), F.max_by("named", "at").alias("of"))
+    before = own.filter("of IS NULL").select("id", "at", "line", "of").unionByName(last.select("id", "at", F.lit(None).cast("string").alias("line"), "of"))
+    carried = before.withColumn("of", F.last("of", ignorenulls=True).over(upto("id"))).filter("line IS NOT NULL")
+    return own.filter("of IS NOT NULL").select("id", "at", "line", "of").unionByName(carried.select("id", "at", "line", "of"))
+
+
 def files(texts: DataFrame, rows: DataFrame) -> DataFrame:
     """Files that tool output names by header and numbered lines, then those that stand in the text, each place once."""
     header = F.col("line").rlike(HEADER)
     named = F.when(header, F.struct(F.trim(F.regexp_extract("line", HEADER, 1)).alias("repo"), F.trim(F.regexp_extract("line", HEADER, 2)).alias("path")))
-    upto = Window.partitionBy("id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    told = rows.select("id", "at", "line", header.alias("header"), F.last(named, ignorenulls=True).over(upto).alias("of"))
     number = F.regexp_extract("line", NUMBERED, 1)
-    told = told.filter((F.col("of.path") != "") & (F.col("header") | (number != "")))
-    output = told.select("id", "at", F.col("of.repo").alias("repo"), _stripped(F.col("of.path")).alias("path"), F.when(F.col("header"), 0).otherwise(number.cast("int")).alias("line"), F.lit(TOOL).alias("source"))
+    told = rows.select("id", "at", F.when(header, "0").when(number != "", number).alias("line"), header.alias("header"), named.alias("named"), F.col("at.part").alias("part"))
+    told = _under_header(told.filter("header OR line IS NOT NULL")).filter(F.col("of.path") != "")
+    output = told.select("id", "at", F.col("of.repo").alias("repo"), _stripped(F.col("of.path")).alias("path"), F.col("line").cast("int").alias("line"), F.lit(TOOL).alias("source"))
     found = F.transform(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(PATH.pattern), F.lit(0)), lambda p: F.regexp_replace(p, r"""^[.,:;()\[\]{}<>"'`]+|[.,:;()\[\]{}<>"'`]+$""", ""))
     ends = reduce(lambda a, b: a | b, (F.lower("p").endswith(e) for e in SOURCE_ENDINGS))
-    said = texts.select("id", F.posexplode(found).alias("at", "p")).filter(ends).select("id", (F.col("at") + (1 << 30)).alias("at"), F.lit("").alias("repo"), _stripped(ingest.inside(F.col("p"))).alias("path"), F.lit(0).alias("line"), F.lit(ANSWER).alias("source"))
+    said = parts(texts).select("id", "part", F.posexplode(found).alias("n", "p")).filter(ends).select("id", _at(1), F.lit("").alias("repo"), _stripped(ingest.inside(F.col("p"))).alias("path"), F.lit(0).alias("line"), F.lit(ANSWER).alias("source"))
     every = output.unionByName(said).filter(F.col("path").contains("."))
     first = every.groupBy("id", "repo", "path", "line").agg(F.min(F.struct("at", "source")).alias("f")).select("id", "repo", "path", "line", "f.at", "f.source")
     place = F.row_number().over(Window.partitionBy("id").orderBy("at", "line"))

@@ -1,4 +1,4 @@
-"""Named queries on the evidence of an answer's texts; the texts are made of the files, one for each repository and branch."""
+"""Named queries on the evidence of an answer's texts; the texts are made of the files, one for each repository and branch, and come in parts."""
 
 from __future__ import annotations
 
@@ -17,9 +17,8 @@ LOW = "LOWER(line)"
 
 
 def _texts(f):
-    rows = f.f_file.select(F.expr("CASE branch WHEN 'main' THEN 0 ELSE 1000 END + CAST(SUBSTR(repo_name, 4) AS BIGINT)").alias("id"), "doc_id", F.expr(ENTRY).alias("entry"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "entry"))), lambda e: e["entry"]), "\n")
-    return rows.groupBy("id").agg(joined.alias("text"))
+    """Each file's entry is a part of its text."""
+    return f.f_file.select(F.expr("CASE branch WHEN 'main' THEN 0 ELSE 1000 END + CAST(SUBSTR(repo_name, 4) AS BIGINT)").alias("id"), F.struct("doc_id", "path").alias("part"), F.expr(ENTRY).alias("text"))
 
 
 SCIP, TREE, AST = "contains(l, 'source=scip')", "contains(l, 'tree-sitter')", "contains(l, 'source=ast')"

@@ -34,6 +34,17 @@ def test_lists(texts):
     ]
 
 
+@pytest.mark.parametrize("cuts", [range(1, 12), (1, 3, 4, 10), (2,)])
+def test_parts_say_what_a_text_says(spark, texts, cuts):
+    """A header in one part also counts for the numbered lines of later ones."""
+    lines = TEXT.split("\n")
+    ends = [0, *cuts, len(lines)]
+    rows = [(1, i, "\n".join(lines[a:b])) for i, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True))]
+    parts = spark.createDataFrame([*rows[::-1], (2, 0, None), (3, 0, "")], "id long, part int, text string")
+    assert sorted(harness.evidence(parts).collect(), key=str) == sorted(harness.evidence(texts).collect(), key=str)
+    assert sorted(harness.provenance(harness.lines(parts)).collect()) == sorted(harness.provenance(harness.lines(texts)).collect())
+
+
 def test_classes(texts):
     got = {r.id: (r.scip, r.tree_sitter, r.zoekt, r.graph, r.confidence) for r in harness.provenance(harness.lines(texts)).collect()}
     assert got == {1: (2, 0, 1, 3, harness.SURE), 2: (0, 0, 0, 0, harness.UNSURE), 3: (0, 0, 0, 0, harness.UNSURE)}

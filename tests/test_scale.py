@@ -55,3 +55,9 @@ def test_short_rows_move_to_ends(spark, monkeypatch):
     monkeypatch.setattr(inspect, "with_ends", lambda edges, vertices: moved.append(edges.columns) or with_ends(edges, vertices))
     registry.queries()["stable_key"](spark, SMALL)
     assert [len(c) for c in moved] == [7]
+
+
+def test_texts_of_answers_stay_in_parts(spark):
+    """No task gathers a text: of a text's rows only a list's first ones and last headers meet."""
+    plan = registry.queries()["harness_evidence"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "hashpartitioning(id" in plan
