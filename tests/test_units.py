@@ -262,3 +262,10 @@ def test_ends_join_the_rows_of_a_hop_alone(spark, monkeypatch):
     monkeypatch.setattr(inspect, "with_ends", lambda edges, vertices: joined.append(edges.count()) or with_ends(edges, vertices))
     rows = inspect.focused("callees", "Brand", edges=f.f_link, vertices=f.f_vertex, org_id=1, depth=2).count()
     assert rows and f.f_link.filter("org_id = 1").count() > 500 >= max(joined)
+
+
+def test_every_anchor_link_is_kept(spark):
+    n = 10_300
+    edges = spark.range(n).selectExpr("CONCAT('a', id) AS src", "CONCAT('b', id) AS dst", "'CALLS' AS kind", "id AS rank", "0.6D AS confidence")
+    marks = edges.selectExpr("EXPLODE(ARRAY(src, dst)) AS vid").selectExpr("vid", "vid AS normalized")
+    assert build.anchor_links(edges, marks).select("src", "dst").distinct().count() == n
