@@ -66,9 +66,11 @@ def display_name(symbol: Column) -> Column:
     return F.when(F.size(pieces) > 0, F.element_at(pieces, -1)).otherwise(compact)
 
 
-def placed(documents: DataFrame, projects: DataFrame) -> DataFrame:
-    """Documents with the language and root of their project (id, project_language, project_root) and their file's path."""
-    met = documents.join(projects.select("id", "project_language", "project_root"), "id")
+def placed(documents: DataFrame, projects: DataFrame | None = None) -> DataFrame:
+    """Documents with the language and root of their project (id, project_language, project_root) and their file's path.
+
+    Documents move to meet their projects; without projects they came with these columns, by way of their artifacts, and stay."""
+    met = documents if projects is None else documents.join(projects.select("id", "project_language", "project_root"), "id")
     met = met.withColumn("file_path", F.when(~F.col("external"), joined(F.col("project_root"), F.col("relative_path"))))
     language = F.when(F.col("language") == "", F.col("project_language")).otherwise(F.col("language"))
     return met.filter(F.col("external") | F.col("file_path").isNotNull()).withColumn("language", language)
@@ -104,13 +106,22 @@ def symbols(docs: DataFrame) -> DataFrame:
     return here.unionByName(rows.filter("external"), allowMissingColumns=True).drop("external")
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
-    """A row for each role of an occurrence, with the definition around it."""
+def occurrences(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """A row for each role of an occurrence, with the definition around it. ``whole``: all documents of an index lie in one task,
+    as ``artifact.documents`` gives them, so that no occurrence moves."""
     found = _found(docs)
-    scopes = found.filter(_defines()).select("id", "file_path", "document", "nth", "symbol", F.coalesce("around", "at").alias("r")).filter("r IS NOT NULL").select("id", "file_path", "document", "nth", "symbol", "r.*")
     key = ["id", "document", "nth", "file_path", "language", "symbol", "symbol_roles", "syntax_kind", *RANGE]
+    if whole:
+        around = F.when(_defines(), F.coalesce("around", "at"))
+        rows = found.withColumn("around", around).filter("at IS NOT NULL OR around IS NOT NULL").select("*", "at.*")
+        met = scip.swept_in_place(rows, ["id", "file_path"], key, ["document", "nth"]).filter("start_line IS NOT NULL")
+        return _by_role(met)
+    scopes = found.filter(_defines()).select("id", "file_path", "document", "nth", "symbol", F.coalesce("around", "at").alias("r")).filter("r IS NOT NULL").select("id", "file_path", "document", "nth", "symbol", "r.*")
     placed_ = found.filter("at IS NOT NULL").select("id", "document", "nth", "file_path", "language", "symbol", "symbol_roles", "syntax_kind", "at.*")
-    met = scip.swept(placed_, scopes, ["id", "file_path"], key, ["document", "nth"])
+    return _by_role(scip.swept(placed_, scopes, ["id", "file_path"], key, ["document", "nth"]))
+
+
+def _by_role(met: DataFrame) -> DataFrame:
     rows = scip.by_role(met, "symbol_roles").withColumn("syntax_kind", named(F.col("syntax_kind"), SYNTAX))
     return rows.withColumn("language", F.when(F.col("language") != "", F.col("language"))).drop("symbol_roles")
 

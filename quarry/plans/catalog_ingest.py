@@ -30,12 +30,14 @@ def _artifacts(f):
     documents = documents.select("index_id", "es", F.struct(F.col("file_path").alias("relative_path"), F.transform("os", lambda x: x["o"]).alias("occurrences"), F.transform("ss", lambda x: x["s"]).alias("symbols"), F.lit("go").alias("language")).alias("d"))
     rows = documents.groupBy("index_id").agg(F.sort_array(F.collect_list("d")).alias("documents"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("es")))).alias("names"))
     named = F.transform("names", lambda n: F.struct(n.alias("symbol"), F.lit(7).alias("kind")))
-    return artifact.encoded(rows.select(F.col("index_id").alias("id"), "documents", named.alias("external_symbols")))
+    projects = f.f_index.select("id", F.lit("typescript").alias("project_language"), F.when(F.col("id") % 2 == 0, "app/").otherwise(F.lit(".")).alias("project_root"))
+    rows = rows.select(F.col("index_id").alias("id"), "documents", named.alias("external_symbols")).join(projects, "id")  # where the index's rows are, so no artifact moves
+    return artifact.encoded(rows)
 
 
 def _documents(f):
-    projects = f.f_index.select("id", F.lit("typescript").alias("project_language"), F.when(F.col("id") % 2 == 0, "app/").otherwise(F.lit(".")).alias("project_root"))
-    return graph.kept(ingest.placed(artifact.documents(_artifacts(f)), projects))
+    """All documents of an index lie in one task."""
+    return ingest.placed(artifact.documents(_artifacts(f)))
 
 
 PATH = "CONCAT(CASE WHEN index_id % 2 = 0 THEN 'app/' ELSE '' END, file_path)"
@@ -48,7 +50,7 @@ ROLES = f"""SELECT a.*, UNNEST(CASE mask WHEN 1 THEN ['DEFINITION'] WHEN 2 THEN
 
 @query("artifact_occurrences", f"SELECT index_id AS id, path AS file_path, symbol, role, start_line, 'go' AS language, {SYNTAX} AS syntax_kind, enclosing FROM ({ROLES}) r")
 def _(f):
-    return ingest.occurrences(_documents(f)).select("id", "file_path", "symbol", "role", "start_line", "language", "syntax_kind", "enclosing")
+    return ingest.occurrences(_documents(f), whole=True).select("id", "file_path", "symbol", "role", "start_line", "language", "syntax_kind", "enclosing")
 
 
 LAST = f"SELECT index_id, symbol, arg_max(path, doc * 100 + ordinal) AS file_path, arg_max(start_line, doc * 100 + ordinal) AS start_line FROM ({NUMBERED}) n WHERE mask = 1 GROUP BY 1, 2"
@@ -62,7 +64,7 @@ FROM ({NUMBERED}) n JOIN ({LAST}) l ON l.index_id = n.index_id AND l.symbol = n.
 UNION ALL SELECT index_id, n.symbol, {NAME}, 'Class', 'typescript', NULL, NULL, NULL FROM (SELECT DISTINCT index_id, symbol FROM ({USED}) u WHERE mask <> 1) n""",
 )
 def _(f):
-    return ingest.symbols(_documents(f)).select("id", "symbol", "display_name", "kind", "language", "signature", "file_path", "start_line")
+    return ingest.symbols(graph.kept(_documents(f))).select("id", "symbol", "display_name", "kind", "language", "signature", "file_path", "start_line")
 
 
 @query(
@@ -72,7 +74,7 @@ SELECT DISTINCT n.index_id AS id, n.symbol AS source, l.least AS target, ordinal
 UNION SELECT r.index_id, enclosing, r.symbol, TRUE, FALSE, FALSE, FALSE FROM ({ROLES}) r JOIN d ON d.index_id = r.index_id AND d.symbol = r.symbol WHERE role = 'REFERENCE' AND enclosing IS NOT NULL""",
 )
 def _(f):
-    docs = _documents(f)
+    docs = graph.kept(_documents(f))
     return ingest.relationships(docs, ingest.occurrences(docs)).select("id", "source", "target", *ingest.FLAGS)
 
 

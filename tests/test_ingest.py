@@ -8,6 +8,7 @@ import pytest
 from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
+from quarry import registry
 from quarry.operators import ingest, projects, scip
 from quarry.sources import artifact
 
@@ -162,3 +163,33 @@ def test_projects(spark):
     jvm = ["tests/java/build.gradle", "tests/java/Demo.java", "real/build.gradle", "real/src/main/java/App.java"]
     assert [x.split(":")[0] for x in found(jvm, "jvm")[0]] == ["real"]
     assert found(["src/src/a.ts", "src/b.ts"], "ts-js")[0] == [":typescript:scip-typescript:ts-js", "src:typescript:scip-typescript:ts-js"]
+
+
+def test_in_place_as_by_way_of_others(spark, monkeypatch):
+    """Documents of one path count as one file, though an index leaves in several batches."""
+    monkeypatch.setattr(artifact, "TOGETHER", 64)
+    r = random.Random(5)
+    place = lambda: [a := r.randint(0, 30), r.randint(0, 5), a + r.randint(0, 9), r.randint(6, 9)]
+    names = [f"pkg {c}#" for c in "abcdefgh"] + ["local 1", ""]
+
+    def document(path):
+        used = [{"range": r.choice([place(), [1, 2], []]), "symbol": r.choice(names), "symbol_roles": r.choice([0, 1, 2, 8, 64]), "enclosing_range": r.choice([[], place()])} for _ in range(40)]
+        told = [{"symbol": s, "relationships": [{"symbol": r.choice(names), "is_reference": r.random() < 0.5} for _ in range(2)]} for s in r.sample(names, 5)]
+        return {"relative_path": path, "occurrences": used, "symbols": told}
+
+    def index():
+        return {"documents": [document(p) for p in ("a//b.ts", "c.ts", "a/./b.ts", "../x.ts", "a/b.ts")], "external_symbols": [{"symbol": names[0], "relationships": [{"symbol": names[1], "is_definition": True}]}]}
+
+    rows = spark.createDataFrame([(i, bytearray(artifact.write("index", index())), "go", "p") for i in range(6)], "id long, content binary, project_language string, project_root string").repartition(3)
+    docs = ingest.placed(artifact.documents(rows))
+    apart = ingest.placed(artifact.documents(rows.select("id", "content")), rows.select("id", "project_language", "project_root")).cache()
+    # of equal spans in equal places the first counts, so both ways agree to the row
+    found, plain = ingest.occurrences(docs, whole=True), ingest.occurrences(apart)
+    assert sorted(map(repr, found.select(plain.columns).collect())) == sorted(map(repr, plain.collect()))
+
+
+@pytest.mark.parametrize("name,moves", [("artifact_occurrences", 0)])
+def test_artifacts_and_their_rows_stay(spark, name, moves):
+    plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().splitlines()
+    last = max(i for i, line in enumerate(plan) if "MapInArrow" in line)
+    assert sum("Exchange" in line for line in plan[:last]) == moves
