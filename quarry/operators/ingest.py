@@ -137,23 +137,68 @@ def with_lines(rows: DataFrame, files: DataFrame) -> DataFrame:
     return rows.join(told, ["id", "file_path", "start_line"], "left")
 
 
-def relationships(docs: DataFrame, rows: DataFrame) -> DataFrame:
+def relationships(docs: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     """Relationships between the symbols that an index defines: those that it states and those that references inside of definitions make.
 
-    Rows that agree in all six fields are one; (document, part, nth, sub) is where the first of them stands.
+    Rows that agree in all six fields are one; (document, part, nth, sub) is where the first of them stands. ``rows`` are the
+    documents' occurrences; without them all documents of an index lie in one task, and what they say is read in one pass.
     """
-    each = docs.select("id", "document", F.posexplode("symbols").alias("s_nth", "s")).select("id", "document", "s_nth", F.col("s.symbol").alias("source"), F.posexplode("s.relationships").alias("r_nth", "r"))
-    stated = each.select("id", "document", F.lit(0).alias("part"), F.struct("s_nth", "r_nth").alias("nth"), "source", F.col("r.symbol").alias("target"), *(f"r.{f}" for f in FLAGS))
-    uses = rows.filter((F.col("role") == "REFERENCE") & F.col("enclosing").isNotNull() & (F.col("enclosing") != F.col("symbol")))
-    no = F.lit(False)
-    made = uses.select("id", "document", F.lit(1).alias("part"), F.struct(F.col("nth").alias("s_nth"), F.lit(0).alias("r_nth")).alias("nth"), F.col("enclosing").alias("source"), F.col("symbol").alias("target"), F.lit(True).alias("is_reference"), *(no.alias(f) for f in FLAGS[1:]))
-    one = stated.unionByName(made).filter(semantic(F.col("source")) & semantic(F.col("target")))
-    one = one.groupBy("id", "source", "target", *FLAGS).agg(F.min(F.struct("document", "part", "nth")).alias("first"))
-    told = docs.filter(~F.col("external")).select("id", F.explode("symbols.symbol").alias("symbol"))
-    defined = told.join(_found(docs).filter(_defines()).select("id", "symbol"), ["id", "symbol"], "left_semi").distinct()
-    for end in ("source", "target"):
-        one = one.join(defined.withColumnRenamed("symbol", end), ["id", end], "left_semi")
-    return one.select("id", "source", "target", *FLAGS, "first.document", "first.part", F.col("first.nth.s_nth").alias("nth"), F.col("first.nth.r_nth").alias("sub"))
+    return _settled(_claims(docs) if rows is None else _claimed(docs, rows))
+
+
+#: What is known of a symbol: its index tells of it, and defines it.
+TOLD, DEFINED = 1, 2
+
+
+def _claim(part: int, nth: tuple, source: Column, target: Column | None = None, flags: list | None = None, known: int = 0) -> Column:
+    """A relationship and where it stands, or without a target what is known of a symbol."""
+    flags = flags or [F.lit(None).cast("boolean")] * len(FLAGS)
+    where = F.struct(F.col("document"), F.lit(part).alias("part"), *(F.lit(n).cast("int").alias(x) for n, x in zip(nth, ("nth", "sub"), strict=True)))
+    target = F.lit(None).cast("string") if target is None else target
+    return F.struct(source.alias("source"), target.alias("target"), *(f.alias(n) for f, n in zip(flags, FLAGS, strict=True)), where.alias("first"), F.lit(known).alias("known"))
+
+
+def _of_symbol(nth: Column, symbol: Column, relationships_: Column) -> Column:
+    """What a symbol's information claims."""
+    stated = F.transform(relationships_, lambda r, i: _claim(0, (nth, i), symbol, r["symbol"], [r[f] for f in FLAGS]))
+    return F.concat(F.array(F.when(~F.col("external"), _claim(0, (nth, 0), symbol, known=TOLD))), stated)
+
+
+def _of_use() -> Column:
+    """What a reference inside of a definition claims."""
+    return _claim(1, (F.col("nth"), 0), F.col("enclosing"), F.col("symbol"), [F.lit(f == "is_reference") for f in FLAGS])
+
+
+def _claimed(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    each = docs.select("id", "document", "external", F.posexplode("symbols").alias("nth", "s")).select("id", F.explode(_of_symbol(F.col("nth"), F.col("s.symbol"), F.col("s.relationships"))).alias("c"))
+    made = rows.filter((F.col("role") == "REFERENCE") & F.col("enclosing").isNotNull() & (F.col("enclosing") != F.col("symbol"))).select("id", _of_use().alias("c"))
+    defined = _found(docs).filter(_defines()).select("id", _claim(1, (F.col("nth"), 0), F.col("symbol"), known=DEFINED).alias("c"))
+    return each.unionByName(made).unionByName(defined).filter("c IS NOT NULL").select("id", "c.*")
+
+
+def _claims(docs: DataFrame) -> DataFrame:
+    """``_claimed`` of documents whose occurrences stay where they are: a row is an occurrence or a symbol's information."""
+    kind = lambda c: docs.schema[c].dataType.elementType
+    used = F.transform("occurrences", lambda o, i: F.struct(i.alias("nth"), o.alias("o"), F.lit(None).cast(kind("symbols")).alias("s")))
+    told = F.transform("symbols", lambda s, i: F.struct(i.alias("nth"), F.lit(None).cast(kind("occurrences")).alias("o"), s.alias("s")))
+    items = docs.select("id", "document", "external", "file_path", F.explode(F.concat(used, told)).alias("x")).select("id", "document", "external", "file_path", "x.*")
+    items = items.filter("s IS NOT NULL OR (NOT external AND o.symbol <> '')").select("id", "document", "external", "file_path", "nth", F.coalesce("o.symbol", "s.symbol").alias("symbol"), "o.symbol_roles", "s.relationships", F.col("s").isNotNull().alias("info"), _bounds(F.col("o.range")).alias("at"), _bounds(F.col("o.enclosing_range")).alias("around"))
+    defines = F.coalesce(_defines(), F.lit(False))
+    items = items.withColumn("around", F.when(defines, F.coalesce("around", "at")))
+    met = scip.swept_in_place(items, ["id", "file_path"], ["id", "document", "external", "nth", "symbol", "symbol_roles", "relationships", "info"], ["document", "nth"])
+    use = F.when(defines, _claim(1, (F.col("nth"), 0), F.col("symbol"), known=DEFINED)).when(F.col("enclosing") != F.col("symbol"), _of_use())
+    claims = F.when(F.col("info"), _of_symbol(F.col("nth"), F.col("symbol"), F.col("relationships"))).otherwise(F.array(use))
+    return met.select("id", F.explode(claims).alias("c")).filter("c IS NOT NULL").select("id", "c.*")
+
+
+def _settled(claims: DataFrame) -> DataFrame:
+    """Each relationship once, where its index tells of both ends and defines them. All claims of an index meet once, and stay for what follows."""
+    here = claims.filter(semantic(F.col("source")) & (F.col("target").isNull() | semantic(F.col("target")))).repartition("id")
+    one = here.groupBy("id", "source", "target", *FLAGS).agg(F.min("first").alias("first"), F.bit_or("known").alias("known"))
+    sure = F.col("target").isNull() & (F.col("known") == (TOLD | DEFINED))
+    for end in (F.col("source"), F.coalesce("target", "source")):
+        one = one.withColumn("sure", F.max(sure).over(Window.partitionBy("id", end))).filter("sure")
+    return one.filter("target IS NOT NULL").select("id", "source", "target", *FLAGS, "first.document", "first.part", "first.nth", "first.sub")
 
 
 def first_seen(rows: DataFrame) -> DataFrame:

@@ -74,8 +74,7 @@ SELECT DISTINCT n.index_id AS id, n.symbol AS source, l.least AS target, ordinal
 UNION SELECT r.index_id, enclosing, r.symbol, TRUE, FALSE, FALSE, FALSE FROM ({ROLES}) r JOIN d ON d.index_id = r.index_id AND d.symbol = r.symbol WHERE role = 'REFERENCE' AND enclosing IS NOT NULL""",
 )
 def _(f):
-    docs = graph.kept(_documents(f))
-    return ingest.relationships(docs, ingest.occurrences(docs)).select("id", "source", "target", *ingest.FLAGS)
+    return ingest.relationships(_documents(f)).select("id", "source", "target", *ingest.FLAGS)
 
 
 #: Every project by its definition: each marker is held against every file of its repository.

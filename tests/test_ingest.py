@@ -166,7 +166,7 @@ def test_projects(spark):
 
 
 def test_in_place_as_by_way_of_others(spark, monkeypatch):
-    """Documents of one path count as one file, though an index leaves in several batches."""
+    """Documents of one path count as one file, though an index leaves in several batches; nothing moves until relationships meet."""
     monkeypatch.setattr(artifact, "TOGETHER", 64)
     r = random.Random(5)
     place = lambda: [a := r.randint(0, 30), r.randint(0, 5), a + r.randint(0, 9), r.randint(6, 9)]
@@ -186,9 +186,11 @@ def test_in_place_as_by_way_of_others(spark, monkeypatch):
     # of equal spans in equal places the first counts, so both ways agree to the row
     found, plain = ingest.occurrences(docs, whole=True), ingest.occurrences(apart)
     assert sorted(map(repr, found.select(plain.columns).collect())) == sorted(map(repr, plain.collect()))
+    related, other = ingest.relationships(docs), ingest.relationships(apart, plain)
+    assert related.count() > 0 and sorted(map(repr, related.collect())) == sorted(map(repr, other.collect()))
 
 
-@pytest.mark.parametrize("name,moves", [("artifact_occurrences", 0)])
+@pytest.mark.parametrize("name,moves", [("artifact_occurrences", 0), ("artifact_relationships", 1)])
 def test_artifacts_and_their_rows_stay(spark, name, moves):
     plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().splitlines()
     last = max(i for i, line in enumerate(plan) if "MapInArrow" in line)
