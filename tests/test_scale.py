@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import io
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -61,3 +62,49 @@ def test_texts_of_answers_stay_in_parts(spark):
     """No task gathers a text: of a text's rows only a list's first ones and last headers meet."""
     plan = registry.queries()["harness_evidence"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "collect_list" not in plan and "hashpartitioning(id" in plan
+
+
+def moved(node) -> list[tuple[str, list[str]]]:
+    """How each exchange of a plan deals its rows, and the types that they hold."""
+    if node.nodeName() == "AdaptiveSparkPlan":
+        return moved(node.executedPlan())
+    below = [x for i in range(node.children().size()) for x in moved(node.children().apply(i))]
+    if node.nodeName() != "Exchange":
+        return below
+    held = [node.output().apply(i) for i in range(node.output().size())]
+    return [(node.outputPartitioning().toString(), [f"{c.name()} {c.dataType().simpleString()}" for c in held]), *below]
+
+
+def test_numbers_move_to_ends(spark, request):
+    """An edge's texts do not move to its ends, nor those of one end to the other."""
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.autoBroadcastJoinThreshold"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    for name in ("edge_score", "edge_score_no_language"):
+        plan = registry.queries()[name](spark, SMALL)._jdf.queryExecution().executedPlan()
+        edges = [kinds for by, kinds in moved(plan) if re.match(r"hashpartitioning\((src|dst)#", by) and any(k.startswith("graph_index_id ") for k in kinds)]
+        assert len(edges) == 2 and {k for kinds in edges for k in kinds if k.endswith(" string")} == {"src string", "dst string"}
+
+
+def test_numbers_of_ends_are_compiled(spark):
+    f = fixtures.Frames(spark, SMALL)
+    none = lambda df: spark.createDataFrame(spark.sparkContext.emptyRDD(), df.schema)
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        inspect.met(none(f.f_link), none(f.f_vertex), TERMS, ["ordinal"]).select(inspect.total(TERMS)).explain("codegen")
+    assert max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", out.getvalue())), default=0) < 8000
+
+
+def test_total_as_scored(spark):
+    """Marks that lie across texts are found by how texts begin and end; what is missing counts as it does in the text."""
+    assert all(m.count(" ") <= len(inspect.END_FIELDS) for group in inspect.groups().values() for m in group)
+    r = random.Random(4)
+    pieces = ["", "", None, " go", "go", "go ", "volume", "mount", " mount", "java", "javascript", "x java", "volume mount", "python", "fmt.", "webhook", " npm ", "local 3", "symbol"]
+    vertices = spark.createDataFrame([(r.randint(1, 2) if i % 5 else None, *r.choices(pieces, k=4), f"v{i}") for i in range(60)], "repo_id int, kind string, key string, label string, path string, vid string")
+    some = lambda: f"v{r.randint(0, 70)}" if r.random() < 0.95 else None
+    edge = "n int, src string, dst string, relation string, source string, provenance string, context string, evidence_path string, confidence double"
+    edges = spark.createDataFrame([(i, some(), some(), r.choice(["IMPORTS", "calls", "CONTAINS", None]), r.choice(["scip", "heuristic", None]), r.choice([None, " ", "scip"]), *r.choices(pieces, k=2), r.choice([None, 0.45, 0.9])) for i in range(1500)], edge)
+    for terms in (TERMS, ["go"], ["mount", "node"], [" ", "x"], []):
+        got = inspect.met(edges, vertices, terms, ["n"]).select("n", inspect.total(terms).alias("score"))
+        assert sorted(got.collect()) == sorted(inspect.scored(inspect.with_ends(edges, vertices), terms).select("n", "score").collect())
+    told = inspect.told(inspect.with_ends(edges, inspect.weighed(vertices, []))).select("n", "marks")
+    assert sorted(told.collect()) == sorted(inspect.met(edges, vertices, [], ["n"]).select("n", F.col("marks").bitwiseAND((1 << inspect.ENDING) - 1)).collect())
