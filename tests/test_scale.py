@@ -51,6 +51,15 @@ def test_lines_are_dealt_by_rows(spark, monkeypatch):
     assert sizes[0] == f.lines and sizes[1] <= 300
 
 
+def test_lines_are_dealt_by_rows_where_nothing_is_broadcast(spark, monkeypatch, request):
+    monkeypatch.setattr(fixtures, "TOGETHER", 100)
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.autoBroadcastJoinThreshold"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    f = fixtures.Frames(spark, SMALL)
+    sizes = f.f_occurrence.groupBy(F.spark_partition_id()).count().select(F.sum("count"), F.max("count")).first()
+    assert sizes[0] == f.lines and sizes[1] <= 300
+
+
 def test_short_rows_move_to_ends(spark, monkeypatch):
     moved, with_ends = [], inspect.with_ends
     monkeypatch.setattr(inspect, "with_ends", lambda edges, vertices: moved.append(edges.columns) or with_ends(edges, vertices))
