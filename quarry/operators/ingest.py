@@ -193,7 +193,8 @@ def _claims(docs: DataFrame) -> DataFrame:
 
 def _settled(claims: DataFrame) -> DataFrame:
     """Each relationship once, where its index tells of both ends and defines them. All claims of an index meet once, and stay for what follows."""
-    here = claims.filter(semantic(F.col("source")) & (F.col("target").isNull() | semantic(F.col("target")))).repartition("id")
+    parts = int(claims.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by number, or AQE puts several together by their bytes, which are few
+    here = claims.filter(semantic(F.col("source")) & (F.col("target").isNull() | semantic(F.col("target")))).repartition(parts, "id")
     one = here.groupBy("id", "source", "target", *FLAGS).agg(F.min("first").alias("first"), F.bit_or("known").alias("known"))
     sure = F.col("target").isNull() & (F.col("known") == (TOLD | DEFINED))
     for end in (F.col("source"), F.coalesce("target", "source")):
